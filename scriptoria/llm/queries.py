@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from scriptoria.llm import quality
+from scriptoria.llm import quality, secrets
 
 QUERIES = {
+    "op2_secret_scan": secrets.op2_secret_scan,
     "op8_quality_lines": quality.op8_quality_lines,
 }
 ORACLES = {
