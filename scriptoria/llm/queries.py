@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from scriptoria.llm import quality, secrets
+from scriptoria.llm import language, quality, secrets
 
 QUERIES = {
     "op2_secret_scan": secrets.op2_secret_scan,
     "op8_quality_lines": quality.op8_quality_lines,
+    "op10_language_id": language.op10_language_id,
 }
 ORACLES = {
     "op8_quality_lines": quality.ORACLE,
