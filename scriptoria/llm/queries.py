@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from scriptoria.llm import language, quality, secrets
+from scriptoria.llm import language, quality, secrets, simhash
 
 QUERIES = {
+    "op1_simhash_dedup": simhash.op1_simhash_dedup,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op8_quality_lines": quality.op8_quality_lines,
     "op10_language_id": language.op10_language_id,
