@@ -176,6 +176,19 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
+def redact_all(docs: DataFrame, text_col: str = "text", samples: DataFrame | None = None, rules: SecretRules = SecretRules()) -> DataFrame:
+    """docs with all spans in the text redacted; n_chars, where there is such a column, follows the text. Null texts stay."""
+    weights = train(default_samples(docs.sparkSession) if samples is None else samples)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    given = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    text = F.col(names[docs.columns.index(text_col)])
+    base, added = find_spans(F.coalesce(text, F.lit("")), weights, rules)
+    found = given.select(*names, F.array_sort(F.concat(base, added)).alias("spans"))
+    clean = found.select(*names, redact(text, F.col("spans")).alias("clean"))
+    made = {text_col: F.col("clean"), "n_chars": F.length("clean").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return clean.select(*[made.get(c, F.col(n)).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+
+
 def _joined(spans: Column) -> Column:
     name = lambda x: F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["kind"] + 1)
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", name(x), x["start"], x["end"])), ",")

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptoria.llm.common import checkpoint, map_rows, table, words_of
@@ -203,7 +203,10 @@ def links(prints: DataFrame, tiling: Tiling = Tiling()) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tiling: Tiling = Tiling()) -> DataFrame:
-    """Per row: the id, its fingerprint (long) and component, the smallest id of those linked to it directly or through others."""
+    """Per row: the id, its fingerprint fp (long) and component_id, the smallest id of those linked to it directly or through others.
+
+    component_fp, the smallest fingerprint of the component, tells components apart even if ids repeat.
+    """
     kind = dict(docs.dtypes)[id_col]
     prints = map_rows(docs, [id_col, text_col], f"id {kind}, fp long", lambda ids, texts: {"id": ids, "fp": fingerprints(texts).view(np.int64)})
     prints = checkpoint(prints)
@@ -212,8 +215,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Components are of fingerprints; their smallest id is the least of their classes' first ids.
     named = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = named.join(least, "component").select("fp", F.col("component").alias("component_fp"), "component_id")
+    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "component_fp")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tiling: Tiling = Tiling()) -> DataFrame:
+    """docs with one row of each component: that of the smallest id, of equal ids that of the smallest fingerprint, of equal rows one."""
+    found = near_duplicates(docs, id_col, text_col, tiling)
+    chosen = found.groupBy("component_fp").agg(F.min(F.struct(id_col, "fp")).alias("x")).select(F.col(f"x.{id_col}").alias("chosen_id"), F.col("x.fp").alias("chosen_fp"))
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    marked = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    own_id, own_text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    order = [n for n, (_, kind) in zip(names, docs.dtypes, strict=True) if not kind.startswith("map")]
+    # Ids first, so that fingerprints are made again only for rows that may stay.
+    marked = marked.join(chosen, F.col(own_id).eqNullSafe(F.col("chosen_id"))).select(*names, "chosen_fp")
+    kinds = ", ".join(f"{n} {kind}" for n, (_, kind) in zip(names, docs.dtypes, strict=True))
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index(own_text)
+        for batch in batches:
+            fp = fingerprints(batch.column(at).to_pylist()).view(np.int64)
+            yield batch.filter(pa.array(fp == batch.column(len(names)).to_numpy()))
+
+    kept = marked.mapInArrow(same, f"{kinds}, chosen_fp long")
+    kept = kept.withColumn("n", F.row_number().over(Window.partitionBy(own_id, "chosen_fp").orderBy(*[n for n in order if n != own_text]))).where(F.col("n") == 1)
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
