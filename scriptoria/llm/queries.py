@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from scriptoria.llm import language, mixing, packing, quality, secrets, simhash
+from scriptoria.llm import language, mixing, packing, pages, quality, secrets, simhash
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_page_text": pages.op3_page_text,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op6_pareto_mixing": mixing.op6_pareto_mixing,
     "op8_quality_lines": quality.op8_quality_lines,
