@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptoria.llm import language, mixing, packing, pages, quality, secrets, simhash
+from scriptoria.llm import katz, language, mixing, packing, pages, quality, secrets, simhash
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_page_text": pages.op3_page_text,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op6_pareto_mixing": mixing.op6_pareto_mixing,
+    "op7_katz_scores": katz.op7_katz_scores,
     "op8_quality_lines": quality.op8_quality_lines,
     "op10_language_id": language.op10_language_id,
 }
