@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptoria.llm import katz, language, mixing, packing, pages, quality, secrets, simhash
+from scriptoria.llm import hnsw, katz, language, mixing, packing, pages, quality, secrets, simhash
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_pareto_mixing": mixing.op6_pareto_mixing,
     "op7_katz_scores": katz.op7_katz_scores,
     "op8_quality_lines": quality.op8_quality_lines,
+    "op9_hnsw_dedup": hnsw.op9_hnsw_dedup,
     "op10_language_id": language.op10_language_id,
 }
 ORACLES = {
