@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from scriptoria.llm import hnsw, katz, language, mixing, packing, pages, quality, secrets, simhash
+from scriptoria.llm import hnsw, katz, language, mixing, packing, pages, quality, secrets, simhash, suffixes
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_page_text": pages.op3_page_text,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_pareto_mixing": mixing.op6_pareto_mixing,
     "op7_katz_scores": katz.op7_katz_scores,
     "op8_quality_lines": quality.op8_quality_lines,
