@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from scriptoria.plans import ORACLES, QUERIES, algebra, corpus, measures, ranking, relational, scalars, state  # noqa: F401
+
+__all__ = ["ORACLES", "QUERIES"]
