@@ -1 +1,174 @@
-"""Queries."""
+"""Aggregates, clusters, geometry and image statistics (AGG, GEO, IMG)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptoria.operators import aggregates as A
+from scriptoria.operators import geometry as G
+from scriptoria.operators import raster
+from scriptoria.plans import as_sql, query, rows, table
+
+
+@query("SELECT l_returnflag, list_sort(list(l_quantity))[len(list(l_quantity)) // 2 + 1] AS median FROM lineitem GROUP BY l_returnflag")
+def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-1. The middle value by rank, counted from a histogram, so that no group is collected."""
+    h = A.histogram(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity")
+    return h.where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy("l_returnflag").agg(F.min("v").alias("median"))
+
+
+@query("""SELECT p_brand, cluster::BIGINT AS cluster, count(*) AS n, round(avg(p_retailprice), 6) AS center FROM (SELECT *, sum(g) OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS cluster FROM (
+SELECT p_brand, p_retailprice, coalesce((p_retailprice - lag(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_retailprice) > 8)::INT, 0) AS g FROM part)) GROUP BY ALL""")
+def gap_clusters_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-2: clusters of prices, split where gaps are larger than 8."""
+    c = A.gap_clusters(table(spark, sf_dir, "part").select("p_brand", "p_retailprice"), "p_brand", "p_retailprice", 8)
+    return c.select("p_brand", "cluster", "n", F.round("center", 6).alias("center"))
+
+
+
+
+@query(f"""WITH i AS (SELECT user_id, s, greatest(s, e) AS e FROM (SELECT user_id, floor(epoch(ts))::BIGINT AS s, floor(epoch(ts))::BIGINT + 3600 * (event_id % 5) AS e FROM events)),
+m AS (SELECT *, coalesce((s > max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 600)::INT, 0) AS g FROM i),
+r AS (SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT user_id, min(s) AS first, max(e) AS last, count(*) AS n FROM r GROUP BY user_id, k""")
+def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-17: intervals no more than ten minutes apart become one."""
+    e = table(spark, sf_dir, "events")
+    s = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    return A.merged_intervals(e.select("user_id", s.alias("s"), (s + 3600 * (F.col("event_id") % 5)).alias("e")), "user_id", "s", "e", 600)
+
+
+@query("""WITH d AS (SELECT DISTINCT user_id, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS p FROM events),
+g AS (SELECT *, coalesce((p - lag(p) OVER (PARTITION BY user_id ORDER BY p) > 3)::INT, 0) AS x FROM d), r AS (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY p) AS k FROM g),
+f AS (SELECT user_id, min(p) AS first, max(p) AS last, count(*) AS filled FROM r GROUP BY user_id, k)
+SELECT user_id, first::BIGINT AS first, last::BIGINT AS last, filled FROM f WHERE last - first + 1 >= 2 AND last - first + 1 - filled <= 0.5 * (last - first + 1)""")
+def run_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-15: runs of active hours with small holes."""
+    e = table(spark, sf_dir, "events")
+    hour = F.floor((F.unix_timestamp(F.date_trunc("hour", F.col("ts").cast("timestamp"))) - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))) / 3600).cast("long")
+    return A.runs_with_holes(e.select("user_id", hour.alias("p")), "user_id", "p", gap=2, holes=0.5, least=2)
+
+
+@query("""WITH w AS (SELECT l_orderkey AS page, (l_partkey * 7 % 500)::BIGINT AS x0, (l_partkey * 7 % 500 + 3 + l_quantity::BIGINT % 9)::BIGINT AS x1 FROM lineitem),
+s AS (SELECT page, x, sum(d) AS d FROM (SELECT page, x0 AS x, 1 AS d FROM w UNION ALL SELECT page, x1, -1 FROM w) GROUP BY ALL),
+c AS (SELECT page, x, sum(d) OVER (PARTITION BY page ORDER BY x) AS cover, lead(x) OVER (PARTITION BY page ORDER BY x) AS nxt FROM s),
+n AS (SELECT page, count(*) AS n FROM w GROUP BY page),
+l AS (SELECT c.page, x, nxt FROM c JOIN n USING (page) WHERE nxt IS NOT NULL AND cover <= CASE WHEN n >= 8 THEN floor(n * 0.1) WHEN n >= 4 THEN 1 ELSE 0 END),
+r AS (SELECT *, sum(g) OVER (PARTITION BY page ORDER BY x) AS k FROM (SELECT *, coalesce((x > lag(nxt) OVER (PARTITION BY page ORDER BY x))::INT, 0) AS g FROM l))
+SELECT page, min(x) AS first, max(nxt) AS last FROM r GROUP BY page, k""")
+def sweep_gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-10: gutters between made-up words on a page."""
+    l = table(spark, sf_dir, "lineitem")
+    x0 = F.col("l_partkey") * 7 % 500
+    return A.gutters(l.select(F.col("l_orderkey").alias("page"), x0.alias("x0"), (x0 + 3 + F.floor(F.col("l_quantity") + 0.5) % 9).alias("x1")), "page", "x0", "x1")
+
+
+PIXELS = "SELECT img, i // 48 AS y, i % 48 AS x, CASE WHEN (i % 48 - 24) * (i % 48 - 24) + (i // 48 - 18) * (i // 48 - 18) < 150 + 20 * img THEN 180 + (i * 7 + img) % 60 ELSE 20 + (i * 13 + img * 5) % 70 END AS v FROM (SELECT unnest(range(8)) AS img), (SELECT unnest(range(48 * 36)) AS i)"
+
+
+def pixels(spark: SparkSession) -> DataFrame:
+    """Eight small images with a bright disc on a dark ground."""
+    p = spark.range(8 * 48 * 36).select(F.floor(F.col("id") / 1728).alias("img"), (F.col("id") % 1728).alias("i"))
+    i, img = F.col("i"), F.col("img")
+    dx, dy = i % 48 - 24, F.floor(i / 48) - 18
+    return p.select("img", F.floor(i / 48).alias("y"), (i % 48).alias("x"), F.when(dx * dx + dy * dy < 150 + 20 * img, 180 + (i * 7 + img) % 60).otherwise(20 + (i * 13 + img * 5) % 70).alias("v"))
+
+
+@query(f"""WITH h AS (SELECT img, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY img ORDER BY v) AS upto, sum(count(*)) OVER (PARTITION BY img) AS total, sum(v * count(*)) OVER (PARTITION BY img ORDER BY v) AS s, sum(v * count(*)) OVER (PARTITION BY img) AS al FROM ({PIXELS}) GROUP BY img, v),
+t AS (SELECT *, (al - s)::DOUBLE / (total - upto) - s::DOUBLE / upto AS apart FROM h WHERE total > upto)
+SELECT img::BIGINT AS img, v::BIGINT AS threshold, round(apart, 6) AS apart FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY upto::DOUBLE * (total - upto)::DOUBLE * apart * apart DESC, v) AS r FROM t) WHERE r = 1""")
+def otsu_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-5 on made-up images."""
+    return A.otsu(pixels(spark), "img", "v").select("img", F.col("threshold").cast("long").alias("threshold"), F.round("apart", 6).alias("apart"))
+
+
+@query(f"""WITH h AS (SELECT img, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY img ORDER BY v) AS upto, sum(count(*)) OVER (PARTITION BY img) AS total FROM ({PIXELS}) GROUP BY img, v)
+SELECT img::BIGINT AS img, round(sum(v * n) / sum(n)::DOUBLE, 6) AS mean, coalesce(max(v) FILTER (upto < total * 0.05), 0)::BIGINT AS p_low, coalesce(max(v) FILTER (upto < total * 0.95), 255)::BIGINT AS p_high FROM h GROUP BY img""")
+def histogram_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-4, 6 and 9: mean and levels from a histogram."""
+    return A.levels(pixels(spark), "img", "v").select("img", F.round("mean", 6).alias("mean"), F.col("p_low").cast("long").alias("p_low"), F.col("p_high").cast("long").alias("p_high"))
+
+
+@query(f"""WITH p AS ({PIXELS}), l AS (SELECT img, v, lag(v) OVER a + lead(v) OVER a + lag(v) OVER d + lead(v) OVER d - 4 * v AS lap FROM p WINDOW a AS (PARTITION BY img, y ORDER BY x), d AS (PARTITION BY img, x ORDER BY y))
+SELECT img::BIGINT AS img, round(avg(lap * lap) - avg(lap) * avg(lap), 4) AS blur, round(stddev_pop(v), 6) AS std FROM l GROUP BY img""")
+def laplacian_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-7 and 8: sharpness."""
+    return A.laplacian_variance(pixels(spark), "img").select("img", F.round("blur", 4).alias("blur"), F.round("std", 6).alias("std"))
+
+
+@query()
+def greedy_pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-25 and 26: order lines fill pages under a repeated header. A page's fill depends on all before it: no SQL twin."""
+    l = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
+    return A.greedy_pages(l, "l_suppkey", ["l_orderkey", "l_linenumber"], "l_quantity", 400.0, 20.0)
+
+
+@query("""SELECT doc_id, least(60, greatest(6, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) + 2))::INT AS width, len(regexp_extract_all(text, '[^\\s]+')) AS words FROM documents""")
+def column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-24 and 27: widths of cells, and words of texts."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", A.column_width(F.col("text")).alias("width"), F.regexp_count("text", F.lit(r"[^\s]+")).cast("long").alias("words"))
+
+
+QUADS = [(k, 10.0 + k, 5.0, 100.0, 8.0 + 3 * k, 95.0 - 5 * k, 80.0, 4.0, 70.0 + k) for k in range(12)] + [(20, 0.0, 0.0, 1.0, 1.0, 2.0, 2.0, 3.0, 3.0), (21, 0.0, 0.0, 10.0, 10.0, 10.0, 0.0, 0.0, 10.0)]
+
+
+def quads(spark: SparkSession) -> DataFrame:
+    q = rows(spark, "id int, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double, x4 double, y4 double", QUADS)
+    return q.select("*", G.polygon(*[F.col(f"{c}{k}") for k in range(1, 5) for c in "xy"]).alias("q"))
+
+
+@query(f"""WITH q AS (SELECT * FROM {as_sql("id, x1, y1, x2, y2, x3, y3, x4, y4", QUADS)}),
+t AS (SELECT *, (x2-x1)*(y3-y2)-(y2-y1)*(x3-x2) AS a, (x3-x2)*(y4-y3)-(y3-y2)*(x4-x3) AS b, (x4-x3)*(y1-y4)-(y4-y3)*(x1-x4) AS c, (x1-x4)*(y2-y1)-(y1-y4)*(x2-x1) AS d FROM q)
+SELECT id::INT AS id, round(abs(x1*y2-x2*y1+x2*y3-x3*y2+x3*y4-x4*y3+x4*y1-x1*y4)/2, 6) AS area, round(sqrt((x2-x1)^2+(y2-y1)^2)+sqrt((x3-x2)^2+(y3-y2)^2)+sqrt((x4-x3)^2+(y4-y3)^2)+sqrt((x1-x4)^2+(y1-y4)^2), 6) AS perimeter,
+(a>0 AND b>0 AND c>0 AND d>0) OR (a<0 AND b<0 AND c<0 AND d<0) AS convex FROM t""")
+def polygon_area_convex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GEO-3 and 4."""
+    q = F.col("q")
+    return quads(spark).select("id", F.round(G.area(q), 6).alias("area"), F.round(G.perimeter(q), 6).alias("perimeter"), G.is_convex(q).alias("convex"))
+
+
+@query(f"""WITH q AS (SELECT id, [{{'x': x3, 'y': y3}}, {{'x': x1, 'y': y1}}, {{'x': x4, 'y': y4}}, {{'x': x2, 'y': y2}}] AS p, (x1+x2+x3+x4)/4 AS cx, (y1+y2+y3+y4)/4 AS cy FROM {as_sql("id, x1, y1, x2, y2, x3, y3, x4, y4", QUADS)} WHERE id < 20),
+u AS (SELECT id, unnest(p) AS p, cx, cy FROM q), s AS (SELECT id, p.x AS x, p.y AS y, row_number() OVER (PARTITION BY id ORDER BY atan2(p.y - cy, p.x - cx)) - 1 AS k, row_number() OVER (PARTITION BY id ORDER BY p.x + p.y) AS r FROM u)
+SELECT s.id::INT AS id, ((s.k - f.k + 4) % 4 + 1)::INT AS corner, s.x AS x, s.y AS y FROM s JOIN s f ON f.id = s.id AND f.r = 1""")
+def order_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GEO-1: corners from the top left on, whatever order they come in."""
+    q = quads(spark).where("id < 20").select("id", G.ordered_corners(F.array(F.col("q")[2], F.col("q")[0], F.col("q")[3], F.col("q")[1])).alias("o"))
+    return q.select("id", F.posexplode("o").alias("k", "p")).select("id", (F.col("k") + 1).alias("corner"), "p.x", "p.y")
+
+
+@query("""SELECT p_brand, round(avg(p_size), 6) AS mx, round(avg(p_retailprice), 4) AS my, round(atan2(2 * covar_pop(p_size, p_retailprice), var_pop(p_size) - var_pop(p_retailprice)) / 2, 6) AS angle FROM part GROUP BY p_brand""")
+def line_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GEO-9: lines through each brand's sizes and prices."""
+    f = G.fitted_line(table(spark, sf_dir, "part"), "p_brand", "p_size", "p_retailprice")
+    return f.select("p_brand", F.round("mx", 6).alias("mx"), F.round("my", 4).alias("my"), F.round("angle", 6).alias("angle"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, ((77 * (l_orderkey % 256) + 150 * (l_partkey % 256) + 29 * (l_suppkey % 256)) >> 8)::BIGINT AS luma, least(l_orderkey % 256, l_partkey % 256, l_suppkey % 256) AS white FROM lineitem""")
+def pixel_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG-1 and 7 on made-up colours."""
+    c = [F.col(x) % 256 for x in ("l_orderkey", "l_partkey", "l_suppkey")]
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", raster.luma(*c).alias("luma"), raster.whiteness(*c).alias("white"))
+
+
+@query()
+def raster_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG-2 to 9, GEO-5 to 7: outlines of bright sheets in made-up frames. Pixel kernels have no SQL twin."""
+    n = 24
+    w, h = 120, 80
+    i = F.col("i")
+    frames = spark.range(n).withColumn("px", F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), lambda i: F.when(((i % w) > 20 + F.col("id") % 7) & ((i % w) < 95 - F.col("id") % 5) & (F.floor(i / w) > 12) & (F.floor(i / w) < 66), 225 + (i * 7) % 9).otherwise(40 + (i * 13) % 11)))
+    packed = frames.select("id", F.lit(w).alias("w"), F.lit(h).alias("h"), F.unhex(F.array_join(F.transform("px", lambda v: F.lpad(F.hex(v), 2, "0")), "")).alias("pixels"))
+    return raster.detect(packed, "id")
+
+
+SCENE = [(k, [0.1 + 0.01 * k, 0.1, 0.8, 0.1, 0.8, 0.9, 0.1, 0.9], [0.15, 0.1, 0.85, 0.15, 0.8, 0.9, 0.1, 0.85]) for k in range(4)]
+
+
+@query()
+def quad_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GEO-2, 8 and 10: target size, validity and overlap."""
+    s = rows(spark, "id int, a array<double>, b array<double>", SCENE)
+    q = lambda c: G.polygon(*[F.col(c)[k] for k in range(8)])
+    return s.select("id", G.valid_quad(q("a"), F.lit(1.0), F.lit(1.0)).alias("valid"), F.round(G.lattice_iou(q("a"), q("b"), 40), 6).alias("iou"), G.target_size(q("a"), 100, 2000).alias("size")).select("id", "valid", "iou", "size.w", "size.h")
