@@ -1 +1,129 @@
-"""Queries."""
+"""Articles, headings and references of written-out laws, links between pages as references, text clean-up (TXT, WIN, GR)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptoria.functions import text as T
+from scriptoria.operators import corpus as C
+from scriptoria.plans import as_sql, query, rows, table
+
+LAW = """LIBRO PRIMERO Generalidades
+TITULO I Objeto
+Artículo 1º.- Esta norma regula. Ver artículos 2, 3 y 5 bis.
+Artículo 2º.- Alcance según el artículo 1 y el artículo 9.
+CAPITULO II Plazos
+Artículo 3.- Los plazos del art. 2. (Artículo sustituido por art. 4 de la Ley 1)
+ARTÍCULO 30 Fuera de orden, con el artículo 1 de la Ley N° 7.
+TITULO II Fin
+Artículo 4.- Remite a los artículos 1 a 3. Nota: vieja.
+Artículo 5 bis.- Cierra."""
+LAWS = [("a", LAW), ("b", "Artículo 1.- Uno.\nArtículo 2.- Véase el artículo 1 del Código Civil y el artículo 1."), ("c", "Sin artículos")]
+ARTICLES = [("a", "1"), ("a", "2"), ("a", "3"), ("a", "4"), ("a", "5 bis"), ("b", "1"), ("b", "2")]
+
+
+def laws(spark: SparkSession) -> DataFrame:
+    return rows(spark, "law string, text string", LAWS)
+
+
+@query(f"SELECT law, n, 0 < 1 AS has_text FROM {as_sql('law, n', ARTICLES)}")
+def article_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-7 and 9, WIN-2 to 4: articles in sequence; heads out of sequence are text."""
+    return C.articles(laws(spark), "law", "text").select("law", "n", (F.length("t") > 0).alias("has_text"))
+
+
+HEADS = [("a", "1", "LIBRO PRIMERO Generalidades › TITULO I Objeto"), ("a", "2", "LIBRO PRIMERO Generalidades › TITULO I Objeto"), ("a", "3", "LIBRO PRIMERO Generalidades › TITULO I Objeto › CAPITULO II Plazos"),
+         ("a", "30", "LIBRO PRIMERO Generalidades › TITULO I Objeto › CAPITULO II Plazos"), ("a", "4", "LIBRO PRIMERO Generalidades › TITULO II Fin"), ("a", "5 bis", "LIBRO PRIMERO Generalidades › TITULO II Fin"), ("b", "1", ""), ("b", "2", "")]
+
+
+@query(f"SELECT law, n, u FROM {as_sql('law, n, u', HEADS)}")
+def heading_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-8, WIN-1 and 5: headings carried forward, higher ones ending lower ones."""
+    return C.headings(laws(spark), "law", "text")
+
+
+EDGES = [("a", "1", "2"), ("a", "1", "3"), ("a", "1", "5 bis"), ("a", "2", "1"), ("a", "3", "2"), ("a", "4", "1"), ("a", "4", "3"), ("b", "2", "1")]
+
+
+@query(f"SELECT law, src, dst FROM {as_sql('law, src, dst', EDGES)}")
+def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR-1 to 3, JOIN-3: references between articles of a law, without those to other laws or to nothing."""
+    return C.edges(C.articles(laws(spark), "law", "text"), "law", "n", "t")
+
+
+@query("""WITH n AS (SELECT conv_id, turn, ('' || (turn * 7 + conv_id) % 9) AS n FROM conversations),
+s AS (SELECT conv_id, turn, try_cast(n AS INT) AS n FROM n)
+SELECT conv_id, list_count(l)::INT AS marks FROM (SELECT conv_id, list(n ORDER BY turn) AS l FROM s GROUP BY conv_id)""")
+def sequence_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-2: every number gets a verdict on whether it continues the sequence."""
+    c = table(spark, sf_dir, "conversations").withColumn("n", ((F.col("turn") * 7 + F.col("conv_id")) % 9).cast("int"))
+    s = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "n"))), lambda x: x["n"]).alias("l"))
+    return s.select("conv_id", F.size(C.in_sequence(F.col("l"))).alias("marks"))
+
+
+LINKS = r"""SELECT DISTINCT regexp_extract(url, '//([^/]+)', 1) AS site, regexp_extract(url, '//[^/]+/([^?#]*)', 1) AS src, unnest(regexp_extract_all(html, 'href="/([^"]+)"', 1)) AS dst FROM pages"""
+
+
+@query(f"""WITH e AS (SELECT site, src, dst FROM ({LINKS}) WHERE src <> dst), p AS (SELECT site || ':' || src AS a, site || ':' || dst AS b FROM e)
+SELECT node, list_sort(list_distinct(list(t) FILTER (t IS NOT NULL)))[1:12] AS sends, list_sort(list_distinct(list(f) FILTER (f IS NOT NULL)))[1:12] AS cited FROM (SELECT a AS node, b AS t, NULL AS f FROM p UNION ALL SELECT b, NULL, a FROM p) GROUP BY node""".replace("list_sort(list_distinct(list(t) FILTER (t IS NOT NULL)))", "list_sort(coalesce(list_distinct(list(t) FILTER (t IS NOT NULL)), []))").replace("list_sort(list_distinct(list(f) FILTER (f IS NOT NULL)))", "list_sort(coalesce(list_distinct(list(f) FILTER (f IS NOT NULL)), []))"))
+def neighbour_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR-4 and 5, AGG-22, JOIN-4: pages and what they link to, in both directions."""
+    p = table(spark, sf_dir, "pages")
+    e = p.select(F.regexp_extract("url", "//([^/]+)", 1).alias("site"), F.regexp_extract("url", "//[^/]+/([^?#]*)", 1).alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), F.lit(1))).alias("dst"))
+    return C.neighbours(e.where("src <> dst").distinct(), "site")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS u, l_suppkey // 4 AS v FROM lineitem WHERE l_suppkey <> l_suppkey // 4),
+b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, seen) AS (SELECT DISTINCT u, u FROM b UNION SELECT b.v, r.seen FROM r JOIN b ON b.u = r.node)
+SELECT node, min(seen) AS component FROM r GROUP BY node""")
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-18 and 21: components of suppliers that are joined to a quarter of their number."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("u"), F.floor(F.col("l_suppkey") / 4).alias("v")).where("u <> v").distinct()
+    return C.components(l, "u", "v")
+
+
+@query("SELECT id::INT AS id, out FROM (VALUES (1, 'uno dos\n1) tres fin.'), (2, 'cabe:\na) x'), (3, 'solo')) AS v(id, out)")
+def joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-3: wrapped lines join, items and list heads stay."""
+    return rows(spark, "id int, t string", [(1, "uno\ndos\n1) tres\nfin."), (2, "cabe:\na) x"), (3, "solo")]).select("id", T.join_wrapped(F.col("t")).alias("out"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(\w)-\n(\w)', '\1\2', 'g'), '([^.:;!?\n])\n', '\1 ', 'g') AS joined, len(string_split_regex(text, '\n{2,}'))::INT AS parts,
+ len(regexp_extract_all(lower(text), 'tion'))::INT AS hits FROM documents""")
+def editor_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-4, 13 and 14: lines joined as an editor does, paragraphs, occurrences of a word."""
+    d, t = table(spark, sf_dir, "documents"), F.col("text")
+    return d.select("doc_id", T.join_lines(t).alias("joined"), F.size(F.split(t, r"\n{2,}")).alias("parts"), T.count_literal(t, "tion", False).alias("hits"))
+
+
+NOISY = [(1, "el art. 5 o . y N*12 ||", "el art. 5° . y N° 12 II"), (2, "a — b", "a – b"), (3, "nada", "nada")]
+
+
+@query(f"SELECT id::INT AS id, want AS fixed FROM {as_sql('id, t, want', NOISY)}")
+def ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-11 and VAL-14."""
+    return rows(spark, "id int, t string, want string", NOISY).select("id", T.repair_ocr(F.col("t")).alias("fixed"))
+
+
+MD = "# Doc\nintro\n## Uno\ncuerpo uno\n## Dos\ncuerpo dos\nmás"
+
+
+@query("SELECT * FROM (VALUES (0, '# Doc'), (1, 'Uno'), (2, 'Dos')) AS v(pos, heading)")
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-12, SRC-5: sections of a knowledge file."""
+    return rows(spark, "t string", [(MD,)]).select(F.posexplode(T.sections(F.col("t"))).alias("pos", "s")).select("pos", "s.heading")
+
+
+@query(r"""SELECT page_id, len(regexp_extract_all(html, '(?i)<script')) > 0 AS had_script, false AS has_script FROM pages""")
+def safe_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-15: markup without scripts, frames, forms and handlers."""
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", (F.regexp_count("html", F.lit("(?i)<script")) > 0).alias("had_script"), (F.regexp_count(T.safe_markup(F.col("html")), F.lit("(?i)<script")) > 0).alias("has_script"))
+
+
+@query("SELECT source, sum(n_chars) < 25 * count(*) AS needs_ocr, count(*) AS n, max(doc_id) AS version FROM documents GROUP BY source")
+def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-17, AGG-23: which sources need reading by machine, and totals of the corpus."""
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy("source").agg((F.sum("n_chars") < 25 * F.count("*")).alias("needs_ocr"), F.count("*").alias("n"), F.max("doc_id").alias("version"))
