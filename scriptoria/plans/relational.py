@@ -113,9 +113,9 @@ def filtered_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(F.month("o_orderdate").alias("month"), "o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT p_name, count(*) AS n FROM part WHERE starts_with(lower(p_name), 'part') OR contains(lower(p_name), '9') GROUP BY p_name ORDER BY starts_with(lower(p_name), 'part') DESC, p_name LIMIT 20""")
+@query("""SELECT p_name, count(*) AS n FROM part WHERE starts_with(lower(p_name), 'red') OR contains(lower(p_name), 'bolt') GROUP BY p_name ORDER BY starts_with(lower(p_name), 'red') DESC, p_name LIMIT 20""")
 def autocomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """REL-23 and 24: suggestions that start with, then those that contain what was typed."""
     name = F.lower("p_name")
-    p = table(spark, sf_dir, "part").where(name.startswith("part") | name.contains("9"))
-    return p.groupBy("p_name").agg(F.count("*").alias("n")).orderBy(F.lower("p_name").startswith("part").desc(), "p_name").limit(20)
+    p = table(spark, sf_dir, "part").where(name.startswith("red") | name.contains("bolt"))
+    return p.groupBy("p_name").agg(F.count("*").alias("n")).orderBy(F.lower("p_name").startswith("red").desc(), "p_name").limit(20)
