@@ -19,9 +19,13 @@ R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def decoded(spark: SparkSession, path: str, charset: str = "windows-1252") -> DataFrame:
-    """(path, text, bytes, modified) of files in an old character set."""
-    f = spark.read.format("binaryFile").load(path)
-    return f.select("path", F.decode("content", charset).alias("text"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    """(path, text, bytes) of files in an old character set, which SQL's decode() does not know; bad bytes are replaced."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"path": frame["path"], "text": [bytes(x).decode(charset, "replace") for x in frame["content"]], "bytes": frame["length"]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content", "length").mapInPandas(run, "path string, text string, bytes long")
 
 
 def manifest(spark: SparkSession, path: str, field: str) -> DataFrame:
