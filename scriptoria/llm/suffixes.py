@@ -7,8 +7,9 @@ for the run of strings that share its anchor, and is ordered by the hash of its
 Each task reads its documents in batches. A batch gets a sorted suffix array; it is merge-scanned against the levels of
 the task's index, where equal runs lose to the earliest one; then it becomes a level, and levels of like size merge. The
 levels of all tasks meet in a shuffle by gram, sorted, where the same scan runs over them as one stream. Runs that agree
-in the gram but not in all bytes may share some strings only: their strings are cut from the texts one by one, indexed in
-the same way, and scanned by hash of all 100 bytes. What is found are removed strings by document; bytes come last.
+in the gram but not in all bytes may share some strings only: their bytes are fetched, and the runs of a gram are compared
+string by string in order of document. Where a gram has very many runs its strings are indexed in the same levelled way,
+and scanned by hash of all 100 bytes. What is found are removed strings by document; bytes come last.
 
 Hashes are of 64 and 128 bits: equality of strings means equality of both. Positions are bytes of UTF-8. A null text is
 empty. Rows that share an id are one document where their texts are equal, each getting its result; with different texts
@@ -38,12 +39,13 @@ NO_ID = -(2**63)
 
 @dataclass(frozen=True)
 class Repeats:
-    """length: bytes of a string that may not repeat. gram: of an anchor. batch: bytes indexed at a time. held: suffixes that a task's index holds before it is passed on."""
+    """length: bytes of a string that may not repeat. gram: of an anchor. batch: bytes indexed at a time. held: suffixes that a task's index holds before it is passed on. group: runs of a gram that are compared in memory."""
 
     length: int = 100
     gram: int = 32
     batch: int = 1_000_000
     held: int = 3_000_000
+    group: int = 2_000
 
 
 class Powers:
@@ -68,7 +70,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def runs(data: np.ndarray, ends: np.ndarray, powers: Powers, rules: Repeats) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first, count, gram hash, run hash) of each run of strings with one anchor. ends: where each document's bytes end in data."""
+    """(first, shape, gram hash, run hash) of each run of strings with one anchor. ends: where each document's bytes end in data.
+
+    A run's shape is its number of strings, below 256, and 256 times the anchor's distance from its first byte.
+    """
     n, L, K = len(data), rules.length, rules.gram
     empty = np.zeros(0, np.int64)
     if n < L:
@@ -103,7 +108,7 @@ def runs(data: np.ndarray, ends: np.ndarray, powers: Powers, rules: Repeats) ->
     del start
     last = first + count - 1 + L
     whole = _mix((total[last] - total[first]) * down[first] + count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (anchor[first] - first).astype(np.uint64))
-    return first, count, grams[anchor[first]], whole
+    return first, count + 256 * (anchor[first] - first), grams[anchor[first]], whole
 
 
 Entries = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -168,6 +173,7 @@ class LevelledIndex:
         return out
 
 
+SCANNED = "doc long, at long, n int, gram long, open boolean"
 ENTRY = "lost boolean, gram long, run long, doc long, at long, n int"
 
 
@@ -230,17 +236,17 @@ def index_texts(batches: Iterator[pa.RecordBatch], rules: Repeats) -> Iterator[p
 
 
 def scan(batches: Iterator[pa.RecordBatch], by_gram: bool) -> Iterator[pa.RecordBatch]:
-    """Sorted entries to (doc, at, n, open): lost runs, and, open, runs that share a gram with another one."""
+    """Sorted entries to (doc, at, n, gram, open): lost runs, and, open, runs that share a gram with another one."""
     last = None  # the run that leads: its five values, and whether it is the first of its gram
 
-    def out(doc, at, n, open_: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(n, pa.int32()), pa.array(np.full(len(doc), open_))], names=["doc", "at", "n", "open"])
+    def out(gram, run, doc, at, n, open_: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(n, pa.int32()), pa.array(gram), pa.array(np.full(len(doc), open_))], names=["doc", "at", "n", "gram", "open"])
 
     for batch in batches:
         lost = batch.column(0).to_numpy(zero_copy_only=False)
         e = [batch.column(k).to_numpy() for k in range(1, 6)]
         if lost.any():
-            yield out(e[2][lost], e[3][lost], e[4][lost], False)
+            yield out(*(x[lost] for x in e), False)
             e = [x[~lost] for x in e]
         if not len(e[0]):
             continue
@@ -250,7 +256,7 @@ def scan(batches: Iterator[pa.RecordBatch], by_gram: bool) -> Iterator[pa.Record
         same[1:] = (e[0][1:] == e[0][:-1]) & (e[1][1:] == e[1][:-1])
         lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
         gone = same & ~((e[2] == e[2][lead]) & (e[3] == e[3][lead]))
-        yield out(e[2][gone], e[3][gone], e[4][gone], False)
+        yield out(*(x[gone] for x in e), False)
         heads = np.flatnonzero(~same)
         new = np.ones(len(heads), bool)
         new[1:] = e[0][heads][1:] != e[0][heads][:-1]
@@ -262,43 +268,86 @@ def scan(batches: Iterator[pa.RecordBatch], by_gram: bool) -> Iterator[pa.Record
             if last is not None:  # the carried one, if not the first of its gram, has been told before
                 shared[0] &= new[0]
             k = heads[shared]
-            yield out(e[2][k], e[3][k], e[4][k], True)
+            yield out(*(x[k] for x in e), True)
         last = ([x[heads[-1]] for x in e], bool(new[-1]))
 
 
-def index_strings(batches: Iterator[pa.RecordBatch], rules: Repeats) -> Iterator[pa.RecordBatch]:
-    """(doc, packed text, runs) to entries of single strings."""
-    index, unpack, digest = LevelledIndex(), zstandard.ZstdDecompressor(), xxhash.xxh3_128_digest
-    held: list[list] = [[], [], []]
-
-    def build() -> Iterator[pa.RecordBatch]:
-        h = np.frombuffer(b"".join(held[0]), "<u8").reshape(-1, 2)
-        doc, at = np.array(held[1], np.int64), np.array(held[2], np.int64)
-        lost = index.add((h[:, 0], h[:, 1], doc, at, np.ones(len(doc), np.int64)))
-        if len(lost[0]):
-            yield _given_up(lost)
-        if len(index) > rules.held:
-            for level in index.take():
-                yield _entries(False, *level)
-        for x in held:
-            x.clear()
-
+def contexts(batches: Iterator[pa.RecordBatch], rules: Repeats) -> Iterator[pa.RecordBatch]:
+    """(doc, packed text, open runs) to (gram, doc, at, n, bytes): each open run with all bytes of its strings."""
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
+        rows: list[list] = [[], [], [], [], []]
         for doc, packed, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             data = unpack.decompress(packed.as_py())
             mark = _mark(data)
             for place in places:
-                if place["at"] & 0xFFFFFFFF != mark:
-                    continue
-                first = place["at"] >> 32
-                for p in range(first, first + place["n"]):
-                    held[0].append(digest(data[p : p + rules.length]))
-                    held[1].append(doc)
-                    held[2].append(p << 32 | mark)
-            if len(held[0]) > 200_000:
-                yield from build()
-    if held[0]:
-        yield from build()
+                if place["at"] & 0xFFFFFFFF == mark:
+                    first = place["at"] >> 32
+                    for held, x in zip(rows, (place["gram"], doc, place["at"], place["n"], data[first : first + (place["n"] & 255) + rules.length - 1]), strict=True):
+                        held.append(x)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=["gram", "doc", "at", "n", "bytes"])
+
+
+def compare(batches: Iterator[pa.RecordBatch], rules: Repeats) -> Iterator[pa.RecordBatch]:
+    """Open runs by gram, document and place, to entries: lost strings, and strings of grams with very many runs, to be scanned."""
+    L, digest, index = rules.length, xxhash.xxh3_128_digest, LevelledIndex()
+    lost: list[tuple[int, int, int]] = []
+    many: list[tuple[bytes, int, int]] = []
+    held: list[tuple[int, int, int, bytes]] = []
+    now, over = None, False
+
+    def resolve() -> None:
+        """Strings at the same distance from the anchor are equal if their bytes are."""
+        seen: dict[tuple[int, bytes], tuple[int, int]] = {}
+        for doc, at, shape, data in held:
+            n, far = shape & 255, shape >> 8
+            since = None
+            for j in range(n + 1):
+                again = False
+                if j < n:
+                    place = (doc, at + (j << 32))
+                    again = seen.setdefault((far - j, data[j : j + L]), place) != place
+                if again and since is None:
+                    since = j
+                elif not again and since is not None:
+                    lost.append((doc, at + (since << 32), j - since))
+                    since = None
+        held.clear()
+
+    def spill() -> None:
+        for doc, at, shape, data in held:
+            many.extend((digest(data[j : j + L]), doc, at + (j << 32)) for j in range(shape & 255))
+        held.clear()
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if many:
+            h = np.frombuffer(b"".join(x[0] for x in many), "<u8").reshape(-1, 2)
+            doc, at = (np.array([x[k] for x in many], np.int64) for k in (1, 2))
+            gone = index.add((h[:, 0], h[:, 1], doc, at, np.ones(len(doc), np.int64)))
+            if len(gone[0]):
+                yield _given_up(gone)
+            many.clear()
+        if lost:
+            yield _given_up([np.array(x, np.int64) for x in zip(*lost, strict=True)])
+            lost.clear()
+        if len(index) > rules.held:
+            for level in index.take():
+                yield _entries(False, *level)
+
+    for batch in batches:
+        for gram, *run in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if gram != now:
+                spill() if over else resolve()
+                now, over = gram, False
+            held.append(tuple(run))
+            if len(held) > rules.group:
+                over = True
+            if over:
+                spill()
+        yield from out()
+    spill() if over else resolve()
+    yield from out()
     for level in index.take():
         yield _entries(False, *level)
 
@@ -320,22 +369,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = dict(docs.dtypes)[id_col]
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     grams = given.mapInArrow(lambda b: index_texts(b, rules), ENTRY)
-    found = _sorted(grams).mapInArrow(lambda b: scan(b, True), "doc long, at long, n int, open boolean")
+    found = _sorted(grams).mapInArrow(lambda b: scan(b, True), SCANNED)
     found = checkpoint(found)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = zstandard.ZstdCompressor(level=1)
+        tool = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             key = [NO_ID if x is None else x for x in batch.column(0).cast(pa.int64()).to_pylist()]
             packed = [tool.compress((t.as_py() or "").encode()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), batch.column(0), pa.array(packed, pa.binary())], names=["key", "id", "packed"])
 
     packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(pack, f"key long, id {kind}, packed binary")
-    by_doc = lambda x: x.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("places"))  # noqa: E731  no more than a document has bytes
-    open_ = by_doc(found.where("open"))
-    strings = packed.join(open_, F.col("key") == F.col("doc")).select("doc", "packed", "places").mapInArrow(lambda b: index_strings(b, rules), ENTRY)
-    single = _sorted(strings).mapInArrow(lambda b: scan(b, False), "doc long, at long, n int, open boolean")
-    gone = by_doc(found.where("not open").select("doc", "at", "n").union(single.select("doc", "at", "n")))
+    by_doc = lambda x, *c: x.groupBy("doc").agg(F.collect_list(F.struct("at", "n", *c)).alias("places"))  # noqa: E731  no more than a document has bytes
+    opened = packed.join(by_doc(found.where("open"), "gram"), F.col("key") == F.col("doc")).select("doc", "packed", "places")
+    near = opened.mapInArrow(lambda b: contexts(b, rules), "gram long, doc long, at long, n int, bytes binary")
+    strings = near.repartition("gram").sortWithinPartitions("gram", "doc", "at").mapInArrow(lambda b: compare(b, rules), ENTRY)
+    strings = checkpoint(strings)
+    single = _sorted(strings.where("not lost")).mapInArrow(lambda b: scan(b, False), SCANNED)
+    gone = found.where("not open").select("doc", "at", "n").union(strings.where("lost").select("doc", "at", "n")).union(single.select("doc", "at", "n"))
+    gone = by_doc(gone)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -346,7 +398,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 spans = []
                 if places:
                     mark = _mark(data)
-                    spans = union_of([(x["at"] >> 32, x["n"]) for x in places if x["at"] & 0xFFFFFFFF == mark], rules.length)
+                    spans = union_of([(x["at"] >> 32, x["n"] & 255) for x in places if x["at"] & 0xFFFFFFFF == mark], rules.length)
                 edges = [0, *(x for s in spans for x in s), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 for held, x in zip(rows, (len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if keep_text else None), strict=True):
