@@ -120,8 +120,7 @@ def links(prints: DataFrame, tiling: Tiling = Tiling()) -> DataFrame:
     prints: distinct fingerprints, column fp (long).
     """
     counts = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(65535)) for k in range(4)]
-    cells = checkpoint(prints.select("fp", F.expr("0L").alias("zero"), *[c.alias(f"c{k}") for k, c in enumerate(counts)]))
-    cell = F.struct("c0", "c1", "c2", "c3")
+    cells = checkpoint(prints.select("fp", *[c.alias(f"c{k}") for k, c in enumerate(counts)]))
     sizes = cells.groupBy("c0", "c1", "c2", "c3").agg(F.count("*").alias("n"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / tiling.tile)).cast("int")
     # 17**4 cells at most, about half of which can be neighbours: small however many documents there are.
@@ -135,7 +134,6 @@ def links(prints: DataFrame, tiling: Tiling = Tiling()) -> DataFrame:
         for m in range(-tiling.radius, tiling.radius + 1)
         if abs(i) + abs(j) + abs(k) + abs(m) <= tiling.radius and (i, j, k, m) >= (0, 0, 0, 0)
     ]
-    del cell
     names = ["c0", "c1", "c2", "c3"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
