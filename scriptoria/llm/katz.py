@@ -1,15 +1,16 @@
 """Language-model scores: a Katz bigram model with Good-Turing discounts and exactly normalised backoff weights.
 
-Two passes over the texts. The first counts words and finds the frequent ones, those with at least one in FREQUENT of
-all training tokens: there can be no more than FREQUENT of them, whatever the corpus. They are the contexts of bigrams;
-after any other word the model backs off with weight 1. The second sends every token, with its context and document, to
-the partition of its word (frequent words are spread by their contexts), packed in blocks; the partitioned table that
-results holds all counts. It is read three times: for counts of counts, for the backoff weights, and for the scores, which
-go back to the documents as sums.
+Every word is a context. Two passes over the texts. The first counts words and finds the frequent ones, those with at
+least one in FREQUENT of all training tokens: there can be no more than FREQUENT of them, whatever the corpus, so tasks
+get their counts and weights as arrays. The second sends every token, with its context and document, to the partition of
+its word (very frequent words are spread by their contexts), packed in blocks; the partitioned table that results holds
+all counts. It is read four times: for counts of counts, for the backoff weights of frequent contexts, for the scores,
+which go back to the documents as sums, and for rare contexts. Their tokens and sums go on to the partition of the
+context, where counts and backoff weights are made and what they add to the scores goes to the documents, too.
 
 A bigram seen r times in training has probability d(r) * r / c(context). An unseen one has the context's weight times the
 word's own probability, again discounted, with what Good-Turing leaves for all unknown words together. The weights make
-each context's probabilities add up to 1.
+each context's probabilities add up to 1. After a word that training texts do not have the weight is 1.
 
 A null text is empty: one token, the end, which is also the context of a text's first word. Equal rows are separate
 texts. A null id counts as training. Other columns are ignored, so their names cannot clash. An empty table gives no rows.
@@ -31,6 +32,7 @@ from scriptoria.llm.common import checkpoint, crc32_of, table, words_of
 
 #: The end's hash: that of no bytes at all, which no word has.
 END = xxhash.xxh64_intdigest(b"")
+#: Words with at least one in so many training tokens have short numbers and broadcast counts; the scores do not depend on it.
 FREQUENT = 65_000
 
 
@@ -50,7 +52,7 @@ class KatzRules:
 
 @dataclass
 class Model:
-    """contexts: hashes of frequent words, sorted, and their counts. The rest is filled in by the passes."""
+    """contexts: hashes of frequent words, sorted, and their counts; rare contexts come by partition. The rest is filled in by the passes."""
 
     contexts: np.ndarray
     counts: np.ndarray
@@ -62,6 +64,14 @@ class Model:
     scale: np.ndarray = field(default_factory=lambda: np.ones(1))
     back: np.ndarray = field(default_factory=lambda: np.ones(1))
 
+    def weights(self, mass: np.ndarray, words: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """scale and back of contexts by the discounted counts and own probabilities of the words seen after them."""
+        mass = mass / total
+        # Where discounts leave nothing, one more occurrence of the context is left to unseen words.
+        most = 1 - 1 / (total + 1)
+        scale = np.where(mass > most, most / np.maximum(mass, 1e-300), 1.0)
+        return scale, (1 - mass * scale) / np.maximum(1 - words, 1e-12)
+
     def word(self, c: np.ndarray) -> np.ndarray:
         """Probabilities of words by their counts."""
         low = np.minimum(c, len(self.d1) - 1)
@@ -136,21 +146,22 @@ def word_counts(docs: DataFrame, rules: KatzRules) -> DataFrame:
     return docs.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-BLOCK = "slot int, chunk long, ids array<{}>, train binary, lengths binary, words binary, sizes binary, context binary, doc binary"
+BLOCK = "slot int, chunk long, ids array<{}>, train binary, lengths binary, words binary, sizes binary, context binary, rare binary, doc binary"
 
 
 def token_table(docs: DataFrame, model: Model, parts: int, kind: str, rules: KatzRules) -> DataFrame:
     """All tokens, packed: a row has the tokens of a chunk of documents that belong to one partition, by word.
 
     words, sizes: hash and number of tokens of each word; context, doc: of each token, the doc's highest bit telling
-    training. The row with ids tells the chunk's documents.
+    training. context is a frequent word's number from 1; where it is 0, rare has the next context's hash. The row with
+    ids tells the chunk's documents.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.contexts, model.counts * 1000 >= max(model.tokens, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts, hot = shared.value
         for k, (ids, train, codes, number) in enumerate(_chunks(batches, rules)):
-            chunk = (TaskContext.get().partitionId() << 32) + k
+            chunk = (TaskContext.get().partitionId() << 20) + k
             words = _hash(number)
             at = np.searchsorted(contexts, words)
             known = np.zeros(len(words), bool)
@@ -159,13 +170,14 @@ def token_table(docs: DataFrame, model: Model, parts: int, kind: str, rules: Kat
             of_word = np.where(known, at + 1, 0).astype(np.uint16)
             spread = np.zeros(len(words), bool)
             spread[known] = hot[at[known]]
-            context = of_word[np.concatenate([[0], codes[:-1]])]
+            before = np.concatenate([[0], codes[:-1]])
+            context = of_word[before]
             doc = _documents(codes)
             lengths = np.bincount(doc, minlength=len(ids)).astype(np.uint32)
-            mixed = words[codes] ^ np.where(spread[codes], context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+            mixed = words[codes] ^ np.where(spread[codes], words[before] * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
             slot = ((mixed * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(slot * len(words) + codes, kind="stable")
-            slot, code = slot[order], codes[order]
+            slot, code, before = slot[order], codes[order], words[before[order]]
             context, doc = context[order], (doc + 32768 * train[doc])[order].astype(np.uint16)
             cuts = [0, *(np.flatnonzero(np.diff(slot)) + 1), len(slot)]
             rows: dict[str, list] = {x.split()[0]: [] for x in BLOCK.split(", ")}
@@ -178,7 +190,7 @@ def token_table(docs: DataFrame, model: Model, parts: int, kind: str, rules: Kat
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 runs = np.concatenate([[lo], np.flatnonzero(np.diff(code[lo:hi])) + lo + 1])
                 sizes = np.diff(np.concatenate([runs, [hi]])).astype(np.uint32)
-                add(slot=int(slot[lo]), chunk=chunk, words=words[code[runs]].tobytes(), sizes=sizes.tobytes(), context=context[lo:hi].tobytes(), doc=doc[lo:hi].tobytes())
+                add(slot=int(slot[lo]), chunk=chunk, words=words[code[runs]].tobytes(), sizes=sizes.tobytes(), context=context[lo:hi].tobytes(), rare=before[lo:hi][context[lo:hi] == 0].tobytes(), doc=doc[lo:hi].tobytes())
             schema = out_schema
             yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 
@@ -190,21 +202,26 @@ def token_table(docs: DataFrame, model: Model, parts: int, kind: str, rules: Kat
 
 
 def _slices(batches: Iterator[pa.RecordBatch], model: Model, rules: KatzRules):
-    """A partition's tokens in slices by word: (pair starts, order, of each token: word code, context, doc, row; counts of words; chunks)."""
-    cols: dict[str, list[np.ndarray]] = {k: [] for k in ("words", "sizes", "context", "doc")}
+    """A partition's tokens in slices by word: of each pair its word's code, context and training count; of each token its
+    word's code, pair, doc and row; counts of words; chunks. A context above the frequent ones' numbers is a place in rare."""
+    cols: dict[str, list[np.ndarray]] = {k: [] for k in ("words", "sizes", "context", "rare", "doc")}
     chunks = []
     for batch in batches:
         by = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
         for r in range(batch.num_rows):
             if by["words"][r].as_py() is not None:
                 chunks.append(by["chunk"][r].as_py())
-                for name, kind in (("words", np.uint64), ("sizes", np.uint32), ("context", np.uint16), ("doc", np.uint16)):
+                for name, kind in (("words", np.uint64), ("sizes", np.uint32), ("context", np.uint16), ("rare", np.uint64), ("doc", np.uint16)):
                     cols[name].append(np.frombuffer(by[name][r].as_py(), kind))
     if not chunks:
         return
-    words, sizes, context, doc = (np.concatenate(cols[k]) for k in ("words", "sizes", "context", "doc"))
+    words, sizes, short, rare, doc = (np.concatenate(cols[k]) for k in ("words", "sizes", "context", "rare", "doc"))
     row = np.repeat(np.arange(len(chunks), dtype=np.int32), [len(x) for x in cols["words"]])
     cols.clear()
+    rare, place = np.unique(rare, return_inverse=True)
+    context = short.astype(np.int32)
+    context[short == 0] = place + len(model.contexts) + 1
+    span = len(model.contexts) + 1 + len(rare)
     begin = np.cumsum(sizes, dtype=np.int64) - sizes
     part = (words >> np.uint64(17)) % np.uint64(rules.slices)
     for s in range(rules.slices):
@@ -223,15 +240,18 @@ def _slices(batches: Iterator[pa.RecordBatch], model: Model, rules: KatzRules):
             same = model.contexts[k] == distinct
             count[same] = model.counts[k[same]]
             spread = same
-        pair = code.astype(np.int64) << 16 | context[at]
+        pair = code.astype(np.int64) * span + context[at]
         order = np.argsort(pair, kind="stable")
         starts = np.concatenate([[0], np.flatnonzero(np.diff(pair[order])) + 1])
         seen = np.add.reduceat(train[order], starts)
-        yield {"code": code, "count": count, "spread": spread, "pair": pair[order][starts], "seen": seen, "order": order, "starts": starts, "row": np.repeat(row[runs], n), "doc": doc[at] & np.uint16(32767), "chunks": chunks}
+        of_token = np.empty(len(pair), np.int32)
+        of_token[order] = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.concatenate([starts, [len(order)]])))
+        w, h = np.divmod(pair[order][starts], span)
+        yield {"code": code, "count": count, "spread": spread, "w": w, "h": h, "seen": seen, "of_token": of_token, "row": np.repeat(row[runs], n), "doc": doc[at] & np.uint16(32767), "chunks": chunks, "rare": rare}
 
 
 def _gather(tokens: DataFrame, model: Model, rules: KatzRules) -> None:
-    """Fills in the discounts, the unknown words' share and the contexts' weights."""
+    """Fills in the discounts, the unknown words' share and the frequent contexts' weights."""
     sc, k = tokens.sparkSession.sparkContext, rules.discounted
     shared = sc.broadcast(model)
 
@@ -241,7 +261,7 @@ def _gather(tokens: DataFrame, model: Model, rules: KatzRules) -> None:
             own = x["count"][~x["spread"]]
             out[0] += np.bincount(own[(own > 0) & (own < k + 2)], minlength=k + 2)
             out[0, 0] += (own > 0).sum()
-            pairs = x["seen"][(x["pair"] & 65535) > 0]
+            pairs = x["seen"]
             out[1] += np.bincount(pairs[(pairs > 0) & (pairs < k + 2)], minlength=k + 2)
         yield pa.RecordBatch.from_arrays([pa.array(a) for a in (np.repeat([1, 2], k + 2), np.tile(np.arange(k + 2), 2), out.ravel())], names=["size", "r", "n"])
 
@@ -263,8 +283,8 @@ def _gather(tokens: DataFrame, model: Model, rules: KatzRules) -> None:
         m = shared.value
         out = np.zeros((2, len(m.contexts) + 1))
         for x in _slices(batches, m, rules):
-            own = np.flatnonzero((x["seen"] > 0) & ((x["pair"] & 65535) > 0))
-            c, h, w = x["seen"][own], x["pair"][own] & 65535, x["pair"][own] >> 16
+            own = np.flatnonzero((x["seen"] > 0) & (x["h"] <= len(m.contexts)))
+            c, h, w = x["seen"][own], x["h"][own], x["w"][own]
             out[0] += np.bincount(h, m.d2[np.minimum(c, k + 1)] * c, out.shape[1])
             out[1] += np.bincount(h, m.word(x["count"][w]), out.shape[1])
         some = np.flatnonzero(out[0])
@@ -274,13 +294,74 @@ def _gather(tokens: DataFrame, model: Model, rules: KatzRules) -> None:
     mass, words = np.zeros(size), np.zeros(size)
     for r in tokens.mapInArrow(weights, "h long, mass double, words double").groupBy("h").agg(F.sum("mass").alias("mass"), F.sum("words").alias("words")).collect():
         mass[r["h"]], words[r["h"]] = r["mass"], r["words"]
-    total = np.concatenate([[1], model.counts])
-    mass = mass / total
-    # Where discounts leave nothing, one more occurrence of the context is left to unseen words.
-    most = 1 - 1 / (total + 1)
-    model.scale = np.where(mass > most, most / np.maximum(mass, 1e-300), 1.0)
-    model.back = (1 - mass * model.scale) / np.maximum(1 - words, 1e-12)
-    model.back[0] = 1.0
+    model.scale, model.back = model.weights(mass, words, np.concatenate([[1], model.counts]))
+
+
+def _rare_contexts(tokens: DataFrame, model: Model, parts: int, rules: KatzRules) -> DataFrame:
+    """(chunk, doc, score): what the counts and weights of rare contexts add to the scores of a chunk's documents."""
+    shared = tokens.sparkSession.sparkContext.broadcast(model)
+    columns = "slot int, context binary, mass binary, words binary, total binary, token binary, at binary"
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each context the sums over the words seen after it; of each token its context, and its chunk, document and whether its pair was seen."""
+        m = shared.value
+        first = len(m.contexts) + 1
+        sums, rare, of_token, at = None, np.zeros(0, np.uint64), [], []
+        for x in _slices(batches, m, rules):
+            rare = x["rare"]
+            if sums is None:
+                sums = np.zeros((3, len(rare)))
+            own = np.flatnonzero((x["seen"] > 0) & (x["h"] >= first))
+            c, h = x["seen"][own], x["h"][own] - first
+            for k, y in enumerate((m.d2[np.minimum(c, rules.discounted + 1)] * c, m.word(x["count"][x["w"][own]]), c)):
+                sums[k] += np.bincount(h, y, len(rare))
+            context = x["h"][x["of_token"]] - first
+            mine = np.flatnonzero(context >= 0)
+            of_token.append(context[mine].astype(np.int32))
+            chunk = np.array(x["chunks"], np.int64)[x["row"][mine]]
+            at.append((chunk << 16) | (x["doc"][mine].astype(np.int64) << 1) | (x["seen"][x["of_token"][mine]] > 0))
+        if not len(rare):
+            return
+        of_token, at = np.concatenate(of_token), np.concatenate(at)
+        slot = ((rare * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+        by_context, by_token = np.argsort(slot, kind="stable"), np.argsort(slot[of_token], kind="stable")
+        of_token, at = of_token[by_token], at[by_token]
+        slots = np.unique(slot)
+        ends = [np.searchsorted(y, slots, side=side) for y in (slot[by_context], slot[of_token]) for side in ("left", "right")]
+        for s, a, b, lo, hi in zip(slots.tolist(), *ends, strict=True):
+            own = by_context[a:b]
+            own = own[sums[2, own] > 0]
+            row = [rare[own], *(y[own] for y in sums), rare[of_token[lo:hi]], at[lo:hi]]
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([y.tobytes()], pa.binary()) for y in row)], names=[c.split()[0] for c in columns.split(", ")])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, held = shared.value, [[] for _ in range(6)]
+        for batch in batches:
+            for k, kind in enumerate((np.uint64, float, float, float, np.uint64, np.int64)):
+                held[k] += [np.frombuffer(y.as_py(), kind) for y in batch.column(k + 1)]
+        if not held[0]:
+            return
+        context, mass, words, total, token, at = (np.concatenate(x) for x in held)
+        held.clear()
+        context, place = np.unique(context, return_inverse=True)
+        mass, words, total = (np.bincount(place, y, len(context)) for y in (mass, words, total))
+        scale, back = m.weights(mass, words, total)
+        # By context, then whether the pair was seen; contexts without training tokens leave the word's own probability.
+        terms = np.zeros((len(context) + 1, 2))
+        terms[:-1] = np.stack([np.log10(back), np.log10(scale / total)], axis=1)
+        k = np.searchsorted(context, token)
+        if len(context):
+            k = np.where(context[np.minimum(k, len(context) - 1)] == token, k, len(context))
+        each = terms[k, at & 1]
+        key, place = np.unique(at >> 1, return_inverse=True)
+        score = np.bincount(place, each, len(key))
+        chunk, doc = key >> 15, (key & 32767).astype(np.uint16)
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1), len(key)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if lo < hi:
+                yield pa.RecordBatch.from_arrays([pa.array([int(chunk[lo])]), *(pa.array([y[lo:hi].tobytes()], pa.binary()) for y in (doc, score))], names=["chunk", "doc", "score"])
+
+    return tokens.mapInArrow(sent, columns).repartition(parts, "slot").mapInArrow(added, "chunk long, doc binary, score binary")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: F.Column | None = None, rules: KatzRules = KatzRules()) -> DataFrame:
@@ -303,13 +384,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         rate = m.tokens + 0.1 * (m.types + 1)
         for x in _slices(batches, m, rules):
             chunks = x["chunks"]
-            w, h, c = x["pair"] >> 16, x["pair"] & 65535, x["seen"]
+            w, h, c = x["w"], x["h"], x["seen"]
             own = m.word(x["count"][w])
-            seen = (h > 0) & (c > 0)
+            h = np.where(h <= len(m.contexts), h, 0)
+            # Number 0 stands for rare contexts: weights and counts of 1, which _rare_contexts makes good.
             size = np.concatenate([[1], m.counts])[h]
-            p = np.where(seen, m.scale[h] * m.d2[np.minimum(c, rules.discounted + 1)] * c / size, m.back[h] * own)
-            each = np.empty(len(x["code"]))
-            each[x["order"]] = np.repeat(np.log10(p), np.diff(np.concatenate([x["starts"], [len(x["order"])]])))
+            p = np.where(c > 0, m.scale[h] * m.d2[np.minimum(c, rules.discounted + 1)] * c / size, m.back[h] * own)
+            each = np.log10(p)[x["of_token"]]
             base = np.log10((x["count"] + 0.1) / rate)[x["code"]]
             own, at = np.unique(x["row"].astype(np.int64) << 16 | x["doc"], return_inverse=True)
             new = [own, *(np.bincount(at, y, len(own)) for y in (x["count"][x["code"]] > 0, base, each))]
@@ -329,6 +410,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     both = heads.select("chunk", "ids", "train", "lengths", *[nothing.alias(c) for c in ("doc", "known", "base", "score")]).unionByName(
         made.select("chunk", F.lit(None).cast(f"array<{kind}>").alias("ids"), nothing.alias("train"), nothing.alias("lengths"), "doc", "known", "base", "score")
     )
+    rare = _rare_contexts(tokens, model, parts, rules)
+    both = both.unionByName(rare.select("chunk", F.lit(None).cast(f"array<{kind}>").alias("ids"), *[nothing.alias(c) for c in ("train", "lengths", "known", "base")], "doc", "score"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by chunk, its documents first."""
@@ -349,6 +432,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
                 else:
                     doc = np.frombuffer(batch.column(4)[r].as_py(), np.uint16)
                     for j, kind_ in enumerate((np.uint32, np.float64, np.float64)):
+                        if not batch.column(5 + j)[r].is_valid:
+                            continue
                         held[3][j, doc] += np.frombuffer(batch.column(5 + j)[r].as_py(), kind_)
         if held is not None:
             yield out()

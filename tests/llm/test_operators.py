@@ -283,6 +283,18 @@ def test_katz(spark, docs, empty):
     assert katz.score(empty).count() == 0
 
 
+def test_katz_every_word_is_a_context(docs, monkeypatch):
+    """test_katz compares with brute force where all words are frequent; the share of frequent ones changes nothing."""
+    rules = katz.KatzRules(chunk_docs=7, tokens=500, slices=3)
+    want = {r["doc_id"]: r for r in katz.score(docs, rules=rules).collect()}
+    for frequent in (25, 0):
+        monkeypatch.setattr(katz, "FREQUENT", frequent)
+        for r in katz.score(docs, rules=rules).collect():
+            w = want[r["doc_id"]]
+            assert (r["n_tokens"], r["n_known"]) == (w["n_tokens"], w["n_known"])
+            assert math.isclose(r["base_score"], w["base_score"], rel_tol=1e-9) and math.isclose(r["score"], w["score"], rel_tol=1e-6)
+
+
 def test_quality():
     rules = quality.LineRules()
     prose = "\n".join(" ".join(f"w{k}x{j}" for j in range(12)) + "." for k in range(8))
