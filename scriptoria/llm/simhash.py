@@ -13,7 +13,7 @@ component. Other columns of the input are ignored, so their names cannot clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -219,7 +219,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tiling: Tiling = Tiling()) -> DataFrame:
     """docs with one row of each component: that of the smallest id, of equal ids that of the smallest fingerprint, of equal rows one."""
-    found = near_duplicates(docs, id_col, text_col, tiling)
+    return keep_chosen(docs, near_duplicates(docs, id_col, text_col, tiling), fingerprints, id_col, text_col)
+
+
+def keep_chosen(docs: DataFrame, found: DataFrame, prints: Callable[[list[str | None]], np.ndarray], id_col: str, text_col: str) -> DataFrame:
+    """keep_one by found: of each row the id, fp and component_fp. prints makes fp of texts."""
     chosen = found.groupBy("component_fp").agg(F.min(F.struct(id_col, "fp")).alias("x")).select(F.col(f"x.{id_col}").alias("chosen_id"), F.col("x.fp").alias("chosen_fp"))
     names = [f"c{k}" for k in range(len(docs.columns))]
     marked = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)])
@@ -232,7 +236,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ti
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(own_text)
         for batch in batches:
-            fp = fingerprints(batch.column(at).to_pylist()).view(np.int64)
+            fp = prints(batch.column(at).to_pylist()).view(np.int64)
             yield batch.filter(pa.array(fp == batch.column(len(names)).to_numpy()))
 
     kept = marked.mapInArrow(same, f"{kinds}, chosen_fp long")
