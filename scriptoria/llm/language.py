@@ -13,6 +13,7 @@ names cannot clash; language, source and id are never inputs of a prediction.
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ UNDETERMINED = "und"
 @dataclass(frozen=True)
 class ParseRules:
     """The labelled sample of a language has at most sample_docs documents, doc_chars code points of each and sample_chars
-    in all; that of all languages has total_chars. max_languages bounds the models.
+    in all; that of all languages has total_chars. max_languages bounds the models. cells: of the table of common letters' moves, at most.
 
     window: code points parsed side by side. sharpness: how fast the score falls with the runner-up's phrases.
     """
@@ -38,6 +39,7 @@ class ParseRules:
     sample_chars: int = 60_000
     total_chars: int = 400_000
     max_languages: int = 64
+    cells: int = 80_000_000
     window: int = 1024
     sharpness: float = 20.0
 
@@ -52,8 +54,8 @@ def folded(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def suffix_automaton(codes: list[int], symbols: int) -> np.ndarray:
-    """Its transitions as a table of states by symbols; 0 is the start and, as an entry, means none."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Of each state its moves by symbol; 0 is the start, where no move leads."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -79,44 +81,70 @@ def suffix_automaton(codes: list[int], symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    out = np.zeros((len(moves), symbols), np.int32)
-    for s, m in enumerate(moves):
-        out[s, list(m.keys())] = list(m.values())
-    return out
+    return moves
 
 
 @dataclass
 class Models:
-    """languages; alphabet: the letters that any sample has, symbol 1 and up (0: all other characters).
+    """languages; alphabet: the letters that any sample has, the most common first, symbol 1 and up (0: all other characters).
 
-    moves: all automata as one table. A state stands as the place of its row in the flattened table. Where a state has
-    no move, a phrase ends: the entry is ~ the state that the symbol leads to from that automaton's first state. A
-    symbol that its language does not have is a phrase of its own and leads to an automaton's last state, which has no moves.
-    starts: each automaton's first state. scale: log of each sample's size.
+    moves: all automata as one table, a column for each of the common symbols. A state stands as the place of its row in
+    the flattened table. Where a state has no move, a phrase ends: the entry is ~ the state that the symbol leads to from
+    that automaton's first state. A symbol that its language does not have is a phrase of its own and leads to an
+    automaton's last state, which has no moves. starts, ends: each automaton's first and last state. keys, targets: the
+    moves by the other symbols, by row * (letters + 1) + symbol, sorted. scale: log of each sample's size.
     """
 
     languages: list[str]
     alphabet: str
     moves: np.ndarray
     starts: np.ndarray
+    ends: np.ndarray
+    keys: np.ndarray
+    targets: np.ndarray
     scale: np.ndarray
 
 
-def fit(samples: dict[str, str]) -> Models:
+def fit(samples: dict[str, str], cells: int = ParseRules.cells) -> Models:
     texts = {k: folded(v) for k, v in sorted(samples.items())}
     texts = {k: v for k, v in texts.items() if v}
-    alphabet = "".join(sorted(set("".join(texts.values()))))
+    often = Counter()
+    for text in texts.values():
+        often.update(text)
+    alphabet = "".join(sorted(often, key=lambda c: (-often[c], c)))
     number = {c: k + 1 for k, c in enumerate(alphabet)}
-    tables, starts, at = [], [], 0
+    edges, sizes = [], []
     for text in texts.values():
-        t = suffix_automaton([number[c] for c in text], len(alphabet) + 1)
-        place, width = (t + at) * t.shape[1], t.shape[1]
-        first = np.where(t[:1] > 0, place[:1], (at + len(t)) * width)
-        tables.append(np.concatenate([first, np.where(t[1:] > 0, place[1:], ~first), ~first]).astype(np.int32))
-        starts.append(at * width)
-        at += len(t) + 1
+        states = suffix_automaton([number[c] for c in text])
+        n = sum(map(len, states))
+        edges.append((
+            np.repeat(np.arange(len(states)), [len(x) for x in states]),
+            np.fromiter((c for x in states for c in x), np.int64, n),
+            np.fromiter((t for x in states for t in x.values()), np.int64, n),
+        ))
+        sizes.append(len(states) + 1)
+    # Common symbols, as many as the table has room for; letters that make up less than one in 5,000 of the samples are not.
+    total = sum(often.values())
+    common = sum(n * 5_000 >= total for n in often.values())
+    width = 1 + max(0, min(common, cells // max(sum(sizes), 1) - 1))
+    tables, keys, targets, at = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], 0
+    for (s, c, t), size in zip(edges, sizes, strict=True):
+        place, low = ((t + at) * width).astype(np.int32), c < width
+        first = np.full(width, (at + size - 1) * width, np.int32)
+        first[c[low & (s == 0)]] = place[low & (s == 0)]
+        table = np.repeat(~first[None, :], size, axis=0)
+        table[0] = first
+        table[s[low], c[low]] = place[low]
+        tables.append(table)
+        keys.append((s[~low] + at) * (len(alphabet) + 1) + c[~low])
+        targets.append(place[~low])
+        at += size
     moves = np.concatenate(tables) if tables else np.zeros((0, 1), np.int32)
-    return Models(list(texts), alphabet, moves, np.array(starts, np.int32), np.log(np.array([len(t) + 2.0 for t in texts.values()])))
+    after = np.cumsum(np.array(sizes, np.int64))
+    starts, ends = ((after - sizes) * width).astype(np.int32), ((after - 1) * width).astype(np.int32)
+    keys, targets = np.concatenate(keys), np.concatenate(targets)
+    order = np.argsort(keys)
+    return Models(list(texts), alphabet, moves, starts, ends, keys[order], targets[order], np.log(np.array([len(t) + 2.0 for t in texts.values()])))
 
 
 class Parser:
@@ -125,19 +153,30 @@ class Parser:
     def __init__(self, models: Models, rules: ParseRules):
         self.m, self.rules = models, rules
         self.letter = _letters()
-        lower = [chr(c).lower() for c in range(0x3000)]
-        number = {c: k + 1 for k, c in enumerate(models.alphabet)}
-        space = number.get(" ", 0)
-        #: By code point; of the rest of Unicode only letters that no sample has matter, and they are 0.
-        self.symbol = np.array([number.get(x[0], 0) if x[0].isalpha() else space for x in lower], np.int32)
-        self.space = space
-        self.flat = models.moves.ravel()
+        number = np.zeros(sys.maxunicode + 1, np.int32)
+        number[[ord(c) for c in models.alphabet]] = np.arange(1, len(models.alphabet) + 1)
+        space = number[ord(" ")]
+        #: By code point; letters that no sample has are 0.
+        lower = np.fromiter((ord(chr(c).lower()[0]) for c in range(sys.maxunicode + 1)), np.int32, sys.maxunicode + 1)
+        self.symbol = np.where(self.letter[lower], number[lower], space).astype(np.int32)
+        self.flat, self.width = models.moves.ravel(), models.moves.shape[1]
+
+    def rare(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Entries as in the table for symbols that have no column."""
+        m, size = self.m, len(self.m.alphabet) + 1
+
+        def move(s: np.ndarray, none: np.ndarray) -> np.ndarray:
+            key = s.astype(np.int64) // self.width * size + code[:, None]
+            k = np.minimum(np.searchsorted(m.keys, key), len(m.keys) - 1)
+            return np.where(m.keys[k] == key, m.targets[k], none)
+
+        first = move(np.broadcast_to(m.starts, state.shape), m.ends[None, :])
+        return move(state, np.where(state == m.starts, first, ~first))
 
     def codes(self, text: str) -> tuple[np.ndarray, bool]:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = self.letter[points]
-        low = np.minimum(points, 0x2FFF)
-        out = np.where(points < 0x3000, self.symbol[low], np.where(letter, 0, self.space))
+        out = self.symbol[points]
         keep = letter.copy()
         keep[1:] |= letter[:-1]  # one space after a word
         return out[keep], bool(letter.any())
@@ -162,7 +201,11 @@ class Parser:
             live = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
             for step in range(int(length[0])):
                 k = live[step]
-                now = self.flat[state[:k] + joined[begin[:k] + step][:, None]]
+                code = joined[begin[:k] + step]
+                other = np.flatnonzero(code >= self.width)
+                now = self.flat[state[:k] + np.where(code < self.width, code, 0)[:, None]]
+                if len(other):
+                    now[other] = self.rare(state[other], code[other])
                 ends = now >> 31  # -1 where a phrase ends, else 0
                 found[:k] -= ends
                 state[:k] = now ^ ends
@@ -229,13 +272,13 @@ def labelled_sample(docs: DataFrame, rules: ParseRules = ParseRules()) -> dict[s
 
 def identify(docs: DataFrame, rules: ParseRules = ParseRules()) -> DataFrame:
     """Trains on the labelled part of docs and predicts all of docs."""
-    return predict(docs, fit(labelled_sample(docs, rules)), rules=rules)
+    return predict(docs, fit(labelled_sample(docs, rules), rules.cells), rules=rules)
 
 
 def drop_undetermined(docs: DataFrame, rules: ParseRules = ParseRules()) -> DataFrame:
     """docs without those that have no language to tell: null texts and texts without a letter. A null lang gets the prediction."""
     names = docs.columns
-    found = predict(docs, fit(labelled_sample(docs, rules)), keep=names, rules=rules).where(F.col("lang_pred") != UNDETERMINED)
+    found = predict(docs, fit(labelled_sample(docs, rules), rules.cells), keep=names, rules=rules).where(F.col("lang_pred") != UNDETERMINED)
     return found.select(*[(F.coalesce(f"keep_{k}", "lang_pred") if c == "lang" else F.col(f"keep_{k}")).alias(c) for k, c in enumerate(names)])
 
 

@@ -403,3 +403,23 @@ def test_parsing_is_greedy():
     for t in ("bananaband", "cabana", "bandage banana", "abbacab"):
         got, _, _ = p.phrases([t])
         assert got[0].tolist() == [phrases(t, "banana band"), phrases(t, "cabbage")], t
+
+
+def test_parsing_of_letters_without_a_column():
+    """The table's width changes nothing, and letters from U+3000 on are parsed like any other."""
+    samples = {"ja": "これは日本語の文です これは猫です", "zh": "这是中文的句子 这是猫", "ko": "이것은 한국어 문장입니다", "en": "this is a sentence"}
+    texts = [*samples.values(), "猫です日本語", "中文猫 cat", "한국어", "𠀀𠀁 is"]
+    wide, narrow = (language.Parser(language.fit(samples, cells), language.ParseRules()) for cells in (10**8, 0))
+    assert wide.width > narrow.width == 1
+    assert (wide.phrases(texts)[0] == narrow.phrases(texts)[0]).all()
+    assert wide.phrases(texts)[0][:4].argmin(axis=1).tolist() == [1, 3, 2, 0]  # en, ja, ko, zh
+
+
+def test_chinese_japanese_korean(spark):
+    r = random.Random(4)
+    words = {"zh": "今天 天气 很好 我们 一起 去 公园 学习 中文".split(), "ja": "今日は 天気が いい ですね 一緒に 公園へ 行き ましょう".split(), "ko": "오늘은 날씨가 좋습니다 우리는 공원에 함께 갑니다".split(), "en": "today the weather is fine we walk to the park".split()}
+    names = sorted(words)
+    rows = [(k, "".join(r.choice(words[names[k % 4]]) + " " * (k % 4 in (0, 2)) for _ in range(r.randint(5, 40))), names[k % 4], "s", 0.5) for k in range(400)]
+    got = {x["doc_id"]: x["lang_pred"] for x in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double")).collect()}
+    held = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 3 == 1]
+    assert sum(got[x[0]] == x[2] for x in held) >= 0.97 * len(held)
