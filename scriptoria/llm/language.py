@@ -29,7 +29,8 @@ UNDETERMINED = "und"
 @dataclass(frozen=True)
 class ParseRules:
     """The labelled sample of a language has at most sample_docs documents, doc_chars code points of each and sample_chars
-    in all; that of all languages has total_chars. max_languages bounds the models. cells: of the table of common letters' moves, at most.
+    in all; that of all languages has total_chars, or least_chars of each where they are so many. Every labelled language
+    has a model. cells: of the table of common letters' moves, at most.
 
     window: code points parsed side by side. sharpness: how fast the score falls with the runner-up's phrases.
     """
@@ -38,7 +39,7 @@ class ParseRules:
     doc_chars: int = 2_000
     sample_chars: int = 60_000
     total_chars: int = 400_000
-    max_languages: int = 64
+    least_chars: int = 2_000
     cells: int = 80_000_000
     window: int = 1024
     sharpness: float = 20.0
@@ -254,19 +255,14 @@ def labelled_sample(docs: DataFrame, rules: ParseRules = ParseRules()) -> dict[s
     """
     train = docs.where((crc32_of("doc_id") % 3 != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("key", F.xxhash64("doc_id", F.lit(10)))
     ranked = train.select("lang", "key", F.row_number().over(Window.partitionBy("lang").orderBy("key")).alias("rank")).where(F.col("rank") <= rules.sample_docs)
-    limits = ranked.groupBy("lang").agg(F.max("key").alias("key"), F.max("rank").alias("n")).orderBy(F.col("n").desc(), "lang").limit(rules.max_languages).collect()
-    if not limits:
-        return {}
-    taken = F.lit(False)
-    for r in limits:
-        taken = taken | ((F.col("lang") == r["lang"]) & (F.col("key") <= r["key"]))
-    picked = train.where(taken).select("lang", "key", F.substring("text", 1, rules.doc_chars).alias("text"))
-    most = min(rules.sample_chars, rules.total_chars // len(limits))
+    limits = ranked.groupBy("lang").agg(F.max("key").alias("last"))
+    picked = train.join(F.broadcast(limits), "lang").where(F.col("key") <= F.col("last")).select("lang", "key", F.substring("text", 1, rules.doc_chars).alias("text"))
+    most = min(rules.sample_chars, max(rules.least_chars, rules.total_chars // max(limits.count(), 1)))
+    before = Window.partitionBy("lang").orderBy("key", "text").rowsBetween(Window.unboundedPreceding, -1)
+    picked = picked.withColumn("have", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).where(F.col("have") < most)
     texts: dict[str, str] = {}
-    for r in picked.orderBy("key", "lang", "text").limit(2 * rules.sample_docs * len(limits)).collect():
-        have = texts.get(r["lang"], "")
-        if len(have) < most:
-            texts[r["lang"]] = f"{have} {r['text']}"[:most]
+    for r in picked.orderBy("key", "lang", "text").collect():
+        texts[r["lang"]] = f"{texts.get(r['lang'], '')} {r['text']}"[:most]
     return texts
 
 

@@ -423,3 +423,13 @@ def test_chinese_japanese_korean(spark):
     got = {x["doc_id"]: x["lang_pred"] for x in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double")).collect()}
     held = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 3 == 1]
     assert sum(got[x[0]] == x[2] for x in held) >= 0.97 * len(held)
+
+
+def test_more_than_64_languages(spark):
+    rows = []
+    for n in range(90):
+        r = random.Random(n)
+        words = ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(12)]
+        rows += [(20 * n + k, " ".join(r.choice(words) for _ in range(20)), f"l{n:02}", "s", 0.5) for k in range(20)]
+    got = {x["doc_id"]: x["lang_pred"] for x in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double")).collect()}
+    assert sum(got[x[0]] == x[2] for x in rows) >= 0.97 * len(rows) and len(set(got.values())) == 90
