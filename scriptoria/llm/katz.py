@@ -1,81 +1,83 @@
-"""Language-model scores: a Katz bigram model with Good-Turing discounts and exactly normalised backoff weights.
-
-Every word is a context. Two passes over the texts. The first counts words and finds the frequent ones, those with at
-least one in FREQUENT of all training tokens: there can be no more than FREQUENT of them, whatever the corpus, so tasks
-get their counts and weights as arrays. The second sends every token, with its context and document, to the partition of
-its word (very frequent words are spread by their contexts), packed in blocks; the partitioned table that results holds
-all counts. It is read four times: for counts of counts, for the backoff weights of frequent contexts, for the scores,
-which go back to the documents as sums, and for rare contexts. Their tokens and sums go on to the partition of the
-context, where counts and backoff weights are made and what they add to the scores goes to the documents, too.
-
-A bigram seen r times in training has probability d(r) * r / c(context). An unseen one has the context's weight times the
-word's own probability, again discounted, with what Good-Turing leaves for all unknown words together. The weights make
-each context's probabilities add up to 1. After a word that training texts do not have the weight is 1.
-
-A null text is empty: one token, the end, which is also the context of a text's first word. Equal rows are separate
-texts. A null id counts as training. Other columns are ignored, so their names cannot clash. An empty table gives no rows.
+"""Language-model scores: a Katz trigram model with Good-Turing discounts and exactly normalised backoff weights.
+
+Texts are packed in chunks of documents; within a chunk equal n-grams count once, whatever texts they come from. Each
+level of the model is a partitioned table that chunks ask and that answers by chunk. The table of words, by hash, gives
+training counts as word ids: ids are dealt by falling count, so a short list of counts tells each id's count. The table
+of trigrams is dealt by the middle word, where all it needs meets: counts of trigrams, of the bigrams they end in, and of
+both contexts. A middle word with more tokens than a slot should hold is spread by the trigram's last word; what its
+slots know of a context is then added up in a third table, dealt by whole contexts, which the chunks ask as well. What
+all must know (discounts, weights of spread middle words) is as short as the list of counts or of spread words.
+
+A trigram seen r times in training has probability d(r) * r / c(its context). An unseen one has its context's weight times
+the bigram's probability, and that, if unseen too, the weight of the one-word context times the word's own, discounted
+again, with what Good-Turing leaves for all unknown words together. The weights make each context's probabilities add up
+to 1. After a context that training texts do not have the weight is 1.
+
+A null text is empty: one token, the end, which is also the context of a text's first word and, twice, of the whole text.
+Equal rows are separate texts. A null id counts as training. Other columns are ignored, so their names cannot clash. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptoria.llm.common import checkpoint, crc32_of, table, words_of
 
-#: The end's hash: that of no bytes at all, which no word has.
-END = xxhash.xxh64_intdigest(b"")
-#: Words with at least one in so many training tokens have short numbers and broadcast counts; the scores do not depend on it.
-FREQUENT = 65_000
-
 
 @dataclass(frozen=True)
 class KatzRules:
-    """discounted: counts up to this are discounted. tokens: of a partition, about. slices: of a partition, read one by one.
-
-    chunk_docs, chunk_bytes: documents that are packed into one block for each partition.
-    """
+    """discounted: counts up to this are discounted. tokens: of a slot of the trigram table, about. spread: tokens of a
+    middle word above which it is spread over more slots. chunk_docs, chunk_bytes: documents and bytes of a chunk, about."""
 
     discounted: int = 5
-    tokens: int = 3_000_000
-    slices: int = 8
-    chunk_docs: int = 5_000
-    chunk_bytes: int = 2_000_000
+    tokens: int = 1_500_000
+    spread: int = 300_000
+    chunk_docs: int = 50_000
+    chunk_bytes: int = 8_000_000
 
 
-@dataclass
-class Model:
-    """contexts: hashes of frequent words, sorted, and their counts; rare contexts come by partition. The rest is filled in by the passes."""
-
-    contexts: np.ndarray
-    counts: np.ndarray
-    tokens: int = 0
-    types: int = 0
-    d1: np.ndarray = field(default_factory=lambda: np.ones(1))
-    d2: np.ndarray = field(default_factory=lambda: np.ones(1))
-    unknown: float = 0.0
-    scale: np.ndarray = field(default_factory=lambda: np.ones(1))
-    back: np.ndarray = field(default_factory=lambda: np.ones(1))
-
-    def weights(self, mass: np.ndarray, words: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """scale and back of contexts by the discounted counts and own probabilities of the words seen after them."""
-        mass = mass / total
-        # Where discounts leave nothing, one more occurrence of the context is left to unseen words.
-        most = 1 - 1 / (total + 1)
-        scale = np.where(mass > most, most / np.maximum(mass, 1e-300), 1.0)
-        return scale, (1 - mass * scale) / np.maximum(1 - words, 1e-12)
-
-    def word(self, c: np.ndarray) -> np.ndarray:
-        """Probabilities of words by their counts."""
-        low = np.minimum(c, len(self.d1) - 1)
-        return np.where(c > 0, self.d1[low] * c / max(self.tokens, 1), self.unknown)
+def pack(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of their bytes, as many as the largest needs."""
+    x = np.ascontiguousarray(x).astype("<f8").view("<u8") if x.dtype.kind == "f" else x.astype("<u8")
+    planes = (int(x.max(initial=0)).bit_length() + 7) // 8
+    body = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
+    return bytes([planes]) + len(x).to_bytes(4, "little") + (zstandard.ZstdCompressor(level=3).compress(body) if planes else b"")
+
+
+def unpack(data: bytes, kind: str = "<i8") -> np.ndarray:
+    planes, n = data[0], int.from_bytes(data[1:5], "little")
+    out = np.zeros((n, 8), np.uint8)
+    if planes:
+        out[:, :planes] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[5:]), np.uint8).reshape(planes, n).T
+    return out.view(kind).ravel()
+
+
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, starts) if len(starts) else np.zeros(0, values.dtype)
+
+
+def _new(*keys: np.ndarray) -> np.ndarray:
+    """Whether a row of sorted keys differs from the one before."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
+def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """Where rows of equal keys begin and end."""
+    cuts = [*np.flatnonzero(_new(*keys)).tolist(), len(keys[0])]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
 def discounts(n: np.ndarray, k: int) -> np.ndarray:
@@ -91,14 +93,58 @@ def discounts(n: np.ndarray, k: int) -> np.ndarray:
     return d
 
 
-def _hash(words) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w) for w in words), np.uint64)
+class Words:
+    """What ids tell: counts, slots of the trigram table, and the probabilities of single words.
+
+    Of each count the ids begin at first; there are no more counts than the root of twice the tokens. Id 0 stands for all
+    words that training texts do not have.
+    """
+
+    def __init__(self, sizes: list[tuple[int, int, int]], slots: int, rules: KatzRules):
+        """sizes: (count, words that have it, the most of them in one slot)."""
+        sizes = sorted(sizes, reverse=True)
+        self.slots, self.spread, k = slots, rules.spread, rules.discounted
+        self.count = np.array([c for c, _, _ in sizes] + [0], np.int64)
+        self.first = np.cumsum([1, *(most * slots for _, _, most in sizes)])
+        self.tokens, self.types = sum(c * n for c, n, _ in sizes), sum(n for _, n, _ in sizes)
+        low = np.zeros(k + 2)
+        for c, n, _ in sizes:
+            if c < k + 2:
+                low[c] = n
+        self.d = discounts(low, k)
+        left = sum(low[r] * r * (1 - self.d[r]) for r in range(1, k + 1)) / max(self.tokens, 1)
+        if left <= 0:  # no rare words: one more token, unknown
+            left = 1 / (self.tokens + 1)
+            self.d = self.d * (1 - left)
+        self.unknown = left
+
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        return np.where(ids > 0, self.count[np.searchsorted(self.first, ids, side="right") - 1], 0)
+
+    def p(self, ids: np.ndarray) -> np.ndarray:
+        c = self.counts(ids)
+        return np.where(c > 0, self.d[np.minimum(c, len(self.d) - 1)] * c / max(self.tokens, 1), self.unknown)
+
+    def pieces(self, ids: np.ndarray) -> np.ndarray:
+        """Over how many slots a middle word is spread."""
+        return 1 + self.counts(ids) // self.spread
+
+    def slot(self, *ids: np.ndarray) -> np.ndarray:
+        h = np.full(len(ids[0]), 0x9E3779B97F4A7C15, np.uint64)
+        for x in ids:
+            h = (h ^ x.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+        return (h % np.uint64(self.slots)).astype(np.int64)
+
+
+def _bounds(slots: int) -> np.ndarray:
+    """Word hashes are dealt to slots by these."""
+    return np.arange(1, slots, dtype=np.uint64) * np.uint64(2**64 // slots)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], rules: KatzRules):
-    """(ids, train, codes, words): codes are numbers into words, 0 is the end, which closes each document."""
-    ids, train, number, codes, size = [], [], {b"": 0}, [], 0
+    """(ids, train, lengths, codes, words): codes are numbers into words, 0 is the end, which closes each document."""
+    ids, train, lengths, number, codes, size = [], [], [], {b"": 0}, [], 0
     for batch in batches:
         for i, text, t in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             words = words_of(text.as_py(), lower=True)
@@ -106,341 +152,351 @@ def _chunks(batches: Iterator[pa.RecordBatch], rules: KatzRules):
             codes.append(0)
             ids.append(i)
             train.append(t)
+            lengths.append(len(words) + 1)
             size += sum(map(len, words)) + len(words)
             if len(ids) >= rules.chunk_docs or size >= rules.chunk_bytes:
-                yield ids, np.array(train), np.array(codes, np.int64), number
-                ids, train, number, codes, size = [], [], {b"": 0}, [], 0
+                yield ids, train, lengths, np.array(codes, np.int64), number
+                ids, train, lengths, number, codes, size = [], [], [], {b"": 0}, [], 0
     if ids:
-        yield ids, np.array(train), np.array(codes, np.int64), number
+        yield ids, train, lengths, np.array(codes, np.int64), number
+
 
+def chunk_table(docs: DataFrame, kind: str, rules: KatzRules) -> DataFrame:
+    """A row per chunk; words: hashes, sorted, as differences; counts: of each in training; codes: each token's place in words."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = f"chunk long, ids array<{kind}>, train binary, lengths binary, codes binary, words binary, counts binary, tokens long"
+    out = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for k, (ids, train, lengths, codes, number) in enumerate(_chunks(batches, rules)):
+            train, lengths = np.array(train, np.int64), np.array(lengths, np.int64)
+            words = np.fromiter((digest(w) for w in number), np.uint64, len(number))
+            order = np.argsort(words)
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            codes = place[codes]
+            n = np.bincount(codes[np.repeat(train, lengths) == 1], minlength=len(words))
+            row = [(TaskContext.get().partitionId() << 24) + k, ids, *map(pack, (train, lengths, codes, np.diff(words[order], prepend=np.uint64(0)), n)), len(codes)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, out, strict=True)], schema=out)
 
-def _documents(codes: np.ndarray) -> np.ndarray:
-    """The document of each token."""
-    return np.cumsum(codes == 0) - (codes == 0)
+    return docs.mapInArrow(run, schema)
 
 
-def word_counts(docs: DataFrame, rules: KatzRules) -> DataFrame:
-    """(w, n): hash and training count of each word that training texts have."""
+ASKED = "slot int, chunk long, words binary, counts binary"
+TOLD = "chunk long, kind int, slot int, payload array<binary>"
+IDS, TRIGRAMS, CONTEXTS = 0, 1, 2
 
+
+def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+
+def _told(rows: list[tuple]) -> pa.Table:
+    return _table(rows, ["chunk", "kind", "slot", "payload"], [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary())])
+
+
+def asked_words(chunks: DataFrame, slots: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for chunk, words, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                words, counts = np.cumsum(unpack(words, "<u8"), dtype=np.uint64), unpack(counts)
+                cuts = [0, *np.searchsorted(words, _bounds(slots)), len(words)]
+                rows = [(s, chunk, pack(np.diff(words[lo:hi], prepend=np.uint64(0))), pack(counts[lo:hi])) for s, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if lo < hi]
+                yield from _table(rows, ["slot", "chunk", "words", "counts"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()]).to_batches()
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            w, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-            return w, np.bincount(at, np.concatenate([x[1] for x in held]), len(w)).astype(np.int64)
+    return chunks.select("chunk", "words", "counts").mapInArrow(run, ASKED).repartition(slots, "slot")
 
-        def batch_of(w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["w", "n"])
 
-        for _, train, codes, number in _chunks(batches, rules):
-            n = np.bincount(codes[train[_documents(codes)]], minlength=len(number))
-            some = np.flatnonzero(n)
-            held.append((_hash(number)[some], n[some]))
-            if sum(len(x[0]) for x in held) > 600_000:
-                held[:] = [merged()]
-                if len(held[0][0]) > 300_000:
-                    yield batch_of(*held.pop())
-        if held:
-            yield batch_of(*merged())
+def _totals(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct words of a slot, their counts, and of each asking chunk the places of its words."""
+    each = [np.cumsum(unpack(x, "<u8"), dtype=np.uint64) for x in t.column("words").to_pylist()]
+    w, at = np.unique(np.concatenate(each), return_inverse=True)
+    n = np.bincount(at, np.concatenate([unpack(x) for x in t.column("counts").to_pylist()]), len(w)).astype(np.int64)
+    return w, n, np.split(at, np.cumsum([len(x) for x in each])[:-1])
 
-    return docs.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
+def word_sizes(asked: DataFrame) -> DataFrame:
+    """(count, n, most): how many words have a count, and the most that one slot has."""
 
-BLOCK = "slot int, chunk long, ids array<{}>, train binary, lengths binary, words binary, sizes binary, context binary, rare binary, doc binary"
+    def run(t: pa.Table) -> pa.Table:
+        count, n = np.unique(_totals(t)[1], return_counts=True)
+        return pa.table([count[count > 0], n[count > 0]], names=["count", "n"])
 
+    return asked.groupBy("slot").applyInArrow(run, "count long, n long").groupBy("count").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
 
-def token_table(docs: DataFrame, model: Model, parts: int, kind: str, rules: KatzRules) -> DataFrame:
-    """All tokens, packed: a row has the tokens of a chunk of documents that belong to one partition, by word.
 
-    words, sizes: hash and number of tokens of each word; context, doc: of each token, the doc's highest bit telling
-    training. context is a frequent word's number from 1; where it is 0, rare has the next context's hash. The row with
-    ids tells the chunk's documents.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((model.contexts, model.counts * 1000 >= max(model.tokens, 1)))
+def word_ids(asked: DataFrame, words: Words) -> DataFrame:
+    """Each chunk's word ids, slot by slot."""
+    shared = asked.sparkSession.sparkContext.broadcast(words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts, hot = shared.value
-        for k, (ids, train, codes, number) in enumerate(_chunks(batches, rules)):
-            chunk = (TaskContext.get().partitionId() << 20) + k
-            words = _hash(number)
-            at = np.searchsorted(contexts, words)
-            known = np.zeros(len(words), bool)
-            if len(contexts):
-                known = contexts[np.minimum(at, len(contexts) - 1)] == words
-            of_word = np.where(known, at + 1, 0).astype(np.uint16)
-            spread = np.zeros(len(words), bool)
-            spread[known] = hot[at[known]]
-            before = np.concatenate([[0], codes[:-1]])
-            context = of_word[before]
-            doc = _documents(codes)
-            lengths = np.bincount(doc, minlength=len(ids)).astype(np.uint32)
-            mixed = words[codes] ^ np.where(spread[codes], words[before] * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
-            slot = ((mixed * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(slot * len(words) + codes, kind="stable")
-            slot, code, before = slot[order], codes[order], words[before[order]]
-            context, doc = context[order], (doc + 32768 * train[doc])[order].astype(np.uint16)
-            cuts = [0, *(np.flatnonzero(np.diff(slot)) + 1), len(slot)]
-            rows: dict[str, list] = {x.split()[0]: [] for x in BLOCK.split(", ")}
-
-            def add(**row) -> None:
-                for name, held in rows.items():  # noqa: B023
-                    held.append(row.get(name))
-
-            add(slot=chunk % parts, chunk=chunk, ids=ids, train=train.astype(np.uint8).tobytes(), lengths=lengths.tobytes())
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                runs = np.concatenate([[lo], np.flatnonzero(np.diff(code[lo:hi])) + lo + 1])
-                sizes = np.diff(np.concatenate([runs, [hi]])).astype(np.uint32)
-                add(slot=int(slot[lo]), chunk=chunk, words=words[code[runs]].tobytes(), sizes=sizes.tobytes(), context=context[lo:hi].tobytes(), rare=before[lo:hi][context[lo:hi] == 0].tobytes(), doc=doc[lo:hi].tobytes())
-            schema = out_schema
-            yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
+    def run(t: pa.Table) -> pa.Table:
+        m, slot = shared.value, t.column("slot")[0].as_py()
+        w, n, places = _totals(t)
+        order = np.lexsort((w, -n))
+        new = _new(n[order])
+        rank = np.arange(len(w)) - np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
+        first = m.first[np.searchsorted(-m.count, -n[order])]
+        ids = np.empty(len(w), np.int64)
+        ids[order] = np.where(n[order] > 0, first + rank * m.slots + slot, 0)
+        return _told([(c, IDS, slot, [pack(ids[at])]) for c, at in zip(t.column("chunk").to_pylist(), places, strict=True)])
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    return asked.groupBy("slot").applyInArrow(run, TOLD)
 
-    out_schema = to_arrow_schema(_parse_datatype_string(BLOCK.format(kind)))
-    return docs.mapInArrow(run, BLOCK.format(kind)).repartition(parts, "slot")
 
+class Chunk:
+    """A chunk's tokens by word id and its distinct trigrams, in the order in which it asks for them.
+
+    Local numbers of words are in order of their ids. context, word, slot: of each distinct trigram; of_token: each
+    token's trigram. heads: where a context's trigrams of one slot begin; of_head: each trigram's head.
+    """
+
+    def __init__(self, row: dict, told: list[dict], words: Words):
+        ids = np.concatenate([unpack(x["payload"][0]) for x in told if x["kind"] == IDS])
+        self.lengths, self.train, codes = (unpack(row[x]) for x in ("lengths", "train", "codes"))
+        self.ids, local = np.unique(ids, return_inverse=True)
+        token = local[codes]
+        ends = np.cumsum(self.lengths)
+        starts, end = ends - self.lengths, token[ends[0] - 1]
+        one, two = np.roll(token, 1), np.roll(token, 2)
+        one[starts], two[starts] = end, end
+        two[starts[self.lengths > 1] + 1] = end
+        self.token, n = token, len(self.ids)
+        contexts, at = np.unique(one * n + two, return_inverse=True)
+        trigrams, at = np.unique(at * n + token, return_inverse=True)
+        context, word = np.divmod(trigrams, n)
+        self.one, self.two = np.divmod(contexts, n)
+        pieces = words.pieces(self.ids)
+        self.wide = pieces > 1
+        middle = self.one[context]
+        slot = words.slot(self.ids[middle], self.ids[word] % pieces[middle])
+        order = np.argsort(slot, kind="stable")
+        self.context, self.word, self.slot = context[order], word[order], slot[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.of_token = place[at]
+        self.seen = np.bincount(self.of_token, np.repeat(self.train, self.lengths), len(order)).astype(np.int64)
+        new = _new(self.slot, self.context)
+        self.heads, self.of_head = np.flatnonzero(new), np.cumsum(new) - 1
+        # Contexts of spread middle words, in the order in which they are asked for.
+        mine = np.flatnonzero(self.wide[self.one])
+        where = words.slot(self.ids[self.one[mine]], self.ids[self.two[mine]], np.ones(len(mine), np.int64))
+        order = np.argsort(where, kind="stable")
+        self.spread, self.spread_slot = mine[order], where[order]
+
+    def asked(self, chunk: int) -> Iterator[tuple]:
+        """Of each slot: middle and first word of each head, trigrams of it, their last words and training counts."""
+        ids, context = self.ids, self.context[self.heads]
+        sizes = np.diff(np.append(self.heads, len(self.word)))
+        for lo, hi in _runs(self.slot[self.heads]):
+            a, b = self.heads[lo], self.heads[hi] if hi < len(self.heads) else len(self.word)
+            one = ids[self.one[context[lo:hi]]]
+            yield chunk, TRIGRAMS, int(self.slot[a]), [pack(np.diff(one, prepend=0)), pack(ids[self.two[context[lo:hi]]]), pack(sizes[lo:hi]), pack(ids[self.word[a:b]]), pack(self.seen[a:b])]
+        for lo, hi in _runs(self.spread_slot):
+            c = self.spread[lo:hi]
+            yield chunk, CONTEXTS, int(self.spread_slot[lo]), [pack(np.diff(ids[self.one[c]], prepend=0)), pack(ids[self.two[c]])]
+
+
+def asked_trigrams(chunks: DataFrame, ids: DataFrame, words: Words, slots: int) -> DataFrame:
+    shared = chunks.sparkSession.sparkContext.broadcast(words)
+
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        row = rows.to_pylist()[0]
+        return _told(list(Chunk(row, told.sort_by("slot").to_pylist(), shared.value).asked(row["chunk"])))
+
+    rows = chunks.select("chunk", "lengths", "train", "codes").repartition(slots, "chunk")
+    return rows.groupBy("chunk").cogroup(ids.repartition(slots, "chunk").groupBy("chunk")).applyInArrow(run, TOLD).repartition(slots, "slot")
+
+
+#: A slot's answers to chunks; (key, stats) of spread middle words, and with key -1 the counts of counts.
+ANSWERED = TOLD + ", key long, stats array<double>"
+
+
+def answered(t: pa.Table, words: Words, rules: KatzRules) -> pa.Table:
+    """Answers of one slot of the trigram table.
+
+    Of each trigram: its count, and where that is 0 the bigram's. Of each head, if its middle word is not spread: its count,
+    how many of its trigrams were seen 1 to k times, the counts of their bigrams added up, how many of these were 1 to k; the
+    last two only where an unseen trigram needs them. So for middle words, with the probabilities of words seen after them.
+    """
+    k, slot = rules.discounted, t.column("slot")[0].as_py()
+    rows = t.to_pylist()
+    asks, passed = [r for r in rows if r["kind"] == TRIGRAMS], [(r["chunk"], CONTEXTS, slot, r["payload"], None, None) for r in rows if r["kind"] == CONTEXTS]
+    names, kinds = ["chunk", "kind", "slot", "payload", "key", "stats"], [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.int64(), pa.list_(pa.float64())]
+    if not asks:
+        return _table(passed, names, kinds)
+    parts = [[unpack(x) for x in r["payload"]] for r in asks]
+    head_one, head_two, size, w, seen = (np.concatenate(x) for x in zip(*[(np.cumsum(p[0]), *p[1:]) for p in parts], strict=True))
+    head = np.repeat(np.arange(len(size)), size)
+    one, two = head_one[head], head_two[head]
+    order = np.lexsort((w, two, one))
+    new = _new(one[order], two[order], w[order])
+    of_record = np.empty(len(order), np.int64)
+    of_record[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    c3 = _sums(seen[order], first)
+    one, two, w = (x[order][first] for x in (one, two, w))
+    # Bigrams of the middle word and the last.
+    by = np.lexsort((w, one))
+    new = _new(one[by], w[by])
+    starts = np.flatnonzero(new)
+    pair_one, pair_w, pair_c = one[by][starts], w[by][starts], _sums(c3[by], starts)
+    c2 = np.empty(len(by), np.int64)
+    c2[by] = pair_c[np.cumsum(new) - 1]
+
+    def low(counts: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+        return [_sums((counts == r).astype(np.int64), starts) for r in range(1, k + 1)]
+
+    new = _new(one, two)
+    contexts, of_context = np.flatnonzero(new), np.cumsum(new) - 1
+    below = np.where(c3 > 0, c2, 0)
+    context_stats = [_sums(c3, contexts), *low(c3, contexts), _sums(below, contexts), *low(below, contexts)]
+    new = _new(pair_one)
+    middles = np.flatnonzero(new)
+    middle_stats = [*low(pair_c, middles), _sums(np.where(pair_c > 0, words.p(pair_w), 0.0), middles)]
+    wide = words.pieces(pair_one[middles]) > 1
+    low_counts = lambda c: np.bincount(c[(c > 0) & (c < k + 2)], minlength=k + 2).astype(float)
+    stats = [(None, None, None, None, -1, np.concatenate([low_counts(pair_c), low_counts(c3)]).tolist())]
+    stats += [(None, None, None, None, int(pair_one[middles[j]]), [float(x[j]) for x in middle_stats]) for j in np.flatnonzero(wide)]
+    # What is known here of contexts of spread middle words goes on to their slots.
+    mine = contexts[words.pieces(one[contexts]) > 1]
+    at = of_context[mine]
+    to = words.slot(one[mine], two[mine], np.ones(len(mine), np.int64))
+    order = np.argsort(to, kind="stable")
+    mine, at, to = mine[order], at[order], to[order]
+    known = [(None, CONTEXTS, int(to[lo]), [pack(np.diff(one[mine[lo:hi]], prepend=0)), pack(two[mine[lo:hi]]), *(pack(x[at[lo:hi]]) for x in context_stats)], None, None) for lo, hi in _runs(to)]
+    answers, done, heads_done = [], 0, 0
+    for r, p in zip(asks, parts, strict=True):
+        n, heads = len(p[3]), len(p[2])
+        mine = of_record[done : done + n]
+        begin = np.cumsum(p[2]) - p[2]
+        own_one = head_one[heads_done : heads_done + heads]
+        done, heads_done = done + n, heads_done + heads
+        unseen = c3[mine] == 0
+        some = np.logical_or.reduceat(unseen, begin)
+        c = of_context[mine[begin]]
+        narrow = words.pieces(own_one) == 1
+        of_heads = [np.where(narrow & (some if j > k else True), x[c], 0) for j, x in enumerate(context_stats)]
+        first = np.flatnonzero(_new(own_one))
+        m = np.searchsorted(pair_one[middles], own_one[first])
+        needed = narrow[first] & np.logical_or.reduceat(some, first)
+        of_middles = [np.where(needed, x[m], 0) for x in middle_stats]
+        answers.append((r["chunk"], TRIGRAMS, slot, [*map(pack, (c3[mine], np.where(unseen, c2[mine], 0), *of_heads, *of_middles))], None, None))
+    return _table(passed + stats + known + answers, names, kinds)
+
+
+def context_answers(rows: DataFrame, slots: int) -> DataFrame:
+    """Adds up what slots know of contexts of spread middle words, and tells the chunks that ask."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = [(r["chunk"], [unpack(x) for x in r["payload"]]) for r in t.to_pylist()]
+        slot = t.column("slot")[0].as_py()
+        one = np.concatenate([np.cumsum(p[0]) for _, p in rows])
+        two = np.concatenate([p[1] for _, p in rows])
+        order = np.lexsort((two, one))
+        new = _new(one[order], two[order])
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(new) - 1
+        places = np.split(at, np.cumsum([len(p[0]) for _, p in rows])[:-1])
+        known = [(p, x) for (c, p), x in zip(rows, places, strict=True) if c is None]
+        stats = [np.bincount(np.concatenate([x for _, x in known]), np.concatenate([p[2 + j] for p, _ in known]), new.sum()).astype(np.int64) for j in range(len(known[0][0]) - 2)] if known else []
+        return _told([(c, CONTEXTS, slot, [pack(s[x]) for s in stats]) for (c, _), x in zip(rows, places, strict=True) if c is not None])
+
+    return rows.repartition(slots, "slot").groupBy("slot").applyInArrow(run, TOLD)
 
-def _slices(batches: Iterator[pa.RecordBatch], model: Model, rules: KatzRules):
-    """A partition's tokens in slices by word: of each pair its word's code, context and training count; of each token its
-    word's code, pair, doc and row; counts of words; chunks. A context above the frequent ones' numbers is a place in rare."""
-    cols: dict[str, list[np.ndarray]] = {k: [] for k in ("words", "sizes", "context", "rare", "doc")}
-    chunks = []
-    for batch in batches:
-        by = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-        for r in range(batch.num_rows):
-            if by["words"][r].as_py() is not None:
-                chunks.append(by["chunk"][r].as_py())
-                for name, kind in (("words", np.uint64), ("sizes", np.uint32), ("context", np.uint16), ("rare", np.uint64), ("doc", np.uint16)):
-                    cols[name].append(np.frombuffer(by[name][r].as_py(), kind))
-    if not chunks:
-        return
-    words, sizes, short, rare, doc = (np.concatenate(cols[k]) for k in ("words", "sizes", "context", "rare", "doc"))
-    row = np.repeat(np.arange(len(chunks), dtype=np.int32), [len(x) for x in cols["words"]])
-    cols.clear()
-    rare, place = np.unique(rare, return_inverse=True)
-    context = short.astype(np.int32)
-    context[short == 0] = place + len(model.contexts) + 1
-    span = len(model.contexts) + 1 + len(rare)
-    begin = np.cumsum(sizes, dtype=np.int64) - sizes
-    part = (words >> np.uint64(17)) % np.uint64(rules.slices)
-    for s in range(rules.slices):
-        runs = np.flatnonzero(part == s)
-        if not len(runs):
-            continue
-        n = sizes[runs].astype(np.int64)
-        at = np.repeat(begin[runs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        distinct, code = np.unique(words[runs], return_inverse=True)
-        code = np.repeat(code.astype(np.int32), n)
-        train = (doc[at] >> 15).astype(np.int64)
-        count = np.bincount(code, train, len(distinct)).astype(np.int64)
-        spread = np.zeros(len(distinct), bool)
-        if len(model.contexts):  # of frequent words only a part may be here; their counts are known
-            k = np.minimum(np.searchsorted(model.contexts, distinct), len(model.contexts) - 1)
-            same = model.contexts[k] == distinct
-            count[same] = model.counts[k[same]]
-            spread = same
-        pair = code.astype(np.int64) * span + context[at]
-        order = np.argsort(pair, kind="stable")
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(pair[order])) + 1])
-        seen = np.add.reduceat(train[order], starts)
-        of_token = np.empty(len(pair), np.int32)
-        of_token[order] = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.concatenate([starts, [len(order)]])))
-        w, h = np.divmod(pair[order][starts], span)
-        yield {"code": code, "count": count, "spread": spread, "w": w, "h": h, "seen": seen, "of_token": of_token, "row": np.repeat(row[runs], n), "doc": doc[at] & np.uint16(32767), "chunks": chunks, "rare": rare}
-
-
-def _gather(tokens: DataFrame, model: Model, rules: KatzRules) -> None:
-    """Fills in the discounts, the unknown words' share and the frequent contexts' weights."""
-    sc, k = tokens.sparkSession.sparkContext, rules.discounted
-    shared = sc.broadcast(model)
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((2, k + 2), np.int64)
-        for x in _slices(batches, shared.value, rules):
-            own = x["count"][~x["spread"]]
-            out[0] += np.bincount(own[(own > 0) & (own < k + 2)], minlength=k + 2)
-            out[0, 0] += (own > 0).sum()
-            pairs = x["seen"]
-            out[1] += np.bincount(pairs[(pairs > 0) & (pairs < k + 2)], minlength=k + 2)
-        yield pa.RecordBatch.from_arrays([pa.array(a) for a in (np.repeat([1, 2], k + 2), np.tile(np.arange(k + 2), 2), out.ravel())], names=["size", "r", "n"])
-
-    n = np.zeros((2, k + 2))
-    for r in tokens.mapInArrow(counts, "size long, r long, n long").groupBy("size", "r").agg(F.sum("n").alias("n")).collect():
-        n[r["size"] - 1, r["r"]] = r["n"]
-    frequent = np.bincount(model.counts[model.counts < k + 2], minlength=k + 2)
-    n[0] += frequent
-    model.types = int(n[0, 0]) - int(frequent[0]) + len(model.counts)
-    model.d1, model.d2 = discounts(n[0], k), discounts(n[1], k)
-    left = sum(n[0, r] * r * (1 - model.d1[r]) for r in range(1, k + 1)) / max(model.tokens, 1)
-    if left <= 0:  # no rare words: one more token, unknown
-        left = 1 / (model.tokens + 1)
-        model.d1 = model.d1 * (1 - left)
-    model.unknown = left
-    shared = sc.broadcast(model)
-
-    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        out = np.zeros((2, len(m.contexts) + 1))
-        for x in _slices(batches, m, rules):
-            own = np.flatnonzero((x["seen"] > 0) & (x["h"] <= len(m.contexts)))
-            c, h, w = x["seen"][own], x["h"][own], x["w"][own]
-            out[0] += np.bincount(h, m.d2[np.minimum(c, k + 1)] * c, out.shape[1])
-            out[1] += np.bincount(h, m.word(x["count"][w]), out.shape[1])
-        some = np.flatnonzero(out[0])
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[0, some]), pa.array(out[1, some])], names=["h", "mass", "words"])
-
-    size = len(model.contexts) + 1
-    mass, words = np.zeros(size), np.zeros(size)
-    for r in tokens.mapInArrow(weights, "h long, mass double, words double").groupBy("h").agg(F.sum("mass").alias("mass"), F.sum("words").alias("words")).collect():
-        mass[r["h"]], words[r["h"]] = r["mass"], r["words"]
-    model.scale, model.back = model.weights(mass, words, np.concatenate([[1], model.counts]))
-
-
-def _rare_contexts(tokens: DataFrame, model: Model, parts: int, rules: KatzRules) -> DataFrame:
-    """(chunk, doc, score): what the counts and weights of rare contexts add to the scores of a chunk's documents."""
-    shared = tokens.sparkSession.sparkContext.broadcast(model)
-    columns = "slot int, context binary, mass binary, words binary, total binary, token binary, at binary"
-
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each context the sums over the words seen after it; of each token its context, and its chunk, document and whether its pair was seen."""
-        m = shared.value
-        first = len(m.contexts) + 1
-        sums, rare, of_token, at = None, np.zeros(0, np.uint64), [], []
-        for x in _slices(batches, m, rules):
-            rare = x["rare"]
-            if sums is None:
-                sums = np.zeros((3, len(rare)))
-            own = np.flatnonzero((x["seen"] > 0) & (x["h"] >= first))
-            c, h = x["seen"][own], x["h"][own] - first
-            for k, y in enumerate((m.d2[np.minimum(c, rules.discounted + 1)] * c, m.word(x["count"][x["w"][own]]), c)):
-                sums[k] += np.bincount(h, y, len(rare))
-            context = x["h"][x["of_token"]] - first
-            mine = np.flatnonzero(context >= 0)
-            of_token.append(context[mine].astype(np.int32))
-            chunk = np.array(x["chunks"], np.int64)[x["row"][mine]]
-            at.append((chunk << 16) | (x["doc"][mine].astype(np.int64) << 1) | (x["seen"][x["of_token"][mine]] > 0))
-        if not len(rare):
-            return
-        of_token, at = np.concatenate(of_token), np.concatenate(at)
-        slot = ((rare * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
-        by_context, by_token = np.argsort(slot, kind="stable"), np.argsort(slot[of_token], kind="stable")
-        of_token, at = of_token[by_token], at[by_token]
-        slots = np.unique(slot)
-        ends = [np.searchsorted(y, slots, side=side) for y in (slot[by_context], slot[of_token]) for side in ("left", "right")]
-        for s, a, b, lo, hi in zip(slots.tolist(), *ends, strict=True):
-            own = by_context[a:b]
-            own = own[sums[2, own] > 0]
-            row = [rare[own], *(y[own] for y in sums), rare[of_token[lo:hi]], at[lo:hi]]
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([y.tobytes()], pa.binary()) for y in row)], names=[c.split()[0] for c in columns.split(", ")])
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, held = shared.value, [[] for _ in range(6)]
-        for batch in batches:
-            for k, kind in enumerate((np.uint64, float, float, float, np.uint64, np.int64)):
-                held[k] += [np.frombuffer(y.as_py(), kind) for y in batch.column(k + 1)]
-        if not held[0]:
-            return
-        context, mass, words, total, token, at = (np.concatenate(x) for x in held)
-        held.clear()
-        context, place = np.unique(context, return_inverse=True)
-        mass, words, total = (np.bincount(place, y, len(context)) for y in (mass, words, total))
-        scale, back = m.weights(mass, words, total)
-        # By context, then whether the pair was seen; contexts without training tokens leave the word's own probability.
-        terms = np.zeros((len(context) + 1, 2))
-        terms[:-1] = np.stack([np.log10(back), np.log10(scale / total)], axis=1)
-        k = np.searchsorted(context, token)
-        if len(context):
-            k = np.where(context[np.minimum(k, len(context) - 1)] == token, k, len(context))
-        each = terms[k, at & 1]
-        key, place = np.unique(at >> 1, return_inverse=True)
-        score = np.bincount(place, each, len(key))
-        chunk, doc = key >> 15, (key & 32767).astype(np.uint16)
-        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1), len(key)]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if lo < hi:
-                yield pa.RecordBatch.from_arrays([pa.array([int(chunk[lo])]), *(pa.array([y[lo:hi].tobytes()], pa.binary()) for y in (doc, score))], names=["chunk", "doc", "score"])
-
-    return tokens.mapInArrow(sent, columns).repartition(parts, "slot").mapInArrow(added, "chunk long, doc binary, score binary")
+
+@dataclass
+class Model:
+    """All that chunks need besides their answers. spread: statistics of spread middle words by id."""
+
+    words: Words
+    d2: np.ndarray
+    d3: np.ndarray
+    spread: dict[int, list[float]]
+
+
+def _weights(total: np.ndarray, low: list[np.ndarray], d: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Factor of seen counts and weight of unseen ones, by a context's count, its low counts, and the lower order's probability of what was seen."""
+    mass = 1 - sum((1 - d[r + 1]) * (r + 1) * x for r, x in enumerate(low)) / np.maximum(total, 1)
+    # Where discounts leave nothing, one more occurrence of the context is left to unseen words.
+    most = 1 - 1 / (total + 1)
+    scale = np.where(mass > most, most / np.maximum(mass, 1e-300), 1.0)
+    return scale, np.where(total > 0, (1 - mass * scale) / np.maximum(1 - below, 1e-12), 1.0)
+
+
+def trigram_scores(c: Chunk, told: list[dict], model: Model, k: int) -> np.ndarray:
+    """log10 of the probability of each distinct trigram of a chunk."""
+    parts = [[unpack(x, "<f8" if j == 4 + 3 * k else "<i8") for j, x in enumerate(r["payload"])] for r in told if r["kind"] == TRIGRAMS]
+    got = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    c3, c2, of_heads, of_middles = got[0], got[1], got[2 : 4 + 2 * k], got[4 + 2 * k :]
+    # Statistics by context and by middle word; each stands at one head or middle, unless the word is spread.
+    contexts = np.zeros((2 + 2 * k, len(c.one)), np.int64)
+    head_context = c.context[c.heads]
+    narrow = ~c.wide[c.one[head_context]]
+    for x, y in zip(contexts, of_heads, strict=True):
+        x[head_context[narrow]] = y[narrow]
+    asked = [[unpack(x) for x in r["payload"]] for r in told if r["kind"] == CONTEXTS]
+    if asked:
+        contexts[:, c.spread] = [np.concatenate(x) for x in zip(*asked, strict=True)]
+    middles = np.zeros((k + 1, len(c.ids)))
+    one = c.one[head_context]
+    first = np.flatnonzero(_new(c.slot[c.heads], one))
+    mine = first[~c.wide[one[first]]]
+    for x, y in zip(middles, of_middles, strict=True):
+        x[one[mine]] = y[~c.wide[one[first]]]
+    for j in np.flatnonzero(c.wide):
+        middles[:, j] = model.spread.get(int(c.ids[j]), [0.0] * (k + 1))
+    total = model.words.counts(c.ids)
+    scale2, back2 = _weights(total, list(middles[:k]), model.d2, middles[k])
+    below = contexts[1 + k] - sum((1 - model.d2[r]) * r * contexts[1 + k + r] for r in range(1, k + 1))
+    below = below * (scale2 / np.maximum(total, 1))[c.one]
+    scale3, back3 = _weights(contexts[0], list(contexts[1 : 1 + k]), model.d3, below)
+    d = lambda table, n: table[np.minimum(n, k + 1)] * n
+    middle = c.one[c.context]
+    p = model.words.p(c.ids)[c.word] * back2[middle]
+    p = np.where(c2 > 0, scale2[middle] * d(model.d2, c2) / np.maximum(total[middle], 1), p)
+    p = np.where(c3 > 0, scale3[c.context] * d(model.d3, c3) / np.maximum(contexts[0][c.context], 1), back3[c.context] * p)
+    return np.log10(p)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: F.Column | None = None, rules: KatzRules = KatzRules()) -> DataFrame:
     """Per row: the id, held_out, n_tokens, n_known, train_tokens, base_score and score. train: which rows to learn from."""
-    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
+    sc, kind, k = docs.sparkSession.sparkContext, dict(docs.dtypes)[id_col], rules.discounted
     train = F.coalesce(crc32_of(id_col) % 10 != 0, F.lit(True)) if train is None else train
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"))
-    words = checkpoint(word_counts(given, rules))
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    frequent = sorted((r["w"] % 2**64, r["n"]) for r in words.where(F.col("n") * FREQUENT >= total).collect())
-    model = Model(np.array([w for w, _ in frequent], np.uint64), np.array([n for _, n in frequent], np.int64), total)
-    parts = max(2 * spark.sparkContext.defaultParallelism, -(-total // rules.tokens))
-    tokens = checkpoint(token_table(given, model, parts, kind, rules))
-    _gather(tokens, model, rules)
-    shared = spark.sparkContext.broadcast(model)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, chunks = shared.value, []
-        done = [np.zeros(0, np.int64), *[np.zeros(0)] * 3]  # key of chunk and document, and three sums
-        rate = m.tokens + 0.1 * (m.types + 1)
-        for x in _slices(batches, m, rules):
-            chunks = x["chunks"]
-            w, h, c = x["w"], x["h"], x["seen"]
-            own = m.word(x["count"][w])
-            h = np.where(h <= len(m.contexts), h, 0)
-            # Number 0 stands for rare contexts: weights and counts of 1, which _rare_contexts makes good.
-            size = np.concatenate([[1], m.counts])[h]
-            p = np.where(c > 0, m.scale[h] * m.d2[np.minimum(c, rules.discounted + 1)] * c / size, m.back[h] * own)
-            each = np.log10(p)[x["of_token"]]
-            base = np.log10((x["count"] + 0.1) / rate)[x["code"]]
-            own, at = np.unique(x["row"].astype(np.int64) << 16 | x["doc"], return_inverse=True)
-            new = [own, *(np.bincount(at, y, len(own)) for y in (x["count"][x["code"]] > 0, base, each))]
-            key, at = np.unique(np.concatenate([done[0], own]), return_inverse=True)
-            done = [key, *(np.bincount(at, np.concatenate(y), len(key)) for y in zip(done[1:], new[1:], strict=True))]
-        key, known, base, each = done
-        if len(key):
-            row = key >> 16
-            cuts = [0, *(np.flatnonzero(np.diff(row)) + 1), len(row)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                one = [(key[lo:hi] & 65535).astype(np.uint16), known[lo:hi].astype(np.uint32), base[lo:hi], each[lo:hi]]
-                yield pa.RecordBatch.from_arrays([pa.array([chunks[int(row[lo])]]), *(pa.array([a.tobytes()], pa.binary()) for a in one)], names=["chunk", "doc", "known", "base", "score"])
-
-    made = tokens.mapInArrow(sums, "chunk long, doc binary, known binary, base binary, score binary")
-    heads = tokens.where(F.col("ids").isNotNull()).select("chunk", "ids", "train", "lengths")
-    nothing = F.lit(None).cast("binary")
-    both = heads.select("chunk", "ids", "train", "lengths", *[nothing.alias(c) for c in ("doc", "known", "base", "score")]).unionByName(
-        made.select("chunk", F.lit(None).cast(f"array<{kind}>").alias("ids"), nothing.alias("train"), nothing.alias("lengths"), "doc", "known", "base", "score")
-    )
-    rare = _rare_contexts(tokens, model, parts, rules)
-    both = both.unionByName(rare.select("chunk", F.lit(None).cast(f"array<{kind}>").alias("ids"), *[nothing.alias(c) for c in ("train", "lengths", "known", "base")], "doc", "score"))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by chunk, its documents first."""
-        held = None
-
-        def out() -> pa.RecordBatch:
-            ids, train_, lengths, sums_ = held
-            return pa.RecordBatch.from_arrays([ids, pa.array(~train_.astype(bool)), pa.array(lengths), pa.array(sums_[0].astype(np.int64)), pa.array(sums_[1]), pa.array(sums_[2])], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-        for batch in batches:
-            ids = batch.column(1)
-            for r in range(batch.num_rows):
-                if ids[r].is_valid:
-                    if held is not None:
-                        yield out()
-                    n = np.frombuffer(batch.column(3)[r].as_py(), np.uint32).astype(np.int64)
-                    held = (ids[r].values, np.frombuffer(batch.column(2)[r].as_py(), np.uint8), n, np.zeros((3, len(n))))
-                else:
-                    doc = np.frombuffer(batch.column(4)[r].as_py(), np.uint16)
-                    for j, kind_ in enumerate((np.uint32, np.float64, np.float64)):
-                        if not batch.column(5 + j)[r].is_valid:
-                            continue
-                        held[3][j, doc] += np.frombuffer(batch.column(5 + j)[r].as_py(), kind_)
-        if held is not None:
-            yield out()
-
-    rows = both.repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("ids").isNull())
-    done = rows.mapInArrow(finish, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return done.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    chunks = checkpoint(chunk_table(given, kind, rules))
+    slots = max(2 * sc.defaultParallelism, -(-(chunks.agg(F.sum("tokens")).first()[0] or 0) // rules.tokens))
+    asked = checkpoint(asked_words(chunks, slots))
+    words = Words([tuple(r) for r in word_sizes(asked).collect()], slots, rules)
+    ids = checkpoint(word_ids(asked, words))
+    shared = sc.broadcast(words)
+    answers = checkpoint(asked_trigrams(chunks, ids, words, slots).groupBy("slot").applyInArrow(lambda t: answered(t, shared.value, rules), ANSWERED))
+    # As many rows as there are spread middle words, and one.
+    sums = answers.where(F.col("key").isNotNull()).groupBy("key").agg(F.array(*[F.sum(F.get("stats", F.lit(j))) for j in range(2 * k + 4)]).alias("stats"))
+    stats = {r["key"]: r["stats"] for r in sums.collect()}
+    low = stats.pop(-1, [0.0] * (2 * k + 4))
+    model = sc.broadcast(Model(words, discounts(np.array(low[: k + 2]), k), discounts(np.array(low[k + 2 :]), k), {w: x[: k + 1] for w, x in stats.items()}))
+    told = ids.union(answers.where(F.col("kind") == TRIGRAMS).select(*ids.columns))
+    if stats:
+        told = told.union(context_answers(answers.where(F.col("kind") == CONTEXTS).select(*ids.columns), slots))
+    columns = ["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+    def finish(rows: pa.Table, told: pa.Table) -> pa.Table:
+        m, told = model.value, told.sort_by([("kind", "ascending"), ("slot", "ascending")]).to_pylist()
+        row = rows.drop_columns(["ids"]).to_pylist()[0]
+        c = Chunk(row, told, m.words)
+        starts = np.cumsum(c.lengths) - c.lengths
+        count = m.words.counts(c.ids)
+        base = np.log10((count + 0.1) / (m.words.tokens + 0.1 * (m.words.types + 1)))
+        sums = [_sums(x, starts) for x in ((count > 0).astype(np.int64)[c.token], base[c.token], trigram_scores(c, told, m, k)[c.of_token])]
+        return pa.table([rows.column("ids").combine_chunks()[0].values, c.train == 0, c.lengths, *sums], names=columns)
+
+    rows = chunks.select("chunk", "ids", "lengths", "train", "codes").repartition(slots, "chunk")
+    done = rows.groupBy("chunk").cogroup(told.repartition(slots, "chunk").groupBy("chunk"))
+    done = done.applyInArrow(finish, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return done.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(words.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

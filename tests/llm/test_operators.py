@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scriptoria.llm import hnsw, katz, language, mixing, neardup, packing, pages, quality, secrets, simhash, suffixes
@@ -271,56 +272,71 @@ def test_mixing(spark, empty):
     assert mixing.mix(empty).count() == 0
 
 
-def test_katz(spark, docs, empty):
-    got = {r["doc_id"]: r for r in katz.score(docs, rules=katz.KatzRules(chunk_docs=7, tokens=500, slices=3)).collect()}
+@pytest.mark.parametrize("spread", [10**6, 40, 5])
+def test_katz(spark, docs, empty, spread):
+    """Whatever the chunks and slots, and wherever middle words are spread, the scores are those of the whole model."""
+    got = {r["doc_id"]: r for r in katz.score(docs, rules=katz.KatzRules(chunk_docs=7, tokens=500, spread=spread)).collect()}
     tokens = {r["doc_id"]: [*pieces(r["text"]), b""] for r in docs.collect()}
     train = {i for i in tokens if zlib.crc32(str(i).encode()) % 10}
+    before = lambda w: zip([b"", b"", *w[:-2]][: len(w)], [b"", *w[:-1]], w, strict=True)
     c = Counter(w for i in train for w in tokens[i])
     n = sum(c.values())
-    pairs = Counter(p for i in train for p in zip([b"", *tokens[i][:-1]], tokens[i], strict=True) if c[p[0]] * katz.FREQUENT >= n and c[p[0]])
-    low = [[0] * 7, [0] * 7]
-    for k, counts in enumerate((c, pairs)):
+    triples = Counter(t for i in train for t in before(tokens[i]))
+    pairs, heads = Counter(), Counter()
+    for (a, b, w), v in triples.items():
+        pairs[b, w] += v
+        heads[a, b] += v
+    low = [[0] * 7 for _ in range(3)]
+    for k, counts in enumerate((c, pairs, triples)):
         for v in counts.values():
             if v < 7:
                 low[k][v] += 1
-    d1, d2 = (katz.discounts(np.array(x, float), 5) for x in low)
+    d1, d2, d3 = (katz.discounts(np.array(x, float), 5) for x in low)
     left = sum(low[0][r] * r * (1 - d1[r]) for r in range(1, 6)) / n
     if left <= 0:
         left = 1 / (n + 1)
         d1 = d1 * (1 - left)
     one = lambda w: d1[min(c[w], 6)] * c[w] / n if c[w] else left
-    mass, words = Counter(), Counter()
-    for (a, b), v in pairs.items():
-        mass[a] += d2[min(v, 6)] * v / c[a]
-        words[a] += one(b)
-
-    def p(a, b):
-        if not c[a]:
-            return one(b)
-        most = 1 - 1 / (c[a] + 1)
-        scale = most / mass[a] if mass[a] > most else 1.0
-        return scale * d2[min(pairs[a, b], 6)] * pairs[a, b] / c[a] if pairs[a, b] else (1 - mass[a] * scale) / max(1 - words[a], 1e-12) * one(b)
 
+    def level(counts, totals, d, below):
+        mass, words = Counter(), Counter()
+        for key, v in counts.items():
+            mass[key[:-1]] += d[min(v, 6)] * v / totals[key[:-1]]
+            words[key[:-1]] += below(*key[1:])
+
+        def p(*key):
+            h = key[:-1]
+            if not totals[h]:
+                return below(*key[1:])
+            most = 1 - 1 / (totals[h] + 1)
+            scale = most / mass[h] if mass[h] > most else 1.0
+            return scale * d[min(counts[key], 6)] * counts[key] / totals[h] if counts[key] else (1 - mass[h] * scale) / max(1 - words[h], 1e-12) * below(*key[1:])
+
+        return p
+
+    two = level(pairs, {(w,): c[w] for w in [*c, *{x for t in tokens.values() for x in t}]}, d2, one)
+    three = level(triples, heads, d3, two)
     for i, w in tokens.items():
         g = got[i]
         assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (i not in train, len(w), sum(c[x] > 0 for x in w), n)
         assert math.isclose(g["base_score"], sum(math.log10((c[x] + 0.1) / (n + 0.1 * (len(c) + 1))) for x in w), rel_tol=1e-9)
-        assert math.isclose(g["score"], sum(math.log10(p(a, b)) for a, b in zip([b"", *w[:-1]], w, strict=True)), rel_tol=1e-6)
-    for a in (b"the", b"", b"alpha"):
-        assert math.isclose(sum(p(a, w) for w in c) + p(a, b"\xff"), 1, rel_tol=1e-6)
+        assert math.isclose(g["score"], sum(math.log10(three(*t)) for t in before(w)), rel_tol=1e-6)
+    for a in ((b"the",), (b"",), (b"alpha",)):
+        assert math.isclose(sum(two(*a, w) for w in c) + two(*a, b"\xff"), 1, rel_tol=1e-6)
+    for a in ((b"", b""), (b"the", b"of"), (b"", b"alpha")):
+        assert math.isclose(sum(three(*a, w) for w in c) + three(*a, b"\xff"), 1, rel_tol=1e-6)
     assert katz.score(empty).count() == 0
 
 
-def test_katz_every_word_is_a_context(docs, monkeypatch):
-    """test_katz compares with brute force where all words are frequent; the share of frequent ones changes nothing."""
-    rules = katz.KatzRules(chunk_docs=7, tokens=500, slices=3)
-    want = {r["doc_id"]: r for r in katz.score(docs, rules=rules).collect()}
-    for frequent in (25, 0):
-        monkeypatch.setattr(katz, "FREQUENT", frequent)
-        for r in katz.score(docs, rules=rules).collect():
-            w = want[r["doc_id"]]
-            assert (r["n_tokens"], r["n_known"]) == (w["n_tokens"], w["n_known"])
-            assert math.isclose(r["base_score"], w["base_score"], rel_tol=1e-9) and math.isclose(r["score"], w["score"], rel_tol=1e-6)
+def test_katz_of_repeated_and_null_ids(spark):
+    """Each row is a text of its own; a null id is training."""
+    rows = [(None, "a b c a b d"), (None, "a b c a b d"), (3, None), (3, "a b e"), (5, "x " * 400)]
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    got = katz.score(given, rules=katz.KatzRules(tokens=50, spread=20)).collect()
+    assert sorted(r["n_tokens"] for r in got) == [1, 4, 7, 7, 401]
+    assert all(not r["held_out"] for r in got if r["doc_id"] is None) and all(math.isfinite(r["score"]) for r in got)
+    none = katz.score(given, train=F.lit(False)).collect()
+    assert len(none) == 5 and {r["train_tokens"] for r in none} == {0} and {r["n_known"] for r in none} == {0}
 
 
 def test_quality():
