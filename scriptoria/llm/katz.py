@@ -1,6 +1,8 @@
 """Language-model scores: a Katz trigram model with Good-Turing discounts and exactly normalised backoff weights.
 
-Texts are packed in chunks of documents; within a chunk equal n-grams count once, whatever texts they come from. Each
+Texts are packed in chunks of documents; within a chunk equal n-grams count once, whatever texts they come from. Chunks
+are made anew whenever they are needed, since texts are quicker read than stored: the input must read the same each time,
+which a mark of each chunk's words proves, or the query fails. Each
 level of the model is a partitioned table that chunks ask and that answers by chunk. The table of words, by hash, gives
 training counts as word ids: ids are dealt by falling count, so a short list of counts tells each id's count. The table
 of trigrams is dealt by the middle word, where all it needs meets: counts of trigrams, of the bigrams they end in, and of
@@ -27,8 +29,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel, TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptoria.llm.common import checkpoint, crc32_of, table, words_of
@@ -36,19 +38,28 @@ from scriptoria.llm.common import checkpoint, crc32_of, table, words_of
 
 @dataclass(frozen=True)
 class KatzRules:
-    """discounted: counts up to this are discounted. tokens: of a slot of the trigram table, about. spread: tokens of a
-    middle word above which it is spread over more slots. chunk_docs, chunk_bytes: documents and bytes of a chunk, about."""
+    """discounted: counts up to this are discounted. slot_bytes: of text for each slot of the tables, about. spread: tokens of
+    a middle word above which it is spread over more slots. chunk_docs, chunk_bytes: documents and bytes of a chunk, about."""
 
     discounted: int = 5
-    tokens: int = 1_500_000
-    spread: int = 300_000
+    slot_bytes: int = 6_000_000
+    spread: int = 500_000
     chunk_docs: int = 50_000
-    chunk_bytes: int = 8_000_000
+    chunk_bytes: int = 6_000_000
 
 
 def pack(x: np.ndarray) -> bytes:
     """Numbers as compressed planes of their bytes, as many as the largest needs."""
     x = np.ascontiguousarray(x).astype("<f8").view("<u8") if x.dtype.kind == "f" else x.astype("<u8")
+    planes = (int(x.max(initial=0)).bit_length() + 7) // 8
+    if planes == 2 or planes == 3:  # most are small: bytes, and what does not fit into one apart
+        large = x >= 255
+        small = zstandard.ZstdCompressor(level=3).compress(np.minimum(x, 255).astype(np.uint8).tobytes())
+        return bytes([255]) + len(x).to_bytes(4, "little") + len(small).to_bytes(4, "little") + small + _planes(x[large] - 255)
+    return _planes(x)
+
+
+def _planes(x: np.ndarray) -> bytes:
     planes = (int(x.max(initial=0)).bit_length() + 7) // 8
     body = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
     return bytes([planes]) + len(x).to_bytes(4, "little") + (zstandard.ZstdCompressor(level=3).compress(body) if planes else b"")
@@ -56,6 +67,11 @@ def pack(x: np.ndarray) -> bytes:
 
 def unpack(data: bytes, kind: str = "<i8") -> np.ndarray:
     planes, n = data[0], int.from_bytes(data[1:5], "little")
+    if planes == 255:
+        to = 9 + int.from_bytes(data[5:9], "little")
+        all_ = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[9:to]), np.uint8).astype(np.int64)
+        all_[all_ == 255] += unpack(data[to:])
+        return all_.view(kind)
     out = np.zeros((n, 8), np.uint8)
     if planes:
         out[:, :planes] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[5:]), np.uint8).reshape(planes, n).T
@@ -100,15 +116,15 @@ class Words:
     words that training texts do not have.
     """
 
-    def __init__(self, sizes: list[tuple[int, int, int]], slots: int, rules: KatzRules):
-        """sizes: (count, words that have it, the most of them in one slot)."""
+    def __init__(self, sizes: list[tuple[int, int]], slots: int, rules: KatzRules):
+        """sizes: (count, words that have it)."""
         sizes = sorted(sizes, reverse=True)
         self.slots, self.spread, k = slots, rules.spread, rules.discounted
-        self.count = np.array([c for c, _, _ in sizes] + [0], np.int64)
-        self.first = np.cumsum([1, *(most * slots for _, _, most in sizes)])
-        self.tokens, self.types = sum(c * n for c, n, _ in sizes), sum(n for _, n, _ in sizes)
+        self.count = np.array([c for c, _ in sizes] + [0], np.int64)
+        self.first = np.cumsum([1, *(n for _, n in sizes)])
+        self.tokens, self.types = sum(c * n for c, n in sizes), sum(n for _, n in sizes)
         low = np.zeros(k + 2)
-        for c, n, _ in sizes:
+        for c, n in sizes:
             if c < k + 2:
                 low[c] = n
         self.d = discounts(low, k)
@@ -161,13 +177,18 @@ def _chunks(batches: Iterator[pa.RecordBatch], rules: KatzRules):
         yield ids, train, lengths, np.array(codes, np.int64), number
 
 
+CHUNK = "chunk long, ids array<{}>, train binary, lengths binary, codes binary, words binary, counts binary, others binary, mark long"
+
+
 def chunk_table(docs: DataFrame, kind: str, rules: KatzRules) -> DataFrame:
-    """A row per chunk; words: hashes, sorted, as differences; counts: of each in training; codes: each token's place in words."""
+    """A row per chunk; words: hashes, sorted, as differences; counts, others: of each in training and elsewhere; mark: hash of words.
+
+    codes: each token's place in the words by falling count.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    schema = f"chunk long, ids array<{kind}>, train binary, lengths binary, codes binary, words binary, counts binary, tokens long"
-    out = to_arrow_schema(_parse_datatype_string(schema))
+    out = to_arrow_schema(_parse_datatype_string(CHUNK.format(kind)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -175,17 +196,22 @@ def chunk_table(docs: DataFrame, kind: str, rules: KatzRules) -> DataFrame:
             train, lengths = np.array(train, np.int64), np.array(lengths, np.int64)
             words = np.fromiter((digest(w) for w in number), np.uint64, len(number))
             order = np.argsort(words)
+            learned = np.repeat(train, lengths) == 1
+            n, others = (np.bincount(codes[x], minlength=len(words))[order] for x in (learned, ~learned))
             place = np.empty(len(words), np.int64)
-            place[order] = np.arange(len(words))
-            codes = place[codes]
-            n = np.bincount(codes[np.repeat(train, lengths) == 1], minlength=len(words))
-            row = [(TaskContext.get().partitionId() << 24) + k, ids, *map(pack, (train, lengths, codes, np.diff(words[order], prepend=np.uint64(0)), n)), len(codes)]
+            place[order[_by_count(n, others)]] = np.arange(len(words))
+            mark = xxhash.xxh64_intdigest(words[order].tobytes()) - 2**63
+            row = [(TaskContext.get().partitionId() << 24) + k, ids, *map(pack, (train, lengths, place[codes], np.diff(words[order], prepend=np.uint64(0)), n, others)), mark]
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, out, strict=True)], schema=out)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, CHUNK.format(kind))
 
 
-ASKED = "slot int, chunk long, words binary, counts binary"
+def _by_count(n: np.ndarray, others: np.ndarray) -> np.ndarray:
+    return np.argsort(-(n + others), kind="stable")
+
+
+ASKED = "slot int, chunk long, words binary, counts binary, mark long"
 TOLD = "chunk long, kind int, slot int, payload array<binary>"
 IDS, TRIGRAMS, CONTEXTS = 0, 1, 2
 
@@ -201,13 +227,13 @@ def _told(rows: list[tuple]) -> pa.Table:
 def asked_words(chunks: DataFrame, slots: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, words, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for chunk, words, counts, mark in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 words, counts = np.cumsum(unpack(words, "<u8"), dtype=np.uint64), unpack(counts)
                 cuts = [0, *np.searchsorted(words, _bounds(slots)), len(words)]
-                rows = [(s, chunk, pack(np.diff(words[lo:hi], prepend=np.uint64(0))), pack(counts[lo:hi])) for s, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if lo < hi]
-                yield from _table(rows, ["slot", "chunk", "words", "counts"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()]).to_batches()
+                rows = [(s, chunk, pack(np.diff(words[lo:hi], prepend=np.uint64(0))), pack(counts[lo:hi]), mark) for s, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if lo < hi]
+                yield from _table(rows, ["slot", "chunk", "words", "counts", "mark"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]).to_batches()
 
-    return chunks.select("chunk", "words", "counts").mapInArrow(run, ASKED).repartition(slots, "slot")
+    return chunks.select("chunk", "words", "counts", "mark").mapInArrow(run, ASKED).repartition(slots, "slot")
 
 
 def _totals(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -219,31 +245,52 @@ def _totals(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
 
 
 def word_sizes(asked: DataFrame) -> DataFrame:
-    """(count, n, most): how many words have a count, and the most that one slot has."""
+    """(slot, count, n): how many words of a slot have a count."""
 
     def run(t: pa.Table) -> pa.Table:
         count, n = np.unique(_totals(t)[1], return_counts=True)
-        return pa.table([count[count > 0], n[count > 0]], names=["count", "n"])
+        slot = np.full(len(n), t.column("slot")[0].as_py(), np.int32)
+        return pa.table([slot[count > 0], count[count > 0], n[count > 0]], names=["slot", "count", "n"])
 
-    return asked.groupBy("slot").applyInArrow(run, "count long, n long").groupBy("count").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    return asked.groupBy("slot").applyInArrow(run, "slot int, count long, n long")
 
 
-def word_ids(asked: DataFrame, words: Words) -> DataFrame:
-    """Each chunk's word ids, slot by slot."""
+def word_ids(asked: DataFrame, sizes: DataFrame, words: Words) -> DataFrame:
+    """Each chunk's word ids, slot by slot. Words of one count are numbered by slot, then by hash."""
     shared = asked.sparkSession.sparkContext.broadcast(words)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("count").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begin = sizes.select("slot", "count", before.alias("before")).repartition(words.slots, "slot")
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(t: pa.Table, begin: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return _told([])
         m, slot = shared.value, t.column("slot")[0].as_py()
         w, n, places = _totals(t)
         order = np.lexsort((w, -n))
-        new = _new(n[order])
-        rank = np.arange(len(w)) - np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
-        first = m.first[np.searchsorted(-m.count, -n[order])]
+        n = n[order]
+        begin = begin.sort_by([("count", "descending")])
+        count, before = (np.append(begin.column(x).to_numpy(), 0) for x in ("count", "before"))
+        first = m.first[np.searchsorted(-m.count, -n)] + before[np.searchsorted(-count, -n)]
+        rank = np.arange(len(w)) - np.maximum.accumulate(np.where(_new(n), np.arange(len(w)), 0))
         ids = np.empty(len(w), np.int64)
-        ids[order] = np.where(n[order] > 0, first + rank * m.slots + slot, 0)
-        return _told([(c, IDS, slot, [pack(ids[at])]) for c, at in zip(t.column("chunk").to_pylist(), places, strict=True)])
+        ids[order] = np.where(n > 0, first + rank, 0)
+        return _told([(c, IDS, slot, [pack(ids[at]), mark.to_bytes(8, "little", signed=True)]) for c, mark, at in zip(t.column("chunk").to_pylist(), t.column("mark").to_pylist(), places, strict=True)])
+
+    return asked.groupBy("slot").cogroup(begin.groupBy("slot")).applyInArrow(run, TOLD)
+
+
+def _steps(one: np.ndarray, two: np.ndarray) -> list[bytes]:
+    """Two sorted numbers of each row as steps from the row before, of the second where the first one stays."""
+    step = np.diff(one, prepend=0)
+    return [pack(step), pack(np.where((step == 0) & (np.arange(len(one)) > 0), np.diff(two, prepend=0), two))]
+
 
-    return asked.groupBy("slot").applyInArrow(run, TOLD)
+def _stepped(one: bytes, two: bytes) -> tuple[np.ndarray, np.ndarray]:
+    step, two = unpack(one), unpack(two)
+    one = np.cumsum(step)
+    first = np.flatnonzero(_new(one))
+    sums = np.cumsum(two)
+    return one, sums - np.repeat(sums[first] - two[first], np.diff(np.append(first, len(one))))
 
 
 class Chunk:
@@ -254,19 +301,25 @@ class Chunk:
     """
 
     def __init__(self, row: dict, told: list[dict], words: Words):
-        ids = np.concatenate([unpack(x["payload"][0]) for x in told if x["kind"] == IDS])
-        self.lengths, self.train, codes = (unpack(row[x]) for x in ("lengths", "train", "codes"))
-        self.ids, local = np.unique(ids, return_inverse=True)
+        told = [x["payload"] for x in told if x["kind"] == IDS]
+        if {int.from_bytes(x[1], "little", signed=True) for x in told} != {row["mark"]}:
+            raise RuntimeError("the documents were not read in the same order as before")
+        self.lengths, self.train, codes, n, others = (unpack(row[x]) for x in ("lengths", "train", "codes", "counts", "others"))
+        self.ids, local = np.unique(np.concatenate([unpack(x[0]) for x in told])[_by_count(n, others)], return_inverse=True)
         token = local[codes]
         ends = np.cumsum(self.lengths)
         starts, end = ends - self.lengths, token[ends[0] - 1]
         one, two = np.roll(token, 1), np.roll(token, 2)
         one[starts], two[starts] = end, end
         two[starts[self.lengths > 1] + 1] = end
-        self.token, n = token, len(self.ids)
-        contexts, at = np.unique(one * n + two, return_inverse=True)
+        self.token, n = token.astype(np.int32), len(self.ids)
+        two += one * n
+        del one, codes, local
+        contexts, at = np.unique(two, return_inverse=True)
+        del two
         trigrams, at = np.unique(at * n + token, return_inverse=True)
         context, word = np.divmod(trigrams, n)
+        del trigrams
         self.one, self.two = np.divmod(contexts, n)
         pieces = words.pieces(self.ids)
         self.wide = pieces > 1
@@ -276,7 +329,8 @@ class Chunk:
         self.context, self.word, self.slot = context[order], word[order], slot[order]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        self.of_token = place[at]
+        self.of_token = place[at].astype(np.int32)
+        del at, slot, context, word, middle, place
         self.seen = np.bincount(self.of_token, np.repeat(self.train, self.lengths), len(order)).astype(np.int64)
         new = _new(self.slot, self.context)
         self.heads, self.of_head = np.flatnonzero(new), np.cumsum(new) - 1
@@ -292,11 +346,10 @@ class Chunk:
         sizes = np.diff(np.append(self.heads, len(self.word)))
         for lo, hi in _runs(self.slot[self.heads]):
             a, b = self.heads[lo], self.heads[hi] if hi < len(self.heads) else len(self.word)
-            one = ids[self.one[context[lo:hi]]]
-            yield chunk, TRIGRAMS, int(self.slot[a]), [pack(np.diff(one, prepend=0)), pack(ids[self.two[context[lo:hi]]]), pack(sizes[lo:hi]), pack(ids[self.word[a:b]]), pack(self.seen[a:b])]
+            yield chunk, TRIGRAMS, int(self.slot[a]), [*_steps(ids[self.one[context[lo:hi]]], ids[self.two[context[lo:hi]]]), pack(sizes[lo:hi]), pack(ids[self.word[a:b]]), pack(self.seen[a:b])]
         for lo, hi in _runs(self.spread_slot):
             c = self.spread[lo:hi]
-            yield chunk, CONTEXTS, int(self.spread_slot[lo]), [pack(np.diff(ids[self.one[c]], prepend=0)), pack(ids[self.two[c]])]
+            yield chunk, CONTEXTS, int(self.spread_slot[lo]), _steps(ids[self.one[c]], ids[self.two[c]])
 
 
 def asked_trigrams(chunks: DataFrame, ids: DataFrame, words: Words, slots: int) -> DataFrame:
@@ -306,7 +359,7 @@ def asked_trigrams(chunks: DataFrame, ids: DataFrame, words: Words, slots: int)
         row = rows.to_pylist()[0]
         return _told(list(Chunk(row, told.sort_by("slot").to_pylist(), shared.value).asked(row["chunk"])))
 
-    rows = chunks.select("chunk", "lengths", "train", "codes").repartition(slots, "chunk")
+    rows = chunks.select("chunk", "lengths", "train", "codes", "counts", "others", "mark").repartition(slots, "chunk")
     return rows.groupBy("chunk").cogroup(ids.repartition(slots, "chunk").groupBy("chunk")).applyInArrow(run, TOLD).repartition(slots, "slot")
 
 
@@ -318,8 +371,9 @@ def answered(t: pa.Table, words: Words, rules: KatzRules) -> pa.Table:
     """Answers of one slot of the trigram table.
 
     Of each trigram: its count, and where that is 0 the bigram's. Of each head, if its middle word is not spread: its count,
-    how many of its trigrams were seen 1 to k times, the counts of their bigrams added up, how many of these were 1 to k; the
-    last two only where an unseen trigram needs them. So for middle words, with the probabilities of words seen after them.
+    how many tokens of it are of trigrams that were seen more than once, how many trigrams were seen 2 to k times, and the
+    same for the bigrams these trigrams end in, only where an unseen trigram needs them. Of middle words, where needed: how
+    many bigrams were seen 1 to k times, and the probabilities of the words seen after it.
     """
     k, slot = rules.discounted, t.column("slot")[0].as_py()
     rows = t.to_pylist()
@@ -327,17 +381,19 @@ def answered(t: pa.Table, words: Words, rules: KatzRules) -> pa.Table:
     names, kinds = ["chunk", "kind", "slot", "payload", "key", "stats"], [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.int64(), pa.list_(pa.float64())]
     if not asks:
         return _table(passed, names, kinds)
-    parts = [[unpack(x) for x in r["payload"]] for r in asks]
-    head_one, head_two, size, w, seen = (np.concatenate(x) for x in zip(*[(np.cumsum(p[0]), *p[1:]) for p in parts], strict=True))
+    parts = [[*_stepped(*r["payload"][:2]), *map(unpack, r["payload"][2:])] for r in asks]
+    head_one, head_two, size, w, seen = (np.concatenate(x) for x in zip(*parts, strict=True))
     head = np.repeat(np.arange(len(size)), size)
     one, two = head_one[head], head_two[head]
     order = np.lexsort((w, two, one))
-    new = _new(one[order], two[order], w[order])
-    of_record = np.empty(len(order), np.int64)
+    one, two, w = (x[order] for x in (one, two, w))
+    new = _new(one, two, w)
+    of_record = np.empty(len(order), np.int32)
     of_record[order] = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     c3 = _sums(seen[order], first)
-    one, two, w = (x[order][first] for x in (one, two, w))
+    one, two, w = (x[first] for x in (one, two, w))
+    del order, head, seen, new, first
     # Bigrams of the middle word and the last.
     by = np.lexsort((w, one))
     new = _new(one[by], w[by])
@@ -345,6 +401,7 @@ def answered(t: pa.Table, words: Words, rules: KatzRules) -> pa.Table:
     pair_one, pair_w, pair_c = one[by][starts], w[by][starts], _sums(c3[by], starts)
     c2 = np.empty(len(by), np.int64)
     c2[by] = pair_c[np.cumsum(new) - 1]
+    del by, new, w
 
     def low(counts: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         return [_sums((counts == r).astype(np.int64), starts) for r in range(1, k + 1)]
@@ -352,7 +409,10 @@ def answered(t: pa.Table, words: Words, rules: KatzRules) -> pa.Table:
     new = _new(one, two)
     contexts, of_context = np.flatnonzero(new), np.cumsum(new) - 1
     below = np.where(c3 > 0, c2, 0)
-    context_stats = [_sums(c3, contexts), *low(c3, contexts), _sums(below, contexts), *low(below, contexts)]
+    context_stats = []
+    for x in (c3, below):
+        total, (once, *more) = _sums(x, contexts), low(x, contexts)
+        context_stats += [total, total - once, *more]
     new = _new(pair_one)
     middles = np.flatnonzero(new)
     middle_stats = [*low(pair_c, middles), _sums(np.where(pair_c > 0, words.p(pair_w), 0.0), middles)]
@@ -366,7 +426,7 @@ def answered(t: pa.Table, words: Words, rules: KatzRules) -> pa.Table:
     to = words.slot(one[mine], two[mine], np.ones(len(mine), np.int64))
     order = np.argsort(to, kind="stable")
     mine, at, to = mine[order], at[order], to[order]
-    known = [(None, CONTEXTS, int(to[lo]), [pack(np.diff(one[mine[lo:hi]], prepend=0)), pack(two[mine[lo:hi]]), *(pack(x[at[lo:hi]]) for x in context_stats)], None, None) for lo, hi in _runs(to)]
+    known = [(None, CONTEXTS, int(to[lo]), [*_steps(one[mine[lo:hi]], two[mine[lo:hi]]), *(pack(x[at[lo:hi]]) for x in context_stats)], None, None) for lo, hi in _runs(to)]
     answers, done, heads_done = [], 0, 0
     for r, p in zip(asks, parts, strict=True):
         n, heads = len(p[3]), len(p[2])
@@ -382,7 +442,8 @@ def answered(t: pa.Table, words: Words, rules: KatzRules) -> pa.Table:
         first = np.flatnonzero(_new(own_one))
         m = np.searchsorted(pair_one[middles], own_one[first])
         needed = narrow[first] & np.logical_or.reduceat(some, first)
-        of_middles = [np.where(needed, x[m], 0) for x in middle_stats]
+        new_pair = narrow[first] & np.logical_or.reduceat(np.logical_or.reduceat(unseen & (c2[mine] == 0), begin), first)
+        of_middles = [np.where(new_pair if j == k else needed, x[m], 0) for j, x in enumerate(middle_stats)]
         answers.append((r["chunk"], TRIGRAMS, slot, [*map(pack, (c3[mine], np.where(unseen, c2[mine], 0), *of_heads, *of_middles))], None, None))
     return _table(passed + stats + known + answers, names, kinds)
 
@@ -391,9 +452,9 @@ def context_answers(rows: DataFrame, slots: int) -> DataFrame:
     """Adds up what slots know of contexts of spread middle words, and tells the chunks that ask."""
 
     def run(t: pa.Table) -> pa.Table:
-        rows = [(r["chunk"], [unpack(x) for x in r["payload"]]) for r in t.to_pylist()]
+        rows = [(r["chunk"], [*_stepped(*r["payload"][:2]), *map(unpack, r["payload"][2:])]) for r in t.to_pylist()]
         slot = t.column("slot")[0].as_py()
-        one = np.concatenate([np.cumsum(p[0]) for _, p in rows])
+        one = np.concatenate([p[0] for _, p in rows])
         two = np.concatenate([p[1] for _, p in rows])
         order = np.lexsort((two, one))
         new = _new(one[order], two[order])
@@ -417,9 +478,9 @@ class Model:
     spread: dict[int, list[float]]
 
 
-def _weights(total: np.ndarray, low: list[np.ndarray], d: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Factor of seen counts and weight of unseen ones, by a context's count, its low counts, and the lower order's probability of what was seen."""
-    mass = 1 - sum((1 - d[r + 1]) * (r + 1) * x for r, x in enumerate(low)) / np.maximum(total, 1)
+def _weights(total: np.ndarray, off: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Factor of seen counts and weight of unseen ones, by a context's count, what discounts take off it, and the lower order's probability of what was seen."""
+    mass = 1 - off / np.maximum(total, 1)
     # Where discounts leave nothing, one more occurrence of the context is left to unseen words.
     most = 1 - 1 / (total + 1)
     scale = np.where(mass > most, most / np.maximum(mass, 1e-300), 1.0)
@@ -428,36 +489,45 @@ def _weights(total: np.ndarray, low: list[np.ndarray], d: np.ndarray, below: np.
 
 def trigram_scores(c: Chunk, told: list[dict], model: Model, k: int) -> np.ndarray:
     """log10 of the probability of each distinct trigram of a chunk."""
-    parts = [[unpack(x, "<f8" if j == 4 + 3 * k else "<i8") for j, x in enumerate(r["payload"])] for r in told if r["kind"] == TRIGRAMS]
-    got = [np.concatenate(x) for x in zip(*parts, strict=True)]
-    c3, c2, of_heads, of_middles = got[0], got[1], got[2 : 4 + 2 * k], got[4 + 2 * k :]
-    # Statistics by context and by middle word; each stands at one head or middle, unless the word is spread.
-    contexts = np.zeros((2 + 2 * k, len(c.one)), np.int64)
+    trigrams, contexts = ([r["payload"] for r in told if r["kind"] == x] for x in (TRIGRAMS, CONTEXTS))
+    column = lambda rows, j, kind="<i8": np.concatenate([unpack(r[j], kind) for r in rows])
     head_context = c.context[c.heads]
-    narrow = ~c.wide[c.one[head_context]]
-    for x, y in zip(contexts, of_heads, strict=True):
-        x[head_context[narrow]] = y[narrow]
-    asked = [[unpack(x) for x in r["payload"]] for r in told if r["kind"] == CONTEXTS]
-    if asked:
-        contexts[:, c.spread] = [np.concatenate(x) for x in zip(*asked, strict=True)]
+    head_one = c.one[head_context]
+    narrow = ~c.wide[head_one]
+
+    def of_contexts(j: int) -> np.ndarray:
+        """Each context's statistic stands at one head, or comes from the table of contexts."""
+        x = np.zeros(len(c.one), np.int64)
+        x[head_context[narrow]] = column(trigrams, 2 + j)[narrow]
+        if contexts:
+            x[c.spread] = column(contexts, j)
+        return x
+
+    def taken_off(j: int, total: np.ndarray, d: np.ndarray) -> np.ndarray:
+        out = (1 - d[1]) * (total - of_contexts(j + 1))
+        for r in range(2, k + 1):
+            out += (1 - d[r]) * r * of_contexts(j + r)
+        return out
+
+    first = np.flatnonzero(_new(c.slot[c.heads], head_one))
+    of_middle = head_one[first]
+    mine = ~c.wide[of_middle]
     middles = np.zeros((k + 1, len(c.ids)))
-    one = c.one[head_context]
-    first = np.flatnonzero(_new(c.slot[c.heads], one))
-    mine = first[~c.wide[one[first]]]
-    for x, y in zip(middles, of_middles, strict=True):
-        x[one[mine]] = y[~c.wide[one[first]]]
+    for j, x in enumerate(middles):
+        x[of_middle[mine]] = column(trigrams, 4 + 2 * k + j, "<f8" if j == k else "<i8")[mine]
     for j in np.flatnonzero(c.wide):
         middles[:, j] = model.spread.get(int(c.ids[j]), [0.0] * (k + 1))
-    total = model.words.counts(c.ids)
-    scale2, back2 = _weights(total, list(middles[:k]), model.d2, middles[k])
-    below = contexts[1 + k] - sum((1 - model.d2[r]) * r * contexts[1 + k + r] for r in range(1, k + 1))
-    below = below * (scale2 / np.maximum(total, 1))[c.one]
-    scale3, back3 = _weights(contexts[0], list(contexts[1 : 1 + k]), model.d3, below)
+    total2 = model.words.counts(c.ids)
+    scale2, back2 = _weights(total2, sum((1 - model.d2[r]) * r * middles[r - 1] for r in range(1, k + 1)), middles[k])
+    total3, seen = of_contexts(0), of_contexts(1 + k)
+    below = (seen - taken_off(1 + k, seen, model.d2)) * (scale2 / np.maximum(total2, 1))[c.one]
+    scale3, back3 = _weights(total3, taken_off(0, total3, model.d3), below)
+    del seen, below
     d = lambda table, n: table[np.minimum(n, k + 1)] * n
-    middle = c.one[c.context]
+    middle, c3, c2 = c.one[c.context], column(trigrams, 0), column(trigrams, 1)
     p = model.words.p(c.ids)[c.word] * back2[middle]
-    p = np.where(c2 > 0, scale2[middle] * d(model.d2, c2) / np.maximum(total[middle], 1), p)
-    p = np.where(c3 > 0, scale3[c.context] * d(model.d3, c3) / np.maximum(contexts[0][c.context], 1), back3[c.context] * p)
+    p = np.where(c2 > 0, scale2[middle] * d(model.d2, c2) / np.maximum(total2[middle], 1), p)
+    p = np.where(c3 > 0, scale3[c.context] * d(model.d3, c3) / np.maximum(total3[c.context], 1), back3[c.context] * p)
     return np.log10(p)
 
 
@@ -466,11 +536,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     sc, kind, k = docs.sparkSession.sparkContext, dict(docs.dtypes)[id_col], rules.discounted
     train = F.coalesce(crc32_of(id_col) % 10 != 0, F.lit(True)) if train is None else train
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"))
-    chunks = checkpoint(chunk_table(given, kind, rules))
-    slots = max(2 * sc.defaultParallelism, -(-(chunks.agg(F.sum("tokens")).first()[0] or 0) // rules.tokens))
-    asked = checkpoint(asked_words(chunks, slots))
-    words = Words([tuple(r) for r in word_sizes(asked).collect()], slots, rules)
-    ids = checkpoint(word_ids(asked, words))
+    chunks = chunk_table(given, kind, rules)
+    slots = max(2 * sc.defaultParallelism, -(-(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // rules.slot_bytes))
+    asked = asked_words(chunks, slots).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = checkpoint(word_sizes(asked))
+    words = Words([tuple(r) for r in sizes.groupBy("count").agg(F.sum("n")).collect()], slots, rules)
+    ids = checkpoint(word_ids(asked, sizes, words))
+    asked.unpersist()
     shared = sc.broadcast(words)
     answers = checkpoint(asked_trigrams(chunks, ids, words, slots).groupBy("slot").applyInArrow(lambda t: answered(t, shared.value, rules), ANSWERED))
     # As many rows as there are spread middle words, and one.
@@ -493,7 +565,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         sums = [_sums(x, starts) for x in ((count > 0).astype(np.int64)[c.token], base[c.token], trigram_scores(c, told, m, k)[c.of_token])]
         return pa.table([rows.column("ids").combine_chunks()[0].values, c.train == 0, c.lengths, *sums], names=columns)
 
-    rows = chunks.select("chunk", "ids", "lengths", "train", "codes").repartition(slots, "chunk")
+    rows = chunks.select("chunk", "ids", "lengths", "train", "codes", "counts", "others", "mark").repartition(slots, "chunk")
     done = rows.groupBy("chunk").cogroup(told.repartition(slots, "chunk").groupBy("chunk"))
     done = done.applyInArrow(finish, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(words.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -275,7 +275,7 @@ def test_mixing(spark, empty):
 @pytest.mark.parametrize("spread", [10**6, 40, 5])
 def test_katz(spark, docs, empty, spread):
     """Whatever the chunks and slots, and wherever middle words are spread, the scores are those of the whole model."""
-    got = {r["doc_id"]: r for r in katz.score(docs, rules=katz.KatzRules(chunk_docs=7, tokens=500, spread=spread)).collect()}
+    got = {r["doc_id"]: r for r in katz.score(docs, rules=katz.KatzRules(chunk_docs=7, slot_bytes=900, spread=spread)).collect()}
     tokens = {r["doc_id"]: [*pieces(r["text"]), b""] for r in docs.collect()}
     train = {i for i in tokens if zlib.crc32(str(i).encode()) % 10}
     before = lambda w: zip([b"", b"", *w[:-2]][: len(w)], [b"", *w[:-1]], w, strict=True)
@@ -332,7 +332,7 @@ def test_katz_of_repeated_and_null_ids(spark):
     """Each row is a text of its own; a null id is training."""
     rows = [(None, "a b c a b d"), (None, "a b c a b d"), (3, None), (3, "a b e"), (5, "x " * 400)]
     given = spark.createDataFrame(rows, "doc_id long, text string")
-    got = katz.score(given, rules=katz.KatzRules(tokens=50, spread=20)).collect()
+    got = katz.score(given, rules=katz.KatzRules(slot_bytes=300, spread=20)).collect()
     assert sorted(r["n_tokens"] for r in got) == [1, 4, 7, 7, 401]
     assert all(not r["held_out"] for r in got if r["doc_id"] is None) and all(math.isfinite(r["score"]) for r in got)
     none = katz.score(given, train=F.lit(False)).collect()
