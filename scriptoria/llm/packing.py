@@ -36,14 +36,16 @@ PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long"
 class Packing:
     """capacity: tokens of a sequence. end: id after each text. nodes: fillings tried before the incumbent is taken.
 
-    fillings: most fillings kept per node. group: pieces of one length that one task ranks, about.
+    fillings: most fillings kept per node. tries: most pairs of pieces beside the largest for which a third is looked for.
+    group: pieces of one length that one task ranks, about.
     """
 
     capacity: int = 1024
     end: int = 2
     nodes: int = 3_000
     fillings: int = 6
-    group: int = 200_000
+    tries: int = 500
+    group: int = 50_000
 
 
 class TokenIds:
@@ -158,7 +160,7 @@ def least_bins(counts: list[int], capacity: int) -> int:
     return best
 
 
-def fillings(left: list[int], largest: int, capacity: int, most: int) -> list[tuple[int, ...]]:
+def fillings(left: list[int], largest: int, capacity: int, most: int, tries: int = Packing.tries) -> list[tuple[int, ...]]:
     """Undominated fillings of the room beside the largest piece, least waste first.
 
     A filling is dominated if another one replaces some of its pieces by one that is as long as they are together, or if
@@ -192,9 +194,9 @@ def fillings(left: list[int], largest: int, capacity: int, most: int) -> list[tu
         a = longest(a - 1, base)
     if max(found) < room:
         a, tried = one, 0
-        while a > 0 and 3 * a > max(found) and room not in found and tried < 500:
+        while a > 0 and 3 * a > max(found) and room not in found and tried < tries:
             b = longest(min(a, room - a), (*base, a))
-            while b > 0 and a + 2 * b > max(found) and room not in found and tried < 500:
+            while b > 0 and a + 2 * b > max(found) and room not in found and tried < tries:
                 tried += 1
                 c = longest(min(b, room - a - b), (*base, a, b))
                 if c and a + b + c > max(found):
@@ -227,7 +229,7 @@ def plan(counts: list[int], packing: Packing = Packing()) -> list[tuple[tuple[in
 
     def down(waste: int) -> None:
         largest = next((x for x in range(path[-1][0][0] if path else capacity, 0, -1) if left[x]), 0)
-        stack.append((fillings(left, largest, capacity, packing.fillings)[::-1] if largest else [], waste))
+        stack.append((fillings(left, largest, capacity, packing.fillings, packing.tries)[::-1] if largest else [], waste))
 
     if bins > goal:
         down(0)
@@ -284,10 +286,8 @@ def pack(docs: DataFrame, encoder: tuple[str, str, str] | None = None, packing:
     tables = {x: np.array(rows, np.int64).T for x, rows in places.items()}
 
     # Ranks within a length: a window per group of a length, and the groups' sizes summed up before it.
-    groups = F.lit(1)
-    for x, n in enumerate(counts):
-        if n > packing.group:
-            groups = F.when(F.col("length") == x, -(-n // packing.group)).otherwise(groups)
+    sizes = ",".join(str(max(1, -(-n // packing.group))) for n in counts[1:])
+    groups = F.element_at(F.split(F.lit(sizes), ",").cast("array<long>"), F.col("length").cast("int"))
     short = pieces.where(F.col("length") < size).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), groups))
     sums = short.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = sums.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
