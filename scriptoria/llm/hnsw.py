@@ -2,9 +2,12 @@
 
 Rows with the same label and vector count once. A label's distinct vectors are dealt into shards by a hash, as many as
 keep a shard below its size; each shard is one graph, held by one task. Every vector is a query to every shard of its
-label. A beam that holds nothing but links may have left some out: such queries scan their shard instead. A sample of
-each shard's queries is also answered by a scan; while too few of its links are found, the beam is doubled. Found pairs
-are verified in double precision. A query tells how many vectors it is linked to, and pairs enough to connect them.
+label. A beam that holds nothing but links may have left some out: such queries scan their shard instead. Each shard
+audits its beam: queries, its own members' and other shards' alike, are answered by a scan as well, until enough links
+are seen, then one block of queries in some; while too few of all links seen, other than those of vectors with themselves,
+are found by the beam, it is doubled. Scanned queries keep the scan's links. The share that all beams found is a column
+of the result. Found pairs are verified in double precision. A query tells how many vectors it is linked to, and pairs
+enough to connect them.
 
 Vectors that are null, zero or have null or non-finite components, and rows without a label, link with nothing: each is
 its own component. Equal rows are separate vectors, linked to each other. Vectors of different length do not link. Other
@@ -29,15 +32,18 @@ from scriptoria.llm.simhash import Forest
 @dataclass(frozen=True)
 class Beams:
     """cosine: of a link. shard: vectors of a shard, about. links: neighbours per node above the ground layer, twice as
-    many on it. build, search: beam widths; search is doubled up to the shard's size until of audit queries the share
-    recall of all links is found. batch: queries answered side by side."""
+    many on it. build, search: beam widths; search is doubled up to the shard's size until of the audited links the share
+    recall is found. batch: queries answered side by side. audit: links that a shard audits before it goes on to one batch
+    in every; tries: queries after which it does so anyway."""
 
     cosine: float = 0.98
-    shard: int = 8_000
+    shard: int = 20_000
     links: int = 12
     build: int = 48
     search: int = 32
     audit: int = 64
+    tries: int = 2_048
+    every: int = 16
     recall: float = 0.98
     batch: int = 512
 
@@ -173,6 +179,7 @@ class Shard:
         self.graph = Graph(self.unit.astype(np.float32), beams)
         self.width = beams.search
         self.forest = Forest(len(ids))
+        self.wanted = self.found = self.tried = self.turn = 0
 
     def _scan(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows, cols = [], []
@@ -191,25 +198,34 @@ class Shard:
         again, found = self._scan(unit[full])
         return np.concatenate([r, full[again]]), np.concatenate([ids[r, c], found])
 
-    def audit(self, unit: np.ndarray) -> None:
-        """Widens the beam until the sample's links are found."""
+    def audited(self, ids: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of query row and member by a scan. The beam is widened while it finds too few of all links audited so far."""
         r, c = self._scan(unit)
-        wanted = set(zip(r.tolist(), c.tolist(), strict=True))
-        while self.width < len(self.ids):
-            found = wanted & set(zip(*(x.tolist() for x in self._beam(unit)), strict=True))
-            if len(found) >= self.beams.recall * len(wanted):
+        other = ids[r] != self.ids[c]
+        wanted = set(zip(r[other].tolist(), c[other].tolist(), strict=True))
+        self.wanted, self.tried = self.wanted + len(wanted), self.tried + len(unit)
+        while True:
+            found = len(wanted & set(zip(*(x.tolist() for x in self._beam(unit)), strict=True)))
+            if self.found + found >= self.beams.recall * self.wanted or self.width >= len(self.ids):
                 break
             self.width *= 2
+        self.found += found
+        return r, c
 
-    def links(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def links(self, ids: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Verified pairs of query row and member."""
-        r, c = self._beam(unit)
+        early = self.wanted < self.beams.audit and self.tried < self.beams.tries
+        r, c = self.audited(ids, unit) if early or self.turn % self.beams.every == 0 else self._beam(unit)
+        self.turn += 1
         cosine = np.einsum("ij,ij->i", unit[r], self.unit[c])
         return r[cosine >= self.beams.cosine], c[cosine >= self.beams.cosine]
 
 
 def answers(batches: Iterator[pa.RecordBatch], beams: Beams = Beams()) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, is_query, id, copies, vector) by shard, members first. Out: (a, b, n): n links of a, or a pair if b is not null."""
+    """Rows (shard, is_query, id, copies, vector) by shard, members first.
+
+    Out: (a, b, n): n links of a, or a pair if b is not null; if a is null, the audit wanted b links and found n of them.
+    """
     shard, now, count = None, None, [[], [], []]
 
     def batch_of(a, b, n) -> pa.RecordBatch:
@@ -218,7 +234,8 @@ def answers(batches: Iterator[pa.RecordBatch], beams: Beams = Beams()) -> Iterat
     def answer(ids: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         for at in range(0, len(ids), beams.batch):
-            mine, r, c = ids[at : at + beams.batch], *shard.links(unit[at : at + beams.batch])
+            mine = ids[at : at + beams.batch]
+            r, c = shard.links(mine, unit[at : at + beams.batch])
             r, c = r[mine[r] != shard.ids[c]], c[mine[r] != shard.ids[c]]
             n = np.bincount(r, shard.copies[c], len(mine)).astype(np.int64)
             some = np.flatnonzero(n)
@@ -241,7 +258,6 @@ def answers(batches: Iterator[pa.RecordBatch], beams: Beams = Beams()) -> Iterat
         nonlocal shard
         if count[0]:
             shard = Shard(np.concatenate(count[0]), np.concatenate(count[2]), np.concatenate(count[1]), beams)
-            shard.audit(shard.unit[: beams.audit])
         for x in count:
             x.clear()
 
@@ -253,6 +269,8 @@ def answers(batches: Iterator[pa.RecordBatch], beams: Beams = Beams()) -> Iterat
                 continue
             x = np.array(batch.column(4).slice(lo, hi - lo).to_pylist(), np.float64)
             if key[lo] != now:
+                if shard is not None:
+                    yield batch_of([None], [shard.wanted], [shard.found])
                 now, shard = key[lo], None
                 for y in count:
                     y.clear()
@@ -264,12 +282,15 @@ def answers(batches: Iterator[pa.RecordBatch], beams: Beams = Beams()) -> Iterat
                     close()
                 if shard is not None:
                     yield from answer(ids[lo:hi], x)
+    if shard is not None:
+        yield batch_of([None], [shard.wanted], [shard.found])
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", beams: Beams = Beams()) -> DataFrame:
-    """Per row: the id, n_links, component_id and kept."""
+    """Per row: the id, n_links, component_id, kept and recall: the share of audited links that beams found, null if there were none."""
     x = F.col("v")
-    given = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
+    kind = "array<float>" if dict(rows.dtypes)[vector_col] == "array<float>" else "array<double>"
+    given = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast(kind).alias("v"), F.col(label_col).alias("label"))
     number = lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf"))
     fit = F.coalesce(F.col("label").isNotNull() & (F.size(x) > 0) & F.forall(x, number) & F.exists(x, lambda y: y != 0), F.lit(False))
     given = given.withColumn("key", F.when(fit, F.xxhash64("label", "v")))
@@ -284,15 +305,17 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * rows.sparkSession.sparkContext.defaultParallelism)
     asked = members.union(queries).repartition(parts, "shard").sortWithinPartitions("shard", "is_query", "id")
     found = checkpoint(asked.mapInArrow(lambda b: answers(b, beams), "a long, b long, n long"))
+    audit = found.where(F.col("a").isNull()).agg(F.sum("b").alias("wanted"), F.sum("n").alias("found")).first()
+    recall = F.lit(audit["found"] / audit["wanted"] if audit["wanted"] else None).cast("double")
     counts = found.where(F.col("b").isNull()).groupBy("a").agg(F.sum("n").alias("n"))
-    joined = components(found.where(F.col("b").isNotNull()).select("a", "b"))
+    joined = components(found.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b"))
     named = distinct.select("key", "first", "copies").join(joined, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("first").alias("least"))
     named = named.join(least, "component").join(counts, F.col("key") == F.col("a"), "left")
     named = named.select(F.col("key").alias("of"), "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = given.select("id", "key").join(named, F.col("key") == F.col("of"), "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))).withColumn("recall", recall)
 
 
 def op9_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
