@@ -28,19 +28,20 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class ParseRules:
-    """The labelled sample of a language has at most sample_docs documents, doc_chars code points of each and sample_chars
-    in all; that of all languages has total_chars, or least_chars of each where they are so many. Every labelled language
-    has a model. cells: of the table of common letters' moves, at most.
+    """The labelled sample of a language has at most sample_rows rows and sample_chars code points; a row is a labelled
+    document, or one of its pieces of row_chars code points if it is longer. That of all languages has total_chars, or
+    least_chars of each where they are so many. Every labelled language has a model. cells: of the table of common letters'
+    moves, at most, of four bytes each; other letters' moves are searched.
 
     window: code points parsed side by side. sharpness: how fast the score falls with the runner-up's phrases.
     """
 
-    sample_docs: int = 200
-    doc_chars: int = 2_000
+    sample_rows: int = 200
+    row_chars: int = 2_000
     sample_chars: int = 60_000
     total_chars: int = 400_000
     least_chars: int = 2_000
-    cells: int = 80_000_000
+    cells: int = 40_000_000
     window: int = 1024
     sharpness: float = 20.0
 
@@ -251,12 +252,15 @@ def predict(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: s
 def labelled_sample(docs: DataFrame, rules: ParseRules = ParseRules()) -> dict[str, str]:
     """Text per language from training documents (crc32 of the id, mod 3, is not 1), bounded by the rules.
 
-    The documents with the smallest hashes of their ids are taken; finding them reads no text.
+    Rows with the smallest hashes of id and piece are taken, from anywhere in the texts.
     """
-    train = docs.where((crc32_of("doc_id") % 3 != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("key", F.xxhash64("doc_id", F.lit(10)))
-    ranked = train.select("lang", "key", F.row_number().over(Window.partitionBy("lang").orderBy("key")).alias("rank")).where(F.col("rank") <= rules.sample_docs)
+    train = docs.where((crc32_of("doc_id") % 3 != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    last = F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / rules.row_chars).cast("int")
+    train = train.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("key", F.xxhash64("doc_id", "piece", F.lit(10)))
+    ranked = train.select("lang", "key", F.row_number().over(Window.partitionBy("lang").orderBy("key")).alias("rank")).where(F.col("rank") <= rules.sample_rows)
     limits = ranked.groupBy("lang").agg(F.max("key").alias("last"))
-    picked = train.join(F.broadcast(limits), "lang").where(F.col("key") <= F.col("last")).select("lang", "key", F.substring("text", 1, rules.doc_chars).alias("text"))
+    picked = train.join(F.broadcast(limits), "lang").where(F.col("key") <= F.col("last"))
+    picked = picked.select("lang", "key", F.substring(F.col("text"), F.col("piece") * rules.row_chars + 1, F.lit(rules.row_chars)).alias("text"))
     most = min(rules.sample_chars, max(rules.least_chars, rules.total_chars // max(limits.count(), 1)))
     before = Window.partitionBy("lang").orderBy("key", "text").rowsBetween(Window.unboundedPreceding, -1)
     picked = picked.withColumn("have", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).where(F.col("have") < most)
