@@ -13,7 +13,7 @@ and scanned by hash of all 100 bytes. What is found are removed strings by docum
 
 Hashes are of 64 and 128 bits: equality of strings means equality of both. Positions are bytes of UTF-8. A null text is
 empty. Rows that share an id are one document where their texts are equal, each getting its result; with different texts
-they are ordered by start. Null ids come first. Other columns are ignored, so their names cannot clash. An empty table
+they are ordered by start. Rows without an id come first, each text of them a document of its own. Other columns are ignored, so their names cannot clash. An empty table
 gives no rows.
 """
 
@@ -34,7 +34,7 @@ from scriptoria.llm.common import checkpoint, table
 
 #: A positional hash is a sum of bytes times powers of an odd number, which has an inverse modulo 2**64.
 FACTOR = 0x9E3779B97F4A7C15 | 1
-NO_ID = -(2**63)
+
 
 
 @dataclass(frozen=True)
@@ -144,21 +144,26 @@ class LevelledIndex:
             at = np.searchsorted(level[0], own[0])
             keep = np.ones(len(own[0]), bool)
             todo = np.flatnonzero(at < len(level[0]))
-            while len(todo):  # runs of one gram stand side by side
-                todo = todo[level[0][at[todo]] == own[0][todo]]
-                hit = todo[level[1][at[todo]] == own[1][todo]]
-                k = at[hit]
-                later = (own[2][hit] > level[2][k]) | ((own[2][hit] == level[2][k]) & (own[3][hit] > level[3][k]))
-                equal = (own[2][hit] == level[2][k]) & (own[3][hit] == level[3][k])
-                out.append([x[hit[later]] for x in own[2:]])
-                first = hit[~later & ~equal]
-                out.append([x[at[first]].copy() for x in level[2:]])
-                for x, y in zip(level[2:], own[2:], strict=True):
-                    x[at[first]] = y[first]
-                keep[hit] = False
-                todo = todo[level[1][at[todo]] < own[1][todo]]
-                at[todo] += 1
-                todo = todo[at[todo] < len(level[0])]
+            todo = todo[level[0][at[todo]] == own[0][todo]]
+            # Runs of one gram stand side by side, in order: a search by halves among them.
+            low, high = at[todo], np.searchsorted(level[0], own[0][todo], side="right")
+            while (low < high).any():
+                half = np.minimum((low + high) // 2, len(level[0]) - 1)
+                less = (low < high) & (level[1][half] < own[1][todo])
+                high = np.where((low < high) & ~less, half, high)
+                low = np.where(less, half + 1, low)
+            inside = low < len(level[0])
+            todo, low = todo[inside], low[inside]
+            same = (level[0][low] == own[0][todo]) & (level[1][low] == own[1][todo])
+            hit, k = todo[same], low[same]
+            later = (own[2][hit] > level[2][k]) | ((own[2][hit] == level[2][k]) & (own[3][hit] > level[3][k]))
+            equal = (own[2][hit] == level[2][k]) & (own[3][hit] == level[3][k])
+            out.append([x[hit[later]] for x in own[2:]])
+            first, place = hit[~later & ~equal], k[~later & ~equal]
+            out.append([x[place].copy() for x in level[2:]])
+            for x, y in zip(level[2:], own[2:], strict=True):
+                x[place] = y[first]
+            keep[hit] = False
             own = [x[keep] for x in own]
         self.levels.append(own)
         while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) >= len(self.levels[-2][0]):
@@ -192,6 +197,11 @@ def _mark(data: bytes) -> int:
     return xxhash.xxh32_intdigest(data)
 
 
+def _key(i: int | None, data: bytes) -> int:
+    """A document's number: its id, or a number from the lowest quarter by its text."""
+    return xxhash.xxh64_intdigest(data) // 4 - 2**63 if i is None else i
+
+
 def index_texts(batches: Iterator[pa.RecordBatch], rules: Repeats) -> Iterator[pa.RecordBatch]:
     """(id, text) to entries: the tasks' levels and the runs that lost in them."""
     powers, index = Powers(), LevelledIndex()
@@ -217,10 +227,10 @@ def index_texts(batches: Iterator[pa.RecordBatch], rules: Repeats) -> Iterator[p
     for batch in batches:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             data = (text.as_py() or "").encode()
-            mark = _mark(data)
+            mark, key = _mark(data), _key(i, data)
             for shift in range(0, max(1, len(data) - rules.length + 1), 8 * rules.batch):
                 piece = data[shift : shift + 8 * rules.batch + rules.length - 1]
-                docs.append(NO_ID if i is None else i)
+                docs.append(key)
                 texts.append(piece)
                 shifts.append(shift)
                 marks.append(mark)
@@ -375,13 +385,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            key = [NO_ID if x is None else x for x in batch.column(0).cast(pa.int64()).to_pylist()]
-            packed = [tool.compress((t.as_py() or "").encode()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), batch.column(0), pa.array(packed, pa.binary())], names=["key", "id", "packed"])
-
-    packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(pack, f"key long, id {kind}, packed binary")
-    by_doc = lambda x, *c: x.groupBy("doc").agg(F.collect_list(F.struct("at", "n", *c)).alias("places"))  # noqa: E731  no more than a document has bytes
-    opened = packed.join(by_doc(found.where("open"), "gram"), F.col("key") == F.col("doc")).select("doc", "packed", "places")
+            key, mark, packed = [], [], []
+            for i, text in zip(batch.column(0).cast(pa.int64()).to_pylist(), batch.column(1), strict=True):
+                data = (text.as_py() or "").encode()
+                for held, x in zip((key, mark, packed), (_key(i, data), _mark(data), tool.compress(data)), strict=True):
+                    held.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(mark, pa.int64()), batch.column(0), pa.array(packed, pa.binary())], names=["key", "mark", "id", "packed"])
+
+    packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(pack, f"key long, mark long, id {kind}, packed binary")
+    # By id and text, so that rows which share an id do not share a key; no more places than a document has bytes.
+    of_text = F.col("at").bitwiseAND(0xFFFFFFFF).alias("of")
+    by_doc = lambda x, *c: x.groupBy("doc", of_text).agg(F.collect_list(F.struct("at", "n", *c)).alias("places"))
+    own = (F.col("key") == F.col("doc")) & (F.col("mark") == F.col("of"))
+    opened = packed.join(by_doc(found.where("open"), "gram"), own).select("doc", "packed", "places")
     near = opened.mapInArrow(lambda b: contexts(b, rules), "gram long, doc long, at long, n int, bytes binary")
     strings = near.repartition("gram").sortWithinPartitions("gram", "doc", "at").mapInArrow(lambda b: compare(b, rules), ENTRY)
     strings = checkpoint(strings)
@@ -406,7 +422,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(rows, kinds, strict=True))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out = packed.join(gone, F.col("key") == F.col("doc"), "left").select("id", "packed", "places")
+    out = packed.join(gone, own, "left").select("id", "packed", "places")
     out = out.mapInArrow(finish, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return (out if keep_text else out.drop("kept")).withColumnRenamed("id", id_col)
 
