@@ -2,8 +2,8 @@
 
 Each block element's subtree is hashed: its tag, its text and its children's hashes. Spark counts on how many different
 pages of a host each hash stands; copies of a page count once, so that a page's own text is no template because the page
-was fetched often. Subtrees on many pages of the host are deleted, except plain prose inside an article, which may repeat
-by chance. Elements that say what they are (menus, headers, footers, forms, adverts, comments and so on) go as well. What
+was fetched often. Subtrees on many pages of the host are deleted; plain prose inside an article, which may repeat by
+chance, only if it is on most of them. Elements that say what they are (menus, headers, footers, forms, adverts, comments and so on) go as well. What
 is left of the articles, or of the main element or the body where there is none, is the text.
 
 A null or empty html gives an empty text. Equal rows get equal texts. A page without a host is of the host ''. Broken
@@ -60,13 +60,16 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 @dataclass(frozen=True)
 class Templates:
-    """A subtree is a template if it is on pages or more different pages of the host, and on share or more of them.
+    """A subtree is a template if it is on pages or more different pages of the host, and on share or more of them or on enough
+    pages, however many the host has. Prose inside an article is one if it is on pages or more and on most of them.
 
     broadcast: template hashes up to which all tasks get them; with more of them they are joined to the pages.
     """
 
     pages: int = 8
     share: float = 0.1
+    enough: int = 50
+    most: float = 0.5
     broadcast: int = 200_000
 
 
@@ -187,16 +190,24 @@ def _start(root: Node) -> list[Node]:
     return [root]
 
 
+#: Prose inside an article is counted apart from the same block elsewhere.
+INSIDE = 1 << 63
+
+
+def _key(x: Node, inside: bool) -> int:
+    return (x.hash | INSIDE) if inside and x.tag in PROSE else x.hash & ~INSIDE
+
+
 def subtrees(root: Node) -> set[int]:
-    """Hashes of the subtrees that may be templates: blocks that are no furniture by name, hold no article and have text."""
+    """Keys of the subtrees that may be templates: blocks that are no furniture by name, hold no article and have text."""
     out, todo = set(), [(x, x.tag in ("article", "main")) for x in _start(root)]
     while todo:
         x, inside = todo.pop()
         for y in x.items:
             if isinstance(y, str) or _furniture(y, inside):
                 continue
-            if y.tag in BLOCK and not y.holds and y.tag not in ("html", "body", "article", "main") and not (inside and y.tag in PROSE):
-                out.add(y.hash)
+            if y.tag in BLOCK and not y.holds and y.tag not in ("html", "body", "article", "main"):
+                out.add(_key(y, inside))
             todo.append((y, inside or y.tag in ("article", "main")))
     return out
 
@@ -226,7 +237,7 @@ def text_of(root: Node, templates) -> str:
                 block = x.tag in BLOCK
                 if block:
                     flush()
-                if _furniture(x, inside) or (block and not x.holds and not (inside and x.tag in PROSE) and x.hash in templates):
+                if _furniture(x, inside) or (block and not x.holds and x.tag not in ("html", "body", "article", "main") and _key(x, inside) in templates):
                     continue
                 if block:
                     todo.append((None, inside))
@@ -264,7 +275,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     seen = own.select("host", "copy", "html").mapInArrow(hashes, "host string, copy long, subtree long").distinct()
     sites = own.groupBy("host", "copy").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("all"))
     often = seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).where((F.col("n") >= rules.pages) & (F.col("subtree") != 0))
-    often = often.join(sites, "host").where(F.col("n") >= rules.share * F.col("all")).select("host", "subtree")
+    bar = F.when(F.col("subtree") < 0, rules.most * F.col("all")).otherwise(F.least(rules.share * F.col("all"), F.lit(float(rules.enough))))
+    often = often.join(sites, "host").where(F.col("n") >= bar).select("host", "subtree")
     first = often.limit(rules.broadcast + 1).collect()
     columns = "id {}, url string, text string, n_chars long".format(kind)
 
