@@ -1,7 +1,9 @@
 """Secret scans in SQL expressions: fixed patterns, and character Markov models that tell random strings from identifiers.
 
-Two bigram models are trained from labelled samples, one of random strings and one of ordinary identifiers. A run of
-token characters is a secret of kind ``markov`` if its log-likelihood ratio is high enough in total and per character.
+Two bigram models are trained from labelled samples, one of random strings and one of ordinary identifiers. Of each run of
+token characters the stretch with the highest log-likelihood ratio is judged, so that ordinary characters joined to it do
+not hide it: it is a secret of kind ``markov`` if its ratio is high enough in total and per character. The span reaches to
+the next separator (one of / _ = -) on both sides.
 
 Null and empty texts have no spans. Positions are code points, ends exclusive. Equal rows get equal spans, each on its
 own row. Other columns of the input are ignored, so their names cannot clash.
@@ -31,6 +33,8 @@ ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 #: Characters that the models tell apart; all others are one.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
+#: Numbers above this are separators: / _ = -
+SEPARATED = ALPHABET.index("+") + 1
 
 #: Words of ordinary identifiers, for the samples below.
 ORDINARY = (
@@ -48,10 +52,10 @@ ORDINARY = (
 
 @dataclass(frozen=True)
 class SecretRules:
-    """min_chars: shorter runs are not judged. total, each: least log-likelihood ratio of the run and per character."""
+    """min_chars: shorter runs are not judged. total, each: least log-likelihood ratio of the stretch and per character."""
 
-    min_chars: int = 20
-    total: float = 12.0
+    min_chars: int = 16
+    total: float = 16.0
     each: float = 0.6
 
 
@@ -109,6 +113,32 @@ def train(samples: DataFrame) -> list[float]:
     return [round(r - o, 6) for r, o in zip(log_p(True), log_p(False), strict=True)]
 
 
+def stretch(value: Column, ratio: Column, rules: SecretRules) -> Column:
+    """The span (start, end) of the stretch with the highest ratio, widened to separators, or null if it is no secret."""
+    # sum: of the best stretch that ends here, which begins at start; cut: where the part between separators begins.
+    first = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("last"), F.lit(0).alias("cut"), F.lit(0.0).alias("sum"), F.lit(0).alias("start"), F.lit(0).alias("wide"), F.lit(0.0).alias("best"), F.lit(0).alias("low"), F.lit(0).alias("from"), F.lit(0).alias("end"))
+
+    def step(acc, x):
+        gain = F.when(acc["last"] < 0, F.lit(0.0)).otherwise(F.element_at(ratio, acc["last"] * SIZE + x + 1))
+        go_on = acc["sum"] > 0
+        total = F.when(go_on, acc["sum"]).otherwise(F.lit(0.0)) + gain
+        # A pair of characters begins at the first of them.
+        before = F.greatest(acc["at"] - 1, F.lit(0))
+        start, wide = F.when(go_on, acc["start"]).otherwise(before), F.when(go_on, acc["wide"]).otherwise(F.least(acc["cut"], before))
+        better = total > acc["best"]
+        return F.struct(
+            (acc["at"] + 1).alias("at"), x.alias("last"), F.when(x > SEPARATED, acc["at"] + 1).otherwise(acc["cut"]).alias("cut"), total.alias("sum"), start.alias("start"), wide.alias("wide"),
+            F.when(better, total).otherwise(acc["best"]).alias("best"), F.when(better, start).otherwise(acc["low"]).alias("low"), F.when(better, wide).otherwise(acc["from"]).alias("from"), F.when(better, acc["at"] + 1).otherwise(acc["end"]).alias("end"),
+        )
+
+    def judged(acc):
+        rest = F.length(F.regexp_extract(F.substring(value, acc["end"] + 1, F.length(value)), "^[A-Za-z0-9+]*", 0))
+        secret = (acc["best"] >= rules.total) & (acc["best"] >= rules.each * (acc["end"] - acc["low"])) & (acc["end"] - acc["low"] >= rules.min_chars)
+        return F.when(secret, F.struct(acc["from"].alias("start"), (acc["end"] + rest).alias("end")))
+
+    return F.aggregate(_codes(value), first, step, judged)
+
+
 def _walk(text: Column, pattern: str, keep, made, group: int = 0) -> Column:
     """Spans of the pattern's matches, left to right: what lies between matches and the matches give their places."""
     gaps = F.split(text, F.lit(pattern), -1)
@@ -145,14 +175,11 @@ def find_spans(text: Column, weights: list[float], rules: SecretRules = SecretRu
     )
     ratio = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<double>")
 
-    def random(value: Column) -> Column:
-        c = _codes(value)
-        scored = F.aggregate(c, F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")), lambda acc, x: F.struct(x.alias("last"), (acc["sum"] + F.when(acc["last"] < 0, F.lit(0.0)).otherwise(F.element_at(ratio, acc["last"] * SIZE + x + 1))).alias("sum")), lambda acc: acc["sum"])
-        return (scored >= rules.total) & (scored >= rules.each * F.length(value))
-
     runs = r"[A-Za-z0-9+/_=-]{%d,}" % rules.min_chars
-    added = F.when(text.rlike(runs), _walk(text, runs, random, _span("markov"))).otherwise(none)
-    return F.array_sort(base), added
+    found = _walk(text, runs, lambda v: F.lit(True), _span("markov"))
+    judged = F.transform(found, lambda x: F.struct(x["start"].alias("at"), stretch(F.substring(text, x["start"] + 1, x["end"] - x["start"]), ratio, rules).alias("own")))
+    made = F.transform(F.filter(judged, lambda x: x["own"].isNotNull()), lambda x: F.struct((x["at"] + x["own"]["start"]).alias("start"), F.lit(KINDS.index("markov")).alias("kind"), (x["at"] + x["own"]["end"]).alias("end")))
+    return F.array_sort(base), F.when(text.rlike(runs), made).otherwise(none)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: DataFrame | None = None, rules: SecretRules = SecretRules()) -> DataFrame:
