@@ -2,28 +2,44 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-#: Entities that are replaced, the ampersand last so that nothing is decoded twice.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-LINE_TAGS = r"(?i)<br[^>]*>|</(?:p|div|h[1-6]|li|tr)>"
+#: Scripts and styles, what ends a line in a page, and tags.
+HIDDEN, LINE_TAGS, TAGS = r"(?is)<(script|style)[^>]*>.*?</\1>", r"(?i)<br\s*/?>|</p>|</div>|</h\d>|</li>|</tr>", r"<[^>]+>"
 ACCENTS = ("áàâäãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc")
-#: Heads of numbered articles, and the parts of a law that contain them.
-ARTICLE = r"(?m)^[ \t]*(?:ART[IÍ]CULO|Art[ií]culo|ART\.|Art\.)[ \t]+(\d+(?:[ \t]*(?:bis|ter|quater|quáter|quinquies))?)[°º]?[ \t]*[.:–-]*"
-HEADING = r"(?m)^[ \t]*(LIBRO|T[IÍ]TULO|CAP[IÍ]TULO|SECCI[OÓ]N|PARTE)[ \t]+([IVXLC]+|\d+|[A-ZÁÉÍÓÚ]+)([^\n,]{0,60})$"
-NOTE = r"\(?(?:Art[ií]culo|Inciso|P[aá]rrafo)\s+(?:sustituid|incorporad|derogad|modificad)[oa]|\bNota\b"
-ITEM = r"(?:\d+[).]|[a-zñ][).]|[IVX]+\.|[-–•])"
+#: Suffixes of article numbers, heads of articles, headings above them, and where editors' notes begin.
+SUFFIX = r"(?:\s*(?:bis|ter|qu[aá]ter|quinquies|sexies|septies|octies|nonies|decies))?"
+NAME = r"(?:ART[IÍ]CULO|Art[ií]culo|Art\.)"
+ARTICLE = r"(?:\A|\n|(?<=[.;:]) )\s*" + NAME + r"\s+(\d+" + SUFFIX + r")\s*[º°o]?\s*[.:\-–—]+\s*"
+HEADING = (
+    r"(?m)^\s*(LIBRO|Libro|T[IÍ]TULO|T[ií]tulo|CAP[IÍ]TULO|Cap[ií]tulo|SECCI[OÓ]N|Secci[oó]n|PARTE)\s+(?:[IVXLC]+\b|\d+"
+    r"|PRIMER[OA]?|SEGUND[OA]|TERCER[OA]?|CUART[OA]|QUINT[OA]|SEXT[OA]|S[ÉE]PTIM[OA]|OCTAV[OA]|NOVEN[OA]|D[ÉE]CIM[OA]|[ÚU]NIC[OA]"
+    r"|Primer[oa]?|Segund[oa]|Tercer[oa]?|Cuart[oa]|Quint[oa]|[ÚU]nic[oa])(?![^\n]*,)[^\n]{0,60}$"
+)
+NOTE = r"\n\s*\(?\s*(?:Art[íi]culo sustituido|Art[íi]culo incorporado|Nota Infoleg|Expresi[óo]n sustituida)"
+ITEM = r"(?:\d+\s*[º°)\-.]|[a-zñ]\s*[).]\s|[IVX]+\s*[.)\-]|[-–—•])"
+
+
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def unescaped(c: Column) -> Column:
+    """All character references decoded, as HTML 5 names them; texts without an ampersand stay in the JVM."""
+    return F.when(F.contains(c, F.lit("&")), _unescaped(F.when(F.contains(c, F.lit("&")), c))).otherwise(c)
 
 
 def html_to_text(c: Column) -> Column:
-    """Scripts and styles go with their content, ends of blocks become lines, other tags blanks; entities, then white space."""
-    s = F.regexp_replace(c, r"(?is)<script.*?</script>|<style.*?</style>", "")
-    s = F.regexp_replace(F.regexp_replace(s, LINE_TAGS, "\n"), r"<[^>]*>", " ")
-    for a, b in ENTITIES:
-        s = F.replace(s, F.lit(a), F.lit(b))
-    s = F.regexp_replace(F.regexp_replace(s, r"[ \t\r\xA0]+", " "), r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(s, r"^\s+|\s+$", "")
+    """Scripts and styles go with their content, ends of blocks become lines, other tags blanks; references, then white space."""
+    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, HIDDEN, " "), LINE_TAGS, "\n"), TAGS, " ")
+    s = F.regexp_replace(F.replace(unescaped(s), F.lit("\xa0"), F.lit(" ")), r"[ \t]+", " ")
+    return F.regexp_replace(F.regexp_replace(s, r"\n\s*\n+", "\n"), r"^\s+|\s+$", "")
 
 
 def article_number(c: Column) -> Column:
@@ -32,7 +48,7 @@ def article_number(c: Column) -> Column:
 
 def join_wrapped(c: Column) -> Column:
     """Lines join unless the first ends a sentence or list head, or the next starts an item."""
-    return F.regexp_replace(c, r"(?<![.:;\n])\n(?!\s*" + ITEM + r"|\n)", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?<![.:;])[ \t]*\n[ \t]*(?!" + ITEM + ")", " "), r"[ \t]{2,}", " "))
 
 
 def join_lines(c: Column) -> Column:
@@ -47,24 +63,27 @@ def mark_titles(c: Column, mark: str = "§§") -> Column:
 
 
 def without_notes(c: Column) -> Column:
-    """What stands before the first editorial note."""
-    return F.rtrim(F.element_at(F.split(c, NOTE), 1))
+    """What stands before the first editors' note."""
+    return F.regexp_replace(F.element_at(F.split(c, NOTE, 2), 1), r"^\s+|\s+$", "")
 
 
-def without_head(body: Column, title: Column) -> Column:
-    """The body without its own title repeated at its start, and without marks before the text."""
-    quoted = F.concat(F.lit(r"^\s*\Q"), title, F.lit(r"\E\s*"))
-    return F.regexp_replace(F.when(title.isNull() | (title == ""), body).otherwise(F.regexp_replace(body, quoted, F.lit(""))), r"^[\s.:–-]+", "")
+def without_head(body: Column, label: Column) -> Column:
+    """The body without marks at its start and without its own head, where it repeats it."""
+    head = F.concat(F.lit(r"(?iu)^" + NAME + r"\s+\Q"), label, F.lit(r"\E\s*[º°]?\s*[.:\-–—]+\s*"))
+    return F.regexp_replace(F.regexp_replace(body, r"^[\s\-–—.:]+", ""), head, F.lit(""))
 
 
 def repair_ocr(c: Column) -> Column:
-    """Degree signs, number signs, ordinals, Roman numerals read as strokes, dashes and blanks, in this order."""
-    s = F.regexp_replace(c, r"(?<=\d)\s?[°ºo](?=[\s.,;:]|$)", "°")
-    s = F.regexp_replace(s, r"\bN[°ºo*]\s?(?=\d)", "N° ")
-    parts = F.split(s, " ")
-    strokes = lambda x: x.rlike(r"^[|!lI]{1,3}[.,:]?$") & x.rlike(r"[|!]")
-    s = F.array_join(F.transform(parts, lambda x: F.when(strokes(x), F.translate(x, "|!l", "III")).otherwise(x)), " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"\s?[—–]\s?", " – "), r"[ \t]{2,}", " "))
+    """Degree signs after article numbers, number signs, ordinals, Roman numerals read as strokes after title words, dashes, blanks, in this order."""
+    s = F.regexp_replace(c, r"\b(" + NAME + r"\s*,?\s*\d+)\s*[”\"'*%º°]+(?=\s*[.\-–—:])", "$1°")
+    s = F.regexp_replace(F.regexp_replace(s, r"\bN\s*[*”\"º°%]+\s*(?=[:\d])", "N° "), r"\bN° +:", "N°:")
+    s = F.regexp_replace(s, r"(?<=\d)[”*%](?=[\s).,;-])", "°")
+    titles = r"(?m)\b(T[IÍ]TULO|CAP[IÍ]TULO|ANEXO|SECCI[OÓ]N|LIBRO)\s*([|!lIVX]{1,6})(?=\s*$|\s*[\n.-])"
+    parts = F.split(F.regexp_replace(s, titles, "$1 \u0001$2\u0002"), "\u0001")
+    numeral = lambda x: F.concat(F.translate(F.substring_index(x, "\u0002", 1), "|!l", "III"), F.substring_index(x, "\u0002", -1))
+    s = F.array_join(F.transform(parts, lambda x: F.when(F.contains(x, F.lit("\u0002")), numeral(x)).otherwise(x)), "")
+    s = F.replace(F.replace(s, F.lit("—-"), F.lit("—")), F.lit("--"), F.lit("-"))
+    return F.regexp_replace(F.regexp_replace(s, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
 
 
 def folded(c: Column) -> Column:

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 #: Texts that stay text although they look like numbers, in this order.
 KEEP_TEXT = (r"^\d{1,2}\.\d{3}\.\d{3}$", r"^0\d+", r"^\d{2}-\d{8}-\d$", r"^\d{10,}$")
+#: What a date, a number with decimals, an amount, a whole number and a percentage look like.
 DATE = r"^(\d{1,2})/(\d{1,2})/(\d{2}|\d{4})$"
-DECIMAL = r"^-?\$?\s*\d{1,3}(?:\.\d{3})*,\d{1,2}$|^-?\$?\s*\d+,\d{1,2}$"
-CURRENCY = r"^-?\$\s*\d{1,3}(?:\.\d{3})*$"
+DECIMAL = r"^(-?)\$?\s?(\d{1,3}(?:\.\d{3})+|\d+),(\d{1,2})$"
+CURRENCY = r"^(-?)\$\s?(\d{1,3}(?:\.\d{3})+|\d+)$"
 INTEGER = r"^-?\d{1,9}$"
-PERCENT = r"^-?\d+(?:[.,]\d+)?\s*%$"
+PERCENT = r"^(-?\d+(?:[.,]\d+)?)\s?%$"
 #: Weights of the tax id's check digit.
 TAX_WEIGHTS = (5, 4, 3, 2, 7, 6, 5, 4, 3, 2)
 MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
@@ -40,32 +41,18 @@ def typed(c: Column) -> Column:
     for p in KEEP_TEXT:
         text = text | s.rlike(p)
     part = lambda k: F.regexp_extract(s, DATE, k).cast("int")
-    year = F.when(F.length(F.regexp_extract(s, DATE, 3)) == 2, part(3) + 2000).otherwise(part(3))
+    year = F.when(part(3) < 100, part(3) + 2000).otherwise(part(3))
     date = F.when(s.rlike(DATE), rolled_date(part(1), part(2), year))
-    digits = F.regexp_replace(F.regexp_replace(s, r"[.$\s%]", ""), ",", ".").cast("double")
-    money = s.contains("$")
-    decimals = F.length(F.substring_index(s, ",", -1))
-
-    def made(kind: str, value: Column | None = None, fmt: Column | None = None) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            (s if kind == "text" else F.lit(None).cast("string")).alias("str"),
-            (value if kind == "number" and value is not None else F.lit(None).cast("double")).alias("num"),
-            (value if kind == "date" and value is not None else F.lit(None).cast("date")).alias("date"),
-            (fmt if fmt is not None else F.lit(None).cast("string")).alias("fmt"),
-        )
-
-    style = lambda base: F.when(money, F.concat(F.lit("$ "), F.lit(base))).otherwise(F.lit(base))
-    return (
-        F.when(s == "", F.lit(None))
-        .when(text, made("text"))
-        .when(date.isNotNull(), made("date", date, F.lit("dd/mm/yyyy")))
-        .when(s.rlike(DECIMAL), made("number", digits, F.when(decimals == 1, style("#,##0.0")).otherwise(style("#,##0.00"))))
-        .when(s.rlike(CURRENCY), made("number", digits, F.lit("$ #,##0")))
-        .when(s.rlike(INTEGER), made("number", digits))
-        .when(s.rlike(PERCENT), made("number", F.regexp_replace(F.regexp_replace(s, r"[%\s]", ""), ",", ".").cast("double") / 100, F.lit("0.0%")))
-        .otherwise(made("text"))
-    )
+    whole = lambda p: F.concat(F.regexp_extract(s, p, 1), F.replace(F.regexp_extract(s, p, 2), F.lit("."), F.lit("")))
+    decimals = F.regexp_extract(s, DECIMAL, 3)
+    rule = F.when(s == "", None).when(text, 0).when(date.isNotNull(), 1).when(s.rlike(DECIMAL), 2).when(s.rlike(CURRENCY), 3).when(s.rlike(INTEGER), 4).when(s.rlike(PERCENT), 5).otherwise(0)
+    number = (
+        F.when(rule == 2, F.concat(whole(DECIMAL), F.lit("."), decimals).cast("double")).when(rule == 3, whole(CURRENCY).cast("double"))
+        .when(rule == 4, s.cast("double")).when(rule == 5, F.replace(F.regexp_extract(s, PERCENT, 1), F.lit(","), F.lit(".")).cast("double") / 100)
+    )
+    fmt = F.when(rule == 1, F.lit("dd/mm/yyyy")).when(rule == 2, F.concat(F.lit("#,##0."), F.repeat(F.lit("0"), F.length(decimals)))).when(rule == 3, F.lit('"$" #,##0')).when(rule == 5, F.lit("0.##%"))
+    kind = F.when(rule == 0, F.lit("text")).when(rule == 1, F.lit("date")).otherwise(F.lit("number"))
+    return F.when(rule.isNotNull(), F.struct(kind.alias("kind"), F.when(rule == 0, s).alias("str"), number.alias("num"), F.when(rule == 1, date).alias("date"), fmt.alias("fmt")))
 
 
 def locale_number(c: Column, decimals: int = 2) -> Column:

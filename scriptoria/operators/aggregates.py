@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptoria.operators.state import in_order
+
 
 def upper_median(values: Column) -> Column:
     """The upper of the two middle values, not their mean; 0 of none."""
@@ -92,19 +96,21 @@ def laplacian_variance(pixels: DataFrame, key: str) -> DataFrame:
 def greedy_pages(rows: DataFrame, key: str, order: list[str], height: str, room: float, header: float = 0.0) -> DataFrame:
     """(key, *order, page): rows fill pages in order; each page repeats a header. A row that is too tall gets its own page.
 
-    A page's fill depends on all rows before it, so a key's rows are folded as one array.
+    A page's fill depends on all rows before it, so a key's rows are taken in order.
     """
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(height).cast("double").alias("_h"))))
-    first = F.struct(F.lit(1).alias("page"), F.lit(header).alias("full"), F.lit(False).alias("any"), F.array().cast("array<int>").alias("pages"))
-
-    def step(a: Column, x: Column) -> Column:
-        new = a["any"] & (a["full"] + x["_h"] > room + 0.5)
-        page = a["page"] + new.cast("int")
-        return F.struct(page.alias("page"), (F.when(new, F.lit(header)).otherwise(a["full"]) + x["_h"]).alias("full"), F.lit(True).alias("any"), F.concat(a["pages"], F.array(page)).alias("pages"))
 
-    folded = rows.groupBy(key).agg(items.alias("items")).select(key, "items", F.aggregate("items", first, step, lambda a: a["pages"]).alias("pages"))
-    each = folded.select(key, F.explode(F.arrays_zip("items", "pages")).alias("z"))
-    return each.select(key, *[F.col(f"z.items.{o}").alias(o) for o in order], F.col("z.pages").alias("page"))
+    def fold(held: Iterator[dict]) -> Iterator[dict]:
+        page, full = 1, None
+        for r in held:
+            h = r.pop("_h")
+            if full is not None and full + h > room + 0.5:
+                page, full = page + 1, None
+            full = (header if full is None else full) + h
+            yield {**r, "page": page}
+
+    kinds = dict(rows.dtypes)
+    given = rows.select(key, *order, F.col(height).cast("double").alias("_h"))
+    return in_order(given, key, [*order, "_h"], fold, ", ".join(f"{c} {kinds[c]}" for c in (key, *order)) + ", page int")
 
 
 def column_width(text: Column) -> Column:

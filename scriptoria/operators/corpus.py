@@ -5,85 +5,99 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.functions.text import ARTICLE, HEADING, article_number, without_notes
+from scriptoria.functions.text import ARTICLE, HEADING, SUFFIX, article_number, join_wrapped, without_head, without_notes
 
 #: Marks that no text has, around heads and headings.
 START, END, HEAD = "\u0001", "\u0002", "\u0003"
 LONGEST = 6000
-REFERENCE = r"(?i)\bart(?:[íi]culos?|s?\.)\s+(\d+(?:\s+(?:bis|ter|quater))?(?:\s*(?:,|y|e|o|al?)\s*\d+(?:\s+(?:bis|ter|quater))?)*)"
-OTHER_LAW = r"(?!\s*(?:de la|del|de el)\s+(?:Ley|C[oó]digo|Constituci[oó]n|Decreto|Reglamento))(?![^.;\n]{0,60}?\b(?:Ley|Decreto)\s+N)"
-#: Amendments name articles of other texts: marked first, since a pattern cannot look back that far.
-AMENDED = r"(?i)\b(?:incorporad|sustituid|modificad|derogad)[oa]s? por (?:el |los )?art(?:[íi]culos?|s?\.)\s+\d+"
+#: Notes in brackets; lists of articles; what makes them another law's, after and before them.
+NOTES = r"\([^()]*(?:Ley|ley|B\.O\.|Decreto|sustituid|incorporad|derogad)[^()]*\)"
+LIST = r"((?:\d+" + SUFFIX + r"(?:\s*[º°])?(?:\s*,\s*|\s+y\s+|\s+o\s+|\s+a\s+|\s*-\s*)?)+)"
+OTHER = (
+    r"\s*[º°]?\s*(?:,?\s*(?:inc(?:iso)?s?\.?|ap(?:artado)?\.?)\s*[\w°º)]+\s*,?)*\s*(?:de\s+la|del|de)\s+"
+    r"(?:Ley|Decreto|C[oó]digo|Convenci[oó]n|Constituci[oó]n|Reglamento|r[ée]gimen|Estatuto)"
+)
+NAMED = r"[^.;]{0,60}\b(?-i:Ley|ley|Decreto)\s+(?-i:N)"
+AMENDED = r"(?:incorporad|sustituid|derogad|modificad|agregad)[oa]s?\s{1,9}por\s{0,9}"
+#: A list is taken whole before what follows it is looked at.
+REFERENCE = rf"(?iu)(?<!{AMENDED})\bart(?:[íi]culos?|s?\.)\s*(?>{LIST})(?!{OTHER})(?!{NAMED})"
 
 
 def _number(label: Column) -> Column:
     return F.regexp_extract(label, r"^(\d+)", 1).cast("int")
 
 
+def _goes_on(n: Column, last: Column) -> Column:
+    return (n == last) | ((n > last) & (n <= last + 25))
+
+
 def in_sequence(numbers: Column) -> Column:
-    """Which of a text's article numbers count, in order: the same as the last, or up to 25 more; the first one must be 1.
+    """Which of a text's article numbers count, in order: the same as the last that counted, at first 0, or up to 25 more.
 
     Whether a number counts depends on the last that did, so the array is folded.
     """
-    first = F.struct(F.lit(-1).alias("last"), F.array().cast("array<boolean>").alias("ok"))
+    first = F.struct(F.lit(0).alias("last"), F.array().cast("array<boolean>").alias("ok"))
 
     def step(a: Column, n: Column) -> Column:
-        ok = (n == a["last"]) | ((n > a["last"]) & (n <= a["last"] + 25) & (a["last"] >= 0)) | ((a["last"] < 0) & (n == 1))
+        ok = _goes_on(n, a["last"])
         return F.struct(F.when(ok, n).otherwise(a["last"]).alias("last"), F.concat(a["ok"], F.array(ok)).alias("ok"))
 
     return F.aggregate(numbers, first, step, lambda a: a["ok"])
 
 
 def marks(text: Column) -> Column:
-    """array<struct(label, n, body)> of a text's article heads, in order, with what follows each."""
-    cut = F.split(F.regexp_replace(text, ARTICLE, START + "$1" + END), START)
-    parts = F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0)))
-    return F.transform(parts, lambda p: F.struct(article_number(F.substring_index(p, END, 1)).alias("label"), _number(F.substring_index(p, END, 1)).alias("n"), F.substring_index(p, END, -1).alias("body")))
+    """array<struct(label, n, head, body)> of a text's article heads, in order, with what follows each."""
+    cut = F.split(F.regexp_replace(text, ARTICLE, START + "$1" + END + "$0" + END), START)
+    parts = F.transform(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0))), lambda p: F.split(p, END, 3))
+    return F.transform(parts, lambda p: F.struct(article_number(p[0]).alias("label"), _number(p[0]).alias("n"), p[1].alias("head"), p[2].alias("body")))
 
 
 def articles(laws: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, n, ti, t): each article once, its body cut to LONGEST characters.
+    """(key, pos, n, ti, t): each article once, its body cut to LONGEST characters, wrapped lines joined.
 
     A head out of sequence is text of the article before it. Of an article that comes twice the first counts; if that
-    one is shorter than 140 characters and has no title it becomes the title of the second.
+    one is shorter than 140 characters it becomes the title of the second.
     """
     m = laws.select(key, marks(F.col(text)).alias("m")).withColumn("ok", in_sequence(F.transform("m", lambda x: x["n"])))
 
     def step(a: Column, z: Column) -> Column:
-        whole = F.concat(F.lit("\n"), z["m"]["label"], F.lit(" "), z["m"]["body"])
         last = F.element_at(a, -1)
-        glued = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last["label"].alias("label"), last["n"].alias("n"), F.concat(last["body"], whole).alias("body"))))
-        return F.when(z["ok"], F.concat(a, F.array(z["m"]))).when(F.size(a) > 0, glued).otherwise(a)
+        glued = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last["label"].alias("label"), last["n"].alias("n"), F.concat(last["body"], z["m"]["head"], z["m"]["body"]).alias("body"))))
+        own = F.array(F.struct(z["m"]["label"].alias("label"), z["m"]["n"].alias("n"), z["m"]["body"].alias("body")))
+        return F.when(z["ok"], F.concat(a, own)).when(F.size(a) > 0, glued).otherwise(a)
 
     none = F.array().cast("array<struct<label:string,n:int,body:string>>")
     kept = m.select(key, F.aggregate(F.arrays_zip("m", "ok"), none, step).alias("a"))
-    each = kept.select(key, F.posexplode("a").alias("pos", "x")).select(key, "pos", F.col("x.label").alias("label"), F.trim(without_notes(F.col("x.body"))).alias("body"))
+    each = kept.select(key, F.posexplode("a").alias("pos", "x")).select(key, "pos", F.col("x.label").alias("label"), F.substring(without_notes(F.col("x.body")), 1, LONGEST).alias("body"))
     copies = each.groupBy(key, "label").agg(F.array_sort(F.collect_list(F.struct("pos", "body"))).alias("c"))
     first, second = F.element_at("c", 1), F.try_element_at("c", F.lit(2))
     titled = second.isNotNull() & (F.length(first["body"]) < 140)
     body = F.when(titled, second["body"]).otherwise(first["body"])
-    return copies.select(key, first["pos"].alias("pos"), F.col("label").alias("n"), F.when(titled, first["body"]).alias("ti"), F.substring(body, 1, LONGEST).alias("t"))
+    title = F.regexp_replace(F.regexp_replace(first["body"], r"^[ .:-]+|[ .:-]+$", ""), r"^[\s\-–—.:]+", "")
+    return copies.select(key, first["pos"].alias("pos"), F.col("label").alias("n"), F.when(titled, title).alias("ti"), join_wrapped(without_head(body, F.col("label"))).alias("t"))
 
 
 def headings(laws: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n, u): the path of headings over each article, where its number stands first.
+    """(key, n, u): the path of headings over each article in sequence, where its number stands first.
 
     A book ends title and chapter, a title ends the chapter; sections and parts are seen but not shown.
     """
-    both = F.regexp_replace(F.regexp_replace(F.col(text), HEADING, START + HEAD + "$1 $2$3" + END), ARTICLE, START + "$1" + END)
+    both = F.regexp_replace(F.regexp_replace(F.col(text), HEADING, START + HEAD + "$0" + END), ARTICLE, START + "$1" + END)
     parts = F.slice(F.split(both, START), 2, 1_000_000)
-    none = F.struct(*[F.lit("").alias(k) for k in "btc"], F.array().cast("array<struct<n:string,u:string>>").alias("out"))
+    none = F.struct(*[F.lit("").alias(k) for k in "btc"], F.lit(0).alias("last"), F.array().cast("array<struct<n:string,u:string>>").alias("out"))
 
     def step(a: Column, p: Column) -> Column:
         label = F.trim(F.substring_index(p, END, 1))
-        is_head, h = label.startswith(HEAD), F.trim(F.substring(label, 2, 200))
-        book, title, chapter = h.startswith("LIBRO"), h.rlike("^T[IÍ]TULO"), h.rlike("^CAP[IÍ]TULO")
+        is_head, h = label.startswith(HEAD), F.regexp_replace(F.substring(label, 2, 200), r"^\s+|\s+$", "")
+        word = F.translate(F.upper(F.substring_index(h, " ", 1)), "ÍÓ", "IO")
+        book, title, chapter = word == "LIBRO", word == "TITULO", word == "CAPITULO"
         b = F.when(is_head & book, h).otherwise(a["b"])
         t = F.when(is_head & book, "").when(is_head & title, h).otherwise(a["t"])
         c = F.when(is_head & (book | title), "").when(is_head & chapter, h).otherwise(a["c"])
         path = F.array_join(F.filter(F.array(a["b"], a["t"], a["c"]), lambda x: x != ""), " › ")
+        counts = ~is_head & _goes_on(_number(label), a["last"])
         own = F.struct(article_number(label).alias("n"), path.alias("u"))
-        return F.struct(b.alias("b"), t.alias("t"), c.alias("c"), F.when(is_head, a["out"]).otherwise(F.concat(a["out"], F.array(own))).alias("out"))
+        return F.struct(b.alias("b"), t.alias("t"), c.alias("c"), F.when(counts, _number(label)).otherwise(a["last"]).alias("last"), F.when(counts, F.concat(a["out"], F.array(own))).otherwise(a["out"]).alias("out"))
 
     each = laws.select(key, F.posexplode(F.aggregate(parts, none, step, lambda a: a["out"])).alias("pos", "x"))
     return each.groupBy(key, F.col("x.n").alias("n")).agg(F.min_by("x.u", "pos").alias("u"))
@@ -94,9 +108,8 @@ def references(text: Column) -> Column:
 
     Notes in brackets, articles of other laws, and articles that an amendment names do not count.
     """
-    clean = F.regexp_replace(F.regexp_replace(text, r"\([^()]*(?:sustituid|incorporad|modificad|derogad)[^()]*\)", " "), AMENDED, " ")
-    lists = F.regexp_extract_all(clean, F.lit(REFERENCE + r"(?!\d)" + OTHER_LAW), F.lit(1))
-    items = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r"(?i)(\d+(?:\s+(?:bis|ter|quater))?)"), F.lit(1))))
+    lists = F.regexp_extract_all(F.regexp_replace(text, NOTES, " "), F.lit(REFERENCE), F.lit(1))
+    items = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit("(?iu)(\\d+" + SUFFIX + ")"), F.lit(1))))
     return F.array_distinct(F.transform(items, article_number))
 
 
@@ -114,17 +127,29 @@ def neighbours(e: DataFrame, key: str, most: int = 12) -> DataFrame:
     return both.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("to")), 1, most).alias("sends"), F.slice(F.array_sort(F.collect_set("by")), 1, most).alias("cited"))
 
 
-def components(pairs: DataFrame, a: str, b: str, most: int = 30) -> DataFrame:
-    """(node, component): the least node reachable, by passing on the least label until nothing changes (AGG-18, AGG-21)."""
-    both = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).union(pairs.select(F.col(b), F.col(a))).distinct()
-    folder = pairs.sparkSession.sparkContext.getCheckpointDir()
-    both = both.checkpoint() if folder else both.persist()
-    labels = both.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node"))
+def kept(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder where the session has one, else persisted."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def components(pairs: DataFrame, a: str, b: str, most: int = 60) -> DataFrame:
+    """(node, component) of each node of a pair; component is the least node reachable (AGG-18).
+
+    Larger neighbours move to a node's least neighbour, then smaller ones do, in turn: rounds grow with the log of the
+    longest chain.
+    """
+    loops = pairs.select(F.explode(F.array(a, b)).alias("node")).distinct()
+    edges_ = kept(pairs.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi > lo").distinct())
+    before = None
     for _ in range(most):
-        near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("least"))
-        new = labels.join(near, F.col("node") == F.col("u"), "left").select("node", F.least("component", F.coalesce("least", "component")).alias("component"), (F.col("least") < F.col("component")).alias("changed"))
-        new = new.checkpoint() if folder else new.persist()
-        labels = new.select("node", "component")
-        if new.where("changed").isEmpty():
-            return labels
+        both = edges_.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges_.select("lo", "hi"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        star = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        least = star.groupBy("hi").agg(F.min("lo").alias("m"))
+        moved = star.join(least, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("p")).select("p.*")
+        edges_ = kept(moved.where("hi > lo").distinct())
+        now = tuple(edges_.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+        if now == before:
+            return loops.join(edges_, F.col("node") == F.col("hi"), "left").select("node", F.coalesce("lo", "node").alias("component"))
+        before = now
     raise RuntimeError(f"components did not settle in {most} rounds")

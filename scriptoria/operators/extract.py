@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.functions import values as V
@@ -84,16 +84,35 @@ def summary(docs: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
     Weight: mean frequency in the text of a sentence's words of four letters or more, half as much again for requests and
     orders, one more for the first two sentences, less two for greetings.
     """
-    own = sentences(docs, key, text)
-    terms = F.regexp_extract_all(folded(F.col("sentence")), F.lit(r"[\p{L}\p{N}]{4,}"), F.lit(0))
-    each = own.select(key, "pos", "sentence", terms.alias("w"))
-    token = each.select(key, "pos", F.explode("w").alias("t"))
-    tf = token.groupBy(key, "t").agg(F.count("*").alias("n"))
-    mean = token.join(tf, [key, "t"]).groupBy(key, "pos").agg(F.avg("n").alias("mean"))
-    weight = F.coalesce("mean", F.lit(0.0)) * F.when(F.col("sentence").rlike(ORDERS), 1.5).otherwise(1.0) + F.when(F.col("pos") < 2, 1).otherwise(0) - F.when(F.col("sentence").rlike(GREETINGS), 2).otherwise(0)
-    ranked = each.join(mean, [key, "pos"], "left").withColumn("weight", F.round(weight, 9))
-    top = ranked.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.col("weight").desc(), "pos"))).where(F.col("r") <= n)
-    return top.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
+    import re
+    from collections import Counter
+
+    import pyarrow as pa
+    import regex
+
+    from scriptoria.functions.text import ACCENTS
+
+    parts, term = re.compile(r"[^.!?\n]+[.!?]?"), regex.compile(r"[\p{L}\p{N}]{4,}")
+    orders, greetings = (re.compile(p, re.ASCII) for p in (ORDERS, GREETINGS))
+    accents = str.maketrans(*ACCENTS)
+
+    def one(t: str | None) -> str | None:
+        found = [x for x in (y.strip(" ") for y in parts.findall(t or "")) if x]
+        if not found:
+            return None
+        terms = [term.findall(x.lower().translate(accents)) for x in found]
+        n = Counter(w for x in terms for w in x)
+        weight = lambda k: round((sum(n[w] for w in terms[k]) / len(terms[k]) if terms[k] else 0.0) * (1.5 if orders.search(found[k]) else 1) + (k < 2) - 2 * bool(greetings.search(found[k])), 9)
+        best = sorted(range(len(found)), key=lambda k: (-weight(k), k))[:n_sentences]
+        return " ".join(found[k] for k in sorted(best))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one(x) for x in batch.column(1).to_pylist()], pa.string())], names=[key, "summary"])
+
+    n_sentences = n
+    made = docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, summary string")
+    return made.where("summary IS NOT NULL")  # all of it is local to a document: no shuffle
 
 
 def business_card(text: Column) -> Column:

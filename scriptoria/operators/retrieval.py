@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.functions.text import folded, words
+from scriptoria.operators.corpus import kept
 
 #: Our choice of constants: saturation, length normalisation, least score of an answer.
 K1, B, LEAST = 1.2, 0.75, 0.5
@@ -24,6 +25,7 @@ def bm25(docs: DataFrame, keys: list[str], text: Column, query: str, k1: float =
     """
     terms = sorted(set(query.split()))
     sized = docs.select(*keys, words(text).alias("_w")).select(*keys, F.size("_w").alias("dl"), F.filter("_w", lambda x: x.isin(*terms)).alias("_hits"))
+    sized = kept(sized)  # texts are read once; what is kept of each is its length and hits
     whole = sized.agg(F.count("*").alias("docs"), F.avg("dl").alias("mean"))
     tf = sized.select(*keys, "dl", F.explode("_hits").alias("term")).groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
@@ -54,10 +56,17 @@ def highlighted(text: Column, terms: list[str]) -> Column:
 
 
 def resolve_alias(questions: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(q, law): the longest alias that the question contains; the alias table is small by nature and sent to all tasks."""
-    q, a = folded(F.col("q")), folded(F.col("alias"))
-    hits = questions.join(F.broadcast(aliases.limit(10_000)), F.contains(q, a), "left")
-    return hits.groupBy("q").agg(F.max_by("law", F.length("alias")).alias("law"))
+    """(q, law): the longest alias whose words the question has one after the other; of equals one law, always the same.
+
+    Runs of a question's words, as long as aliases have words, are joined to the aliases: any number of either will do.
+    """
+    named = aliases.select("law", "alias", F.array_join(words(F.col("alias")), " ").alias("name"), F.size(words(F.col("alias"))).alias("n")).where("n > 0")
+    lengths = named.agg(F.array_sort(F.collect_set("n")).alias("ns"))  # one row, as short as aliases are
+    own = questions.select("q", words(F.col("q")).alias("w")).distinct()
+    runs = own.join(F.broadcast(lengths)).select("q", F.explode(F.flatten(F.transform("ns", lambda n: F.transform(
+        F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda k: F.array_join(F.slice("w", k, n), " "))))).alias("name"))
+    hits = runs.distinct().join(named, "name").groupBy("q").agg(F.max_by("law", F.struct(F.length("alias"), -F.xxhash64("law"))).alias("law"))
+    return own.select("q").join(hits, "q", "left")
 
 
 def article_lookup(questions: DataFrame, aliases: DataFrame, articles: DataFrame) -> DataFrame:

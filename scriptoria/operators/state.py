@@ -5,10 +5,30 @@ Keys are split by user or device; within a key, order is by time and then by id,
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby, islice
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def in_order(df: DataFrame, key: str, order: list[str], fold: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
+    """fold gets the rows of each key one by one, in order, and yields rows of the schema: a stream, however many there are."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    made = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        rows = (r for batch in batches for r in batch.to_pylist())
+        out = (x for _, held in groupby(rows, key=lambda r: r[key]) for x in fold(held))
+        while part := list(islice(out, 5000)):
+            yield pa.RecordBatch.from_pylist(part, schema=made)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 def _until_now(key: str, *order: str):
     return Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
@@ -22,15 +42,19 @@ def schmitt(df: DataFrame, key: str, order: list[str], value: str, low: float =
 def debounced(df: DataFrame, key: str, at: str, on: str, least: float = 0.7) -> DataFrame:
     """Switches (key, at, on) that come no sooner than so many seconds after the last accepted one.
 
-    Whether one is accepted depends on the last accepted one, so a key's changes are folded.
+    Whether one is accepted depends on the last accepted one, so a key's rows are taken in order.
     """
-    w = Window.partitionBy(key).orderBy(at)
-    changes = df.withColumn("_was", F.lag(on).over(w)).where(F.col("_was").isNull() | (F.col("_was") != F.col(on)))
-    items = changes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(on).alias("on")))).alias("items"))
-    none = F.expr("cast(array() as array<struct<at:double,on:boolean>>)")
-    ok = lambda a, x: (F.size(a) == 0) | ((x["at"] - F.element_at(a, -1)["at"] >= least) & (x["on"] != F.element_at(a, -1)["on"]))
-    folded = F.aggregate("items", none, lambda a, x: F.when(F.size(a) == 0, F.array(x)).when(ok(a, x), F.concat(a, F.array(x))).otherwise(a))
-    return items.select(key, F.explode(folded).alias("x")).select(key, F.col("x.at").alias(at), F.col("x.on").alias(on))
+
+    def fold(rows: Iterator[dict]) -> Iterator[dict]:
+        last = was = None
+        for r in rows:
+            if (was is None or was != r[on]) and (last is None or (r[at] - last[at] >= least and r[on] != last[on])):
+                last = r
+                yield r
+            was = r[on]
+
+    kinds = dict(df.dtypes)
+    return in_order(df.select(key, at, on), key, [at, on], fold, f"{key} {kinds[key]}, {at} {kinds[at]}, {on} boolean")
 
 
 def stable_runs(df: DataFrame, key: str, at: str, value: str, least: float) -> DataFrame:
@@ -77,13 +101,20 @@ def inactivity_sessions(df: DataFrame, key: str, at: str, minutes: int = 5) -> D
 
 
 def queue_after_undo(df: DataFrame, key: str, order: list[str], undo: Column) -> DataFrame:
-    """Jobs that are left: each undo cancels the last job before it that is not cancelled yet."""
-    items = F.transform(F.array_sort(F.collect_list(F.struct(*order, undo.alias("_undo")))), lambda x: x)
-    kind = ", ".join(f"{o}:{dict(df.dtypes)[o]}" for o in order)
-    none = F.expr(f"cast(array() as array<struct<{kind},_undo:boolean>>)")
-    folded = F.aggregate("items", none, lambda a, x: F.when(x["_undo"], F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))))
-    grouped = df.groupBy(key).agg(items.alias("items"))
-    return grouped.select(key, F.explode(folded).alias("x")).select(key, *[F.col(f"x.{o}").alias(o) for o in order])
+    """Jobs that are left: each undo cancels the last job before it that is not cancelled yet.
+
+    With jobs as steps up and undos as steps down from a floor, the n-th step up to a height is cancelled by the first step
+    down from it; windows tell both, so nothing is held.
+    """
+    w = _until_now(key, *order)
+    step = F.when(undo, -1).otherwise(1)
+    walked = df.select(key, *order, undo.alias("_undo"), step.alias("_step")).withColumn("_sum", F.sum("_step").over(w))
+    # An undo on the floor cancels nothing: heights are counted from the lowest sum so far.
+    floor = F.least(F.min("_sum").over(w), F.lit(0))
+    high = walked.withColumn("_high", F.col("_sum") - floor)
+    # A job at a height is left if the walk never falls below that height again.
+    after = Window.partitionBy(key).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    return high.withColumn("_low", F.min("_high").over(after)).where(~F.col("_undo") & (F.col("_low").isNull() | (F.col("_low") >= F.col("_high")))).select(key, *order)
 
 
 def newest_version(df: DataFrame, key: str, version: str) -> DataFrame:

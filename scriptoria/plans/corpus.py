@@ -14,27 +14,38 @@ TITULO I Objeto
 Artículo 1º.- Esta norma regula. Ver artículos 2, 3 y 5 bis.
 Artículo 2º.- Alcance según el artículo 1 y el artículo 9.
 CAPITULO II Plazos
-Artículo 3.- Los plazos del art. 2. (Artículo sustituido por art. 4 de la Ley 1)
-ARTÍCULO 30 Fuera de orden, con el artículo 1 de la Ley N° 7.
-TITULO II Fin
-Artículo 4.- Remite a los artículos 1 a 3. Nota: vieja.
-Artículo 5 bis.- Cierra."""
+Artículo 3.- Los plazos del art. 2. Art. 4.- Sigue en el renglón.
+(Artículo sustituido por art. 1 de la Ley 1)
+ARTÍCULO 130.- Fuera de orden, con el artículo 1 de la Ley N° 7.
+ARTÍCULO 5 Sin signo, según
+los artículos 5° y 6°.
+Título II Fin
+Artículo 6.- Remite a los artículos 1 a 3, 5, 6 quinquies y 7.
+Artículo 6 quinquies.- Agregado por artículo 2; véase art. 3 inciso b) de la Ley 9.
+Artículo 7.- Breve.
+Artículo 7.- El cuerpo, con el art. 5 bis."""
 LAWS = [("a", LAW), ("b", "Artículo 1.- Uno.\nArtículo 2.- Véase el artículo 1 del Código Civil y el artículo 1."), ("c", "Sin artículos")]
-ARTICLES = [("a", "1"), ("a", "2"), ("a", "3"), ("a", "4"), ("a", "5 bis"), ("b", "1"), ("b", "2")]
+ARTICLES = [
+    ("a", "1", None, "Esta norma regula. Ver artículos 2, 3 y 5 bis."), ("a", "2", None, "Alcance según el artículo 1 y el artículo 9.\nCAPITULO II Plazos"), ("a", "3", None, "Los plazos del art. 2."),
+    ("a", "4", None, "Sigue en el renglón."),
+    ("a", "6", None, "Remite a los artículos 1 a 3, 5, 6 quinquies y 7."), ("a", "6 quinquies", None, "Agregado por artículo 2; véase art. 3 inciso b) de la Ley 9."), ("a", "7", "Breve", "El cuerpo, con el art. 5 bis."),
+    ("b", "1", None, "Uno."), ("b", "2", None, "Véase el artículo 1 del Código Civil y el artículo 1."),
+]
 
 
 def laws(spark: SparkSession) -> DataFrame:
     return rows(spark, "law string, text string", LAWS)
 
 
-@query(f"SELECT law, n, 0 < 1 AS has_text FROM {as_sql('law, n', ARTICLES)}")
+@query(f"SELECT law, n, ti, t FROM {as_sql('law, n, ti, t', ARTICLES)}")
 def article_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT-7 and 9, WIN-2 to 4: articles in sequence; heads out of sequence are text."""
-    return C.articles(laws(spark), "law", "text").select("law", "n", (F.length("t") > 0).alias("has_text"))
+    """TXT-3, 7, 9 and 10, WIN-2 to 4: articles in sequence with their whole texts; heads out of sequence, or without a mark, are text."""
+    return C.articles(laws(spark), "law", "text").select("law", "n", "ti", "t")
 
 
-HEADS = [("a", "1", "LIBRO PRIMERO Generalidades › TITULO I Objeto"), ("a", "2", "LIBRO PRIMERO Generalidades › TITULO I Objeto"), ("a", "3", "LIBRO PRIMERO Generalidades › TITULO I Objeto › CAPITULO II Plazos"),
-         ("a", "30", "LIBRO PRIMERO Generalidades › TITULO I Objeto › CAPITULO II Plazos"), ("a", "4", "LIBRO PRIMERO Generalidades › TITULO II Fin"), ("a", "5 bis", "LIBRO PRIMERO Generalidades › TITULO II Fin"), ("b", "1", ""), ("b", "2", "")]
+TOP = "LIBRO PRIMERO Generalidades › TITULO I Objeto"
+HEADS = [("a", "1", TOP), ("a", "2", TOP), ("a", "3", TOP + " › CAPITULO II Plazos"), ("a", "4", TOP + " › CAPITULO II Plazos"),
+         *[("a", n, "LIBRO PRIMERO Generalidades › Título II Fin") for n in ("6", "6 quinquies", "7")], ("b", "1", ""), ("b", "2", "")]
 
 
 @query(f"SELECT law, n, u FROM {as_sql('law, n, u', HEADS)}")
@@ -43,7 +54,9 @@ def heading_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.headings(laws(spark), "law", "text")
 
 
-EDGES = [("a", "1", "2"), ("a", "1", "3"), ("a", "1", "5 bis"), ("a", "2", "1"), ("a", "3", "2"), ("a", "4", "1"), ("a", "4", "3"), ("b", "2", "1")]
+EDGES = [("a", "1", "2"), ("a", "1", "3"), ("a", "2", "1"), ("a", "3", "2"), ("a", "6", "1"), ("a", "6", "3"), ("a", "6", "6 quinquies"), ("a", "6", "7"), ("b", "2", "1")]
+NAMED = [(1, "los artículos 5° y 6°", ["5", "6"]), (2, "arts. 5, 6 quinquies y 7", ["5", "6 quinquies", "7"]), (3, "el art. 10 inciso b) de la Ley 9 rige", []), (4, "agregado por artículo 8; ver artículo 9", ["9"]),
+         (5, "artículos 5 a 8 y 12-14", ["5", "8", "12", "14"]), (6, "(sustituido por art. 3 del Decreto 2) art. 4", ["4"]), (7, "el artículo 7, conforme la Ley N° 5", []), (8, "artículo 27 Quáter del régimen vigente, art. 27 QUÁTER", ["27 quater"])]
 
 
 @query(f"SELECT law, src, dst FROM {as_sql('law, src, dst', EDGES)}")
@@ -52,14 +65,21 @@ def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.edges(C.articles(laws(spark), "law", "text"), "law", "n", "t")
 
 
-@query("""WITH n AS (SELECT conv_id, turn, ('' || (turn * 7 + conv_id) % 9) AS n FROM conversations),
-s AS (SELECT conv_id, turn, try_cast(n AS INT) AS n FROM n)
-SELECT conv_id, list_count(l)::INT AS marks FROM (SELECT conv_id, list(n ORDER BY turn) AS l FROM s GROUP BY conv_id)""")
+@query(f"SELECT id::INT AS id, u.named AS named FROM {as_sql('id, t, named', NAMED)}".replace("u.named", "named::VARCHAR[]"))
+def named_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR-1 and 2: which articles of the same law a text names."""
+    return rows(spark, "id int, t string, named array<string>", NAMED).select("id", C.references(F.col("t")).alias("named"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT conv_id, ((turn * 7 + conv_id) % 40)::INT AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, (turn * 7 + conv_id) % 40) AS k FROM conversations),
+r AS (SELECT DISTINCT conv_id, 0::BIGINT AS k, 0 AS last, []::BOOLEAN[] AS ok FROM s
+  UNION ALL SELECT s.conv_id, s.k, CASE WHEN s.n = r.last OR (s.n > r.last AND s.n <= r.last + 25) THEN s.n ELSE r.last END, list_append(r.ok, s.n = r.last OR (s.n > r.last AND s.n <= r.last + 25)) FROM r JOIN s ON s.conv_id = r.conv_id AND s.k = r.k + 1)
+SELECT conv_id, max_by(ok, k) AS marks FROM r GROUP BY conv_id""")
 def sequence_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-2: every number gets a verdict on whether it continues the sequence."""
-    c = table(spark, sf_dir, "conversations").withColumn("n", ((F.col("turn") * 7 + F.col("conv_id")) % 9).cast("int"))
+    c = table(spark, sf_dir, "conversations").withColumn("n", ((F.col("turn") * 7 + F.col("conv_id")) % 40).cast("int"))
     s = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "n"))), lambda x: x["n"]).alias("l"))
-    return s.select("conv_id", F.size(C.in_sequence(F.col("l"))).alias("marks"))
+    return s.select("conv_id", C.in_sequence(F.col("l")).alias("marks"))
 
 
 LINKS = r"""SELECT DISTINCT regexp_extract(url, '//([^/]+)', 1) AS site, regexp_extract(url, '//[^/]+/([^?#]*)', 1) AS src, unnest(regexp_extract_all(html, 'href="/([^"]+)"', 1)) AS dst FROM pages"""
@@ -78,15 +98,15 @@ def neighbour_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, seen) AS (SELECT DISTINCT u, u FROM b UNION SELECT b.v, r.seen FROM r JOIN b ON b.u = r.node)
 SELECT node, min(seen) AS component FROM r GROUP BY node""")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-18 and 21: components of suppliers that are joined to a quarter of their number."""
+    """AGG-18: components of suppliers that are joined to a quarter of their number."""
     l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("u"), F.floor(F.col("l_suppkey") / 4).alias("v")).where("u <> v").distinct()
     return C.components(l, "u", "v")
 
 
-@query("SELECT id::INT AS id, out FROM (VALUES (1, 'uno dos\n1) tres fin.'), (2, 'cabe:\na) x'), (3, 'solo')) AS v(id, out)")
+@query("SELECT id::INT AS id, out FROM (VALUES (1, 'uno dos\n1) tres fin.'), (2, 'cabe:\na) x'), (3, 'solo'), (4, 'fin.\nNuevo renglón\n- item')) AS v(id, out)")
 def joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-3: wrapped lines join, items and list heads stay."""
-    return rows(spark, "id int, t string", [(1, "uno\ndos\n1) tres\nfin."), (2, "cabe:\na) x"), (3, "solo")]).select("id", T.join_wrapped(F.col("t")).alias("out"))
+    return rows(spark, "id int, t string", [(1, "uno\ndos\n1) tres\nfin."), (2, "cabe:\na) x"), (3, "solo"), (4, "fin.\nNuevo   \n  renglón\n- item")]).select("id", T.join_wrapped(F.col("t")).alias("out"))
 
 
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(\w)-\n(\w)', '\1\2', 'g'), '([^.:;!?\n])\n', '\1 ', 'g') AS joined, len(string_split_regex(text, '\n{2,}'))::INT AS parts,
@@ -97,7 +117,8 @@ def editor_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", T.join_lines(t).alias("joined"), F.size(F.split(t, r"\n{2,}")).alias("parts"), T.count_literal(t, "tion", False).alias("hits"))
 
 
-NOISY = [(1, "el art. 5 o . y N*12 ||", "el art. 5° . y N° 12 II"), (2, "a — b", "a – b"), (3, "nada", "nada")]
+NOISY = [(1, "Artículo 1”%.- Texto", "Artículo 1°.- Texto"), (2, "a | b || c", "a | b || c"), (3, "TITULO |", "TITULO I"), (4, "CAPITULO ||. Fin", "CAPITULO II. Fin"), (5, "N*12 y N” : 3", "N° 12 y N°: 3"), (6, "inc. 3”) y 2*,", "inc. 3°) y 2°,"),
+         (7, "a --  b —- c", "a - b — c"), (8, "uno\n\n\n\ndos", "uno\n\ndos"), (9, "ANEXO!", "ANEXO I"), (10, "nada | l", "nada | l")]
 
 
 @query(f"SELECT id::INT AS id, want AS fixed FROM {as_sql('id, t, want', NOISY)}")
@@ -115,11 +136,20 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "t string", [(MD,)]).select(F.posexplode(T.sections(F.col("t"))).alias("pos", "s")).select("pos", "s.heading")
 
 
-@query(r"""SELECT page_id, len(regexp_extract_all(html, '(?i)<script')) > 0 AS had_script, false AS has_script FROM pages""")
+SAFE = "html"
+for _tag in ("script", "style", "iframe", "object", "embed", "form"):
+    SAFE = rf"regexp_replace({SAFE}, '(?is)<{_tag}\b.*?</{_tag}>', '', 'g')"
+SAFE = rf"regexp_replace({SAFE}, '(?is)</?(?:script|style|iframe|object|embed|form|input|button)\b[^>]*>', '', 'g')"
+SAFE = rf"""regexp_replace({SAFE}, '(?i)\son\w+\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', '', 'g')"""
+for _quote in ('"', "''", ""):
+    SAFE = rf"""regexp_replace({SAFE}, '(?i)(href|src)\s*=\s*{_quote}\s*javascript:[^"''>\s]*{_quote}', '\1={_quote}#{_quote}', 'g')"""
+
+
+@query(f"SELECT page_id, md5({SAFE}) AS mark, length({SAFE})::INT AS n FROM pages")
 def safe_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-15: markup without scripts, frames, forms and handlers."""
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", (F.regexp_count("html", F.lit("(?i)<script")) > 0).alias("had_script"), (F.regexp_count(T.safe_markup(F.col("html")), F.lit("(?i)<script")) > 0).alias("has_script"))
+    safe = table(spark, sf_dir, "pages").select("page_id", T.safe_markup(F.col("html")).alias("safe"))
+    return safe.select("page_id", F.md5(F.col("safe").cast("binary")).alias("mark"), F.length("safe").alias("n"))
 
 
 @query("SELECT source, sum(n_chars) < 25 * count(*) AS needs_ocr, count(*) AS n, max(doc_id) AS version FROM documents GROUP BY source")

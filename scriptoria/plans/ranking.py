@@ -11,11 +11,13 @@ from scriptoria.operators import retrieval as R
 from scriptoria.plans import query, rows, table
 
 FOLD = "translate(lower({}), '" + T.ACCENTS[0] + "', '" + T.ACCENTS[1] + "')"
+#: Character references that the tables' pages have; SQL has no table of all of them.
+REFERENCES = [("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&eacute;", "é"), ("&#233;", "é"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&")]
 PLAIN = (
-    "regexp_replace(regexp_replace(regexp_replace(" + "replace(" * len(T.ENTITIES)
-    + r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', '', 'g'), '(?i)<br[^>]*>|</(?:p|div|h[1-6]|li|tr)>', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
-    + "".join(", '" + a.replace("'", "''") + "', '" + b.replace("'", "''") + "')" for a, b in T.ENTITIES)
-    + r", '[ \t\r\xA0]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+    "regexp_replace(regexp_replace(regexp_replace(replace(" + "replace(" * len(REFERENCES)
+    + r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?i)<br\s*/?>|</p>|</div>|</h\d>|</li>|</tr>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+    + "".join(", '" + a.replace("'", "''") + "', '" + b.replace("'", "''") + "')" for a, b in REFERENCES)
+    + r", chr(160), ' '), '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 )
 
 
@@ -114,10 +116,10 @@ def organise_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.organised(d).join(due, "id", "left").select("id", "name", "folder", "hearing")
 
 
-CARD = "Ana María Gómez\nDirectora Comercial\nEmpresa Sur S.A.\nTel: 2966 420-123\nCel: +54 2966 555-999\nana@sur.example\nwww.sur.example\nAv. San Martín 1200"
+CARD = "Lucía Ferreyra Paz\nDirectora Comercial\nEmpresa Norte S.A.\nTel: 3874 420-123\nCel: +54 3874 555-999\nlucia@norte.example\nwww.norte.example\nAv. Belgrano 1200"
 
 
-@query("SELECT 'Ana María Gómez' AS name, 'Directora Comercial' AS title, 'Empresa Sur S.A.' AS org, 2 AS phones, 'ana@sur.example' AS email, 'www.sur.example' AS url, 'Av. San Martín 1200' AS address, 'BEGIN:VCARD' AS first_line")
+@query("SELECT 'Lucía Ferreyra Paz' AS name, 'Directora Comercial' AS title, 'Empresa Norte S.A.' AS org, 2 AS phones, 'lucia@norte.example' AS email, 'www.norte.example' AS url, 'Av. Belgrano 1200' AS address, 'BEGIN:VCARD' AS first_line")
 def business_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EX-8 and SNK-6: a card's fields, and the card as vCard."""
     from scriptoria.sources.sinks import vcard

@@ -9,22 +9,27 @@ from scriptoria.functions import values as V
 from scriptoria.plans import as_sql, query, rows, table
 
 CELLS = [(k, s) for k, s in enumerate(
-    "30.123.456|0042|20-30123456-3|12345678901|05/11/2023|12/03/2024|12/13/2024|31/2/24|1/2/24|15.250,50|$ 1.250|-3|12,5 %|  |word|7,5|-$ 2.000,75|$ 99".split("|")
+    "30.123.456|0042|20-30123456-3|12345678901|05/11/2023|12/03/2024|12/13/2024|31/2/24|1/2/24|15.250,50|$ 1.250|-3|12,5 %|  |word|7,5|-$ 2.000,75|$ 99"
+    "|$ 1250|-$1250|$  5|- $ 5|1.2.3|12.34,5|1234.567|$1.25|5  %|-4,25 %|2500,5|$ 12.345.678|1234567890|999999999|3,125".split("|")
 )]
 
 
 @query(rf"""
 WITH c AS (SELECT id, trim(regexp_replace(raw, '^\s+|\s+$', '', 'g')) AS s FROM {as_sql("id, raw", CELLS)}
   UNION ALL SELECT 100000 + l_orderkey * 10 + l_linenumber, '$ ' || replace(replace(replace(format('{{:,.2f}}', l_extendedprice), ',', '_'), '.', ','), '_', '.') FROM lineitem),
-p AS (SELECT *, regexp_extract(s, '^(\d{{1,2}})/(\d{{1,2}})/(\d{{2}}|\d{{4}})$', ['d', 'm', 'y']) AS x, s SIMILAR TO '\d{{1,2}}\.\d{{3}}\.\d{{3}}' OR regexp_matches(s, '^0\d+') OR s SIMILAR TO '\d{{2}}-\d{{8}}-\d' OR s SIMILAR TO '\d{{10,}}' AS keep,
-  try_cast(replace(replace(replace(replace(replace(replace(s, '.', ''), '$', ''), ' ', ''), '%', ''), ',', '.'), ' ', '') AS DOUBLE) AS num FROM c),
-d AS (SELECT *, CASE WHEN x.d <> '' THEN (make_date((CASE WHEN length(x.y) = 2 THEN 2000 ELSE 0 END + try_cast(x.y AS INT))::BIGINT, 1, 1) + to_months((try_cast(x.m AS INT) - 1)) + to_days(try_cast(x.d AS INT) - 1))::DATE END AS rolled FROM p),
-e AS (SELECT *, CASE WHEN day(rolled) = try_cast(x.d AS INT) THEN rolled END AS dt FROM d)
-SELECT id::BIGINT AS id,
-  CASE WHEN s = '' THEN NULL WHEN keep THEN 'text' WHEN dt IS NOT NULL THEN 'date'
-    WHEN s SIMILAR TO '-?\$?\s*\d{{1,3}}(\.\d{{3}})*,\d{{1,2}}' OR s SIMILAR TO '-?\$?\s*\d+,\d{{1,2}}' OR s SIMILAR TO '-?\$\s*\d{{1,3}}(\.\d{{3}})*' OR s SIMILAR TO '-?\d{{1,9}}' OR s SIMILAR TO '-?\d+([.,]\d+)?\s*%' THEN 'number' ELSE 'text' END AS kind,
-  CASE WHEN s <> '' AND NOT keep AND dt IS NULL THEN round(CASE WHEN s SIMILAR TO '-?\d+([.,]\d+)?\s*%' THEN try_cast(replace(replace(replace(s, '%', ''), ' ', ''), ',', '.') AS DOUBLE) / 100 ELSE num END, 6) END AS num,
-  CASE WHEN NOT keep THEN strftime(dt, '%Y-%m-%d') END AS day FROM e
+k AS (SELECT *, s[1] = '0' AND s[2] BETWEEN '0' AND '9' OR (length(s) >= 10 AND length(translate(s, '0123456789', '')) = 0) OR (length(s) = 13 AND s[3] = '-' AND s[12] = '-' AND length(translate(s, '0123456789', '')) = 2)
+    OR (len(string_split(s, '.')) = 3 AND length(string_split(s, '.')[1]) IN (1, 2) AND length(string_split(s, '.')[2]) = 3 AND length(string_split(s, '.')[3]) = 3 AND length(translate(s, '.0123456789', '')) = 0) AS keep, string_split(s, '/') AS f FROM c),
+d AS (SELECT *, CASE WHEN len(f) = 3 AND regexp_full_match(s, '\d\d?/\d\d?/(\d\d|\d\d\d\d)') THEN (make_date(CASE WHEN f[3]::INT < 100 THEN 2000 + f[3]::INT ELSE f[3]::INT END, 1, 1) + to_months(f[2]::INT - 1) + to_days(f[1]::INT - 1))::DATE END AS rolled FROM k),
+e AS (SELECT *, CASE WHEN day(rolled) = try_cast(f[1] AS INT) THEN rolled END AS dt, ltrim(s, '-') AS u, CASE WHEN s[1] = '-' THEN -1 ELSE 1 END AS sign FROM d),
+m AS (SELECT *, u[1] = '$' AS money, CASE WHEN u[1] = '$' AND u[2] = ' ' THEN u[3:] WHEN u[1] = '$' THEN u[2:] ELSE u END AS v FROM e),
+g AS (SELECT *, string_split(v, ',') AS p, CASE WHEN u[-1] = '%' THEN CASE WHEN u[-2] = ' ' THEN u[:-3] ELSE u[:-2] END END AS pc FROM m),
+n AS (SELECT *, regexp_full_match(p[1], '\d+|\d\d?\d?(\.\d\d\d)+') AND NOT (length(s) - length(u) > 1) AS grouped FROM g),
+q AS (SELECT *, CASE WHEN s = '' THEN NULL WHEN keep THEN 0 WHEN dt IS NOT NULL THEN 1 WHEN grouped AND len(p) = 2 AND regexp_full_match(p[2], '\d\d?') THEN 2 WHEN grouped AND money AND len(p) = 1 THEN 3
+  WHEN NOT money AND length(u) <= 9 AND length(s) - length(u) <= 1 AND regexp_full_match(u, '\d+') THEN 4 WHEN pc IS NOT NULL AND length(s) - length(u) <= 1 AND regexp_full_match(pc, '\d+([.,]\d+)?') THEN 5 ELSE 0 END AS rule FROM n)
+SELECT id::BIGINT AS id, CASE rule WHEN 0 THEN 'text' WHEN 1 THEN 'date' WHEN 2 THEN 'number' WHEN 3 THEN 'number' WHEN 4 THEN 'number' WHEN 5 THEN 'number' END AS kind,
+  CASE rule WHEN 2 THEN round(sign * (replace(p[1], '.', '') || '.' || p[2])::DOUBLE, 6) WHEN 3 THEN sign * replace(p[1], '.', '')::DOUBLE WHEN 4 THEN sign * u::DOUBLE WHEN 5 THEN round(sign * replace(pc, ',', '.')::DOUBLE / 100, 6) END AS num,
+  CASE WHEN rule = 1 THEN strftime(dt, '%Y-%m-%d') END AS day,
+  CASE rule WHEN 1 THEN 'dd/mm/yyyy' WHEN 2 THEN '#,##0.' || repeat('0', length(p[2])) WHEN 3 THEN '"$" #,##0' WHEN 5 THEN '0.##%' END AS fmt FROM q
 """)
 def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VAL-1 with its quirks, on written-out cells and on prices in local spelling."""
@@ -32,7 +37,7 @@ def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")
     price = l.select((F.lit(100000) + F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id"), F.concat(F.lit("$ "), V.locale_number(F.col("l_extendedprice"))).alias("raw"))
     v = cells.union(price).select("id", V.typed(F.col("raw")).alias("v"))
-    return v.select("id", F.col("v.kind").alias("kind"), F.round("v.num", 6).alias("num"), F.col("v.date").cast("string").alias("day"))
+    return v.select("id", F.col("v.kind").alias("kind"), F.round("v.num", 6).alias("num"), F.col("v.date").cast("string").alias("day"), F.col("v.fmt").alias("fmt"))
 
 
 @query("SELECT o_orderkey, replace(replace(replace(format('{:,.2f}', o_totalprice), ',', '_'), '.', ','), '_', '.') AS written, (o_orderdate::DATE - DATE '1970-01-01' + 25569)::INT AS serial FROM orders")
@@ -97,8 +102,8 @@ FROM (SELECT event_id, ts, floor(epoch(last))::BIGINT - floor(epoch(ts))::BIGINT
 def relative_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VAL-7: how long ago each event was at the time of the last one."""
     e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    now = e.agg(F.max("ts")).first()[0]
-    return e.select("event_id", V.relative_time(F.col("ts"), F.lit(now)).alias("ago"))
+    last = e.agg(F.max("ts").alias("last"))  # one row
+    return e.join(F.broadcast(last)).select("event_id", V.relative_time(F.col("ts"), F.col("last")).alias("ago"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%d') || ' ' || (['ene','feb','mar','abr','may','jun','jul','ago','sep','oct','nov','dic'])[month(o_orderdate)] || ' ' || strftime(o_orderdate, '%Y') AS day FROM orders""")

@@ -58,16 +58,25 @@ def capture_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "id int, q boolean, s double, b double", GATE).select("id", S.capture_allowed(F.col("q"), F.col("s"), F.col("b")).alias("allowed"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) / 1e6::DOUBLE AS moment, coalesce(last_value(CASE WHEN value < 20 THEN true WHEN value >= 60 THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS state FROM events),
+c AS (SELECT user_id, moment, state FROM (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY moment, state) AS was FROM o) WHERE was IS NULL OR was <> state),
+s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY moment, state) AS k FROM c),
+r AS (SELECT user_id, k, moment, state, true AS taken FROM s WHERE k = 1
+  UNION ALL SELECT s.user_id, s.k, CASE WHEN s.moment - r.moment >= 86400 AND s.state <> r.state THEN s.moment ELSE r.moment END, CASE WHEN s.moment - r.moment >= 86400 AND s.state <> r.state THEN s.state ELSE r.state END, s.moment - r.moment >= 86400 AND s.state <> r.state FROM r JOIN s ON s.user_id = r.user_id AND s.k = r.k + 1)
+SELECT user_id, moment AS "at", state AS "on" FROM r WHERE taken""")
 def debounced_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST-2: switches at least a day apart. Each depends on the last accepted one: no SQL twin."""
+    """ST-2: switches at least a day apart; each depends on the last accepted one."""
     on = S.schmitt(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 20, 60)
     return S.debounced(on.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), "on"), "user_id", "at", "on", 86400.0)
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT user_id, ts, event_id, event_type = 'error' AS undo, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, k, CASE WHEN undo THEN []::BIGINT[] ELSE [event_id] END AS stack FROM s WHERE k = 1
+  UNION ALL SELECT s.user_id, s.k, CASE WHEN NOT undo THEN list_append(stack, event_id) WHEN len(stack) > 1 THEN stack[1:len(stack) - 1] ELSE []::BIGINT[] END FROM r JOIN s ON s.user_id = r.user_id AND s.k = r.k + 1),
+l AS (SELECT user_id, unnest(max_by(stack, k)) AS event_id FROM r GROUP BY user_id)
+SELECT user_id, ts, event_id FROM l JOIN events USING (user_id, event_id)""")
 def queue_after_undo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST-9 and 10: jobs left after undoing; an undo takes back the last job left. No SQL twin."""
+    """ST-9 and 10: jobs left after undoing; an undo takes back the last job left."""
     return S.queue_after_undo(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], F.col("event_type") == "error")
 
 

@@ -14,11 +14,11 @@ from scriptoria.sources import files, sinks
 
 
 def test_typed_quirks(spark):
-    cells = {"05/11/2023": "text", "12/03/2024": "date", "12/13/2024": "date", "31/02/2024": "text", "0042": "text", "1.250,5": "number", "$ 7": "number", "x": "text", " ": None}
+    cells = {"05/11/2023": "text", "12/03/2024": "date", "12/13/2024": "date", "31/02/2024": "text", "0042": "text", "1.250,5": "number", "$ 7": "number", "$ 1250": "number", "$  7": "text", "1.2,5": "text", "x": "text", " ": None}
     df = spark.createDataFrame([(k,) for k in cells], "s string").select("s", V.typed(F.col("s")).alias("v"))
     got = {r["s"]: r["v"] for r in df.collect()}
     assert {k: v["kind"] if v else None for k, v in got.items()} == cells
-    assert str(got["12/13/2024"]["date"]) == "2025-01-12" and got["1.250,5"]["num"] == 1250.5
+    assert str(got["12/13/2024"]["date"]) == "2025-01-12" and got["1.250,5"]["num"] == 1250.5 and got["1.250,5"]["fmt"] == "#,##0.0" and got["$ 1250"]["num"] == 1250
 
 
 def test_backup_round_trip(spark):
@@ -123,7 +123,8 @@ def test_small_relational(spark):
 def test_text_rules(spark):
     one = lambda e: spark.range(1).select(e.alias("x")).first()["x"]
     assert one(T.mark_titles(F.lit("Título grande\nfin de frase."))) == "§§Título grande\nfin de frase."
-    assert one(T.without_head(F.lit("Objeto. - El texto"), F.lit("Objeto"))) == "El texto"
+    assert one(T.without_head(F.lit(". - Artículo 16: El texto"), F.lit("16"))) == "El texto"
+    assert one(T.html_to_text(F.lit("<p>Ni&ntilde;o &amp;lt; &#x41;&hearts;</p>\n \n<script>x</script>y"))) == "Niño &lt; A♥\n y"
     assert one(T.replace_literal(F.lit("a.b A.B"), "a.b", "$1", False)) == "$1 $1"
     assert one(V.is_email(F.lit("a@b.c"))) and not one(V.is_email(F.lit("a@b")))
     assert one(T.article_number(F.lit(" 27  Quáter"))) == "27 quater"
