@@ -19,6 +19,14 @@ PERCENT = r"^(-?\d+(?:[.,]\d+)?)\s?%$"
 #: Weights of the tax id's check digit.
 TAX_WEIGHTS = (5, 4, 3, 2, 7, 6, 5, 4, 3, 2)
 MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
+#: Colours of the usual theme, and numbered colours.
+THEME = ("FFFFFF", "000000", "E7E6E6", "44546A", "4472C4", "ED7D31", "A5A5A5", "FFC000", "5B9BD5", "70AD47")
+INDEXED = (
+    *("000000", "FFFFFF", "FF0000", "00FF00", "0000FF", "FFFF00", "FF00FF", "00FFFF"), *("000000", "FFFFFF", "FF0000", "00FF00", "0000FF", "FFFF00", "FF00FF", "00FFFF"),
+    "800000", "008000", "000080", "808000", "800080", "008080", "C0C0C0", "808080", "9999FF", "993366", "FFFFCC", "CCFFFF", "660066", "FF8080", "0066CC", "CCCCFF",
+    "000080", "FF00FF", "FFFF00", "00FFFF", "800080", "800000", "008080", "0000FF", "00CCFF", "CCFFFF", "CCFFCC", "FFFF99", "99CCFF", "FF99CC", "CC99FF", "FFCC99",
+    "3366FF", "33CCCC", "99CC00", "FFCC00", "FF9900", "FF6600", "666699", "969696", "003366", "339966", "003300", "333300", "993300", "993366", "333399", "333333",
+)
 #: Page formats by name, short and long side in millimetres.
 PAPERS = (("A4", 210.0, 297.0), ("Letter", 215.9, 279.4), ("Oficio", 215.9, 330.2))
 
@@ -98,6 +106,21 @@ def css_length_px(c: Column) -> Column:
     return F.when(unit == "mm", value * 96 / 25.4).when(unit == "cm", value * 96 / 2.54).when(unit == "pt", value * 96 / 72).when(unit == "in", value * 96).otherwise(value)
 
 
+def tinted(colour: Column, tint: Column) -> Column:
+    """Channels of RRGGBB towards white by a positive part, towards black by a negative one."""
+    t = F.coalesce(tint, F.lit(0.0))
+    value = lambda k: F.conv(F.substring(colour, k, 2), 16, 10).cast("double")
+    moved = lambda v: F.floor(F.when(t < 0, v * (1 + t)).otherwise(v + (255 - v) * t) + 0.5)
+    channel = lambda k: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), moved(value(k)))).cast("long")), 2, "0")
+    return F.when(colour.isNotNull(), F.concat(channel(1), channel(3), channel(5)))
+
+
+def sheet_colour(argb: Column, theme: Column, tint: Column, indexed: Column, default: Column) -> Column:
+    """RRGGBB of a cell's colour: as given, else by theme and tint, else by number, else the default."""
+    pick = lambda names, k: F.get(F.array(*[F.lit(x) for x in names]), k)
+    return F.coalesce(F.upper(F.when(F.length(argb) == 8, F.substring(argb, 3, 6)).otherwise(F.nullif(argb, F.lit("")))), tinted(pick(THEME, theme), tint), pick(INDEXED, indexed), default)
+
+
 def relative_time(at: Column, now: Column) -> Column:
     """Minutes below an hour, at least 1; hours below a day; days below 30; else the date. Null gives a dash."""
     seconds = F.unix_timestamp(now) - F.unix_timestamp(at)

@@ -31,6 +31,12 @@ def entities(text: Column, *kinds: str) -> Column:
     return F.create_map(*[x for k in chosen for x in (F.lit(k), F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITIES[k]), F.lit(0))))])
 
 
+def key_data(docs: DataFrame, key: str, text: Column, *kinds: str) -> DataFrame:
+    """(key, field, value): the first match of each kind that the text has."""
+    first = F.array(*[F.struct(F.lit(k).alias("field"), F.regexp_extract(text, ENTITIES[k], 0).alias("value")) for k in kinds])
+    return docs.select(key, F.explode(first).alias("x")).select(key, "x.*").where("value <> ''")
+
+
 def persons(text: Column) -> Column:
     """Names written FAMILY, Given."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(PERSON), F.lit(0)))

@@ -193,6 +193,29 @@ def used_range(cells: DataFrame, merges: DataFrame) -> DataFrame:
     return both.groupBy("sheet").agg(F.min("r0").alias("r0"), F.min("c0").alias("c0"), F.max("r1").alias("r1"), F.max("c1").alias("c1"))
 
 
+def merge_borders(cells: DataFrame, merges: DataFrame) -> DataFrame:
+    """(sheet, r1, c1, right, bottom) of merges (sheet, r1, c1, r2, c2): borders of their last cells (sheet, r, c, right, bottom)."""
+    last = cells.select("sheet", F.col("r").alias("r2"), F.col("c").alias("c2"), "right", "bottom")
+    return merges.join(last, ["sheet", "r2", "c2"], "left").select("sheet", "r1", "c1", "right", "bottom")
+
+
+def anchored(images: DataFrame, page_rows: DataFrame) -> DataFrame:
+    """Images (sheet, at: rows from the top, from 0) with the page of (sheet, r, page, repeated) that has their row.
+
+    Of a row that is repeated on every page only the first page shows them.
+    """
+    own = images.withColumn("r", F.floor("at") + 1).join(page_rows, ["sheet", "r"])
+    return own.where(~(F.col("repeated") & (F.col("page") > 0)))
+
+
+def pitch(lines: DataFrame, key: str, y: str) -> DataFrame:
+    """(key, pitch): the upper median of distances between neighbouring lines, by rank, so that no group is collected."""
+    from scriptoria.operators.aggregates import histogram
+
+    gaps = lines.withColumn("_gap", F.col(y) - F.lag(y).over(Window.partitionBy(key).orderBy(y))).where("_gap IS NOT NULL")
+    return histogram(gaps, key, "_gap").where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy(key).agg(F.min("v").alias("pitch"))
+
+
 def visible_cells(cells: DataFrame, hidden_rows: DataFrame, hidden_cols: DataFrame) -> DataFrame:
     return cells.join(hidden_rows, ["sheet", "r"], "left_anti").join(hidden_cols, ["sheet", "c"], "left_anti")
 

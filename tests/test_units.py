@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scriptoria import streaming
 from scriptoria.functions import text as T
 from scriptoria.functions import values as V
-from scriptoria.operators import algebra, geometry, layout, raster, relational, state
+from scriptoria.operators import algebra, corpus, geometry, layout, raster, relational, retrieval, ruled, state
 from scriptoria.sources import files, sinks
 
 
@@ -108,6 +108,32 @@ def test_kernels():
     assert len(geometry.hull(square)) == 4 and len(geometry.simplified(np.array([[0, 0], [1, 0.01], [2, 0], [2, 2], [0, 2]]), 0.1)) == 4
 
 
+def test_rules_and_gaps():
+    g = np.full((120, 200), 240, np.uint8)
+    g[20:22, 10:180] = 30
+    g[20:22, 80:82] = 240  # a hole of two pixels
+    g[60:70, 10:180] = 30  # too thick for a rule
+    g[100, 10:60], g[100, 66:180] = 30, 30  # two pieces of one line
+    across, down = ruled.rules_of(g)
+    assert [(s.pos, s.a, s.b, s.thick) for s in across] == [(20.5, 10, 179, 2), (100.0, 10, 179, 1)] and down == []
+    assert ruled.paper_level(g) == 240 and ruled.grids_of(across, down) == []
+    t = np.full((20, 100), 255, np.uint8)
+    for a, b in ((10, 20), (22, 30), (50, 58), (80, 90)):
+        t[5:15, a:b] = 0
+    assert ruled.recut(t, 3, 8, 2, 92, 17) == [(10, 30), (50, 58), (80, 90)]
+    assert ruled.recut(t, 5, 8, 2, 92, 17) is None
+    t[5:15, 60:70] = 0
+    assert ruled.recut(t, 3, 8, 2, 92, 17) is not None and ruled.recut(np.full((20, 50), 255, np.uint8), 2, 0, 0, 49, 19) is None
+
+
+def test_long_chains_and_any_number_of_aliases(spark):
+    chain = spark.range(300).selectExpr("id a", "id + 1 b")
+    assert {tuple(r) for r in corpus.components(chain, "a", "b").collect()} == {(k, 0) for k in range(301)}
+    aliases = spark.range(15_000).selectExpr("concat('l', id) law", "concat('ley ', id) alias")
+    asked = spark.createDataFrame([("qué dice la ley 14999 hoy",), ("nada",)], "q string")
+    assert {r["q"]: r["law"] for r in retrieval.resolve_alias(asked, aliases).collect()} == {"qué dice la ley 14999 hoy": "l14999", "nada": None}
+
+
 def test_small_relational(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string")
     b = spark.createDataFrame([(2, "z"), (3, "w")], "id int, v string")
