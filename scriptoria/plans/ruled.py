@@ -41,12 +41,12 @@ def ruled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.grid_cells(R.page_rules(images), words)
 
 
-@query("""SELECT s AS key, 'Orders of it' AS sheet, r::INT AS r, c::INT AS c, text FROM (SELECT l_suppkey AS s, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS r, l_orderkey, l_shipdate, l_quantity FROM lineitem WHERE l_suppkey <= 3),
+@query("""SELECT s AS key, 'Orders of it' AS sheet, r::INT AS r, c::INT AS c, text FROM (SELECT l_suppkey AS s, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_shipdate, l_quantity) AS r, l_orderkey, l_shipdate, l_quantity FROM lineitem WHERE l_suppkey <= 3),
 LATERAL (SELECT 1 AS c, 'order ' || l_orderkey AS text UNION ALL SELECT 2, CASE WHEN day(l_shipdate) < 10 THEN strftime(l_shipdate, '%d/%m/%Y') ELSE (l_shipdate::DATE - DATE '1899-12-30')::INT || '.0' END UNION ALL SELECT 3, l_quantity::INT || '.5')""")
 def workbooks_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-3 and SRC-8: order lines written as workbooks with typed cells, and read again. Dates that begin with 0 stay text."""
     l = table(spark, sf_dir, "lineitem").where("l_suppkey <= 3")
-    r = F.expr("row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber)")
+    r = F.expr("row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_shipdate, l_quantity)")
     texts = F.array(F.concat(F.lit("order "), F.col("l_orderkey").cast("string")), F.date_format("l_shipdate", "dd/MM/yyyy"), F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(",5")))
     cells = l.withColumn("r", r).select(F.col("l_suppkey").alias("book"), F.lit("Orders/of:it").alias("sheet"), "r", F.posexplode(texts).alias("c", "text"))
     cells = cells.select("book", "sheet", "r", (F.col("c") + 1).alias("c"), "text", F.lit(False).alias("bold"), F.lit(None).cast("int").alias("r2"), F.lit(None).cast("int").alias("c2"))
