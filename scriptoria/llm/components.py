@@ -1,4 +1,4 @@
-"""Connected components of pairs in Spark: alternating large-star and small-star rounds.
+"""Connected components of pairs in Spark: those of the core, for pairs of any names, with nulls and loops ignored.
 
 Each round's pairs are written to the shared checkpoint folder. Work per round is a few aggregations by node, which
 combine before they shuffle; the number of rounds grows with the log of the longest chain.
@@ -10,27 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.llm.common import checkpoint
+from scriptoria.operators import corpus
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, component) for each node of a pair; component is the smallest node reachable. Nulls and loops are ignored."""
-    pairs = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(F.col("hi") > F.col("lo")).distinct()
-    pairs = checkpoint(pairs)
-    before = None
-    for _ in range(max_rounds):
-        # Large star: each node's larger neighbours move to its smallest neighbour.
-        both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        star = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        star = star.distinct()
-        # Small star: each node's smaller neighbours, and the node, move to its smallest neighbour.
-        least = star.groupBy("hi").agg(F.min("lo").alias("m"))
-        moved = star.join(least, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("p")).select("p.*")
-        pairs = checkpoint(moved.where(F.col("hi") > F.col("lo")).distinct())
-        after = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("s"), F.count_distinct("hi").alias("k")).first()
-        if after["n"] == after["k"] and tuple(after) == before or after["n"] == 0:
-            break
-        before = tuple(after)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(pairs.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) for each node of a pair; component is the smallest node reachable."""
+    pairs = checkpoint(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b"))
+    if pairs.isEmpty():
+        return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return corpus.components(pairs, "a", "b")
