@@ -31,6 +31,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
+    """df for a join: sent to all tasks if it has been counted to have no more than so many rows, else joined by shuffling."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def crc32_of(column: str) -> F.Column:
     """crc32 of a column's text, as the contracts' fold numbers need it."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import checkpoint, map_rows, table, words_of
+from scriptoria.llm.common import checkpoint, map_rows, small_or_shuffled, table, words_of
 from scriptoria.llm.components import components
 
 #: Fixed by the contract: words of a shingle, and the hash's seed.
@@ -222,13 +222,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ti
     return keep_chosen(docs, near_duplicates(docs, id_col, text_col, tiling), fingerprints, id_col, text_col)
 
 
-def keep_chosen(docs: DataFrame, found: DataFrame, prints: Callable[[list[str | None]], np.ndarray], id_col: str, text_col: str) -> DataFrame:
-    """keep_one by found: of each row the id, fp and component_fp. prints makes fp of texts."""
+def keep_chosen(docs: DataFrame, found: DataFrame, prints: Callable[[list[str | None]], np.ndarray], id_col: str, text_col: str, ids: int = 1_000_000) -> DataFrame:
+    """keep_one by found: of each row the id, fp and component_fp. prints makes fp of texts.
+
+    Rows that are alone in their component stay where they are; only the others are shuffled. Up to so many ids of these
+    are sent to all tasks, more are joined by shuffling.
+    """
+    found = checkpoint(found)
+    several = found.groupBy("component_fp").agg(F.count("*").alias("n")).where("n > 1")
+    mixed = checkpoint(found.join(several, "component_fp").select(F.col(id_col).alias("mixed_id")).distinct())
+    mixed = small_or_shuffled(mixed, ids)
     chosen = found.groupBy("component_fp").agg(F.min(F.struct(id_col, "fp")).alias("x")).select(F.col(f"x.{id_col}").alias("chosen_id"), F.col("x.fp").alias("chosen_fp"))
     names = [f"c{k}" for k in range(len(docs.columns))]
     marked = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)])
     own_id, own_text = (names[docs.columns.index(c)] for c in (id_col, text_col))
     order = [n for n, (_, kind) in zip(names, docs.dtypes, strict=True) if not kind.startswith("map")]
+    one_of = F.col(own_id).eqNullSafe(F.col("mixed_id"))
+    alone, marked = marked.join(mixed, one_of, "left_anti"), marked.join(mixed, one_of, "left_semi")
     # Ids first, so that fingerprints are made again only for rows that may stay.
     marked = marked.join(chosen, F.col(own_id).eqNullSafe(F.col("chosen_id"))).select(*names, "chosen_fp")
     kinds = ", ".join(f"{n} {kind}" for n, (_, kind) in zip(names, docs.dtypes, strict=True))
@@ -241,6 +251,7 @@ def keep_chosen(docs: DataFrame, found: DataFrame, prints: Callable[[list[str |
 
     kept = marked.mapInArrow(same, f"{kinds}, chosen_fp long")
     kept = kept.withColumn("n", F.row_number().over(Window.partitionBy(own_id, "chosen_fp").orderBy(*[n for n in order if n != own_text]))).where(F.col("n") == 1)
+    kept = alone.select(*names).union(kept.select(*names))
     return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 

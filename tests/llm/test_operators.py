@@ -78,6 +78,14 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_one_stays_by_broadcast_or_shuffle(spark, docs):
+    """The size check changes the plan, not the rows; ids repeat, with equal and with other texts, and are null."""
+    more = spark.createDataFrame([(None, "a b c d e f g"), (None, "a b c d e f g"), (2, "quite another text here"), (2, None), (900, "a b c d e f g")], "doc_id long, text string")
+    given = docs.select("doc_id", "text").union(more)
+    kept = [sorted(map(str, neardup.keep_one(given, rules=neardup.Similar(ids=n)).collect())) for n in (10**6, 0)]
+    assert kept[0] == kept[1] and len(kept[0]) == neardup.near_duplicates(given).select("component_fp").distinct().count()
+
+
 def test_simhash_repeated_rows_and_ids(spark, docs):
     twice = docs.where("doc_id < 5").union(docs.where("doc_id < 5"))
     assert simhash.keep_one(twice).count() == len({r["component_fp"] for r in simhash.near_duplicates(twice).collect()})
