@@ -19,6 +19,8 @@ ENTITIES = {
     "tax_id": r"\b\d{2}-\d{8}-\d\b",
     "file": r"\b(?:Expte|Exp|EX)\.? ?N?°? ?\d[\d/-]*\d",
 }
+#: What a text must have for a kind to be looked for: a cheap test before the pattern.
+SIGNS = {"email": "@", "phone": "+", "ip": ".", "amount": "$", "date": "/", "identity": ".", "tax_id": "-"}
 PERSON = r"\b(\p{Lu}{2,}(?: \p{Lu}{2,})*), (\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"
 ORDERS = r"(?i)\b(solicit|requier|dispon|orden|intim|resuelv|notifi|request|order)"
 GREETINGS = r"(?i)^(estimad|de mi mayor|saludo|atentamente|dear|sincerely)"
@@ -28,7 +30,13 @@ KINDS = ("oficio", "resolución", "nota", "informe", "acta", "dictamen")
 def entities(text: Column, *kinds: str) -> Column:
     """Map from kind to distinct matches, in order of appearance."""
     chosen = kinds or tuple(ENTITIES)
-    return F.create_map(*[x for k in chosen for x in (F.lit(k), F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITIES[k]), F.lit(0))))])
+    none = F.array().cast("array<string>")
+
+    def found(k: str) -> Column:
+        all_ = F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITIES[k]), F.lit(0)))
+        return F.when(F.contains(text, F.lit(SIGNS[k])), all_).otherwise(none) if k in SIGNS else all_
+
+    return F.create_map(*[x for k in chosen for x in (F.lit(k), found(k))])
 
 
 def key_data(docs: DataFrame, key: str, text: Column, *kinds: str) -> DataFrame:
