@@ -51,9 +51,16 @@ def typed(c: Column) -> Column:
     part = lambda k: F.regexp_extract(s, DATE, k).cast("int")
     year = F.when(part(3) < 100, part(3) + 2000).otherwise(part(3))
     date = F.when(s.rlike(DATE), rolled_date(part(1), part(2), year))
+    rule = F.when(s.isNull() | (s == ""), None).when(text, 0).when(date.isNotNull(), 1).when(s.rlike(DECIMAL), 2).when(s.rlike(CURRENCY), 3).when(s.rlike(INTEGER), 4).when(s.rlike(PERCENT), 5).otherwise(0)
+    # Each cell's rule is found once and bound; what follows looks at one pattern only.
+    known = F.array(F.struct(s.alias("s"), rule.alias("rule"), date.alias("date")))
+    return F.element_at(F.transform(known, _typed_by_rule), 1)
+
+
+def _typed_by_rule(x: Column) -> Column:
+    s, rule, date = x["s"], x["rule"], x["date"]
     whole = lambda p: F.concat(F.regexp_extract(s, p, 1), F.replace(F.regexp_extract(s, p, 2), F.lit("."), F.lit("")))
     decimals = F.regexp_extract(s, DECIMAL, 3)
-    rule = F.when(s == "", None).when(text, 0).when(date.isNotNull(), 1).when(s.rlike(DECIMAL), 2).when(s.rlike(CURRENCY), 3).when(s.rlike(INTEGER), 4).when(s.rlike(PERCENT), 5).otherwise(0)
     number = (
         F.when(rule == 2, F.concat(whole(DECIMAL), F.lit("."), decimals).cast("double")).when(rule == 3, whole(CURRENCY).cast("double"))
         .when(rule == 4, s.cast("double")).when(rule == 5, F.replace(F.regexp_extract(s, PERCENT, 1), F.lit(","), F.lit(".")).cast("double") / 100)
