@@ -177,31 +177,37 @@ def _chunks(batches: Iterator[pa.RecordBatch], rules: KatzRules):
         yield ids, train, lengths, np.array(codes, np.int64), number
 
 
-CHUNK = "chunk long, ids array<{}>, train binary, lengths binary, codes binary, words binary, counts binary, others binary, mark long"
+CHUNK = "chunk long, ids array<{}>, train binary, lengths binary, codes binary, counts binary, others binary, mark long"
 
 
-def chunk_table(docs: DataFrame, kind: str, rules: KatzRules) -> DataFrame:
-    """A row per chunk; words: hashes, sorted, as differences; counts, others: of each in training and elsewhere; mark: hash of words.
+def _counted(batches: Iterator[pa.RecordBatch], rules: KatzRules):
+    """(chunk, ids, train, lengths, codes, words, counts, others, mark) of each chunk.
 
-    codes: each token's place in the words by falling count.
+    words: hashes, sorted; counts, others: of each in training and elsewhere; mark: hash of words; codes: each token's place
+    in the words by falling count.
     """
+    for k, (ids, train, lengths, codes, number) in enumerate(_chunks(batches, rules)):
+        train, lengths = np.array(train, np.int64), np.array(lengths, np.int64)
+        words = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+        order = np.argsort(words)
+        learned = np.repeat(train, lengths) == 1
+        n, others = (np.bincount(codes[x], minlength=len(words))[order] for x in (learned, ~learned))
+        place = np.empty(len(words), np.int64)
+        place[order[_by_count(n, others)]] = np.arange(len(words))
+        mark = xxhash.xxh64_intdigest(words[order].tobytes()) - 2**63
+        yield (TaskContext.get().partitionId() << 24) + k, ids, train, lengths, place[codes], words[order], n, others, mark
+
+
+def chunk_table(docs: DataFrame, kind: str, rules: KatzRules) -> DataFrame:
+    """A row per chunk, without its words."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     out = to_arrow_schema(_parse_datatype_string(CHUNK.format(kind)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
-        for k, (ids, train, lengths, codes, number) in enumerate(_chunks(batches, rules)):
-            train, lengths = np.array(train, np.int64), np.array(lengths, np.int64)
-            words = np.fromiter((digest(w) for w in number), np.uint64, len(number))
-            order = np.argsort(words)
-            learned = np.repeat(train, lengths) == 1
-            n, others = (np.bincount(codes[x], minlength=len(words))[order] for x in (learned, ~learned))
-            place = np.empty(len(words), np.int64)
-            place[order[_by_count(n, others)]] = np.arange(len(words))
-            mark = xxhash.xxh64_intdigest(words[order].tobytes()) - 2**63
-            row = [(TaskContext.get().partitionId() << 24) + k, ids, *map(pack, (train, lengths, place[codes], np.diff(words[order], prepend=np.uint64(0)), n, others)), mark]
+        for chunk, ids, train, lengths, codes, _, n, others, mark in _counted(batches, rules):
+            row = [chunk, ids, *map(pack, (train, lengths, codes, n, others)), mark]
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, out, strict=True)], schema=out)
 
     return docs.mapInArrow(run, CHUNK.format(kind))
@@ -224,16 +230,16 @@ def _told(rows: list[tuple]) -> pa.Table:
     return _table(rows, ["chunk", "kind", "slot", "payload"], [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary())])
 
 
-def asked_words(chunks: DataFrame, slots: int) -> DataFrame:
+def asked_words(docs: DataFrame, slots: int, rules: KatzRules) -> DataFrame:
+    """What each chunk asks each slot of the table of words: hashes as differences, and their counts in training."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, words, counts, mark in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                words, counts = np.cumsum(unpack(words, "<u8"), dtype=np.uint64), unpack(counts)
-                cuts = [0, *np.searchsorted(words, _bounds(slots)), len(words)]
-                rows = [(s, chunk, pack(np.diff(words[lo:hi], prepend=np.uint64(0))), pack(counts[lo:hi]), mark) for s, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if lo < hi]
-                yield from _table(rows, ["slot", "chunk", "words", "counts", "mark"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]).to_batches()
+        for chunk, _, _, _, _, words, counts, _, mark in _counted(batches, rules):
+            cuts = [0, *np.searchsorted(words, _bounds(slots)), len(words)]
+            rows = [(s, chunk, pack(np.diff(words[lo:hi], prepend=np.uint64(0))), pack(counts[lo:hi]), mark) for s, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if lo < hi]
+            yield from _table(rows, ["slot", "chunk", "words", "counts", "mark"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]).to_batches()
 
-    return chunks.select("chunk", "words", "counts", "mark").mapInArrow(run, ASKED).repartition(slots, "slot")
+    return docs.mapInArrow(run, ASKED).repartition(slots, "slot")
 
 
 def _totals(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -383,6 +389,8 @@ def answered(t: pa.Table, words: Words, rules: KatzRules) -> pa.Table:
         return _table(passed, names, kinds)
     parts = [[*_stepped(*r["payload"][:2]), *map(unpack, r["payload"][2:])] for r in asks]
     head_one, head_two, size, w, seen = (np.concatenate(x) for x in zip(*parts, strict=True))
+    sizes = [p[2] for p in parts]
+    del rows, parts
     head = np.repeat(np.arange(len(size)), size)
     one, two = head_one[head], head_two[head]
     order = np.lexsort((w, two, one))
@@ -393,7 +401,7 @@ def answered(t: pa.Table, words: Words, rules: KatzRules) -> pa.Table:
     first = np.flatnonzero(new)
     c3 = _sums(seen[order], first)
     one, two, w = (x[first] for x in (one, two, w))
-    del order, head, seen, new, first
+    del order, head, head_two, size, seen, new, first
     # Bigrams of the middle word and the last.
     by = np.lexsort((w, one))
     new = _new(one[by], w[by])
@@ -428,10 +436,10 @@ def answered(t: pa.Table, words: Words, rules: KatzRules) -> pa.Table:
     mine, at, to = mine[order], at[order], to[order]
     known = [(None, CONTEXTS, int(to[lo]), [*_steps(one[mine[lo:hi]], two[mine[lo:hi]]), *(pack(x[at[lo:hi]]) for x in context_stats)], None, None) for lo, hi in _runs(to)]
     answers, done, heads_done = [], 0, 0
-    for r, p in zip(asks, parts, strict=True):
-        n, heads = len(p[3]), len(p[2])
+    for r, size in zip(asks, sizes, strict=True):
+        n, heads = int(size.sum()), len(size)
         mine = of_record[done : done + n]
-        begin = np.cumsum(p[2]) - p[2]
+        begin = np.cumsum(size) - size
         own_one = head_one[heads_done : heads_done + heads]
         done, heads_done = done + n, heads_done + heads
         unseen = c3[mine] == 0
@@ -538,7 +546,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"))
     chunks = chunk_table(given, kind, rules)
     slots = max(2 * sc.defaultParallelism, -(-(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // rules.slot_bytes))
-    asked = asked_words(chunks, slots).persist(StorageLevel.MEMORY_AND_DISK)
+    asked = asked_words(given, slots, rules).persist(StorageLevel.MEMORY_AND_DISK)
     sizes = checkpoint(word_sizes(asked))
     words = Words([tuple(r) for r in sizes.groupBy("count").agg(F.sum("n")).collect()], slots, rules)
     ids = checkpoint(word_ids(asked, sizes, words))
