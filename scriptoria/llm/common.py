@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,20 +19,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder of ``spark.checkpoint.dir``.
+def _shared_folder(sc: SparkContext) -> str:
+    """The shared folder of ``spark.checkpoint.dir``.
 
     A folder of our own is set only where the session names none and all runs on one machine; on a cluster that fails.
     """
-    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="scriptoria-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder as its partitions are."""
+    _shared_folder(df.sparkSession.sparkContext)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: compressed, and read by columns. Its partitions may be others."""
+    path = f"{_shared_folder(df.sparkSession.sparkContext)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     """df for a join: sent to all tasks if it has been counted to have no more than so many rows, else joined by shuffling."""
     return F.broadcast(df) if df.count() <= rows else df

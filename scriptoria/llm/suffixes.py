@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import checkpoint, table
+from scriptoria.llm.common import table, written
 
 #: A positional hash is a sum of bytes times powers of an odd number, which has an inverse modulo 2**64.
 FACTOR = 0x9E3779B97F4A7C15 | 1
@@ -380,7 +380,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     grams = given.mapInArrow(lambda b: index_texts(b, rules), ENTRY)
     found = _sorted(grams).mapInArrow(lambda b: scan(b, True), SCANNED)
-    found = checkpoint(found)
+    found = written(found)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=3)
@@ -400,7 +400,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     opened = packed.join(by_doc(found.where("open"), "gram"), own).select("doc", "packed", "places")
     near = opened.mapInArrow(lambda b: contexts(b, rules), "gram long, doc long, at long, n int, bytes binary")
     strings = near.repartition("gram").sortWithinPartitions("gram", "doc", "at").mapInArrow(lambda b: compare(b, rules), ENTRY)
-    strings = checkpoint(strings)
+    strings = written(strings)
     single = _sorted(strings.where("not lost")).mapInArrow(lambda b: scan(b, False), SCANNED)
     gone = found.where("not open").select("doc", "at", "n").union(strings.where("lost").select("doc", "at", "n")).union(single.select("doc", "at", "n"))
     gone = by_doc(gone)
