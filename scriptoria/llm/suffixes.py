@@ -2,19 +2,21 @@
 
 Only suffixes at anchors are indexed. A string's anchor is the leftmost of its 32-byte grams with the least hash, so equal
 strings have equal anchors, and neighbouring strings mostly share one: about one suffix in 35 is indexed. A suffix stands
-for the run of strings that share its anchor, and is ordered by the hash of its gram, then of all the run's bytes.
-
-Each task reads its documents in batches. A batch gets a sorted suffix array; it is merge-scanned against the levels of
-the task's index, where equal runs lose to the earliest one; then it becomes a level, and levels of like size merge. The
-levels of all tasks meet in a shuffle by gram, sorted, where the same scan runs over them as one stream. Runs that agree
-in the gram but not in all bytes may share some strings only: their bytes are fetched, and the runs of a gram are compared
-string by string in order of document. Where a gram has very many runs its strings are indexed in the same levelled way,
-and scanned by hash of all 100 bytes. What is found are removed strings by document; bytes come last.
-
-Hashes are of 64 and 128 bits: equality of strings means equality of both. Positions are bytes of UTF-8. A null text is
-empty. Rows that share an id are one document where their texts are equal, each getting its result; with different texts
-they are ordered by start. Rows without an id come first, each text of them a document of its own. Other columns are ignored, so their names cannot clash. An empty table
-gives no rows.
+for the run of strings that share its anchor. Suffixes are in order of their bytes to a depth of 32, the least common
+prefix that a match can have; those that agree so far are ordered by the hash of all bytes of their run, which begins
+before the anchor and ends behind the gram.
+
+Each task reads its documents in batches. A batch gets a suffix array, which is merged with each level of the task's index
+to find where suffixes agree to that depth: of equal runs the earliest stays. Then the array becomes a level, and levels
+of like size merge. The levels of all tasks meet in a shuffle, sorted by suffix, where neighbours are scanned as one
+stream. Runs with a common gram that differ elsewhere may share some strings: their bytes are fetched, and the runs of a
+gram are compared string by string in order of document. Where a gram has very many runs its strings are indexed in the
+same levelled way, by a hash of all 100 bytes. What is found are removed strings by document; bytes come last.
+
+Equal runs have equal grams and a hash of 64 bits in common; strings have equal bytes or a hash of 128 bits in common.
+Positions are bytes of UTF-8. A null text is empty. Rows that share an id are one document where their texts are equal,
+each getting its result; with different texts they are ordered by start. Rows without an id come first, each text of them
+a document of its own. Other columns are ignored, so their names cannot clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ class Repeats:
     length: int = 100
     gram: int = 32
     batch: int = 1_000_000
-    held: int = 3_000_000
+    held: int = 2_000_000
     group: int = 2_000
 
 
@@ -70,14 +72,15 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def runs(data: np.ndarray, ends: np.ndarray, powers: Powers, rules: Repeats) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first, shape, gram hash, run hash) of each run of strings with one anchor. ends: where each document's bytes end in data.
+    """(first, shape, suffix, run hash) of each run of strings with one anchor. ends: where each document's bytes end in data.
 
+    A suffix is its gram's bytes, each greater by one: UTF-8 has no byte 255, and numpy's strings may not end in a zero.
     A run's shape is its number of strings, below 256, and 256 times the anchor's distance from its first byte.
     """
     n, L, K = len(data), rules.length, rules.gram
     empty = np.zeros(0, np.int64)
     if n < L:
-        return empty, empty, empty.view(np.uint64), empty.view(np.uint64)
+        return empty, empty, np.zeros(0, f"S{K}"), empty.view(np.uint64)
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
@@ -90,7 +93,6 @@ def runs(data: np.ndarray, ends: np.ndarray, powers: Powers, rules: Repeats) ->
     if width > have:
         low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
     anchor = (low & np.uint64(0xFFFFFF)).astype(np.int64)
-    start = np.arange(len(anchor))
     inside = np.ones(len(anchor), bool)
     for e in ends[:-1]:
         inside[max(0, e - L + 1) : e] = False
@@ -105,17 +107,17 @@ def runs(data: np.ndarray, ends: np.ndarray, powers: Powers, rules: Repeats) ->
         k = np.searchsorted(outside, first)
         stop = np.where(k < len(outside), np.minimum(stop, outside[np.minimum(k, len(outside) - 1)]), stop)
     count = stop - first
-    del start
     last = first + count - 1 + L
     whole = _mix((total[last] - total[first]) * down[first] + count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (anchor[first] - first).astype(np.uint64))
-    return first, count + 256 * (anchor[first] - first), grams[anchor[first]], whole
+    suffix = np.lib.stride_tricks.sliding_window_view(data, K)[anchor[first]] + np.uint8(1)
+    return first, count + 256 * (anchor[first] - first), suffix.view(f"S{K}").ravel(), whole
 
 
 Entries = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 class LevelledIndex:
-    """Levels of entries (gram, run, doc, at, n), sorted by gram and run, the earliest doc and at of equal ones.
+    """Levels of entries (suffix, run, doc, at, n), sorted by suffix and run, the earliest doc and at of equal ones.
 
     add() takes a batch, returns the entries that lose to an earlier one, (doc, at, n), and keeps the others.
     """
@@ -137,40 +139,45 @@ class LevelledIndex:
         again = same & (e[2] == e[2][lead]) & (e[3] == e[3][lead])
         return [x[~same] for x in e], [x[same & ~again] for x in e[2:]]
 
+    @staticmethod
+    def _places(level: list[np.ndarray], own: list[np.ndarray]) -> np.ndarray:
+        """Where own entries stand in a level's order, before equal ones."""
+        place = np.searchsorted(level[0], own[0])
+        todo = np.flatnonzero(place < len(level[0]))
+        todo = todo[level[0][place[todo]] == own[0][todo]]
+        # Runs of one gram stand side by side, in order: a search by halves among them.
+        low, high = place[todo], np.searchsorted(level[0], own[0][todo], side="right")
+        while (low < high).any():
+            half = np.minimum((low + high) // 2, len(level[0]) - 1)
+            less = (low < high) & (level[1][half] < own[1][todo])
+            high = np.where((low < high) & ~less, half, high)
+            low = np.where(less, half + 1, low)
+        place[todo] = low
+        return place
+
     def add(self, batch: Entries) -> list[np.ndarray]:
         own, lost = self._first(list(batch))
         out = [lost]
         for level in self.levels:
-            at = np.searchsorted(level[0], own[0])
-            keep = np.ones(len(own[0]), bool)
-            todo = np.flatnonzero(at < len(level[0]))
-            todo = todo[level[0][at[todo]] == own[0][todo]]
-            # Runs of one gram stand side by side, in order: a search by halves among them.
-            low, high = at[todo], np.searchsorted(level[0], own[0][todo], side="right")
-            while (low < high).any():
-                half = np.minimum((low + high) // 2, len(level[0]) - 1)
-                less = (low < high) & (level[1][half] < own[1][todo])
-                high = np.where((low < high) & ~less, half, high)
-                low = np.where(less, half + 1, low)
-            inside = low < len(level[0])
-            todo, low = todo[inside], low[inside]
-            same = (level[0][low] == own[0][todo]) & (level[1][low] == own[1][todo])
-            hit, k = todo[same], low[same]
+            place = self._places(level, own)
+            hit = np.flatnonzero(place < len(level[0]))
+            hit = hit[(level[0][place[hit]] == own[0][hit]) & (level[1][place[hit]] == own[1][hit])]
+            k = place[hit]
             later = (own[2][hit] > level[2][k]) | ((own[2][hit] == level[2][k]) & (own[3][hit] > level[3][k]))
             equal = (own[2][hit] == level[2][k]) & (own[3][hit] == level[3][k])
             out.append([x[hit[later]] for x in own[2:]])
-            first, place = hit[~later & ~equal], k[~later & ~equal]
-            out.append([x[place].copy() for x in level[2:]])
+            first, displaced = hit[~later & ~equal], k[~later & ~equal]
+            out.append([x[displaced].copy() for x in level[2:]])
             for x, y in zip(level[2:], own[2:], strict=True):
-                x[place] = y[first]
+                x[displaced] = y[first]
+            keep = np.ones(len(own[0]), bool)
             keep[hit] = False
             own = [x[keep] for x in own]
         self.levels.append(own)
         while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) >= len(self.levels[-2][0]):
-            a, b = self.levels.pop(), self.levels.pop()
-            merged = [np.concatenate(x) for x in zip(a, b, strict=True)]
-            order = np.lexsort((merged[1], merged[0]))
-            self.levels.append([x[order] for x in merged])
+            new, old = self.levels.pop(), self.levels.pop()
+            place = self._places(old, new)
+            self.levels.append([np.insert(x, place, y) for x, y in zip(old, new, strict=True)])
         return [np.concatenate(x) for x in zip(*out, strict=True)]
 
     def take(self) -> list[list[np.ndarray]]:
@@ -178,19 +185,31 @@ class LevelledIndex:
         return out
 
 
-SCANNED = "doc long, at long, n int, gram long, open boolean"
-ENTRY = "lost boolean, gram long, run long, doc long, at long, n int"
+SCANNED = "doc long, at long, n int, open boolean"
+ENTRY = "lost boolean, suffix binary, run long, doc long, at long, n int"
+
+
+def _to_arrow(suffix: np.ndarray) -> pa.Array:
+    ends = np.arange(len(suffix) + 1, dtype=np.int32) * np.int32(suffix.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(suffix), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(suffix).tobytes())])
+
+
+def _from_arrow(column: pa.Array) -> np.ndarray:
+    """Binary values of one length."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(f"S{ends[1] - ends[0]}")
 
 
-def _entries(lost: bool, gram: np.ndarray, run: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    cols = [pa.array(np.full(len(doc), lost)), *(pa.array(x.astype(np.uint64).view(np.int64)) for x in (gram, run)), *(pa.array(x.astype(np.int64)) for x in (doc, at)), pa.array(n.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(cols, names=["lost", "gram", "run", "doc", "at", "n"])
+def _entries(lost: bool, suffix: np.ndarray, run: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    cols = [pa.array(np.full(len(doc), lost)), _to_arrow(suffix), pa.array(run.astype(np.uint64).view(np.int64)), *(pa.array(x.astype(np.int64)) for x in (doc, at)), pa.array(n.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(cols, names=["lost", "suffix", "run", "doc", "at", "n"])
 
 
 def _given_up(found: list[np.ndarray]) -> pa.RecordBatch:
     """Lost entries pass the shuffle by their document."""
-    doc = found[0].astype(np.int64).view(np.uint64)
-    return _entries(True, _mix(doc), doc, *found)
+    doc = found[0].astype(np.int64)
+    return _entries(True, doc.view("S8"), doc.view(np.uint64), *found)
 
 
 def _mark(data: bytes) -> int:
@@ -212,11 +231,11 @@ def index_texts(batches: Iterator[pa.RecordBatch], rules: Repeats) -> Iterator[p
 
     def build() -> Iterator[pa.RecordBatch]:
         ends = np.cumsum([len(t) for t in texts])
-        first, count, gram, run = runs(np.frombuffer(b"".join(texts), np.uint8), ends, powers, rules)
+        first, count, suffix, run = runs(np.frombuffer(b"".join(texts), np.uint8), ends, powers, rules)
         owner = np.searchsorted(ends, first, side="right")
         start = first - (ends - [len(t) for t in texts])[owner] + np.array(shifts)[owner]
         mark = np.array(marks, np.int64)[owner]
-        lost = index.add((gram, run, np.array(docs, np.int64)[owner], start << 32 | mark, count))
+        lost = index.add((suffix, run, np.array(docs, np.int64)[owner], start << 32 | mark, count))
         if len(lost[0]):
             yield _given_up(lost)
         if len(index) > rules.held:
@@ -246,27 +265,27 @@ def index_texts(batches: Iterator[pa.RecordBatch], rules: Repeats) -> Iterator[p
 
 
 def scan(batches: Iterator[pa.RecordBatch], by_gram: bool) -> Iterator[pa.RecordBatch]:
-    """Sorted entries to (doc, at, n, gram, open): lost runs, and, open, runs that share a gram with another one."""
+    """Sorted entries to (doc, at, n, open): lost runs, and, open, runs that share a gram with another one."""
     last = None  # the run that leads: its five values, and whether it is the first of its gram
 
-    def out(gram, run, doc, at, n, open_: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(n, pa.int32()), pa.array(gram), pa.array(np.full(len(doc), open_))], names=["doc", "at", "n", "gram", "open"])
+    def out(doc, at, n, open_: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(n, pa.int32()), pa.array(np.full(len(doc), open_))], names=["doc", "at", "n", "open"])
 
     for batch in batches:
         lost = batch.column(0).to_numpy(zero_copy_only=False)
-        e = [batch.column(k).to_numpy() for k in range(1, 6)]
         if lost.any():
-            yield out(*(x[lost] for x in e), False)
-            e = [x[~lost] for x in e]
-        if not len(e[0]):
+            yield out(*(batch.column(k).to_numpy()[lost] for k in (3, 4, 5)), False)
+            batch = batch.filter(pa.array(~lost))
+        if not batch.num_rows:
             continue
+        e = [_from_arrow(batch.column(1)), *(batch.column(k).to_numpy() for k in range(2, 6))]
         if last is not None:
-            e = [np.concatenate([[y], x]).astype(x.dtype) for x, y in zip(e, last[0], strict=True)]
+            e = [np.concatenate([np.array([y], x.dtype), x]) for x, y in zip(e, last[0], strict=True)]
         same = np.zeros(len(e[0]), bool)
         same[1:] = (e[0][1:] == e[0][:-1]) & (e[1][1:] == e[1][:-1])
         lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
         gone = same & ~((e[2] == e[2][lead]) & (e[3] == e[3][lead]))
-        yield out(*(x[gone] for x in e), False)
+        yield out(*(x[gone] for x in e[2:]), False)
         heads = np.flatnonzero(~same)
         new = np.ones(len(heads), bool)
         new[1:] = e[0][heads][1:] != e[0][heads][:-1]
@@ -278,7 +297,7 @@ def scan(batches: Iterator[pa.RecordBatch], by_gram: bool) -> Iterator[pa.Record
             if last is not None:  # the carried one, if not the first of its gram, has been told before
                 shared[0] &= new[0]
             k = heads[shared]
-            yield out(*(x[k] for x in e), True)
+            yield out(*(x[k] for x in e[2:]), True)
         last = ([x[heads[-1]] for x in e], bool(new[-1]))
 
 
@@ -292,18 +311,19 @@ def contexts(batches: Iterator[pa.RecordBatch], rules: Repeats) -> Iterator[pa.R
             mark = _mark(data)
             for place in places:
                 if place["at"] & 0xFFFFFFFF == mark:
-                    first = place["at"] >> 32
-                    for held, x in zip(rows, (place["gram"], doc, place["at"], place["n"], data[first : first + (place["n"] & 255) + rules.length - 1]), strict=True):
+                    first, count, far = place["at"] >> 32, place["n"] & 255, place["n"] >> 8
+                    run = data[first : first + count + rules.length - 1]
+                    for held, x in zip(rows, (run[far : far + rules.gram], doc, place["at"], place["n"], run), strict=True):
                         held.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=["gram", "doc", "at", "n", "bytes"])
 
 
 def compare(batches: Iterator[pa.RecordBatch], rules: Repeats) -> Iterator[pa.RecordBatch]:
     """Open runs by gram, document and place, to entries: lost strings, and strings of grams with very many runs, to be scanned."""
-    L, digest, index = rules.length, xxhash.xxh3_128_digest, LevelledIndex()
+    L, digest, index = rules.length, xxhash.xxh3_128_hexdigest, LevelledIndex()
     lost: list[tuple[int, int, int]] = []
-    many: list[tuple[bytes, int, int]] = []
+    many: list[tuple[str, int, int]] = []
     held: list[tuple[int, int, int, bytes]] = []
     now, over = None, False
 
@@ -332,9 +352,9 @@ def compare(batches: Iterator[pa.RecordBatch], rules: Repeats) -> Iterator[pa.Re
 
     def out() -> Iterator[pa.RecordBatch]:
         if many:
-            h = np.frombuffer(b"".join(x[0] for x in many), "<u8").reshape(-1, 2)
+            key = np.array([x[0] for x in many], "S32")
             doc, at = (np.array([x[k] for x in many], np.int64) for k in (1, 2))
-            gone = index.add((h[:, 0], h[:, 1], doc, at, np.ones(len(doc), np.int64)))
+            gone = index.add((key, np.zeros(len(doc), np.uint64), doc, at, np.ones(len(doc), np.int64)))
             if len(gone[0]):
                 yield _given_up(gone)
             many.clear()
@@ -378,8 +398,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row: the id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept: the remaining bytes."""
     kind = dict(docs.dtypes)[id_col]
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    grams = given.mapInArrow(lambda b: index_texts(b, rules), ENTRY)
-    found = _sorted(grams).mapInArrow(lambda b: scan(b, True), SCANNED)
+    arrays = given.mapInArrow(lambda b: index_texts(b, rules), ENTRY)
+    found = _sorted(arrays).mapInArrow(lambda b: scan(b, True), SCANNED)
     found = written(found)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,10 +415,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(pack, f"key long, mark long, id {kind}, packed binary")
     # By id and text, so that rows which share an id do not share a key; no more places than a document has bytes.
     of_text = F.col("at").bitwiseAND(0xFFFFFFFF).alias("of")
-    by_doc = lambda x, *c: x.groupBy("doc", of_text).agg(F.collect_list(F.struct("at", "n", *c)).alias("places"))
+    by_doc = lambda x: x.groupBy("doc", of_text).agg(F.collect_list(F.struct("at", "n")).alias("places"))
     own = (F.col("key") == F.col("doc")) & (F.col("mark") == F.col("of"))
-    opened = packed.join(by_doc(found.where("open"), "gram"), own).select("doc", "packed", "places")
-    near = opened.mapInArrow(lambda b: contexts(b, rules), "gram long, doc long, at long, n int, bytes binary")
+    opened = packed.join(by_doc(found.where("open")), own).select("doc", "packed", "places")
+    near = opened.mapInArrow(lambda b: contexts(b, rules), "gram binary, doc long, at long, n int, bytes binary")
     strings = near.repartition("gram").sortWithinPartitions("gram", "doc", "at").mapInArrow(lambda b: compare(b, rules), ENTRY)
     strings = written(strings)
     single = _sorted(strings.where("not lost")).mapInArrow(lambda b: scan(b, False), SCANNED)
@@ -428,7 +448,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _sorted(entries: DataFrame) -> DataFrame:
-    return entries.repartition("gram").sortWithinPartitions("gram", "run", "doc", "at")
+    return entries.repartition("suffix").sortWithinPartitions("suffix", "run", "doc", "at")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

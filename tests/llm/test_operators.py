@@ -346,6 +346,22 @@ def test_index_with_many_runs_of_one_gram():
     assert len(index) == len(seen)
 
 
+def test_levels_are_suffix_arrays():
+    """Every level is in the order of the suffixes' bytes, beyond ASCII too, and no suffix is in two of them."""
+    r = random.Random(4)
+    index, rules, given = suffixes.LevelledIndex(), suffixes.Repeats(), set()
+    for doc in range(25):
+        data = "".join(r.choice("aé漢 ") for _ in range(r.randint(100, 900))).encode()
+        first, shape, suffix, run = suffixes.runs(np.frombuffer(data, np.uint8), np.array([len(data)]), suffixes.Powers(), rules)
+        anchor = first + (shape >> 8)
+        assert [bytes(x - 1 for x in s) for s in suffix.tolist()] == [data[a : a + 32] for a in anchor]
+        index.add((suffix, run, np.full(len(first), doc), first, shape))
+        given |= set(zip(suffix.tolist(), run.tolist(), strict=True))
+    levels = [list(zip(level[0].tolist(), level[1].tolist(), strict=True)) for level in index.take()]
+    assert all(level == sorted(level) for level in levels) and sorted(x for level in levels for x in level) == sorted(given)
+    assert all(len(a) > 2 * len(b) for a, b in zip(levels, levels[1:]))
+
+
 def test_repeats_of_equal_rows_and_nothing(spark, empty):
     df = make(spark, ["q" * 90 + "0123456789" * 5])
     assert {r["n_removed"] for r in suffixes.remove_repeats(df.union(df)).collect()} == {0}
