@@ -10,8 +10,8 @@ Each task reads its documents in batches. A batch gets a suffix array, which is
 to find where suffixes agree to that depth: of equal runs the earliest stays. Then the array becomes a level, and levels
 of like size merge. The levels of all tasks meet in a shuffle, sorted by suffix, where neighbours are scanned as one
 stream. Runs with a common gram that differ elsewhere may share some strings: their bytes are fetched, and the runs of a
-gram are compared string by string in order of document. Where a gram has very many runs its strings are indexed in the
-same levelled way, by a hash of all 100 bytes. What is found are removed strings by document; bytes come last.
+gram are compared string by string in order of document. Where a gram has many runs they are dealt in parts to different
+tasks; the earliest strings of each part are indexed in the same levelled way, by a hash of all 100 bytes. What is found are removed strings by document; bytes come last.
 
 Equal runs have equal grams and a hash of 64 bits in common; strings have equal bytes or a hash of 128 bits in common.
 Positions are bytes of UTF-8. A null text is empty. Rows that share an id are one document where their texts are equal,
@@ -41,13 +41,13 @@ FACTOR = 0x9E3779B97F4A7C15 | 1
 
 @dataclass(frozen=True)
 class Repeats:
-    """length: bytes of a string that may not repeat. gram: of an anchor. batch: bytes indexed at a time. held: suffixes that a task's index holds before it is passed on. group: runs of a gram that are compared in memory."""
+    """length: bytes of a string that may not repeat. gram: of an anchor. batch: bytes indexed at a time. held: suffixes that a task's index holds before it is passed on. group: runs of a gram that are compared in one part."""
 
     length: int = 100
     gram: int = 32
     batch: int = 1_000_000
     held: int = 2_000_000
-    group: int = 2_000
+    group: int = 500
 
 
 class Powers:
@@ -185,7 +185,7 @@ class LevelledIndex:
         return out
 
 
-SCANNED = "doc long, at long, n int, open boolean"
+SCANNED = "doc long, at long, n int, part int, open boolean"
 ENTRY = "lost boolean, suffix binary, run long, doc long, at long, n int"
 
 
@@ -264,17 +264,19 @@ def index_texts(batches: Iterator[pa.RecordBatch], rules: Repeats) -> Iterator[p
         yield _entries(False, *level)
 
 
-def scan(batches: Iterator[pa.RecordBatch], by_gram: bool) -> Iterator[pa.RecordBatch]:
-    """Sorted entries to (doc, at, n, open): lost runs, and, open, runs that share a gram with another one."""
-    last = None  # the run that leads: its five values, and whether it is the first of its gram
+def scan(batches: Iterator[pa.RecordBatch], group: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Sorted entries to (doc, at, n, part, open): lost runs, and, open, runs that share a gram with another one, in parts of group runs."""
+    last = None  # the run that leads: its five values, and which run of its gram it is
 
-    def out(doc, at, n, open_: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(n, pa.int32()), pa.array(np.full(len(doc), open_))], names=["doc", "at", "n", "open"])
+    def out(doc, at, n, part=None) -> pa.RecordBatch:
+        open_ = part is not None
+        part = part if open_ else np.zeros(len(doc), np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(n, pa.int32()), pa.array(part, pa.int32()), pa.array(np.full(len(doc), open_))], names=["doc", "at", "n", "part", "open"])
 
     for batch in batches:
         lost = batch.column(0).to_numpy(zero_copy_only=False)
         if lost.any():
-            yield out(*(batch.column(k).to_numpy()[lost] for k in (3, 4, 5)), False)
+            yield out(*(batch.column(k).to_numpy()[lost] for k in (3, 4, 5)))
             batch = batch.filter(pa.array(~lost))
         if not batch.num_rows:
             continue
@@ -285,27 +287,31 @@ def scan(batches: Iterator[pa.RecordBatch], by_gram: bool) -> Iterator[pa.Record
         same[1:] = (e[0][1:] == e[0][:-1]) & (e[1][1:] == e[1][:-1])
         lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
         gone = same & ~((e[2] == e[2][lead]) & (e[3] == e[3][lead]))
-        yield out(*(x[gone] for x in e[2:]), False)
+        yield out(*(x[gone] for x in e[2:]))
         heads = np.flatnonzero(~same)
         new = np.ones(len(heads), bool)
         new[1:] = e[0][heads][1:] != e[0][heads][:-1]
         if last is not None:
-            new[0] = last[1]
-        if by_gram:
+            new[0] = last[1] == 0
+        here = np.arange(len(heads))
+        rank = here - np.maximum.accumulate(np.where(new, here, 0))
+        if not new[0]:
+            rank[: np.argmax(new) if new.any() else len(new)] += last[1]
+        if group is not None:
             shared = ~new
             shared[:-1] |= new[:-1] & ~new[1:]
             if last is not None:  # the carried one, if not the first of its gram, has been told before
                 shared[0] &= new[0]
             k = heads[shared]
-            yield out(*(x[k] for x in e[2:]), True)
-        last = ([x[heads[-1]] for x in e], bool(new[-1]))
+            yield out(*(x[k] for x in e[2:]), rank[shared] // group)
+        last = ([x[heads[-1]] for x in e], int(rank[-1]))
 
 
 def contexts(batches: Iterator[pa.RecordBatch], rules: Repeats) -> Iterator[pa.RecordBatch]:
-    """(doc, packed text, open runs) to (gram, doc, at, n, bytes): each open run with all bytes of its strings."""
+    """(doc, packed text, open runs) to (gram, part, doc, at, n, bytes): each open run with all bytes of its strings."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        rows: list[list] = [[], [], [], [], []]
+        rows: list[list] = [[], [], [], [], [], []]
         for doc, packed, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             data = unpack.decompress(packed.as_py())
             mark = _mark(data)
@@ -313,14 +319,14 @@ def contexts(batches: Iterator[pa.RecordBatch], rules: Repeats) -> Iterator[pa.R
                 if place["at"] & 0xFFFFFFFF == mark:
                     first, count, far = place["at"] >> 32, place["n"] & 255, place["n"] >> 8
                     run = data[first : first + count + rules.length - 1]
-                    for held, x in zip(rows, (run[far : far + rules.gram], doc, place["at"], place["n"], run), strict=True):
+                    for held, x in zip(rows, (run[far : far + rules.gram], place["part"], doc, place["at"], place["n"], run), strict=True):
                         held.append(x)
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=["gram", "doc", "at", "n", "bytes"])
+        kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=["gram", "part", "doc", "at", "n", "bytes"])
 
 
 def compare(batches: Iterator[pa.RecordBatch], rules: Repeats) -> Iterator[pa.RecordBatch]:
-    """Open runs by gram, document and place, to entries: lost strings, and strings of grams with very many runs, to be scanned."""
+    """Open runs by gram, part, document and place, to entries: lost strings, and, of grams with many runs, the earliest strings of each part, to be scanned."""
     L, digest, index = rules.length, xxhash.xxh3_128_hexdigest, LevelledIndex()
     lost: list[tuple[int, int, int]] = []
     many: list[tuple[str, int, int]] = []
@@ -328,7 +334,7 @@ def compare(batches: Iterator[pa.RecordBatch], rules: Repeats) -> Iterator[pa.Re
     now, over = None, False
 
     def resolve() -> None:
-        """Strings at the same distance from the anchor are equal if their bytes are."""
+        """Strings at the same distance from the anchor are equal if their bytes are. The earliest may have equals in other parts."""
         seen: dict[tuple[int, bytes], tuple[int, int]] = {}
         for doc, at, shape, data in held:
             n, far = shape & 255, shape >> 8
@@ -343,11 +349,8 @@ def compare(batches: Iterator[pa.RecordBatch], rules: Repeats) -> Iterator[pa.Re
                 elif not again and since is not None:
                     lost.append((doc, at + (since << 32), j - since))
                     since = None
-        held.clear()
-
-    def spill() -> None:
-        for doc, at, shape, data in held:
-            many.extend((digest(data[j : j + L]), doc, at + (j << 32)) for j in range(shape & 255))
+        if over:
+            many.extend((digest(data), *place) for (_, data), place in seen.items())
         held.clear()
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -366,17 +369,16 @@ def compare(batches: Iterator[pa.RecordBatch], rules: Repeats) -> Iterator[pa.Re
                 yield _entries(False, *level)
 
     for batch in batches:
-        for gram, *run in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            if gram != now:
-                spill() if over else resolve()
-                now, over = gram, False
+        for gram, part, *run in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            if (gram, part) != now:
+                resolve()
+                now, over = (gram, part), part > 0
             held.append(tuple(run))
-            if len(held) > rules.group:
+            if len(held) >= rules.group:  # a full part: there may be others
                 over = True
-            if over:
-                spill()
+                resolve()
         yield from out()
-    spill() if over else resolve()
+    resolve()
     yield from out()
     for level in index.take():
         yield _entries(False, *level)
@@ -399,7 +401,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = dict(docs.dtypes)[id_col]
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     arrays = given.mapInArrow(lambda b: index_texts(b, rules), ENTRY)
-    found = _sorted(arrays).mapInArrow(lambda b: scan(b, True), SCANNED)
+    found = _sorted(arrays).mapInArrow(lambda b: scan(b, rules.group), SCANNED)
     found = written(found)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,13 +417,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(pack, f"key long, mark long, id {kind}, packed binary")
     # By id and text, so that rows which share an id do not share a key; no more places than a document has bytes.
     of_text = F.col("at").bitwiseAND(0xFFFFFFFF).alias("of")
-    by_doc = lambda x: x.groupBy("doc", of_text).agg(F.collect_list(F.struct("at", "n")).alias("places"))
+    by_doc = lambda x, *c: x.groupBy("doc", of_text).agg(F.collect_list(F.struct("at", "n", *c)).alias("places"))
     own = (F.col("key") == F.col("doc")) & (F.col("mark") == F.col("of"))
-    opened = packed.join(by_doc(found.where("open")), own).select("doc", "packed", "places")
-    near = opened.mapInArrow(lambda b: contexts(b, rules), "gram binary, doc long, at long, n int, bytes binary")
-    strings = near.repartition("gram").sortWithinPartitions("gram", "doc", "at").mapInArrow(lambda b: compare(b, rules), ENTRY)
+    opened = packed.join(by_doc(found.where("open"), "part"), own).select("doc", "packed", "places")
+    near = opened.mapInArrow(lambda b: contexts(b, rules), "gram binary, part int, doc long, at long, n int, bytes binary")
+    strings = near.repartition("gram", "part").sortWithinPartitions("gram", "part", "doc", "at").mapInArrow(lambda b: compare(b, rules), ENTRY)
     strings = written(strings)
-    single = _sorted(strings.where("not lost")).mapInArrow(lambda b: scan(b, False), SCANNED)
+    single = _sorted(strings.where("not lost")).mapInArrow(scan, SCANNED)
     gone = found.where("not open").select("doc", "at", "n").union(strings.where("lost").select("doc", "at", "n")).union(single.select("doc", "at", "n"))
     gone = by_doc(gone)
 

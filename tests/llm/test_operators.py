@@ -295,9 +295,10 @@ def test_plans_are_complete_and_tight():
         assert packing.least_bins(counts, 100) <= bins <= sum(m for _, m in packing.best_fit_decreasing(counts, 100))
 
 
-@pytest.mark.parametrize("group", [2000, 2])
-def test_repeats(spark, group):
+@pytest.mark.parametrize(("group", "rows"), [(500, 10_000), (2, 10_000), (5, 7)])
+def test_repeats(spark, group, rows):
     r = random.Random(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     passage = "".join(r.choice("abcdefgh ") for _ in range(160))
     texts = [
         None, "", "short", *("".join(r.choice("abcdefgh ") for _ in range(r.randint(0, 400))) + (passage if k % 2 else passage[: r.randint(80, 160)]) + "".join(r.choice("xyz é") for _ in range(r.randint(0, 300))) for k in range(30)),
@@ -305,6 +306,7 @@ def test_repeats(spark, group):
     ]
     texts.append(texts[5])
     got = {x["doc_id"]: x for x in suffixes.remove_repeats(make(spark, texts).repartition(5), rules=suffixes.Repeats(batch=700, held=300, group=group)).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     seen: set = set()
     for k, t in enumerate(texts):
         b = (t or "").encode()
