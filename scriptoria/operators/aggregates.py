@@ -93,6 +93,15 @@ def laplacian_variance(pixels: DataFrame, key: str) -> DataFrame:
     return each.groupBy(key).agg((F.avg(F.col("lap") * F.col("lap")) - F.avg("lap") * F.avg("lap")).alias("blur"), F.stddev_pop("v").alias("std"))
 
 
+def darkest_column(pixels: DataFrame, key: str, near: float = 0.2) -> DataFrame:
+    """(key, spine, mean): of pixels (x, y, v) the column with the least mean, no farther from the centre than that share of the width; of equal ones the most central."""
+    columns, all_of = pixels.groupBy(key, "x").agg(F.avg("v").alias("mean")), Window.partitionBy(key)
+    low, high = F.min("x").over(all_of), F.max("x").over(all_of)
+    columns = columns.select(key, "x", "mean", F.abs(2 * F.col("x") - low - high).alias("off"), (high - low + 1).alias("width"))
+    best = F.min(F.struct("mean", "off", "x")).alias("b")
+    return columns.where(F.col("off") <= 2 * near * F.col("width")).groupBy(key).agg(best).select(key, F.col("b.x").alias("spine"), F.col("b.mean").alias("mean"))
+
+
 def greedy_pages(rows: DataFrame, key: str, order: list[str], height: str, room: float, header: float = 0.0) -> DataFrame:
     """(key, *order, page): rows fill pages in order; each page repeats a header. A row that is too tall gets its own page.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +88,16 @@ def with_column_if_absent(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df if name in df.columns else df.withColumn(name, value)
 
 
+def renewed(index: DataFrame, sources: DataFrame, key: str, version: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The index after a change of versions: entries of sources with the same version stay, sources with another one are built anew, those that are gone leave.
+
+    Index entries carry key and version. build makes entries of sources. A source without a version is always built anew.
+    """
+    kept = index.join(sources.select(key, version), [key, version], "left_semi")
+    changed = sources.join(index.select(key, version).distinct(), [key, version], "left_anti")
+    return kept.unionByName(build(changed).select(*index.columns))
+
+
 def latest(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 

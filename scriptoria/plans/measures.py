@@ -90,6 +90,14 @@ def histogram_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.levels(pixels(spark), "img", "v").select("img", F.round("mean", 6).alias("mean"), F.col("p_low").cast("long").alias("p_low"), F.col("p_high").cast("long").alias("p_high"))
 
 
+@query(f"""WITH c AS (SELECT img, x, avg(v) AS mean FROM ({PIXELS}) GROUP BY img, x),
+ o AS (SELECT *, abs(2 * x - min(x) OVER w - max(x) OVER w) AS off, max(x) OVER w - min(x) OVER w + 1 AS width FROM c WINDOW w AS (PARTITION BY img))
+SELECT img::BIGINT AS img, x::BIGINT AS spine, round(mean, 6) AS mean FROM o WHERE off <= 0.4::DOUBLE * width QUALIFY row_number() OVER (PARTITION BY img ORDER BY mean, off, x) = 1""")
+def book_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG-13: the darkest column near the centre."""
+    return A.darkest_column(pixels(spark), "img").select("img", F.col("spine").cast("long").alias("spine"), F.round("mean", 6).alias("mean"))
+
+
 @query(f"""WITH p AS ({PIXELS}), l AS (SELECT img, v, lag(v) OVER a + lead(v) OVER a + lag(v) OVER d + lead(v) OVER d - 4 * v AS lap FROM p WINDOW a AS (PARTITION BY img, y ORDER BY x), d AS (PARTITION BY img, x ORDER BY y))
 SELECT img::BIGINT AS img, round(avg(lap * lap) - avg(lap) * avg(lap), 4) AS blur, round(stddev_pop(v), 6) AS std FROM l GROUP BY img""")
 def laplacian_variance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,3 +119,11 @@ def autocomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.lower("p_name")
     p = table(spark, sf_dir, "part").where(name.startswith("red") | name.contains("bolt"))
     return p.groupBy("p_name").agg(F.count("*").alias("n")).orderBy(F.lower("p_name").startswith("red").desc(), "p_name").limit(20)
+
+
+@query("""SELECT doc_id, CASE WHEN coalesce(lang, 'en') = 'en' THEN 1 ELSE 2 END AS version, CASE WHEN lang = 'en' THEN -1 ELSE length(text) END AS size FROM documents""")
+def renewed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CA-2 and SRC-5: an index of version 1, whose sizes are -1, of all documents with a language; all but English ones have a newer version now."""
+    d = table(spark, sf_dir, "documents").withColumn("version", F.when(F.coalesce("lang", F.lit("en")) == "en", 1).otherwise(2))
+    old = d.where("lang is not null").select("doc_id", F.lit(1).alias("version"), F.lit(-1).alias("size"))
+    return R.renewed(old, d, "doc_id", "version", lambda new: new.select("doc_id", "version", F.length("text").alias("size")))

@@ -155,3 +155,17 @@ def test_text_rules(spark):
     assert one(V.is_email(F.lit("a@b.c"))) and not one(V.is_email(F.lit("a@b")))
     assert one(T.article_number(F.lit(" 27  Quáter"))) == "27 quater"
     assert one(V.column_number(F.lit("AB"))) == 28
+
+
+def test_spine_and_renewed_index(spark):
+    from scriptoria.operators import aggregates, relational
+
+    # The darkest column of all is at the edge; of two equal ones near the centre the more central counts.
+    dark = {0: 1, 4: 30, 6: 30}
+    pixels = spark.createDataFrame([("a", x, y, dark.get(x, 200)) for x in range(10) for y in range(3)], "img string, x int, y int, v int")
+    assert [tuple(r) for r in aggregates.darkest_column(pixels, "img").collect()] == [("a", 4, 30.0)]
+    assert aggregates.darkest_column(pixels.limit(0), "img").count() == 0
+    index = spark.createDataFrame([("same", 1, "old"), ("same", 1, "old too"), ("newer", 1, "old"), ("gone", 1, "old"), ("none", None, "old")], "f string, ver int, entry string")
+    sources = spark.createDataFrame([("same", 1), ("newer", 2), ("added", 1), ("none", None)], "f string, ver int")
+    got = relational.renewed(index, sources, "f", "ver", lambda x: x.selectExpr("'new' as entry", "ver", "f")).collect()
+    assert sorted((r["f"], r["entry"]) for r in got) == [("added", "new"), ("newer", "new"), ("none", "new"), ("same", "old"), ("same", "old too")]
