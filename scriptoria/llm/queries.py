@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptoria.llm import hnsw, katz, language, mixing, packing, pages, quality, secrets, simhash, suffixes
+from scriptoria.llm import audit, hnsw, katz, language, mixing, packing, pages, quality, secrets, simhash, suffixes, whitening
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
@@ -15,8 +15,11 @@ QUERIES = {
     "op8_quality_lines": quality.op8_quality_lines,
     "op9_hnsw_dedup": hnsw.op9_hnsw_dedup,
     "op10_language_id": language.op10_language_id,
+    "op11_filter_audit": audit.op11_filter_audit,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
 }
 ORACLES = {
     "op6_pareto_mixing": mixing.ORACLE,
     "op8_quality_lines": quality.ORACLE,
+    "op11_filter_audit": audit.ORACLE,
 }
