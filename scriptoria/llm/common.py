@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed by the operators' contracts: white space is U+0020 and U+0009 to U+000D, words are what lies between.
@@ -50,6 +50,11 @@ def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def record(**fields: Column) -> Column:
+    """A struct by names; inside nested lambdas F.struct loses those of aliases."""
+    return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+
+
 def crc32_of(column: str) -> F.Column:
     """crc32 of a column's text, as the contracts' fold numbers need it."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptoria.llm import audit, hnsw, katz, language, mixing, packing, pages, quality, secrets, simhash, suffixes, whitening
+from scriptoria.llm import audit, hnsw, katz, language, mixing, packing, pages, quality, secrets, simhash, sketches, suffixes, whitening
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_language_id": language.op10_language_id,
     "op11_filter_audit": audit.op11_filter_audit,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_document_fingerprints": sketches.op13_document_fingerprints,
 }
 ORACLES = {
     "op6_pareto_mixing": mixing.ORACLE,
