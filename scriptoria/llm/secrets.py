@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import table
+from scriptoria.llm.common import record, table
 
 #: Fixed by the contract. The second group of ASSIGN counts ASSIGN_MIN characters or more. A run that is too short for
 #: ACCESS or HEX has no longer run within it, so their lengths can stand in the pattern; ASSIGN's cannot, since a match
@@ -36,6 +36,9 @@ SIZE = len(ALPHABET) + 1
 #: Numbers above this are separators: / _ = -
 SEPARATED = ALPHABET.index("+") + 1
 
+#: Items of a list that grows by one, and characters of the pieces that a text is cut out of.
+BLOCK, PIECE = 512, 1024
+
 #: Words of ordinary identifiers, for the samples below.
 ORDINARY = (
     "user name count index value table field file path line page text word list item node edge graph query result "
@@ -139,25 +142,44 @@ def stretch(value: Column, ratio: Column, rules: SecretRules) -> Column:
     return F.aggregate(_codes(value), first, step, judged)
 
 
-def _walk(text: Column, pattern: str, keep, made, group: int = 0) -> Column:
-    """Spans of the pattern's matches, left to right: what lies between matches and the matches give their places."""
+def bound(value: Column, then) -> Column:
+    """then(value), with the value worked out once however often then uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _folds(items: Column, kind: str, measure, plus) -> Column:
+    """Each item with the fold of measure over those before it, from 0: structs (x, at). kind: the items' type.
+
+    A list that grows by one is copied each time, so items go through lists of BLOCK, and their totals through a list of
+    blocks: the work is that of BLOCK copies an item, not that of a list's length.
+    """
+    row = f"array<struct<x:{kind},at:int>>"
+    blocks = lambda it: F.transform(F.sequence(F.lit(0), F.greatest(F.size(it) - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.slice(it, i + 1, BLOCK))
+    total = lambda b: F.aggregate(b, F.lit(0), lambda a, x: plus(a, measure(x)))
+    none = lambda t: F.array().cast(t)
+    start = lambda at, t: record(at=at, out=none(t))
+    firsts = lambda bs: F.aggregate(F.transform(bs, total), start(F.lit(0), "array<int>"), lambda a, t: record(at=plus(a["at"], t), out=F.concat(a["out"], F.array(a["at"]))), lambda a: a["out"])
+    step = lambda a, x: record(at=plus(a["at"], measure(x)), out=F.concat(a["out"], F.array(record(x=x, at=a["at"]))))
+    inner = lambda b, f: F.aggregate(b, start(f, row), step, lambda a: a["out"])
+    return bound(items, lambda it: bound(blocks(it), lambda bs: F.flatten(F.zip_with(bs, firsts(bs), inner))))
+
+
+def _walk(text: Column, pattern: str, group: int = 0) -> Column:
+    """The pattern's matches, left to right, as structs (start, hit, value): hit is the match's length, value its group."""
     gaps = F.split(text, F.lit(pattern), -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if group:
-        found = F.zip_with(hits, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda h, g: F.struct(F.length(h).alias("hit"), g.alias("value")))
+        found = F.zip_with(hits, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda h, g: record(hit=F.length(h), value=g))
     else:
-        found = F.transform(hits, lambda h: F.struct(F.length(h).alias("hit"), h.alias("value")))
-    parts = F.zip_with(gaps, found, lambda g, h: F.struct(F.length(g).alias("gap"), h["hit"].alias("hit"), h["value"].alias("value")))
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + F.coalesce(x["hit"], F.lit(0))).alias("at"),
-        F.when(x["hit"].isNotNull() & keep(x["value"]), F.concat(acc["spans"], F.array(made(acc["at"] + x["gap"], x["hit"])))).otherwise(acc["spans"]).alias("spans"),
-    )
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+        found = F.transform(hits, lambda h: record(hit=F.length(h), value=h))
+    # The last gap has no match after it.
+    parts = F.zip_with(gaps, found, lambda g, h: record(gap=F.length(g), hit=F.coalesce(h["hit"], F.lit(0)), value=h["value"]))
+    placed = _folds(parts, "struct<gap:int,hit:int,value:string>", lambda x: x["gap"] + x["hit"], lambda a, b: a + b)
+    return F.transform(F.filter(placed, lambda p: p["x"]["hit"] > 0), lambda p: record(start=p["at"] + p["x"]["gap"], hit=p["x"]["hit"], value=p["x"]["value"]))
 
 
-def _span(kind: str):
-    return lambda start, length: F.struct(start.cast("int").alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + length).cast("int").alias("end"))
+def _spans(found: Column, kind: str) -> Column:
+    return F.transform(found, lambda x: record(start=x["start"], kind=F.lit(KINDS.index(kind)), end=x["start"] + x["hit"]))
 
 
 def find_spans(text: Column, weights: list[float], rules: SecretRules = SecretRules()) -> tuple[Column, Column]:
@@ -167,17 +189,16 @@ def find_spans(text: Column, weights: list[float], rules: SecretRules = SecretRu
     hinted = low.contains(ASSIGN_HINTS[0])
     for hint in ASSIGN_HINTS[1:]:
         hinted = hinted | low.contains(hint)
-    every = F.lit(True)
     base = F.concat(
-        F.when(hinted, _walk(text, ASSIGN, lambda v: F.length(v) >= ASSIGN_MIN, _span("assign"), 2)).otherwise(none),
-        F.when(text.contains("AKIA"), _walk(text, ACCESS, lambda v: every, _span("access"))).otherwise(none),
-        F.when(text.rlike(HEX), _walk(text, HEX, lambda v: every, _span("hex"))).otherwise(none),
+        F.when(hinted, _spans(F.filter(_walk(text, ASSIGN, 2), lambda x: F.length(x["value"]) >= ASSIGN_MIN), "assign")).otherwise(none),
+        F.when(text.contains("AKIA"), _spans(_walk(text, ACCESS), "access")).otherwise(none),
+        F.when(text.rlike(HEX), _spans(_walk(text, HEX), "hex")).otherwise(none),
     )
     ratio = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<double>")
 
+    # Runs are judged as they were found, not cut out of the text again.
     runs = r"[A-Za-z0-9+/_=-]{%d,}" % rules.min_chars
-    found = _walk(text, runs, lambda v: F.lit(True), _span("markov"))
-    judged = F.transform(found, lambda x: F.struct(x["start"].alias("at"), stretch(F.substring(text, x["start"] + 1, x["end"] - x["start"]), ratio, rules).alias("own")))
+    judged = F.transform(_walk(text, runs), lambda x: F.struct(x["start"].alias("at"), stretch(x["value"], ratio, rules).alias("own")))
     made = F.transform(F.filter(judged, lambda x: x["own"].isNotNull()), lambda x: F.struct((x["at"] + x["own"]["start"]).alias("start"), F.lit(KINDS.index("markov")).alias("kind"), (x["at"] + x["own"]["end"]).alias("end")))
     return F.array_sort(base), F.when(text.rlike(runs), made).otherwise(none)
 
@@ -191,15 +212,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each run of overlapping spans replaced by a mark. spans: sorted by start."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc, x):
-        fresh = x["start"] >= acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["parts"], F.array(piece))).otherwise(acc["parts"]).alias("parts"))
-
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    """The text with each run of overlapping spans replaced by a mark. spans: sorted by start.
+
+    What lies between spans is cut out of pieces of the text, so that no cut counts characters from the text's beginning.
+    """
+    reached = _folds(spans, "struct<start:int,kind:int,end:int>", lambda x: x["end"], lambda a, b: F.greatest(a, b))
+    # A gap lies between the furthest end so far and a span that begins at or after it; the last one has no end.
+    gaps = lambda r: F.transform(F.filter(r, lambda p: p["x"]["start"] >= p["at"]), lambda p: record(since=p["at"], to=p["x"]["start"]))
+    last = lambda r: record(since=F.array_max(F.transform(r, lambda p: F.greatest(p["at"], p["x"]["end"]))), to=F.length(text))
+    piece = lambda ps, i, g: F.substring(F.element_at(ps, i + 1), F.greatest(g["since"] - i * PIECE, F.lit(0)) + 1, g["to"] - F.greatest(g["since"], i * PIECE))
+    cut = lambda ps, g: F.when(g["to"] > g["since"], F.array_join(F.transform(F.sequence(F.floor(g["since"] / PIECE).cast("int"), F.floor((g["to"] - 1) / PIECE).cast("int")), lambda i: piece(ps, i, g)), "")).otherwise(F.lit(""))
+    pieces = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0))
+    whole = bound(pieces, lambda ps: bound(reached, lambda r: F.array_join(F.transform(F.concat(gaps(r), F.array(last(r))), lambda g: cut(ps, g)), mark)))
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
