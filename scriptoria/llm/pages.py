@@ -3,8 +3,11 @@
 Each block element's subtree is hashed: its tag, its text and its children's hashes. Spark counts on how many different
 pages of a host each hash stands; copies of a page count once, so that a page's own text is no template because the page
 was fetched often. Subtrees on many pages of the host are deleted; plain prose inside an article, which may repeat by
-chance, only if it is on most of them. Elements that say what they are (menus, headers, footers, forms, adverts, comments and so on) go as well. What
-is left of the articles, or of the main element or the body where there is none, is the text.
+chance, only if it is on most of them. Elements that say what they are (menus, headers, footers, forms, adverts, comments and
+so on) go as well, with the articles in them. One article is the story: the one with most text of its own among those that are
+no comment, advert or the like and lie in none. What is left of it, or of the main element or the page where there is no such
+article, is the text; other articles, beside it or in it, are teasers or comments. An element that holds more than half of
+the page's text is no sidebar or form, whatever its name, but comments are comments.
 
 A null or empty html gives an empty text. Equal rows get equal texts. A page without a host is of the host ''. Broken
 markup is read as far as it goes: open elements end with their parents, a tag that is cut off is dropped. br is white
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import table
+from scriptoria.llm.common import table, written
 
 #: Names of HTML, by what they are.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -51,6 +54,12 @@ HINTS = set(
     "newsletter subscribe subscription share sharing social comment comments disqus reply replies respond related recommended widget "
     "login signup signin search pagination pager skip toolbar copyright".split()
 )
+#: Those of readers' comments.
+COMMENTS = set("comment comments disqus reply replies respond".split())
+#: A name that begins or ends with one of these says how an element is, not what it is: has-sidebar, comments-open.
+STATES = set("has no with without is open opened closed enabled disabled allowed".split())
+#: Furniture even if it holds most of the page's text.
+ALWAYS = set("nav footer aside".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+)(>|\Z)""", re.S)
@@ -73,23 +82,36 @@ class Templates:
     broadcast: int = 200_000
 
 
+#: What an element's attributes say of it.
+NOTHING, NAMED, NEVER_TEXT = 0, 1, 2
+
+
 class Node:
-    __slots__ = ("tag", "items", "hint", "hash", "holds")
+    """hint: NOTHING, NAMED (page furniture) or NEVER_TEXT (hidden, comments). size: characters in it; own: those of its story alone."""
 
-    def __init__(self, tag: str, hint: bool = False):
-        self.tag, self.hint, self.items, self.hash, self.holds = tag, hint, [], 0, False
+    __slots__ = ("tag", "items", "hint", "hash", "holds", "size", "own", "wide")
 
+    def __init__(self, tag: str, hint: int = NOTHING):
+        self.tag, self.hint, self.items, self.hash, self.holds, self.size, self.own, self.wide = tag, hint, [], 0, False, 0, 0, False
 
-def _hinted(attributes: str) -> bool:
+
+def _hinted(attributes: str) -> int:
+    hint = NOTHING
     for name, a, b, c in _ATTR.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return NEVER_TEXT
         if name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id") and any(w.lower() in HINTS for w in _WORD.findall(value)):
-            return True
-    return False
+            hint = NAMED
+        for token in value.split() if name in ("class", "id") else ():
+            words = [w.lower() for w in _WORD.findall(token)]
+            if not words or words[0] in STATES or words[-1] in STATES:
+                continue
+            if not COMMENTS.isdisjoint(words):
+                return NEVER_TEXT
+            if not HINTS.isdisjoint(words):
+                hint = NAMED
+    return hint
 
 
 def parse(html: str) -> Node:
@@ -123,7 +145,7 @@ def parse(html: str) -> Node:
             close({"p"}, BLOCK - {"p"})
         if tag in SIBLINGS:
             close(*SIBLINGS[tag])
-        node = Node(tag, bool(m[3]) and _hinted(m[3]))
+        node = Node(tag, _hinted(m[3]) if m[3] else NOTHING)
         stack[-1].items.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
@@ -135,14 +157,19 @@ def parse(html: str) -> Node:
 
 
 def _furniture(node: Node, in_article: bool) -> bool:
-    """Whether the element goes for what it says it is."""
-    if node.tag in NEVER:
+    """Whether the element goes for what it says it is. Below the story, or where there is none, an article is a comment or a teaser."""
+    if node.tag in NEVER or node.tag == "article":
         return True
-    if node.tag in ("html", "body", "main", "#root") or (node.holds and node.tag != "article"):
+    if node.tag in ("html", "body", "main", "#root") or not _named(node):
         return False
-    if node.tag in FURNITURE or (node.hint and (node.tag != "article" or in_article)):
-        return not (in_article and node.tag in ("header", "div", "hgroup", "section") and _is_heading(node))
-    return False
+    return not (in_article and node.tag in ("header", "div", "hgroup", "section") and _is_heading(node))
+
+
+def _named(node: Node) -> bool:
+    """Whether tag or attributes say that the element is furniture."""
+    if node.hint == NEVER_TEXT or node.tag in ALWAYS:
+        return True
+    return (node.tag in FURNITURE or node.hint == NAMED) and not node.wide
 
 
 def _is_heading(node: Node) -> bool:
@@ -158,7 +185,7 @@ def _is_heading(node: Node) -> bool:
 
 
 def prepare(root: Node) -> None:
-    """Fills in hash and holds (an article or main element is inside), children first."""
+    """Fills in hash, sizes and holds (an article or main element is inside), children first."""
     order, todo = [], [root]
     while todo:
         x = todo.pop()
@@ -168,26 +195,36 @@ def prepare(root: Node) -> None:
         parts = [x.tag]
         for y in x.items:
             if isinstance(y, str):
-                parts.append(" ".join(y.split()))
+                words = y.split()
+                parts.append(" ".join(words))
+                n = sum(map(len, words))
+                x.size, x.own = x.size + n, x.own + n
             else:
                 parts.append(format(y.hash, "x"))
                 x.holds |= y.holds or y.tag in ("article", "main")
+                if y.tag not in NEVER:
+                    x.size += y.size
+                    if y.tag not in FURNITURE and y.tag != "article" and not y.hint:
+                        x.own += y.own
         x.hash = xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass"))
+    for x in order:
+        x.wide = 2 * x.size > root.size
 
 
-def _start(root: Node) -> list[Node]:
-    """Where the text is: the outermost articles that are no furniture, else main elements, else the whole page."""
-    for name in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            x = todo.pop()
-            if x.tag == name:
-                found.append(x)
-            else:
-                todo += [y for y in reversed(x.items) if not isinstance(y, str) and not _furniture(y, False)]
+def _start(root: Node) -> Node:
+    """Where the text is: the article that is the story, else the main element with most text, else the whole page."""
+    stories, mains, todo = [], [], [root]
+    while todo:
+        x = todo.pop()
+        if x.tag in ("article", "main"):
+            (stories if x.tag == "article" else mains).append(x)
+        # What lies in furniture is no story. A plain name on an article itself doesn't tell; its text will.
+        todo += [y for y in reversed(x.items) if not isinstance(y, str) and y.tag not in NEVER and (y.tag in ("html", "body", "main") or not _named(y) or (y.tag == "article" and y.hint == NAMED))]
+    for found in (stories, mains):
+        found = [x for x in found if x.own]
         if found:
-            return found
-    return [root]
+            return max(found, key=lambda x: x.own)  # the first of several
+    return root
 
 
 #: Prose inside an article is counted apart from the same block elsewhere.
@@ -200,7 +237,8 @@ def _key(x: Node, inside: bool) -> int:
 
 def subtrees(root: Node) -> set[int]:
     """Keys of the subtrees that may be templates: blocks that are no furniture by name, hold no article and have text."""
-    out, todo = set(), [(x, x.tag in ("article", "main")) for x in _start(root)]
+    start = _start(root)
+    out, todo = set(), [(start, start.tag in ("article", "main"))]
     while todo:
         x, inside = todo.pop()
         for y in x.items:
@@ -223,26 +261,26 @@ def text_of(root: Node, templates) -> str:
                 blocks.append(joined)
             line.clear()
 
-    for start in _start(root):
-        todo: list = [(y, start.tag in ("article", "main")) for y in reversed(start.items)]
-        while todo:
-            x, inside = todo.pop()
-            if x is None:
+    start = _start(root)
+    todo: list = [(y, start.tag in ("article", "main")) for y in reversed(start.items)]
+    while todo:
+        x, inside = todo.pop()
+        if x is None:
+            flush()
+        elif isinstance(x, str):
+            line.append(x)
+        elif x.tag == "br":
+            line.append(" ")
+        else:
+            block = x.tag in BLOCK
+            if block:
                 flush()
-            elif isinstance(x, str):
-                line.append(x)
-            elif x.tag == "br":
-                line.append(" ")
-            else:
-                block = x.tag in BLOCK
-                if block:
-                    flush()
-                if _furniture(x, inside) or (block and not x.holds and x.tag not in ("html", "body", "article", "main") and _key(x, inside) in templates):
-                    continue
-                if block:
-                    todo.append((None, inside))
-                todo += [(y, inside or x.tag in ("article", "main")) for y in reversed(x.items)]
-        flush()
+            if _furniture(x, inside) or (block and not x.holds and x.tag not in ("html", "body", "article", "main") and _key(x, inside) in templates):
+                continue
+            if block:
+                todo.append((None, inside))
+            todo += [(y, inside or x.tag in ("article", "main")) for y in reversed(x.items)]
+    flush()
     return "\n".join(blocks)
 
 
@@ -276,7 +314,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     sites = own.groupBy("host", "copy").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("all"))
     often = seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).where((F.col("n") >= rules.pages) & (F.col("subtree") != 0))
     bar = F.when(F.col("subtree") < 0, rules.most * F.col("all")).otherwise(F.least(rules.share * F.col("all"), F.lit(float(rules.enough))))
-    often = often.join(sites, "host").where(F.col("n") >= bar).select("host", "subtree")
+    often = written(often.join(sites, "host").where(F.col("n") >= bar).select("host", "subtree"))
     first = often.limit(rules.broadcast + 1).collect()
     columns = "id {}, url string, text string, n_chars long".format(kind)
 
