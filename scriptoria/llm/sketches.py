@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of passages, in DataFrame and SQL functions only.
 
-A text's lines are its paragraphs; a longer one is cut at the first sentence end after 60 characters, or after 120. Each
+A text's lines are its paragraphs; a longer one is cut at the first sentence end after 120 characters, or after 240. Each
 different passage is a 64-bit digest, which each of three tables of a sketch holds in one cell: a cell has the number of its
 digests, their exclusive or, and that of their marks. The sketch of one version minus that of another holds only the digests
 in which they differ. A cell of one digest gives it away; taken out of the two other tables, it lays bare further cells. The
@@ -12,12 +12,13 @@ through, so that no digest is taken out twice.
 
 A null text is empty and has no passages; two texts without passages are alike (1), one with and one without are not (0).
 A passage that a text repeats counts once. Ids may be null or repeated: the next document is the next row in the order of ids
-(nulls last), then of a hash of the text; rows with the same id and text are one document, given out as often as it came. An
-empty table gives no rows, a single document is its own next one. Other columns are ignored, so their names cannot clash.
+(nulls last), then of a hash of the text, so rows that repeat are next to each other. An empty table gives no rows, a single
+document is its own next one. Other columns are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from scriptoria.llm.common import record, table, written
 
-#: A passage: up to the first sentence end after 60 characters, else up to 120 characters or the end of the line.
-PASSAGE = r"[^\n]{60,120}?[.!?]+|[^\n]{1,120}"
+#: A passage: up to the first sentence end after 120 characters, else up to 240 characters or the end of the line.
+PASSAGE = r"[^\n]{120,240}?[.!?]+|[^\n]{1,240}"
 TABLES = 3
 CELL = "struct<n:int,digest:long,mark:long>"
 
@@ -35,13 +36,17 @@ CELL = "struct<n:int,digest:long,mark:long>"
 @dataclass(frozen=True)
 class Sizes:
     """cells: of a fingerprint, a third in each table. share: cells per digest of both sides at the first retry; grow: factor of
-    each retry. rounds: looks through one table each before an attempt has failed. attempts: retries, then an error."""
+    each retry. rounds: looks through one table each before an attempt has failed. attempts: retries, then an error. Ids are dealt
+    in ranges of about rows documents, at most so many ranges, whose bounds come from a sample of at most so many rows."""
 
     cells: int = 24
     share: float = 2.0
     grow: int = 2
     rounds: int = 15
     attempts: int = 8
+    rows: int = 100
+    ranges: int = 4_096
+    sample: int = 50_000
 
 
 def passages(text: Column) -> Column:
@@ -158,40 +163,56 @@ def differences(pairs: DataFrame, rules: Sizes = Sizes()) -> DataFrame:
         todo = pairs.join(failed, reduce(lambda a, b: a & b, [F.col(c) == F.col(f"f_{c}") for c in PAIR]), "left_semi")
 
 
-def _ring(docs: DataFrame) -> DataFrame:
-    """Documents (k1, k2, id, n) with copies and the one before each in the order of ids: p1, p2, before (its n). Before the first comes the last."""
-    order = [F.asc_nulls_last("id"), F.asc("k1"), F.asc("k2")]
-    thin = docs.groupBy("id", "k1", "k2", "n").agg(F.count("*").alias("copies"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Ranges of ids, kept as a table: a range is what one task read, and stays that. Nulls and repeated ids are split by hash.
-    ranges = written(thin.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()))
-    me = F.struct("k1", "k2", "n")
-    # One row a range: their number is that of the partitions, whatever the input.
-    sorts = F.struct(F.col("id").isNull(), "id", "k1", "k2")
-    tails = ranges.groupBy("range").agg(F.max_by(me, sorts).alias("tail"))
-    every = Window.partitionBy(F.lit(0)).orderBy("range")
-    whole = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tails = tails.select(F.col("range").alias("of"), F.coalesce(F.lag("tail").over(every), F.last("tail").over(whole)).alias("tail"))
-    behind = F.lag(me).over(Window.partitionBy("range").orderBy(*order))
-    chain = ranges.select("k1", "k2", "copies", "range", behind.alias("behind"))
-    chain = chain.join(F.broadcast(tails), F.col("range") == F.col("of")).select("k1", "k2", "copies", F.coalesce("behind", "tail").alias("b"))
-    return chain.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), "copies", F.col("b.k1").alias("p1"), F.col("b.k2").alias("p2"), F.col("b.n").alias("before"))
-
+def _ranges(keyed: DataFrame, rules: Sizes) -> DataFrame:
+    """One row: bounds of ranges of (nameless, id, t1), in order, as lists of lists, so that a row finds its range in two steps.
 
-def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents with their edited texts: k1, k2, id, copies, n_chars, edited, and digests of the text (one), of edited (two) and of the next text (three)."""
+    They are taken from a sample of at most rules.sample rows, those with the smallest hashes; every row is in some range.
+    """
+    count = max(1, min(rules.ranges, keyed.count() // rules.rows))
+    known = keyed.select("nameless", "id", "t1").orderBy(F.xxhash64("id", "t1", F.lit("sample"))).limit(rules.sample).collect() if count > 1 else []
+    known = sorted(known, key=lambda r: (r["nameless"], (r["id"],) if r["id"] is not None else (), r["t1"]))
+    bounds = [known[len(known) * k // count] for k in range(1, count)]
+    each = max(1, math.isqrt(len(bounds)))
+    kind = dict(keyed.dtypes)["id"]
+    lists = [[tuple(r) for r in bounds[k : k + each]] for k in range(0, len(bounds), each)]
+    return keyed.sparkSession.createDataFrame([(lists, each)], f"bounds array<array<struct<nameless:boolean,id:{kind},t1:bigint>>>, each int")
+
+
+def _in_ranges(keyed: DataFrame, ranges: DataFrame) -> DataFrame:
+    """keyed with range: how many bounds are no greater than the row."""
+    me = F.struct("nameless", "id", "t1")
+    under = lambda c: F.size(F.filter(c, lambda b: b <= me))
+    rows = keyed.crossJoin(F.broadcast(ranges))  # one row
+    lists = under(F.transform("bounds", lambda b: b[0]))
+    rows = rows.withColumn("full", lists - 1)
+    inner = F.when(F.col("full") >= 0, under(F.element_at("bounds", F.greatest(F.col("full") + 1, F.lit(1)))) + F.col("full") * F.col("each")).otherwise(F.lit(0))
+    return rows.withColumn("range", inner.cast("long")).drop("bounds", "each", "full")
+
+
+def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sizes = Sizes()) -> DataFrame:
+    """Documents with their edited texts: k1, k2 (range of ids, place in it), id, n_chars, edited, and digests of the text (one), of edited (two) and of the next text (three)."""
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keys = [F.xxhash64(F.lit(k), F.col("id").isNull(), F.col("id"), F.col("text")).alias(f"k{k}") for k in (1, 2)]
-    keyed = own.select("id", "text", *keys, F.length("text").cast("long").alias("n"))
-    # One row of each group of equal rows; the texts are dealt by their keys, and stay so until they are edited.
-    first = Window.partitionBy("k1", "k2").orderBy("k1").rowsBetween(Window.unboundedPreceding, 0)
-    single = keyed.withColumn("one", passages(F.col("text"))).withColumn("nth", F.count("*").over(first)).where("nth = 1").drop("nth")
-    known = single.join(_ring(keyed).hint("merge"), (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2"))).drop("r1", "r2")
-    quarter = lambda c: F.shiftright(F.col(c), 2).cast("int")
-    given = known.select(F.col("p1").alias("to1"), F.col("p2").alias("to2"), F.substring("text", F.lit(1), quarter("before")).alias("head"), F.col("one").alias("three"))
-    both = known.join(given.hint("merge"), (F.col("k1") == F.col("to1")) & (F.col("k2") == F.col("to2")))
-    edited = F.concat(F.substring("text", F.lit(1), F.col("n").cast("int") - quarter("n")), F.col("head"))
-    both = both.select("k1", "k2", "id", "copies", F.col("n").alias("n_chars"), edited.alias("edited"), "one", "three")
+    keyed = own.select("id", F.col("id").isNull().alias("nameless"), *[F.xxhash64(F.lit(k), "text").alias(f"t{k}") for k in (1, 2)], "text")
+    thin = keyed.select("id", "nameless", "t1", "t2")
+    ranges = _ranges(thin, rules)
+    # The first row of each range is also sent to the range before it, as the next document of its last one: a row a range.
+    order = F.struct("nameless", "id", "t1", "t2")
+    heads = _in_ranges(thin, ranges).groupBy("range").agg(F.min(order).alias("head"))
+    every = Window.partitionBy(F.lit(0)).orderBy("range")
+    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select("head", F.coalesce(F.lag("range").over(every), F.last("range").over(whole)).alias("before"))
+    heads = heads.select(F.col("head.id").alias("h"), F.col("head.t1").alias("h1"), F.col("head.t2").alias("h2"), "before")
+    known = _in_ranges(keyed, ranges).join(F.broadcast(heads), (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")) & F.col("id").eqNullSafe(F.col("h")), "left")
+    at = F.array(record(range=F.col("range"), guest=F.lit(False)), record(range=F.col("before"), guest=F.lit(True)))
+    dealt = known.select("id", "nameless", "t1", "t2", "text", F.explode(F.filter(at, lambda x: x["range"].isNotNull())).alias("x")).select("id", "nameless", "t1", "t2", "text", "x.*")
+    # Texts are shuffled once, by range; what follows needs no more than the order in it.
+    dealt = dealt.repartition("range").withColumn("one", passages(F.col("text")))
+    w = Window.partitionBy("range").orderBy("guest", "nameless", "id", "t1", "t2")
+    seen = dealt.select("range", "guest", "id", "text", "one", F.row_number().over(w).cast("long").alias("k2"), F.lead("text").over(w).alias("next"), F.lead("one").over(w).alias("three")).where(~F.col("guest"))
+    n = F.length("text")
+    quarter = F.shiftright(n, 2)
+    edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next", F.lit(1), quarter))
+    both = seen.select(F.col("range").alias("k1"), "k2", "id", n.cast("long").alias("n_chars"), edited.alias("edited"), "one", "three")
     return both.select("*", passages(F.col("edited")).alias("two"))
 
 
@@ -203,18 +224,17 @@ def likeness(one: Column, two: Column, left: Column, right: Column) -> Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sizes = Sizes()) -> DataFrame:
     """A row per row of docs: the id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    known = written(with_edits(docs, id_col, text_col).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited"))
+    known = written(with_edits(docs, id_col, text_col, rules).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited"))
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("two")), F.struct(F.lit(1).alias("kind"), F.col("three").alias("two")))
     pairs = known.select("k1", "k2", "one", F.explode(kinds).alias("x")).select("k1", "k2", "x.kind", "one", "x.two")
     found = differences(pairs, rules).select("k1", "k2", "kind", F.size("left").alias("left"), F.size("right").alias("right"))
     side = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c))).alias(f"{c}{kind}")
     found = found.groupBy(F.col("k1").alias("f1"), F.col("k2").alias("f2")).agg(*[side(k, c) for k in (0, 1) for c in ("left", "right")])
     near = lambda other, kind: likeness(F.size("one"), F.size(other), F.col(f"left{kind}"), F.col(f"right{kind}"))
-    out = known.join(found, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))).select(
+    return known.join(found, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))).select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", fingerprint(sketch(F.col("one"), rules.cells)).alias("fingerprint"), fingerprint(sketch(F.col("two"), rules.cells)).alias("edited_fingerprint"),
-        near("two", 0).alias("near_edited"), near("three", 1).alias("near_next"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
+        near("two", 0).alias("near_edited"), near("three", 1).alias("near_next"),
     )
-    return out.drop("copy")
 
 
 def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ def test_fingerprints(spark):
     ids = [7 * k - 30 for k in range(len(texts))]
     rows = list(zip(ids, texts, strict=True))
     random.Random(2).shuffle(rows)
-    got = sketches.fingerprints(frame(spark, [(i, t or None) for i, t in rows]).repartition(5)).collect()
+    got = sketches.fingerprints(frame(spark, [(i, t or None) for i, t in rows]).repartition(5), rules=sketches.Sizes(rows=4)).collect()
     check(got, ids, texts)
     by = {}
     for r, t in zip(sorted(got, key=lambda r: r.doc_id), texts, strict=True):
@@ -81,6 +81,6 @@ def test_rows_without_an_order(spark):
     one = sketches.fingerprints(frame(spark, [(4, "Only. text")])).collect()
     assert [(r.doc_id, r.near_next) for r in one] == [(4, 1.0)]
     rows = [(None, "a b"), (None, "c d"), (3, "same"), (3, "same"), (3, "other"), (None, None)]
-    got = sketches.fingerprints(frame(spark, rows)).collect()
+    got = sketches.fingerprints(frame(spark, rows), rules=sketches.Sizes(rows=1)).collect()
     assert sorted((r.doc_id or 0, r.n_chars) for r in got) == [(0, 0), (0, 3), (0, 3), (3, 4), (3, 4), (3, 5)]
     assert sketches.fingerprints(frame(spark, rows[:3]).where(F.lit(False))).count() == 0
