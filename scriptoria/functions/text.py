@@ -120,3 +120,20 @@ def safe_markup(c: Column) -> Column:
 def words(c: Column) -> Column:
     """Letters and digits, folded."""
     return F.regexp_extract_all(folded(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+#: Our choice of endings, Spanish, English, French and German, that a word of this many letters before them loses.
+ENDINGS = (
+    "amientos|amiento|imientos|imiento|aciones|acion|uciones|ucion|ciones|cion|siones|sion|idades|idad|mente|ables|able|ibles|ible|istas|ista|ismos|ismo|osos|osas|oso|osa"
+    "|ations|ation|ments|ment|ings|ing|ness|tions|tion|edly|ed|ly|ungen|ung|heit|keit|lich|isch|eaux|eau|es|en|er|s|a|o|e"
+)
+STEM = r"^(.{3,}?)(?:" + ENDINGS + ")$"
+
+
+def stem(word: Column) -> Column:
+    """A folded word without the longest ending that leaves three letters."""
+    return F.regexp_replace(word, STEM, "$1")
+
+
+def stems(c: Column) -> Column:
+    return F.transform(words(c), stem)

@@ -6,9 +6,13 @@ group of a grouped map. A word is (page, t, x0, y0, x1, y1, b, conf).
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import groupby
+from dataclasses import dataclass
+from itertools import groupby, pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,75 +55,222 @@ def lines_of(words: list[dict], near: float = 0.5) -> list[list[dict]]:
     return [sorted(line, key=lambda w: w["x0"]) for _, line in sorted(found, key=lambda f: f[0])]
 
 
-def phrases_of(lines: list[list[dict]]) -> list[list[dict]]:
-    """Neighbouring words without a wide gap between them, as one; bold if all are."""
-    gaps = sorted(b["x0"] - a["x1"] for line in lines for a, b in zip(line, line[1:], strict=False) if b["x0"] > a["x1"])
-    widths = sorted((w["x1"] - w["x0"]) / max(1, len(w["t"])) for line in lines for w in line)
-    char = widths[len(widths) // 2] if widths else 1.0
-    space = gaps[int(0.3 * len(gaps))] if gaps else char
-    widest = max(space * 1.8, char * 0.75)
+@dataclass(frozen=True)
+class Measures:
+    """What a page's words measure: height and width of a character, and from which gap words are apart in a table and in text."""
+
+    height: float
+    char: float
+    gap: float
+    wide: float
+    pitch: float
+
+
+def _middle(values: list[float]) -> float:
+    """The upper median, 0 of none."""
+    return sorted(values)[len(values) // 2] if values else 0.0
+
+
+def center(line: list[dict]) -> float:
+    """A line's height on the page is that of its first word from above."""
+    return min((w["y0"] + w["y1"]) / 2 for w in line)
+
+
+def measured(lines: list[list[dict]]) -> Measures:
+    words = [w for line in lines for w in line]
+    height = _middle([w["y1"] - w["y0"] for w in words]) or 10.0
+    char = _middle([(w["x1"] - w["x0"]) / max(1, len(w["t"])) for w in words]) or height * 0.5
+    gaps = sorted(b["x0"] - a["x1"] for line in lines for a, b in pairwise(line) if b["x0"] > a["x1"])
+    space = gaps[int(0.3 * len(gaps))] if gaps else char * 0.5
+    pitch = _middle([center(b) - center(a) for a, b in pairwise(lines)]) or height * 1.4
+    return Measures(height, char, max(space * 1.8, char * 0.75), max(char * 2.4, height * 0.9), pitch)
+
+
+def phrases_of(line: list[dict], gap: float, height: float) -> list[dict]:
+    """Neighbouring words without a wide gap between them as one, bold if all are; tall words allow wider gaps."""
+    out: list[dict] = []
+    for w in line:
+        near = out and w["x0"] - out[-1]["x1"] < gap * max(1.0, (w["y1"] - w["y0"]) / height)
+        if near:
+            p = out[-1]
+            out[-1] = {"words": [*p["words"], w], "x0": p["x0"], "x1": max(p["x1"], w["x1"]), "b": p["b"] and bool(w["b"])}
+        else:
+            out.append({"words": [w], "x0": w["x0"], "x1": w["x1"], "b": bool(w["b"])})
+    return out
+
+
+def _said(words: list[dict]) -> str:
+    return " ".join(w["t"] for w in words)
+
+
+def blocks_of(lines: list[list[dict]], phrases: list[list[dict]], m: Measures) -> list[tuple[bool, list[int]]]:
+    """Runs of line numbers, each a table or a line of text.
+
+    A table begins with a line of two phrases. It ends at a distance of 2.6 pitches, and at a line of one phrase, unless that
+    one is close to the line above or a line of two phrases follows.
+    """
+    y, parted = [center(x) for x in lines], [len(p) >= 2 for p in phrases]
+    far = [k > 0 and y[k] - y[k - 1] > 2.6 * m.pitch for k in range(len(lines))] + [True]
+    out: list[tuple[bool, list[int]]] = []
+    for k in range(len(lines)):
+        close = k > 0 and y[k] - y[k - 1] < 1.9 * m.height
+        leads = k + 1 < len(lines) and parted[k + 1] and y[k + 1] - y[k] < 2.6 * m.pitch
+        if out and out[-1][0] and not far[k] and (parted[k] or close or leads):
+            out[-1][1].append(k)
+        else:
+            out.append((parted[k], [k]))
+    return out
+
+
+def _stretches(free: np.ndarray) -> list[tuple[int, int]]:
+    """First and last place of each run of true."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+    return [(int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def _covered(spans: list[tuple[float, float]], left: int, width: int) -> np.ndarray:
+    """How many spans lie over each pixel from left on."""
+    ends = np.zeros(width + 1, np.int64)
+    for x0, x1 in spans:
+        ends[max(0, math.floor(x0) - left)] += 1
+        ends[min(width, math.ceil(x1) - left + 1)] -= 1
+    return np.cumsum(ends)[:width]
+
+
+def gutters_of(phrases: list[list[dict]], m: Measures) -> list[tuple[int, int]]:
+    """Pixels between columns, from and to: where few phrases lie.
+
+    What lies in such a stretch must cross it whole, as a title does. If something ends in it, a sparse column does; then
+    those parts are gutters in which nothing lies.
+    """
+    every = [(p["x0"], p["x1"]) for line in phrases for p in line]
+    left, right = math.floor(min(x for x, _ in every)), math.ceil(max(x for _, x in every))
+    over, n = _covered(every, left, right - left + 1), len(phrases)
+    few, least = (n // 10 if n >= 8 else 1 if n >= 4 else 0), (1.0 if n >= 3 else 1.5 * m.char)
     out = []
-    for line in lines:
-        joined: list[dict] = []
-        for w in line:
-            if joined and w["x0"] - joined[-1]["x1"] < widest:
-                p = joined[-1]
-                p["t"], p["x1"], p["b"] = p["t"] + " " + w["t"], max(p["x1"], w["x1"]), p["b"] and w["b"]
-                p["y0"], p["y1"] = min(p["y0"], w["y0"]), max(p["y1"], w["y1"])
-            else:
-                joined.append(dict(w))
-        out.append(joined)
+    for a, b in _stretches(over <= few):
+        if b - a + 1 < least:
+            continue
+        x, y = a + left, b + left
+        if all(x0 < x - m.char and x1 > y + m.char for x0, x1 in every if x1 >= x and x0 <= y):
+            out.append((x, y))
+        else:
+            out += [(c + x, d + x) for c, d in _stretches(over[a : b + 1] == 0) if d - c + 1 >= max(least, 0.6 * m.char)]
     return out
 
 
-def gutters_of(lines: list[list[dict]]) -> list[float]:
-    """Where columns part: middles of stretches that at most a few phrases cross."""
-    spans = [(p["x0"], p["x1"]) for line in lines for p in line]
-    n = len(lines)
-    most = int(0.1 * n) if n >= 8 else 1 if n >= 4 else 0
-    edges = sorted({x for s in spans for x in s})
-    cuts, start = [], None
-    for a, b in zip(edges, edges[1:], strict=False):
-        low = sum(x0 < b and x1 > a for x0, x1 in spans) <= most
-        if low and start is None:
-            start = a
-        if not low and start is not None:
-            cuts.append((start + a) / 2)
-            start = None
-    return cuts
+def cuts_of(phrases: list[list[dict]], gutters: list[tuple[int, int]]) -> list[float]:
+    """The middle of each gutter's longest part on which no word lies."""
+    words = [(w["x0"], w["x1"]) for line in phrases for p in line for w in p["words"]]
+    out = []
+    for a, b in gutters:
+        empty = _stretches(_covered([s for s in words if s[1] >= a and s[0] <= b], a, b - a + 1) == 0)
+        c, d = max(empty, key=lambda s: s[1] - s[0], default=(0, b - a))
+        out.append(a + (c + d) / 2)
+    return out
 
 
-def rows_of(lines: list[list[dict]], cuts: list[float]) -> list[list[str]]:
-    """Cells by column. A phrase across cuts goes where it overlaps most; a line without its anchor column goes on with the row above.
+def _dealt(phrase: dict, cuts: list[float], early: bool) -> Iterator[tuple[int, list[dict]]]:
+    """(column, words): the phrase whole if it lies in one column; by word if cuts fall between its words.
 
-    The anchor is the column, among those filled in at least 35 % of lines, that is filled most often, the leftmost of equals.
+    A title whose words a cut would cut, bold or in one of the first two lines, goes whole where most of it lies.
     """
-    bounds = [float("-inf"), *cuts, float("inf")]
-    table: list[list[list[str]]] = []
-    for line in lines:
-        cells: list[list[str]] = [[] for _ in bounds[1:]]
+    first, last = bisect_left(cuts, phrase["x0"]), bisect_left(cuts, phrase["x1"])
+    words = phrase["words"]
+    if first == last:
+        yield first, words
+        return
+    between = all(any(a["x1"] <= c <= b["x0"] for a, b in pairwise(words)) for c in cuts[first:last])
+    if not between and (phrase["b"] or early):
+        bounds = [-math.inf, *cuts, math.inf]
+        share = lambda k: min(bounds[k + 1], phrase["x1"]) - max(bounds[k], phrase["x0"])
+        yield max(range(first, last + 1), key=share), words
+        return
+    for w in words:
+        yield bisect_left(cuts, (w["x0"] + w["x1"]) / 2), [w]
+
+
+def cells_of(phrases: list[list[dict]], cuts: list[float]) -> list[list[list[dict]]]:
+    """The words of each line's cells."""
+    out = []
+    for k, line in enumerate(phrases):
+        cells: list[list[dict]] = [[] for _ in range(len(cuts) + 1)]
         for p in line:
-            overlap = [min(p["x1"], b) - max(p["x0"], a) for a, b in zip(bounds, bounds[1:], strict=False)]
-            cells[overlap.index(max(overlap))].append(p["t"])
-        table.append(cells)
-    filled = [sum(bool(r[k]) for r in table) for k in range(len(bounds) - 1)]
-    anchors = [k for k in range(len(filled)) if filled[k] >= 0.35 * len(table)]
-    anchor = max(anchors, key=lambda k: (filled[k], -k)) if anchors else 0
-    pitch = sorted(b[0]["y0"] - a[0]["y0"] for a, b in zip(lines, lines[1:], strict=False) if a and b)
-    usual = pitch[len(pitch) // 2] if pitch else 0.0
-    out: list[list[str]] = []
-    for k, r in enumerate(table):
-        text = [" ".join(c) for c in r]
-        near = k > 0 and lines[k] and lines[k - 1] and lines[k][0]["y0"] - lines[k - 1][0]["y0"] <= 1.35 * usual
-        if out and not r[anchor] and near:
-            out[-1] = [" ".join(x for x in (a, b) if x) for a, b in zip(out[-1], text, strict=True)]
-        else:
-            out.append(text)
+            for column, words in _dealt(p, cuts, k < 2):
+                cells[column] += words
+        out.append(cells)
     return out
 
 
-def _by_page(words: DataFrame, one, schema: str) -> DataFrame:
-    """(page, …): one() of each page's words. Pages come one after the other in a sorted partition, each held alone."""
+def row_starts(cells: list[list[list[dict]]], y: list[float], bands: list[float], height: float) -> list[bool]:
+    """Which lines begin a row.
+
+    With three rules or more across the block, lines between the same two are one row. Else the anchor tells: the column,
+    of those filled in 35 % of lines, that is least often filled in two lines close to each other, then most often, then
+    leftmost. A line without it goes on with the row above if it is nearer than lines with it use to be.
+    """
+    n = len(cells)
+    if len(bands) >= 3:
+        band = [bisect_left(bands, v) for v in y]
+        return [k == 0 or band[k] != band[k - 1] for k in range(n)]
+    full = [[bool(c) for c in line] for line in cells]
+    near = [k > 0 and y[k] - y[k - 1] < 1.9 * height for k in range(n)]
+    ranked = []
+    for c in range(len(cells[0])):
+        count = sum(f[c] for f in full)
+        if count >= 0.35 * n:
+            ranked.append((sum(full[k][c] and full[k - 1][c] and near[k] for k in range(1, n)), -count, c))
+    if not ranked:
+        return [True] * n
+    anchor = min(ranked)[2]
+    held = [y[k] for k in range(n) if full[k][anchor]]
+    usual = _middle([b - a for a, b in pairwise(held)]) or 2 * height
+    return [k == 0 or full[k][anchor] or y[k] - y[k - 1] >= min(0.85 * usual, 2 * height) for k in range(n)]
+
+
+def table_of(lines: list[list[dict]], phrases: list[list[dict]], rules: list[dict], m: Measures) -> list[list[list[dict]]] | None:
+    """Rows of cells, each its words, or None where there are no columns. rules: y, x0, x1 of horizontal ones."""
+    gutters = gutters_of(phrases, m) if len(lines) >= 2 else []
+    if not gutters:
+        return None
+    x0, x1 = min(p["x0"] for line in phrases for p in line), max(p["x1"] for line in phrases for p in line)
+    reach = 0.25 * (math.ceil(x1) - math.floor(x0))
+    across = sorted(r["y"] for r in rules if r["x0"] <= math.floor(x0) + reach and r["x1"] >= math.ceil(x1) - reach)
+    top, foot = min(w["y0"] for w in lines[0]) - m.height, max(w["y1"] for w in lines[-1]) + m.height
+    cells = cells_of(phrases, cuts_of(phrases, gutters))
+    rows: list[list[list[dict]]] = []
+    starts = row_starts(cells, [center(x) for x in lines], [v for v in across if top < v < foot], m.height)
+    for new, line in zip(starts, cells, strict=True):
+        if new:
+            rows.append([[] for _ in line])
+        for have, more in zip(rows[-1], line, strict=True):
+            have += more
+    return rows
+
+
+def blocks(words: list[dict], rules: list[dict]) -> Iterator[tuple[int, str, int, int, str, bool]]:
+    """(block, kind, row, col, text, bold) of a page: cells of its tables, and lines of its texts."""
+    lines = lines_of(words)
+    if not lines:
+        return
+    m = measured(lines)
+    phrases = [phrases_of(x, m.gap, m.height) for x in lines]
+    number = 0
+    for tabular, members in blocks_of(lines, phrases, m):
+        rows = table_of([lines[k] for k in members], [phrases[k] for k in members], rules, m) if tabular else None
+        if rows:
+            for r, row in enumerate(rows):
+                yield from ((number, "rows", r, c, _said(x), all(bool(w["b"]) for w in x)) for c, x in enumerate(row) if x)
+            number += 1
+            continue
+        for k in members:
+            text = "   ".join(_said(p["words"]) for p in phrases_of(lines[k], m.wide, m.height))
+            yield number, "text", 0, 0, text, all(bool(w["b"]) for w in lines[k])
+            number += 1
+
+
+def _by_page(words: DataFrame, one, schema: str, more: DataFrame | None = None) -> DataFrame:
+    """(page, …): one() of each page's words, and rows of more like them, which are not checked. Pages come one after the other in a sorted partition, each held alone."""
     names = ["page", *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,20 +288,30 @@ def _by_page(words: DataFrame, one, schema: str) -> DataFrame:
     from pyspark.sql.types import _parse_datatype_string
 
     made = to_arrow_schema(_parse_datatype_string(f"page long, {schema}"))
-    rows = usable_words(words).repartition("page").sortWithinPartitions("page", "y0", "x0")
+    rows = usable_words(words)
+    rows = (rows.unionByName(more.select(*rows.columns)) if more is not None else rows).repartition("page").sortWithinPartitions("page", "y0", "x0")
     return rows.mapInArrow(run, f"page long, {schema}")
 
 
-def page_tables(words: DataFrame) -> DataFrame:
-    """(page, row, col, text, v): typed cells of each page's borderless table."""
+def page_blocks(words: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """(page, block, kind, row, col, text, b): cells of each page's borderless tables (kind rows) and its lines of text.
+
+    rules: horizontal rules (page, y, x0, x1), if there are any.
+    """
+    drawn = None
+    if rules is not None:
+        drawn = rules.select("page", F.lit(None).cast("string").alias("t"), "x0", F.col("y").alias("y0"), "x1", F.col("y").alias("y1"), F.lit(False).alias("b"), F.lit(None).cast("double").alias("conf"))
+
+    def one(held: list[dict]) -> list[tuple]:
+        lines = [{"y": r["y0"], "x0": r["x0"], "x1": r["x1"]} for r in held if r["t"] is None]
+        return list(blocks([w for w in held if w["t"] is not None], lines))
+
+    return _by_page(words, one, "block int, kind string, row int, col int, text string, b boolean", drawn)
 
-    def one(words: list[dict]) -> list[tuple]:
-        lines = phrases_of(lines_of(words))
-        table = rows_of(lines, gutters_of(lines))
-        return [(r, c, t) for r, row in enumerate(table) for c, t in enumerate(row) if t]
 
-    cells = _by_page(words, one, "row int, col int, text string")
-    return cells.select("*", typed(F.col("text")).alias("v"))
+def page_tables(words: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """(page, block, row, col, text, v): typed cells; a line of text is a row of one cell."""
+    return page_blocks(words, rules).select("page", "block", "row", "col", "text", typed(F.col("text")).alias("v"))
 
 
 def page_lines(words: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -27,6 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir; one of our own only where all runs on one machine."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="scriptoria-"))
+    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4()}"
+
+
 def rows(spark: SparkSession, schema: str, values: list[tuple[Any, ...]]) -> DataFrame:
     """A small relation written out in the query."""
     return spark.createDataFrame(values, schema)

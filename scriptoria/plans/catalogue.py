@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from scriptoria.plans import ORACLES, QUERIES, algebra, corpus, documents, measures, ranking, relational, ruled, scalars, state  # noqa: F401
+from scriptoria.plans import ORACLES, QUERIES, algebra, corpus, documents, measures, ranking, relational, ruled, scalars, state, stored  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

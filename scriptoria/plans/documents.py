@@ -9,27 +9,101 @@ from scriptoria.operators import layout as L
 from scriptoria.plans import as_sql, query, rows, table
 
 
+def as_words(cells: DataFrame) -> DataFrame:
+    """Cells (page, x, y, text, b, conf) as words: six units a character and blank, ten high."""
+    each = cells.select("page", "x", "y", "b", "conf", "text", F.split("text", " ").alias("ts"))
+    each = each.select("page", "x", "y", "b", "conf", "ts", F.posexplode("ts").alias("k", "t"))
+    before = F.length(F.array_join(F.slice("ts", 1, F.col("k")), " ")) + F.when(F.col("k") > 0, 1).otherwise(0)
+    x = F.col("x") + before * 6.0
+    return each.select("page", "t", x.alias("x0"), F.col("y").alias("y0"), (x + F.length("t") * 6.0).alias("x1"), (F.col("y") + 10.0).alias("y1"), "b", "conf")
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with line, from 1 in each order, and how many there are."""
+    w = Window.partitionBy("l_orderkey")
+    line = F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    return table(spark, sf_dir, "lineitem").withColumn("line", line).withColumn("lines", F.count("*").over(w)).withColumn("price", F.concat(F.lit("$ "), F.translate(F.format_number("l_extendedprice", 2), ".,", ",.")))
+
+
+NUMBERED = """l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS line, count(*) OVER (PARTITION BY l_orderkey) AS lines,
+    '$ ' || translate(format('{:,.2f}', l_extendedprice), '.,', ',.') AS price FROM lineitem)"""
+
+
+def cells_at(df: DataFrame, page: str, *cells: tuple, conf: float = 95.0) -> DataFrame:
+    """Cells of each row of df: (x, y, text) or (x, y, text, bold), those without a text left out."""
+    made = [F.struct(F.lit(float(x)).alias("x"), y.cast("double").alias("y"), t.alias("text"), F.lit(bool(rest and rest[0])).alias("b")) for x, y, t, *rest in cells]
+    return df.select(F.col(page).alias("page"), F.explode(F.array(*made)).alias("c")).select("page", "c.*", F.lit(conf).alias("conf")).where("text IS NOT NULL")
+
+
 def order_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as words on pages: an order is a page, its lines are rows of five columns."""
-    l = table(spark, sf_dir, "lineitem")
-    texts = F.array(F.concat(F.lit("item "), F.col("l_partkey").cast("string")), F.col("l_quantity").cast("int").cast("string"), F.concat(F.lit("$ "), F.translate(F.format_number("l_extendedprice", 2), ".,", ",.")), F.concat(F.lit("flag "), F.col("l_returnflag")), F.date_format("l_shipdate", "dd/MM/yyyy"))
-    line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
-    l = l.withColumn("line", line)
-    each = l.select(F.col("l_orderkey").alias("page"), "line", F.posexplode(texts).alias("c", "cell"))
-    each = each.select("page", "line", "c", "cell", F.posexplode(F.split("cell", " ")).alias("k", "t"))
-    x = F.col("c") * 140.0 + 10 + F.when(F.col("k") > 0, F.length(F.substring_index("cell", " ", 1)) * 6.0 + 6).otherwise(0.0)
-    y = F.col("line") * 20.0
-    return each.select("page", "t", x.alias("x0"), y.alias("y0"), (x + F.length("t") * 6.0).alias("x1"), (y + 10.0).alias("y1"), F.lit(False).alias("b"), (90.0 - F.col("c") * 10).alias("conf"))
-
-
-@query("""SELECT l_orderkey AS page, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1)::INT AS row, 'item ' || l_partkey AS part, l_quantity::INT::DOUBLE AS quantity, round(l_extendedprice, 2) AS price FROM lineitem""")
+    l = numbered(spark, sf_dir)
+    texts = F.array(F.concat(F.lit("item "), F.col("l_partkey").cast("string")), F.col("l_quantity").cast("int").cast("string"), F.col("price"), F.concat(F.lit("flag "), F.col("l_returnflag")), F.date_format("l_shipdate", "dd/MM/yyyy"))
+    each = l.select(F.col("l_orderkey").alias("page"), "line", F.posexplode(texts).alias("c", "text"))
+    return as_words(each.select("page", (F.col("c") * 140.0 + 10).alias("x"), (F.col("line") * 20.0).alias("y"), "text", F.lit(False).alias("b"), (90.0 - F.col("c") * 10).alias("conf")))
+
+
+@query(f"""WITH {NUMBERED} SELECT l_orderkey AS page, (line - 1)::INT AS row,
+CASE WHEN lines > 1 THEN 'item ' || l_partkey ELSE concat_ws('   ', 'item ' || l_partkey, l_quantity::INT, price, 'flag ' || l_returnflag, strftime(l_shipdate, '%d/%m/%Y')) END AS part,
+CASE WHEN lines > 1 THEN l_quantity::INT::DOUBLE END AS quantity, CASE WHEN lines > 1 THEN round(l_extendedprice, 2) END AS price FROM l""")
 def words_to_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LAY-3, 5 to 7 and 11, AGG-3 and 11 to 14: each page's words as a typed table again."""
+    """LAY-3, 5 and 11, AGG-3, 10 to 12: each page's words as a typed table again; one line alone is text."""
     t = L.page_tables(order_words(spark, sf_dir))
     cell = lambda c, f: F.max(F.when(F.col("col") == c, F.col(f)))
     return t.groupBy("page", "row").agg(cell(0, "text").alias("part"), cell(1, "v.num").alias("quantity"), F.round(cell(2, "v.num"), 2).alias("price"))
 
 
+def _columns(t: DataFrame, *names: str) -> DataFrame:
+    own = [F.max(F.when(F.col("col") == k, F.col("text"))).alias(n) for k, n in enumerate(names)]
+    return t.groupBy("page", "block", "row").agg(*own)
+
+
+@query(f"""WITH {NUMBERED} SELECT l_orderkey AS page, 0 AS block, line::INT AS row, 'item ' || l_partkey AS a, l_quantity::INT::VARCHAR AS b, NULL AS c FROM l
+UNION ALL SELECT l_orderkey, 1, line::INT, price, 'flag ' || l_returnflag, strftime(l_shipdate, '%d/%m/%Y') FROM l
+UNION ALL SELECT l_orderkey, 0, 0, 'the item', 'sold', NULL FROM l WHERE line = 1 UNION ALL SELECT l_orderkey, 1, 0, 'its price', 'its flag', 'sent' FROM l WHERE line = 1""")
+def two_block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LAY-5, AGG-28: two tables on each page, with other columns, far from each other: each has columns of its own."""
+    l = numbered(spark, sf_dir)
+    y, below = F.col("line") * 20, F.col("lines") * 20 + 80
+    rows_of = [(10, y, F.concat(F.lit("item "), F.col("l_partkey").cast("string"))), (150, y, F.col("l_quantity").cast("int").cast("string")),
+               (60, below + y, F.col("price")), (230, below + y, F.concat(F.lit("flag "), F.col("l_returnflag"))), (400, below + y, F.date_format("l_shipdate", "dd/MM/yyyy"))]
+    first = lambda t: F.when(F.col("line") == 1, F.lit(t))
+    heads = [(10, F.lit(0), first("the item")), (150, F.lit(0), first("sold")), (60, below, first("its price")), (230, below, first("its flag")), (400, below, first("sent"))]
+    return _columns(L.page_blocks(as_words(cells_at(l, "l_orderkey", *rows_of, *heads))), "a", "b", "c")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS page, o_orderkey % 2 AS odd, '$ ' || translate(format('{:,.2f}', o_totalprice), '.,', ',.') AS price, * FROM orders)
+SELECT page, 0 AS block, 0 AS row, 'field' AS a, 'value' AS b FROM o UNION ALL SELECT page, 0, 1, CASE odd WHEN 0 THEN 'Acknowledgement' ELSE 'identifier' END, CASE odd WHEN 1 THEN 'description' END FROM o
+UNION ALL SELECT page, 0, 2, 'customer no', o_custkey::VARCHAR FROM o UNION ALL SELECT page, 0, 3, 'order date', strftime(o_orderdate, '%d/%m/%Y') FROM o
+UNION ALL SELECT page, 0, 4, 'order class', o_orderpriority FROM o UNION ALL SELECT page, 0, 5, 'total price', price FROM o""")
+def crossing_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LAY-6 and 7: a title across the gutter stays whole where most of it lies; two headings that run into each other are parted between words."""
+    o = table(spark, sf_dir, "orders")
+    odd, at = F.col("o_orderkey") % 2 == 1, lambda k: F.lit(20 * k)
+    price = F.concat(F.lit("$ "), F.translate(F.format_number("o_totalprice", 2), ".,", ",."))
+    values = [F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "dd/MM/yyyy"), F.col("o_orderpriority"), price]
+    cells = [(10, at(0), F.lit("field")), (120, at(0), F.lit("value")), (50, at(1), F.when(~odd, "Acknowledgement")), (26, at(1), F.when(odd, "identifier")), (94, at(1), F.when(odd, "description"))]
+    for k, (label, value) in enumerate(zip(("customer no", "order date", "order class", "total price"), values, strict=True), 2):
+        cells += [(10, at(k), F.lit(label)), (120, at(k), value)]
+    return _columns(L.page_blocks(as_words(cells_at(o, "o_orderkey", *cells))), "a", "b")
+
+
+@query(f"""WITH {NUMBERED} SELECT l_orderkey AS page, (line - 1)::INT AS row, CASE l_orderkey % 2 WHEN 1 THEN line || ' cont' ELSE line::VARCHAR END AS a,
+'part ' || l_partkey || ' supplied by supplier ' || l_suppkey || ' in time' AS b, price AS c FROM l""")
+def wrapped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-13 and 14: rows of two lines each. Rules between rows tell them on odd pages, the column that is filled once a row on even ones."""
+    l = numbered(spark, sf_dir)
+    odd, y = F.col("l_orderkey") % 2 == 1, (F.col("line") - 1) * 40 + 20
+    number = lambda c: F.col(c).cast("string")
+    words = as_words(cells_at(
+        l, "l_orderkey", (10, y, number("line")), (60, y, F.concat_ws(" ", F.lit("part"), number("l_partkey"), F.lit("supplied by"))), (300, y, F.col("price")),
+        (10, y + 14, F.when(odd, "cont")), (60, y + 14, F.concat_ws(" ", F.lit("supplier"), number("l_suppkey"), F.lit("in time"))),
+    ))
+    drawn = F.array(y - 5, F.when(F.col("line") == F.col("lines"), y + 30))
+    rules = l.where(odd).select(F.col("l_orderkey").alias("page"), F.explode(drawn).alias("y")).where("y IS NOT NULL").select("page", F.col("y").cast("double").alias("y"), F.lit(0.0).alias("x0"), F.lit(500.0).alias("x1"))
+    return _columns(L.page_blocks(words, rules), "a", "b", "c").drop("block")
+
+
 @query("SELECT l_orderkey AS page, floor(avg(c) + 0.5)::BIGINT AS mean, count_if(c < 70)::BIGINT AS doubtful FROM (SELECT l_orderkey, unnest([90, 90, 80, 70, 70, 60, 60, 50]) AS c FROM lineitem) GROUP BY l_orderkey")
 def word_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-20, SRC-10: mean confidence and doubtful words."""
