@@ -36,14 +36,16 @@ CELL = "struct<n:int,digest:long,mark:long>"
 @dataclass(frozen=True)
 class Sizes:
     """cells: of a fingerprint, a third in each table. share: cells per digest of both sides at the first retry; grow: factor of
-    each retry. rounds: looks through one table each before an attempt has failed. attempts: retries, then an error. Ids are dealt
-    in ranges of about rows documents, at most so many ranges, whose bounds come from a sample of at most so many rows."""
+    each retry. rounds: looks through one table each before an attempt has failed. attempts: retries, then an error. task:
+    digests whose cells lie in one partition, about; a digest makes three rows, however wide tables are. Ids are dealt in
+    ranges of about rows documents, at most so many ranges, whose bounds come from a sample of at most so many rows."""
 
     cells: int = 24
-    share: float = 2.0
+    share: float = 6.0
     grow: int = 2
-    rounds: int = 15
+    rounds: int = 6
     attempts: int = 8
+    task: int = 200_000
     rows: int = 100
     ranges: int = 4_096
     sample: int = 50_000
@@ -149,8 +151,10 @@ def differences(pairs: DataFrame, rules: Sizes = Sizes()) -> DataFrame:
     Every attempt's answers, and the pairs it leaves, are tables in the shared folder.
     """
     done, todo, attempt = [], pairs, 0
+    total = pairs.agg(F.sum((F.size("one") + F.size("two")).cast("long"))).first()[0] or 0
+    parts = max(pairs.sparkSession.sparkContext.defaultParallelism, -(-total // rules.task))
     while True:
-        here = todo.repartition("k1", "k2")
+        here = todo.repartition(parts, "k1", "k2")
         cells = _first_cells(here, rules) if attempt == 0 else _larger_cells(here, rules, attempt)
         out = written(peeled(cells, rules, attempt))
         done.append(out.where("whole").select(*PAIR, "left", "right"))
