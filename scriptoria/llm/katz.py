@@ -38,11 +38,13 @@ from scriptoria.llm.common import checkpoint, crc32_of, table, words_of
 
 @dataclass(frozen=True)
 class KatzRules:
-    """discounted: counts up to this are discounted. slot_bytes: of text for each slot of the tables, about. spread: tokens of
-    a middle word above which it is spread over more slots. chunk_docs, chunk_bytes: documents and bytes of a chunk, about."""
+    """discounted: counts up to this are discounted. slot_bytes: of text for each slot of the tables, about. partitions: of a
+    shuffle, at most; beyond that a partition has several slots, one after the other. spread: tokens of a middle word above
+    which it is spread over more slots. chunk_docs, chunk_bytes: documents and bytes of a chunk, about."""
 
     discounted: int = 5
     slot_bytes: int = 6_000_000
+    partitions: int = 10_000
     spread: int = 500_000
     chunk_docs: int = 50_000
     chunk_bytes: int = 6_000_000
@@ -235,11 +237,12 @@ def asked_words(docs: DataFrame, slots: int, rules: KatzRules) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, _, _, _, _, words, counts, _, mark in _counted(batches, rules):
-            cuts = [0, *np.searchsorted(words, _bounds(slots)), len(words)]
-            rows = [(s, chunk, pack(np.diff(words[lo:hi], prepend=np.uint64(0))), pack(counts[lo:hi]), mark) for s, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if lo < hi]
+            # Words are sorted, so those of a slot are neighbours; slots without any are not looked at.
+            where = np.searchsorted(_bounds(slots), words, side="right")
+            rows = [(int(where[lo]), chunk, pack(np.diff(words[lo:hi], prepend=np.uint64(0))), pack(counts[lo:hi]), mark) for lo, hi in _runs(where)]
             yield from _table(rows, ["slot", "chunk", "words", "counts", "mark"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]).to_batches()
 
-    return docs.mapInArrow(run, ASKED).repartition(slots, "slot")
+    return docs.mapInArrow(run, ASKED).repartition(min(slots, rules.partitions), "slot")
 
 
 def _totals(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -261,11 +264,11 @@ def word_sizes(asked: DataFrame) -> DataFrame:
     return asked.groupBy("slot").applyInArrow(run, "slot int, count long, n long")
 
 
-def word_ids(asked: DataFrame, sizes: DataFrame, words: Words) -> DataFrame:
+def word_ids(asked: DataFrame, sizes: DataFrame, words: Words, parts: int) -> DataFrame:
     """Each chunk's word ids, slot by slot. Words of one count are numbered by slot, then by hash."""
     shared = asked.sparkSession.sparkContext.broadcast(words)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("count").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    begin = sizes.select("slot", "count", before.alias("before")).repartition(words.slots, "slot")
+    begin = sizes.select("slot", "count", before.alias("before")).repartition(parts, "slot")
 
     def run(t: pa.Table, begin: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -358,15 +361,15 @@ class Chunk:
             yield chunk, CONTEXTS, int(self.spread_slot[lo]), _steps(ids[self.one[c]], ids[self.two[c]])
 
 
-def asked_trigrams(chunks: DataFrame, ids: DataFrame, words: Words, slots: int) -> DataFrame:
+def asked_trigrams(chunks: DataFrame, ids: DataFrame, words: Words, parts: int) -> DataFrame:
     shared = chunks.sparkSession.sparkContext.broadcast(words)
 
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
         row = rows.to_pylist()[0]
         return _told(list(Chunk(row, told.sort_by("slot").to_pylist(), shared.value).asked(row["chunk"])))
 
-    rows = chunks.select("chunk", "lengths", "train", "codes", "counts", "others", "mark").repartition(slots, "chunk")
-    return rows.groupBy("chunk").cogroup(ids.repartition(slots, "chunk").groupBy("chunk")).applyInArrow(run, TOLD).repartition(slots, "slot")
+    rows = chunks.select("chunk", "lengths", "train", "codes", "counts", "others", "mark").repartition(parts, "chunk")
+    return rows.groupBy("chunk").cogroup(ids.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(run, TOLD).repartition(parts, "slot")
 
 
 #: A slot's answers to chunks; (key, stats) of spread middle words, and with key -1 the counts of counts.
@@ -456,7 +459,7 @@ def answered(t: pa.Table, words: Words, rules: KatzRules) -> pa.Table:
     return _table(passed + stats + known + answers, names, kinds)
 
 
-def context_answers(rows: DataFrame, slots: int) -> DataFrame:
+def context_answers(rows: DataFrame, parts: int) -> DataFrame:
     """Adds up what slots know of contexts of spread middle words, and tells the chunks that ask."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -473,7 +476,7 @@ def context_answers(rows: DataFrame, slots: int) -> DataFrame:
         stats = [np.bincount(np.concatenate([x for _, x in known]), np.concatenate([p[2 + j] for p, _ in known]), new.sum()).astype(np.int64) for j in range(len(known[0][0]) - 2)] if known else []
         return _told([(c, CONTEXTS, slot, [pack(s[x]) for s in stats]) for (c, _), x in zip(rows, places, strict=True) if c is not None])
 
-    return rows.repartition(slots, "slot").groupBy("slot").applyInArrow(run, TOLD)
+    return rows.repartition(parts, "slot").groupBy("slot").applyInArrow(run, TOLD)
 
 
 @dataclass
@@ -546,13 +549,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"))
     chunks = chunk_table(given, kind, rules)
     slots = max(2 * sc.defaultParallelism, -(-(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // rules.slot_bytes))
+    parts = min(slots, rules.partitions)
     asked = asked_words(given, slots, rules).persist(StorageLevel.MEMORY_AND_DISK)
     sizes = checkpoint(word_sizes(asked))
     words = Words([tuple(r) for r in sizes.groupBy("count").agg(F.sum("n")).collect()], slots, rules)
-    ids = checkpoint(word_ids(asked, sizes, words))
+    ids = checkpoint(word_ids(asked, sizes, words, parts))
     asked.unpersist()
     shared = sc.broadcast(words)
-    answers = checkpoint(asked_trigrams(chunks, ids, words, slots).groupBy("slot").applyInArrow(lambda t: answered(t, shared.value, rules), ANSWERED))
+    answers = checkpoint(asked_trigrams(chunks, ids, words, parts).groupBy("slot").applyInArrow(lambda t: answered(t, shared.value, rules), ANSWERED))
     # As many rows as there are spread middle words, and one.
     sums = answers.where(F.col("key").isNotNull()).groupBy("key").agg(F.array(*[F.sum(F.get("stats", F.lit(j))) for j in range(2 * k + 4)]).alias("stats"))
     stats = {r["key"]: r["stats"] for r in sums.collect()}
@@ -560,7 +564,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     model = sc.broadcast(Model(words, discounts(np.array(low[: k + 2]), k), discounts(np.array(low[k + 2 :]), k), {w: x[: k + 1] for w, x in stats.items()}))
     told = ids.union(answers.where(F.col("kind") == TRIGRAMS).select(*ids.columns))
     if stats:
-        told = told.union(context_answers(answers.where(F.col("kind") == CONTEXTS).select(*ids.columns), slots))
+        told = told.union(context_answers(answers.where(F.col("kind") == CONTEXTS).select(*ids.columns), parts))
     columns = ["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def finish(rows: pa.Table, told: pa.Table) -> pa.Table:
@@ -573,8 +577,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         sums = [_sums(x, starts) for x in ((count > 0).astype(np.int64)[c.token], base[c.token], trigram_scores(c, told, m, k)[c.of_token])]
         return pa.table([rows.column("ids").combine_chunks()[0].values, c.train == 0, c.lengths, *sums], names=columns)
 
-    rows = chunks.select("chunk", "ids", "lengths", "train", "codes", "counts", "others", "mark").repartition(slots, "chunk")
-    done = rows.groupBy("chunk").cogroup(told.repartition(slots, "chunk").groupBy("chunk"))
+    rows = chunks.select("chunk", "ids", "lengths", "train", "codes", "counts", "others", "mark").repartition(parts, "chunk")
+    done = rows.groupBy("chunk").cogroup(told.repartition(parts, "chunk").groupBy("chunk"))
     done = done.applyInArrow(finish, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(words.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
