@@ -11,6 +11,8 @@ from pyspark.sql.types import StringType
 
 #: Scripts and styles, what ends a line in a page, and tags.
 HIDDEN, LINE_TAGS, TAGS = r"(?is)<(script|style)[^>]*>.*?</\1>", r"(?i)<br\s*/?>|</p>|</div>|</h\d>|</li>|</tr>", r"<[^>]+>"
+#: White space of any kind, as Python's texts have it.
+BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 ACCENTS = ("áàâäãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc")
 #: Suffixes of article numbers, heads of articles, headings above them, and where editors' notes begin.
 SUFFIX = r"(?:\s*(?:bis|ter|qu[aá]ter|quinquies|sexies|septies|octies|nonies|decies))?"
@@ -22,24 +24,23 @@ HEADING = (
     r"|Primer[oa]?|Segund[oa]|Tercer[oa]?|Cuart[oa]|Quint[oa]|[ÚU]nic[oa])(?![^\n]*,)[^\n]{0,60}$"
 )
 NOTE = r"\n\s*\(?\s*(?:Art[íi]culo sustituido|Art[íi]culo incorporado|Nota Infoleg|Expresi[óo]n sustituida)"
+#: A title is a line like this, and what marks it.
+TITLE = r"^(?!" + NAME + r"\s)(?![IVX]+[.)]\s)[A-ZÁÉÍÓÚÑ][^\n]{1,85}(?<![.;:,])$"
+MARK = "§§"
 ITEM = r"(?:\d+\s*[º°)\-.]|[a-zñ]\s*[).]\s|[IVX]+\s*[.)\-]|[-–—•])"
 
 
 @F.pandas_udf(StringType())
-def _unescaped(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
-
-
-def unescaped(c: Column) -> Column:
-    """All character references decoded, as HTML 5 names them; texts without an ampersand stay in the JVM."""
-    return F.when(F.contains(c, F.lit("&")), _unescaped(F.when(F.contains(c, F.lit("&")), c))).otherwise(c)
+def unescaped(texts: pd.Series) -> pd.Series:
+    """All character references decoded, as HTML 5 names them."""
+    return texts.map(lambda t: html.unescape(t) if "&" in t else t, na_action="ignore")
 
 
 def html_to_text(c: Column) -> Column:
     """Scripts and styles go with their content, ends of blocks become lines, other tags blanks; references, then white space."""
     s = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, HIDDEN, " "), LINE_TAGS, "\n"), TAGS, " ")
     s = F.regexp_replace(F.replace(unescaped(s), F.lit("\xa0"), F.lit(" ")), r"[ \t]+", " ")
-    return F.regexp_replace(F.regexp_replace(s, r"\n\s*\n+", "\n"), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(s, r"\n" + BLANK + r"*\n+", "\n"), rf"^{BLANK}+|{BLANK}+$", "")
 
 
 def article_number(c: Column) -> Column:
@@ -56,10 +57,14 @@ def join_lines(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(\w)-\n(\w)", "$1$2"), r"([^.:;!?\n])\n(?!\n)", "$1 ")
 
 
-def mark_titles(c: Column, mark: str = "§§") -> Column:
-    """Lines of up to 90 characters that start with a capital, end no sentence and are no article get a mark."""
-    title = lambda x: x.rlike(r"^\p{Lu}[^\n]{2,88}[^.:;,\s]$") & ~x.rlike(ARTICLE)
-    return F.array_join(F.transform(F.split(c, "\n"), lambda x: F.when(title(x), F.concat(F.lit(mark), x)).otherwise(x)), "\n")
+def is_title(line: Column) -> Column:
+    return line.rlike(TITLE)
+
+
+def mark_titles(c: Column, mark: str = MARK) -> Column:
+    """Lines that are titles, without white space around them, get a mark: a capital first, no sentence end, no item, no article head."""
+    bare = lambda x: F.regexp_replace(x, rf"^{BLANK}+|{BLANK}+$", "")
+    return F.array_join(F.transform(F.split(c, "\n"), lambda x: F.when(is_title(bare(x)), F.concat(F.lit(mark), bare(x))).otherwise(x)), "\n")
 
 
 def without_notes(c: Column) -> Column:

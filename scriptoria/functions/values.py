@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 #: Texts that stay text although they look like numbers, in this order.
 KEEP_TEXT = (r"^\d{1,2}\.\d{3}\.\d{3}$", r"^0\d+", r"^\d{2}-\d{8}-\d$", r"^\d{10,}$")
+#: White space of any kind, as sheets have it: number formats write no-break blanks.
+BLANK = r"[\s\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 #: What a date, a number with decimals, an amount, a whole number and a percentage look like.
 DATE = r"^(\d{1,2})/(\d{1,2})/(\d{2}|\d{4})$"
-DECIMAL = r"^(-?)\$?\s?(\d{1,3}(?:\.\d{3})+|\d+),(\d{1,2})$"
-CURRENCY = r"^(-?)\$\s?(\d{1,3}(?:\.\d{3})+|\d+)$"
+DECIMAL = r"^(-?)\$?" + BLANK + r"?(\d{1,3}(?:\.\d{3})+|\d+),(\d{1,2})$"
+CURRENCY = r"^(-?)\$" + BLANK + r"?(\d{1,3}(?:\.\d{3})+|\d+)$"
 INTEGER = r"^-?\d{1,9}$"
-PERCENT = r"^(-?\d+(?:[.,]\d+)?)\s?%$"
+PERCENT = r"^(-?\d+(?:[.,]\d+)?)" + BLANK + r"?%$"
 #: Weights of the tax id's check digit.
 TAX_WEIGHTS = (5, 4, 3, 2, 7, 6, 5, 4, 3, 2)
 MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
@@ -33,7 +35,7 @@ PAPERS = (("A4", 210.0, 297.0), ("Letter", 215.9, 279.4), ("Oficio", 215.9, 330.
 
 def trimmed(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+$", "")
 
 
 def rolled_date(day: Column, month: Column, year: Column) -> Column:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.functions.text import ARTICLE, HEADING, SUFFIX, article_number, join_wrapped, without_head, without_notes
+from scriptoria.functions.text import ARTICLE, HEADING, MARK, SUFFIX, article_number, join_wrapped, without_head, without_notes
+from scriptoria.operators.state import in_order
 
 #: Marks that no text has, around heads and headings.
 START, END, HEAD = "\u0001", "\u0002", "\u0003"
 LONGEST = 6000
+CHAPTER = re.compile(r"CAP[IÍ]TULO\b")
 #: Notes in brackets; lists of articles; what makes them another law's, after and before them.
 NOTES = r"\([^()]*(?:Ley|ley|B\.O\.|Decreto|sustituid|incorporad|derogad)[^()]*\)"
 LIST = r"((?:\d+" + SUFFIX + r"(?:\s*[º°])?(?:\s*,\s*|\s+y\s+|\s+o\s+|\s+a\s+|\s*-\s*)?)+)"
@@ -83,7 +87,8 @@ def headings(laws: DataFrame, key: str, text: str) -> DataFrame:
     A book ends title and chapter, a title ends the chapter; sections and parts are seen but not shown.
     """
     both = F.regexp_replace(F.regexp_replace(F.col(text), HEADING, START + HEAD + "$0" + END), ARTICLE, START + "$1" + END)
-    parts = F.slice(F.split(both, START), 2, 1_000_000)
+    cut = F.split(both, START)
+    parts = F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0)))
     none = F.struct(*[F.lit("").alias(k) for k in "btc"], F.lit(0).alias("last"), F.array().cast("array<struct<n:string,u:string>>").alias("out"))
 
     def step(a: Column, p: Column) -> Column:
@@ -119,12 +124,39 @@ def edges(arts: DataFrame, key: str, n: str, text: str) -> DataFrame:
     return named.join(arts.select(key, F.col(n).alias("dst")).distinct(), [key, "dst"], "left_semi").select(key, "src", "dst")
 
 
-def neighbours(e: DataFrame, key: str, most: int = 12) -> DataFrame:
-    """(node, sends, cited): neighbours in both directions in text order; nodes without any are left out."""
-    name = lambda c: F.concat_ws(":", F.col(key), F.col(c))
-    pairs = e.select(name("src").alias("src"), name("dst").alias("dst"))
-    both = pairs.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.lit(None).cast("string").alias("by")).union(pairs.select(F.col("dst"), F.lit(None), F.col("src")))
-    return both.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("to")), 1, most).alias("sends"), F.slice(F.array_sort(F.collect_set("by")), 1, most).alias("cited"))
+def after_title(chapter: str, section: str, title: str, opening: bool) -> tuple[str, str]:
+    """Chapter and section after a title: a chapter ends the section; a bare one takes the title after it into its name.
+
+    Before the first article a title without a chapter says nothing.
+    """
+    if CHAPTER.match(title):
+        return title, ""
+    if title and not section and CHAPTER.match(chapter) and chapter.count(" ") < 2:
+        return f"{chapter} {title}", section
+    return (chapter, section) if opening and not chapter else (chapter, title)
+
+
+def section_titles(arts: DataFrame, before: DataFrame, key: str) -> DataFrame:
+    """(key, pos, n, u, t) of articles (key, pos, n, t) whose texts have marked titles: u is the chapter and section over each (WIN-5).
+
+    Titles at an article's end are those of the articles after it, and leave its text. before: (key, text), what stands
+    before a law's first article. Articles pass by in order; nothing but the titles in force is held.
+    """
+    head = before.select(key, F.lit(-1).cast("long").alias("pos"), F.lit(None).cast("string").alias("n"), F.col("text").alias("t"))
+    rows = head.unionByName(arts.select(key, F.col("pos").cast("long").alias("pos"), "n", "t"))
+
+    def fold(held):
+        chapter = section = ""
+        for r in held:
+            opening, text = r["pos"] < 0, r["t"] or ""
+            own, *titles = ["", *re.findall(MARK + "([^\n]+)", text)] if opening else re.split(r"\s*" + MARK, text)
+            if not opening:
+                yield {key: r[key], "pos": r["pos"], "n": r["n"], "u": " › ".join(x for x in (chapter, section) if x) or None, "t": own.strip()}
+            for title in titles:
+                chapter, section = after_title(chapter, section, title.strip(), opening)
+
+    kinds = dict(arts.dtypes)
+    return in_order(rows, key, ["pos"], fold, f"{key} {kinds[key]}, pos long, n string, u string, t string")
 
 
 def kept(df: DataFrame) -> DataFrame:

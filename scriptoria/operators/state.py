@@ -65,6 +65,23 @@ def stable_runs(df: DataFrame, key: str, at: str, value: str, least: float) -> D
     return runs.groupBy(key, "_run", value).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).where(F.col("last") - F.col("first") >= least).drop("_run")
 
 
+def fires(df: DataFrame, key: str, at: str, value: str | None, least: float, late: float) -> DataFrame:
+    """(key, first, fired): runs of one value that last so many seconds, as a stream that is late seconds behind its newest row knows them.
+
+    A run ends with the first row of another value, without a value with the next row. One that no row ends fires if the
+    newest row of all keys is far enough ahead. Nulls are a value.
+    """
+    ms = F.unix_millis(F.col(at).cast("timestamp"))
+    rows = df.select(key, ms.alias("_ms"), (F.lit("") if value is None else F.coalesce(F.col(value).cast("string"), F.lit("\0"))).alias("_v"))
+    w = Window.partitionBy(key).orderBy("_ms", "_v")
+    new = F.lit(True) if value is None else ~F.col("_v").eqNullSafe(F.lag("_v").over(w))
+    runs = rows.withColumn("_new", new).withColumn("_last", F.max("_ms").over(Window.partitionBy(key))).where("_new").withColumn("_next", F.lead("_ms").over(w))
+    newest = rows.agg((F.max("_ms") - round(late * 1000)).alias("_mark"))  # one row
+    due = F.col("_ms") + round(least * 1000)
+    fired = runs.crossJoin(F.broadcast(newest)).where(F.when(F.col("_next").isNotNull(), F.col("_next") >= due).otherwise((F.col("_last") >= due) | (due < F.col("_mark"))))
+    return fired.select(key, F.timestamp_millis("_ms").alias("first"), F.timestamp_millis(due).alias("fired"))
+
+
 def armed_shots(values: Column, move: float = 10, still: float = 2, quiet: int = 4) -> Column:
     """Positions, from 0, at which a picture is taken: when it has been still for so many frames, once per movement.
 

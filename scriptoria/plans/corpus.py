@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptoria.functions import text as T
 from scriptoria.operators import corpus as C
+from scriptoria.operators import graph as G
 from scriptoria.plans import as_sql, query, rows, table
 
 LAW = """LIBRO PRIMERO Generalidades
@@ -50,7 +51,7 @@ HEADS = [("a", "1", TOP), ("a", "2", TOP), ("a", "3", TOP + " › CAPITULO II Pl
 
 @query(f"SELECT law, n, u FROM {as_sql('law, n, u', HEADS)}")
 def heading_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT-8, WIN-1 and 5: headings carried forward, higher ones ending lower ones."""
+    """TXT-8, WIN-1: headings carried forward, higher ones ending lower ones."""
     return C.headings(laws(spark), "law", "text")
 
 
@@ -91,7 +92,7 @@ def neighbour_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GR-4 and 5, AGG-22, JOIN-4: pages and what they link to, in both directions."""
     p = table(spark, sf_dir, "pages")
     e = p.select(F.regexp_extract("url", "//([^/]+)", 1).alias("site"), F.regexp_extract("url", "//[^/]+/([^?#]*)", 1).alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), F.lit(1))).alias("dst"))
-    return C.neighbours(e.where("src <> dst").distinct(), "site")
+    return G.neighbours(e.where("src <> dst").distinct(), "site")
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS u, l_suppkey // 4 AS v FROM lineitem WHERE l_suppkey <> l_suppkey // 4),
@@ -157,3 +158,63 @@ def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-17, AGG-23: which sources need reading by machine, and totals of the corpus."""
     d = table(spark, sf_dir, "documents")
     return d.groupBy("source").agg((F.sum("n_chars") < 25 * F.count("*")).alias("needs_ocr"), F.count("*").alias("n"), F.max("doc_id").alias("version"))
+
+
+def site_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites and the words that their pages' links name: (u, v, w), w pages."""
+    p = table(spark, sf_dir, "pages")
+    e = p.select("page_id", F.concat(F.lit("site "), F.regexp_extract("url", "//([^/]+)", 1)).alias("u"), F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), F.lit(1))).alias("v"))
+    return e.distinct().groupBy("u", "v").agg(F.count("*").alias("w"))
+
+
+SITE_WORDS = r"""e AS (SELECT u, v, count(*) AS w FROM (SELECT DISTINCT page_id, 'site ' || regexp_extract(url, '//([^/]+)', 1) AS u, unnest(regexp_extract_all(html, 'href="/([^"]+)"', 1)) AS v FROM pages) GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {SITE_WORDS}, b AS (SELECT u AS src, v AS dst FROM e UNION SELECT v, u FROM e),
+r(start, node, steps) AS (SELECT DISTINCT u, u, 0 FROM e UNION SELECT r.start, b.dst, r.steps + 1 FROM r JOIN b ON b.src = r.node WHERE r.steps < 3)
+SELECT start, node, min(steps)::INT AS steps FROM r GROUP BY start, node""")
+def reachable_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR-6: what each site reaches in three steps, over the words that links name: those words, sites that name them too, and their words."""
+    e = site_words(spark, sf_dir)
+    both = e.select(F.col("u").alias("src"), F.col("v").alias("dst")).union(e.select("v", "u"))
+    return G.reachable(both, e.select(F.col("u").alias("start")), 3)
+
+
+@query()
+def site_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-21: communities of sites and of the words their links name, by modularity."""
+    return G.communities(site_words(spark, sf_dir), "u", "v", F.col("w"))
+
+
+BARE = r"regexp_replace(line, '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)),
+b AS (SELECT doc_id, k, line, {BARE} AS s FROM l),
+t AS (SELECT doc_id, k, line, s, regexp_full_match(s, '[A-ZÁÉÍÓÚÑ][^\n]{{1,85}}') AND NOT ends_with(s, '.') AND NOT ends_with(s, ';') AND NOT ends_with(s, ':') AND NOT ends_with(s, ',') AND NOT regexp_matches(s, '^(ART[IÍ]CULO|Art[ií]culo|Art\.)\s') AND NOT regexp_matches(s, '^[IVX]+[.)]\s') AS title FROM b)
+SELECT doc_id, count_if(title) AS titles, sha256(string_agg(CASE WHEN title THEN '§§' || s ELSE line END, chr(10) ORDER BY k)) AS mark FROM t GROUP BY doc_id""")
+def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-6: lines that are titles get a mark."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").union(table(spark, sf_dir, "benchmark").select(-1 - F.col("item_id"), "text"))
+    marked = d.select("doc_id", T.mark_titles(F.col("text")).alias("t"))
+    return marked.select(
+        "doc_id", F.size(F.filter(F.split("t", "\n"), lambda x: x.startswith(T.MARK))).cast("long").alias("titles"), F.sha2("t", 256).alias("mark"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, CASE o_orderkey % 4 WHEN 0 THEN 'CAPITULO ' || o_orderkey WHEN 1 THEN 'Prioridad ' || o_orderpriority WHEN 2 THEN 'Estado ' || o_orderstatus END AS title FROM orders),
+s(o_custkey, k, u, chapter, section) AS (
+  SELECT DISTINCT o_custkey, 0::BIGINT, NULL::VARCHAR, CASE WHEN o_custkey % 2 = 0 THEN 'CAPÍTULO inicial' ELSE '' END, '' FROM orders
+  UNION ALL SELECT s.o_custkey, o.k, CASE WHEN chapter <> '' AND section <> '' THEN chapter || ' › ' || section ELSE nullif(chapter || section, '') END,
+    CASE WHEN title LIKE 'CAPITULO%' THEN title WHEN title IS NOT NULL AND section = '' AND regexp_matches(chapter, '^CAP[IÍ]TULO') AND length(chapter) - length(replace(chapter, ' ', '')) < 2 THEN chapter || ' ' || title ELSE chapter END,
+    CASE WHEN title IS NULL THEN section WHEN title LIKE 'CAPITULO%' THEN '' WHEN section = '' AND regexp_matches(chapter, '^CAP[IÍ]TULO') AND length(chapter) - length(replace(chapter, ' ', '')) < 2 THEN section ELSE title END
+  FROM s JOIN o ON o.o_custkey = s.o_custkey AND o.k = s.k + 1)
+SELECT o.o_custkey AS law, o.k AS pos, u, 'Cuerpo ' || o.o_orderkey || '.' AS t FROM s JOIN o ON o.o_custkey = s.o_custkey AND o.k = s.k""")
+def titled_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-5: chapter and section over each article; a customer's orders are articles, with titles at the end of some."""
+    o = table(spark, sf_dir, "orders").withColumn("k", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    kind = F.col("o_orderkey") % 4
+    title = F.when(kind == 0, F.concat(F.lit("CAPITULO "), F.col("o_orderkey").cast("string"))).when(kind == 1, F.concat(F.lit("Prioridad "), "o_orderpriority")).when(kind == 2, F.concat(F.lit("Estado "), "o_orderstatus"))
+    body = F.concat(F.lit("Cuerpo "), F.col("o_orderkey").cast("string"), F.lit("."))
+    arts = o.select(F.col("o_custkey").alias("law"), F.col("k").alias("pos"), F.col("k").cast("string").alias("n"), F.concat_ws(" " + T.MARK, body, title).alias("t"))
+    before = o.select(F.col("o_custkey").alias("law")).distinct().select("law", F.when(F.col("law") % 2 == 0, F.lit("Ley\n§§CAPÍTULO inicial")).otherwise(F.lit("§§Preámbulo suelto\nx")).alias("text"))
+    return C.section_titles(arts, before, "law").select("law", "pos", "u", "t")

@@ -141,6 +141,6 @@ FITS = [(1, 100.0, 50.0, "width"), (2, 100.0, 200.0, "page"), (3, 20.0, 20.0, "w
 
 @query("SELECT * FROM (VALUES (1, 0.5::DOUBLE, 'ocr'), (2, 0.25, 'text'), (3, 1.0, 'ocr'), (4, 0.1, 'ocr'), (5, 0.8, 'ocr')) AS v(id, scale, source)")
 def page_setup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-26, XL-3, LAY-10: scale on a page, and where a page's text comes from."""
+    """AGG-26, LAY-10: scale on a page, and where a page's text comes from."""
     f = rows(spark, "id int, w double, h double, mode string", FITS)
     return f.select("id", F.round(L.fit_scale(F.col("w"), F.col("h"), F.lit(50.0), F.lit(50.0), F.col("mode")), 6).alias("scale"), L.page_source(F.col("h"), F.col("id") == 1).alias("source"))

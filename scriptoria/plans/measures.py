@@ -101,7 +101,7 @@ def book_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH p AS ({PIXELS}), l AS (SELECT img, v, lag(v) OVER a + lead(v) OVER a + lag(v) OVER d + lead(v) OVER d - 4 * v AS lap FROM p WINDOW a AS (PARTITION BY img, y ORDER BY x), d AS (PARTITION BY img, x ORDER BY y))
 SELECT img::BIGINT AS img, round(avg(lap * lap) - avg(lap) * avg(lap), 4) AS blur, round(stddev_pop(v), 6) AS std FROM l GROUP BY img""")
 def laplacian_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-7 and 8: sharpness."""
+    """AGG-7: sharpness."""
     return A.laplacian_variance(pixels(spark), "img").select("img", F.round("blur", 4).alias("blur"), F.round("std", 6).alias("std"))
 
 
@@ -165,7 +165,7 @@ def pixel_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def raster_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IMG-2 to 9, GEO-5 to 7: outlines of bright sheets in made-up frames. Pixel kernels have no SQL twin."""
+    """IMG-2 to 5, 8 and 9 in part, GEO-5 to 7: outlines of bright sheets in made-up frames. Pixel kernels have no SQL twin."""
     n = 24
     w, h = 120, 80
     i = F.col("i")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptoria.operators import state as S
-from scriptoria.plans import as_sql, query, rows, table
+from scriptoria import streaming
+from scriptoria.plans import as_sql, query, rows, shared, table
 
 
 @query("""SELECT event_id, coalesce(last_value(CASE WHEN value < 20 THEN true WHEN value >= 60 THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS on FROM events""".replace(" AS on ", ' AS "on" '))
@@ -76,7 +77,7 @@ r AS (SELECT user_id, k, CASE WHEN undo THEN []::BIGINT[] ELSE [event_id] END AS
 l AS (SELECT user_id, unnest(max_by(stack, k)) AS event_id FROM r GROUP BY user_id)
 SELECT user_id, ts, event_id FROM l JOIN events USING (user_id, event_id)""")
 def queue_after_undo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST-9 and 10: jobs left after undoing; an undo takes back the last job left."""
+    """ST-9: jobs left after undoing; an undo takes back the last job left."""
     return S.queue_after_undo(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], F.col("event_type") == "error")
 
 
@@ -130,3 +131,51 @@ def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: counts by six hours and kind; the streaming form is in scriptoria.streaming."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return e.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "value")
+
+
+def _streamed(spark: SparkSession, sf_dir: str, value: str | None, hours: float) -> DataFrame:
+    """What a stream of the events fires, up to where it knows that nothing older can come."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern: a stream's own path must be a folder
+    path = shared(spark, "fires")
+    streaming.run_to_files(streaming.fires(stream, "user_id", "ts", value, hours * 3600), path, shared(spark, "ledger"))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSS").alias(c)
+    return spark.read.schema("user_id long, first timestamp, fired timestamp").parquet(path).select("user_id", shown("first"), shown("fired"))
+
+
+def fires_sql(changed: str, hours: int) -> str:
+    return f"""WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_type AS v FROM events), m AS (SELECT max(ms) - 600000 AS mark FROM e),
+r AS (SELECT *, {changed} AS new, max(ms) OVER (PARTITION BY user_id) AS last FROM e), n AS (SELECT *, lead(ms) OVER (PARTITION BY user_id ORDER BY ms, v) AS next FROM r WHERE new)
+SELECT user_id, strftime(make_timestamp(ms * 1000), '%Y-%m-%d %H:%M:%S.%g') AS first, strftime(make_timestamp((ms + {hours} * 3600000) * 1000), '%Y-%m-%d %H:%M:%S.%g') AS fired FROM n, m
+WHERE CASE WHEN next IS NOT NULL THEN next >= ms + {hours} * 3600000 ELSE last >= ms + {hours} * 3600000 OR ms + {hours} * 3600000 < mark END"""
+
+
+@query(fires_sql("true", 6))
+def silence_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-8 as a stream: a lock falls six hours after a user's last event, by a timer where no event comes any more."""
+    return _streamed(spark, sf_dir, None, 6)
+
+
+@query(fires_sql("v IS DISTINCT FROM lag(v) OVER (PARTITION BY user_id ORDER BY ms, v) OR lag(ms) OVER (PARTITION BY user_id ORDER BY ms, v) IS NULL", 8))
+def stable_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-3 and 6 as a stream: an event type that has stayed the same for eight hours fires once, and is armed again by a change."""
+    return _streamed(spark, sf_dir, "event_type", 8)
+
+
+@query(fires_sql("true", 6))
+def silence_locks_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-8: the same as silence_locks, by windows over the events."""
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSS").alias(c)
+    return S.fires(table(spark, sf_dir, "events"), "user_id", "ts", None, 6 * 3600, 600).select("user_id", shown("first"), shown("fired"))
+
+
+@query("SELECT 'document' AS kind, doc_id AS id, sha256(text) AS mark FROM documents UNION ALL SELECT 'benchmark', item_id, sha256(text) FROM benchmark")
+def imported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-12: rows dropped as files are taken in once each, by a stream that is started again when more files have come."""
+    drop, target, ledger = (shared(spark, x) for x in ("drop", "import", "ledger"))
+    d = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    b = table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("kind"), F.col("item_id").alias("id"), "text")
+    for part in (d, b):
+        part.write.mode("append").json(drop)
+        streaming.import_files(streaming.shared_files(spark, drop, "kind string, id long, text string", 2), target, ledger)
+    return spark.read.schema("kind string, id long, text string, batch long").parquet(target).select("kind", "id", F.sha2("text", 256).alias("mark"))

@@ -108,15 +108,16 @@ def test_kernels():
     assert len(geometry.hull(square)) == 4 and len(geometry.simplified(np.array([[0, 0], [1, 0.01], [2, 0], [2, 2], [0, 2]]), 0.1)) == 4
 
 
-def test_rules_and_gaps():
+def test_rules_and_gaps(spark):
     g = np.full((120, 200), 240, np.uint8)
     g[20:22, 10:180] = 30
     g[20:22, 80:82] = 240  # a hole of two pixels
     g[60:70, 10:180] = 30  # too thick for a rule
     g[100, 10:60], g[100, 66:180] = 30, 30  # two pieces of one line
-    across, down = ruled.rules_of(g)
-    assert [(s.pos, s.a, s.b, s.thick) for s in across] == [(20.5, 10, 179, 2), (100.0, 10, 179, 1)] and down == []
-    assert ruled.paper_level(g) == 240 and ruled.grids_of(across, down) == []
+    images = spark.createDataFrame([(1, 200, 120, bytearray(g.tobytes()))], "page long, w int, h int, pixels binary")
+    rules = ruled.page_rules(images)
+    assert sorted(tuple(r) for r in rules.collect()) == [(1, False, 20.5, 10, 179, 2), (1, False, 100.0, 10, 179, 1)]
+    assert ruled.paper_level(g) == 240 and ruled.grids_of(rules)[0].count() == 0
     t = np.full((20, 100), 255, np.uint8)
     for a, b in ((10, 20), (22, 30), (50, 58), (80, 90)):
         t[5:15, a:b] = 0
@@ -148,7 +149,12 @@ def test_small_relational(spark):
 
 def test_text_rules(spark):
     one = lambda e: spark.range(1).select(e.alias("x")).first()["x"]
-    assert one(T.mark_titles(F.lit("Título grande\nfin de frase."))) == "§§Título grande\nfin de frase."
+    lines = ["Título grande", "fin de frase.", "  Régimen de Licencias ", "IV) Los bienes", "Artículo 5 bis sin signo", "- Guion", "1) Ítem", "Termina con coma,", "De la\u00a0prueba"]
+    want = ["§§Título grande", "fin de frase.", "§§Régimen de Licencias", "IV) Los bienes", "Artículo 5 bis sin signo", "- Guion", "1) Ítem", "Termina con coma,", "§§De la\u00a0prueba"]
+    assert one(T.mark_titles(F.lit("\n".join(lines)))).split("\n") == want
+    assert one(T.html_to_text(F.lit("a\u2003\n\u3000\nb"))) == "a\u2003\nb"
+    cells = ["$\u00a01.250", "\u00a07,5\u00a0", "12,5\u00a0%", "\ufeff12"]
+    assert [one(V.typed(F.lit(c)))["num"] for c in cells] == [1250.0, 7.5, 0.125, 12.0]
     assert one(T.without_head(F.lit(". - Artículo 16: El texto"), F.lit("16"))) == "El texto"
     assert one(T.html_to_text(F.lit("<p>Ni&ntilde;o &amp;lt; &#x41;&hearts;</p>\n \n<script>x</script>y"))) == "Niño &lt; A♥\n y"
     assert one(T.replace_literal(F.lit("a.b A.B"), "a.b", "$1", False)) == "$1 $1"
@@ -169,3 +175,86 @@ def test_spine_and_renewed_index(spark):
     sources = spark.createDataFrame([("same", 1), ("newer", 2), ("added", 1), ("none", None)], "f string, ver int")
     got = relational.renewed(index, sources, "f", "ver", lambda x: x.selectExpr("'new' as entry", "ver", "f")).collect()
     assert sorted((r["f"], r["entry"]) for r in got) == [("added", "new"), ("newer", "new"), ("none", "new"), ("same", "old"), ("same", "old too")]
+
+
+def test_stored_index_equals_a_scan_and_reads_asked_folders(spark, tmp_path):
+    from scriptoria.operators import index as I
+
+    docs = [(k, 1, t) for k, t in enumerate(["cats and dogs", "a cat", "", None, "the dogs of the dog owner", "felines sleeping", "birds", "bird song"])]
+    df = spark.createDataFrame(docs, "id long, ver int, text string")
+    index = I.store(I.entries(df, "id", "ver", F.col("text")), I.Index(str(tmp_path / "i1"), "id", 16))
+    assert index.part(spark, "whole").first()["docs"] == 8
+    same = spark.createDataFrame([("cat", "feline")], "word string, also string")
+    asked = spark.createDataFrame([("cats",), ("dog bird",), ("xyzzy",)], "q string")
+    found = I.answers(index, asked, same, 5, 0.0).collect()
+    by = {q: [r.id for r in sorted(found, key=lambda r: r["rank"]) if r.q == q] for q in ("cats", "dog bird", "xyzzy")}
+    assert set(by["cats"]) == {0, 1, 5} and set(by["dog bird"]) == {0, 4, 6, 7} and by["xyzzy"] == [None]
+    assert [r.id for r in I.top(index, "dog bird", same, 2).collect()] == by["dog bird"][:2]
+    plan = I.scores(index, asked.limit(1), same)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan
+    new = df.where("id <> 6").withColumn("ver", F.when(F.col("id") == 7, 2).otherwise(1)).withColumn("text", F.when(F.col("id") == 7, "cat song").otherwise(F.col("text")))
+    again = I.renew(index, new, "ver", F.col("text"), str(tmp_path / "i2"))
+    fresh = I.store(I.entries(new, "id", "ver", F.col("text")), I.Index(str(tmp_path / "i3"), "id", 16))
+    rows = lambda i: sorted(map(tuple, i.part(spark, "entries").select("id", "ver", "dl", "term", "tf").collect()))
+    assert rows(again) == rows(fresh)
+
+
+def test_reach_and_communities(spark):
+    from itertools import product
+
+    from scriptoria.operators import graph
+
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), (None, "a"), ("a", "b")], "src string, dst string")
+    got = {(r.start, r.node): r.steps for r in graph.reachable(e, spark.createDataFrame([("a",), ("d",)], "start string"), 3).collect()}
+    assert got == {("a", "a"): 0, ("a", "b"): 1, ("a", "c"): 2, ("a", "d"): 3, ("d", "d"): 0, ("d", "e"): 1}
+    edges = [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (4, 5), (3, 5), (5, 6)]
+
+    def quality(label):
+        m, inside = 2 * len(edges), sum(2 for a, b in edges if label[a] == label[b])
+        degree = [sum(x in p for p in edges) for x in range(7)]
+        return inside / m - sum(sum(d for d, c in zip(degree, label, strict=True) if c == k) ** 2 for k in set(label)) / m**2
+
+    found = {r.node: r.community for r in graph.communities(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    best = max(quality(x) for x in product(range(3), repeat=7))
+    assert quality([found[k] for k in range(7)]) >= 0.95 * best and all(found[c] == c for c in found.values())
+    assert graph.communities(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_edits_rebuild_the_other_text(spark):
+    import random
+
+    from scriptoria.operators import compare
+
+    r = random.Random(3)
+    lines = lambda n: [r.choice("abcdefgh") * r.randint(1, 2) for _ in range(n)]
+    pairs = [(k, "\n".join(lines(r.randint(0, 30))), "\n".join(lines(r.randint(0, 30)))) for k in range(60)]
+    pairs += [(100, "a\nb\nc", "a\nb\nc"), (101, None, "x\ny"), (102, "x", None), (103, "", "")]
+    df = compare.text_edits(spark.createDataFrame(pairs, "k int, a string, b string").withColumn("old", F.col("a")), ["k", "a"], "old", "b")
+    got = {x.k: x for x in df.select("k", "edits", compare.applied(F.col("a"), F.col("edits")).alias("made")).collect()}
+    assert all(got[k].made == (b or "") for k, _, b in pairs) and got[100].edits == []
+
+    def common(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    kept = sum(len(a.split("\n")) - sum(e["gone"] for e in got[k].edits) for k, a, _ in pairs[:60])
+    assert kept == sum(common(a.split("\n"), b.split("\n")) for _, a, b in pairs[:60])
+    a = [f"line {k}" for k in range(900)]
+    b = [x for k, x in enumerate(a) if k % 7] + ["end"] * 3
+    assert compare.edits(a, b) == compare.edits(a, b) and sum(e["gone"] for e in compare.edits(a, b)) == 129 and compare.matched(["x"] * 3, ["y"] * 3, 0) == []
+
+
+def test_timers_fire_after_silence(spark, tmp_path):
+    rows = [("a", 0, "x"), ("a", 10, "x"), ("a", 400, "y"), ("a", 450, "x"), ("b", 20, "x"), ("b", 5000, "z"), ("c", 30, None), ("a", 6000, "x")]
+    df = spark.createDataFrame([(k, t, v) for k, t, v in rows], "k string, s long, v string").select("k", F.timestamp_seconds(F.col("s") + 100_000).alias("at"), "v")
+    df.write.parquet(str(tmp_path / "in"))
+    for value in (None, "v"):
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        out = str(tmp_path / f"out-{value}")
+        streaming.run_to_files(streaming.fires(stream, "k", "at", value, 300, "100 seconds"), out, str(tmp_path / f"ledger-{value}"))
+        got = sorted(map(tuple, spark.read.schema("k string, first timestamp, fired timestamp").parquet(out).collect()))
+        assert got == sorted(map(tuple, state.fires(df, "k", "at", value, 300, 100).collect())) and len(got) >= 4
+        assert any(k == "c" for k, *_ in got)
