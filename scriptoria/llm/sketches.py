@@ -38,7 +38,7 @@ class Sizes:
     """cells: of a fingerprint, a third in each table. share: cells per digest of both sides at the first retry; grow: factor of
     each retry. rounds: looks through one table each before an attempt has failed. attempts: retries, then an error. task:
     digests whose cells lie in one partition, about; a digest makes three rows, however wide tables are. Ids are dealt in
-    ranges of about rows documents, at most so many ranges, whose bounds come from a sample of at most so many rows."""
+    ranges of about rows documents, at most so many ranges, whose bounds come from a sample of about so many rows."""
 
     cells: int = 24
     share: float = 6.0
@@ -48,7 +48,7 @@ class Sizes:
     task: int = 200_000
     rows: int = 100
     ranges: int = 4_096
-    sample: int = 50_000
+    sample: int = 20_000
 
 
 def passages(text: Column) -> Column:
@@ -170,12 +170,14 @@ def differences(pairs: DataFrame, rules: Sizes = Sizes()) -> DataFrame:
 def _ranges(keyed: DataFrame, rules: Sizes) -> DataFrame:
     """One row: bounds of ranges of (nameless, id, t1), in order, as lists of lists, so that a row finds its range in two steps.
 
-    They are taken from a sample of at most rules.sample rows, those with the smallest hashes; every row is in some range.
+    They are taken from about rules.sample rows, by a hash, and twice as many at most; every row is in some range.
     """
-    count = max(1, min(rules.ranges, keyed.count() // rules.rows))
-    known = keyed.select("nameless", "id", "t1").orderBy(F.xxhash64("id", "t1", F.lit("sample"))).limit(rules.sample).collect() if count > 1 else []
+    n = keyed.count()
+    count = max(1, min(rules.ranges, n // rules.rows))
+    share = F.pmod(F.xxhash64("id", "t1", F.lit("sample")), F.lit(10**12)) < 10**12 * rules.sample // max(n, 1)
+    known = keyed.select("nameless", "id", "t1").where(share).limit(2 * rules.sample).collect() if count > 1 else []
     known = sorted(known, key=lambda r: (r["nameless"], (r["id"],) if r["id"] is not None else (), r["t1"]))
-    bounds = [known[len(known) * k // count] for k in range(1, count)]
+    bounds = [known[len(known) * k // count] for k in range(1, count)] if known else []
     each = max(1, math.isqrt(len(bounds)))
     kind = dict(keyed.dtypes)["id"]
     lists = [[tuple(r) for r in bounds[k : k + each]] for k in range(0, len(bounds), each)]
