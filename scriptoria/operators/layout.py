@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptoria.functions.values import typed
+from scriptoria.functions.values import cell_range, typed
 
 WORD = "page long, t string, x0 double, y0 double, x1 double, y1 double, b boolean, conf double"
 
@@ -333,6 +333,51 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     return marked.groupBy("page", "para").agg(F.regexp_replace(F.regexp_replace(joined, r"(\p{L})-\n(\p{L})", "$1$2"), "\n", " ").alias("text"))
 
 
+def _upper_median(value: Column, page: str, name: str, df: DataFrame) -> DataFrame:
+    """df with the upper median of the value in each page, nulls apart: the value whose rank is half their number, rounded down, from 0."""
+    w = Window.partitionBy(page)
+    ranked = df.withColumn("_v", value).withColumn("_n", F.count("_v").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.asc_nulls_last("_v"))))
+    return ranked.withColumn(name, F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col("_v"))).over(w)).drop("_v", "_n", "_r")
+
+
+def styled_paragraphs(lines: DataFrame) -> DataFrame:
+    """(page, para, tag, align, bold, interline, text) of text lines (page, line, text, x0, x1, y0, h, b, width) (TXT-5, AGG-28).
+
+    Lines are centred, right or left by where they lie in what the page's lines cover. A line goes on with the one before if
+    both are left, no headings and as bold, it is near, and that one reaches the right margin and ends no list head. Letters
+    1.3, 1.4 and 1.75 times as high as most make headings of level 3, 2 and 1. A paragraph all of whose lines but the last
+    reach the margin is justified. Hyphens at ends go. interline: of the page, from pitch and height, 1 to 2.4. Lines without
+    text or place are left out.
+    """
+    own = lines.where("text IS NOT NULL AND x0 IS NOT NULL AND x1 IS NOT NULL AND y0 IS NOT NULL")
+    w, order = Window.partitionBy("page"), Window.partitionBy("page").orderBy("line")
+    own = own.withColumn("_l", F.min("x0").over(w)).withColumn("_r0", F.max("x1").over(w)).withColumn("_gap", F.col("y0") - F.lag("y0").over(order))
+    own = _upper_median(F.when(F.col("h") > 0, F.col("h")), "page", "_h", own).withColumn("_h", F.coalesce("_h", F.lit(12.0)))
+    own = _upper_median(F.col("_gap"), "page", "_pitch", own)
+    own = own.withColumn("_pitch", F.when(F.col("_pitch") != 0, F.col("_pitch")).otherwise(F.col("_h") * 1.5))
+    cover, wide = F.greatest(F.col("_r0") - F.col("_l"), F.lit(1.0)), F.col("x1") - F.col("x0")
+    centred = (wide < cover * 0.85) & (F.abs((F.col("x0") + F.col("x1") - F.col("_l") - F.col("_r0")) / 2) < F.col("width") * 0.035) & (F.col("x0") > F.col("_l") + F.col("width") * 0.04)
+    right = (F.col("x0") > F.col("_l") + cover * 0.35) & (F.col("_r0") - F.col("x1") < F.col("width") * 0.03)
+    high = F.coalesce(F.when(F.col("h") > 0, F.col("h")), F.col("_h")) / F.col("_h")
+    own = own.withColumn("_align", F.when(centred, "center").when(right, "right").otherwise("left")).withColumn("_head", F.when(high >= 1.3, high).otherwise(F.lit(0.0)))
+    own = own.withColumn("_short", F.col("_r0") - F.col("x1")).withColumn("_cover", cover)
+    before = lambda c: F.lag(c).over(order)
+    # Inside a paragraph all lines are left, no headings and as bold, so the line before tells of the paragraph.
+    alike = (F.col("_align") == "left") & (before("_align") == "left") & (F.col("_head") == 0) & (before("_head") == 0) & F.col("b").eqNullSafe(before("b"))
+    goes_on = alike & (F.col("_gap") <= F.col("_pitch") * 1.35) & (before("_short") < F.col("_cover") * 0.12) & ~F.rtrim(before("text")).endswith(":")
+    marked = own.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("para", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    marked = marked.withColumn("_end", F.col("line") == F.max("line").over(Window.partitionBy("page", "para")))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: F.trim(F.regexp_replace(x["text"], r"\s{2,}", " "))), "\n")
+    said = F.regexp_replace(F.regexp_replace(said, r"(?<=[A-Za-zÁÉÍÓÚÑáéíóúñ])-\n", ""), "\n", " ")
+    full = (F.count("*") > 1) & F.bool_and(F.col("_end") | (F.col("_short") < F.col("_cover") * 0.06))
+    head, align = F.max("_head"), F.first("_align")
+    interline = F.greatest(F.lit(1.0), F.least(F.lit(2.4), F.floor(F.first("_pitch") / (F.first("_h") / 1.02) * 100 + 0.5) / 100))
+    return marked.groupBy("page", "para").agg(
+        F.when(head > 1.75, "h1").when(head > 1.4, "h2").when(head > 0, "h3").otherwise("p").alias("tag"), F.when(full & (align == "left"), "justify").otherwise(align).alias("align"),
+        F.coalesce(F.first("b"), F.lit(False)).alias("bold"), interline.alias("interline"), said.alias("text"),
+    )
+
+
 def vertical_merges(cells: DataFrame) -> DataFrame:
     """(sheet, c, r0, r1) from flags (sheet, r, c, flag) 'restart' and 'continue' down each column."""
     w = Window.partitionBy("sheet", "c").orderBy("r")
@@ -381,6 +426,19 @@ def visible_cells(cells: DataFrame, hidden_rows: DataFrame, hidden_cols: DataFra
     return cells.join(hidden_rows, ["sheet", "r"], "left_anti").join(hidden_cols, ["sheet", "c"], "left_anti")
 
 
+def shown_cells(cells: DataFrame, sheets: DataFrame, hidden_rows: DataFrame, hidden_cols: DataFrame) -> DataFrame:
+    """Cells (sheet, r, c, …) of each sheet's area that no hidden row or column has.
+
+    sheets: (sheet, asked, printed), ranges as A1 texts. A range that is asked for beats the print area, and that the used
+    range; a text that is no range counts as none. A sheet that sheets lacks shows its used range.
+    """
+    used = cells.groupBy("sheet").agg(F.struct(F.min("r").alias("r1"), F.min("c").alias("c1"), F.max("r").alias("r2"), F.max("c").alias("c2")).alias("used"))
+    named = sheets.select(F.col("sheet").alias("of"), cell_range(F.col("asked")).alias("asked"), cell_range(F.col("printed")).alias("printed"))
+    area = used.join(named, F.col("sheet") == F.col("of"), "left").select("sheet", F.coalesce("asked", "printed", "used").alias("area"))
+    inside = F.col("r").between(F.col("area.r1"), F.col("area.r2")) & F.col("c").between(F.col("area.c1"), F.col("area.c2"))
+    return visible_cells(cells.join(area, "sheet").where(inside).drop("area"), hidden_rows, hidden_cols)
+
+
 def fit_scale(width: Column, height: Column, room_w: Column, room_h: Column, mode: Column) -> Column:
     """Scale of a sheet on a page: by width or page, or a percentage of at least 10; never enlarged."""
     one = F.lit(1.0)

@@ -9,8 +9,8 @@ from scriptoria.functions import values as V
 from scriptoria.operators import extract as E
 from scriptoria.operators import layout as L
 from scriptoria.operators import ruled as R
-from scriptoria.plans import as_sql, query, rows, table
-from scriptoria.sources import files, writers
+from scriptoria.plans import as_sql, query, rows, shared, table
+from scriptoria.sources import files, sinks, writers
 
 WIDE, HIGH = 200, 130
 
@@ -127,3 +127,27 @@ def line_pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-28: the median distance between neighbours."""
     e = table(spark, sf_dir, "events").select("user_id", F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("y")).distinct()
     return L.pitch(e, "user_id", "y")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS sheet, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity)::INT AS r, l_partkey, l_suppkey, l_quantity::INT AS q FROM lineitem),
+c AS (SELECT sheet, r, 1 AS c, l_partkey::VARCHAR AS v FROM l UNION ALL SELECT sheet, r, 2, l_suppkey::VARCHAR FROM l UNION ALL SELECT sheet, r, 3, q::VARCHAR FROM l)
+SELECT sheet, r, c, v FROM c WHERE CASE sheet % 4 WHEN 0 THEN r <= 2 AND c <= 2 WHEN 1 THEN r BETWEEN 2 AND 3 ELSE true END AND NOT (sheet % 2 = 0 AND r = 4) AND NOT (sheet % 5 = 0 AND c = 2)""")
+def shown_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """REL-18: an order is a sheet; of four one is asked for in part, one prints a part although more is used, one has a range that is none."""
+    w = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity)"
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.expr(w).alias("r"), F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("int").cast("string")).alias("vs"))
+    cells = l.select("sheet", "r", F.posexplode("vs").alias("c", "v")).withColumn("c", F.col("c") + 1)
+    kind = F.col("sheet") % 4
+    sheets = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sheet")).select("sheet", F.when(kind == 0, "Orders!$A$1:$B$2").when(kind == 3, "all of it").alias("asked"), F.when(kind < 2, "C3:A2").alias("printed"))
+    rows_of, cols_of = cells.where("sheet % 2 = 0 AND r = 4").select("sheet", "r").distinct(), cells.where("sheet % 5 = 0 AND c = 2").select("sheet", "c").distinct()
+    return L.shown_cells(cells, sheets, rows_of, cols_of).select("sheet", "r", "c", "v")
+
+
+@query(r"""WITH p AS (SELECT regexp_extract(url, '//([^/]+)', 1) AS site, page_id, sha256(html) AS mark FROM pages) SELECT *, count(*) OVER (PARTITION BY site) AS n FROM p""")
+def files_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-1: pages written as compact objects into a folder for each site, with an index, and read again."""
+    p = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "//([^/]+)", 1).alias("site"), "page_id", "html")
+    path = shared(spark, "sites")
+    sinks.write_by_key(p, "site", path)
+    index = spark.read.schema("site string, n long").json(f"{path}/index")
+    return sinks.read_by_key(spark, "site", "string", "page_id long, html string", path).join(index, "site").select("site", "page_id", F.sha2("html", 256).alias("mark"), "n")

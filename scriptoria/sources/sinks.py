@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptoria.functions.values import markup_escaped
@@ -26,6 +26,24 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_by_key(df: DataFrame, key: str, path: str) -> None:
+    """A folder for each key with its rows as compact objects, one a line, and in path/index a line for each key: n, its rows.
+
+    Tasks write aside and their files are moved in when all are done, so a failed task leaves nothing. Keys with many rows have
+    several files. A null key is the folder that Spark names for it; fields that are null are left out.
+    """
+    rest = [c for c in df.columns if c != key]
+    rows = df.select(key, F.to_json(F.struct(*rest)).alias("value")).hint("rebalance", F.col(key))
+    rows.write.partitionBy(key).text(f"{path}/rows")
+    df.groupBy(key).agg(F.count("*").alias("n")).select(F.to_json(F.struct(key, "n")).alias("value")).write.text(f"{path}/index")
+
+
+def read_by_key(spark: SparkSession, key: str, kind: str, schema: str, path: str) -> DataFrame:
+    """Rows of write_by_key again, with their key; asking for some keys reads their folders only."""
+    rows = spark.read.schema(f"value string, {key} {kind}").text(f"{path}/rows")
+    return rows.select(key, F.from_json("value", schema).alias("x")).select(key, "x.*")
+
+
 def vcard(name: Column, org: Column, phones: Column, mail: Column) -> Column:
     """vCard 3.0 with CRLF; the last word of the name is the family name."""
     parts = F.split(F.trim(name), r"\s+")
