@@ -379,11 +379,11 @@ def styled_paragraphs(lines: DataFrame) -> DataFrame:
 
 
 def vertical_merges(cells: DataFrame) -> DataFrame:
-    """(sheet, c, r0, r1) from flags (sheet, r, c, flag) 'restart' and 'continue' down each column."""
+    """(sheet, c, r0, r1) from flags (sheet, r, c, flag) 'restart' and 'continue' down each column; what continues nothing is no merge."""
     w = Window.partitionBy("sheet", "c").orderBy("r")
     new = (F.coalesce("flag", F.lit("")) != "continue").cast("int")
     runs = cells.withColumn("_run", F.sum(new).over(w)).where("flag IS NOT NULL")
-    return runs.groupBy("sheet", "c", "_run").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).where("r1 > r0").drop("_run")
+    return runs.groupBy("sheet", "c", "_run").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min_by("flag", "r").alias("_flag")).where("r1 > r0 AND _flag = 'restart'").drop("_run", "_flag")
 
 
 def without_empty_rows(cells: DataFrame) -> DataFrame:

@@ -127,36 +127,40 @@ def paged_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.styled_paragraphs(o.select(key.alias("page"), F.explode(F.array(*lines)).alias("z")).select("page", "z.*"))
 
 
-FLAGS = [(1, r, c, f) for c, fs in ((1, ["restart", "continue", "continue", None]), (2, [None, "restart", "continue", "restart"])) for r, f in enumerate(fs)]
+FLAGGED = """SELECT l_suppkey AS sheet, 1 AS c, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS r, CASE l_returnflag WHEN 'A' THEN 'restart' WHEN 'N' THEN 'continue' END AS flag FROM lineitem"""
 
 
-@query("SELECT * FROM (VALUES (1, 1, 0, 2), (1, 2, 1, 2)) AS v(sheet, c, r0, r1)")
+@query(f"""WITH f AS ({FLAGGED}), g AS (SELECT *, sum(CASE WHEN flag = 'continue' THEN 0 ELSE 1 END) OVER (PARTITION BY sheet ORDER BY r) AS run FROM f)
+SELECT sheet, 1 AS c, min(r)::INT AS r0, max(r)::INT AS r1 FROM g WHERE flag IS NOT NULL GROUP BY sheet, run HAVING max(r) > min(r) AND arg_min(flag, r) = 'restart'""")
 def vertical_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LAY-9: merges down a column from its flags."""
-    return L.vertical_merges(rows(spark, "sheet int, r int, c int, flag string", FLAGS))
+    """LAY-9: merges down a column from its flags; one that goes on with nothing is none."""
+    return L.vertical_merges(spark.sql(FLAGGED.replace("FROM lineitem", "FROM {l}"), l=table(spark, sf_dir, "lineitem")))
 
 
-GRID = [(1, 2, 2, "a"), (1, 3, 2, ""), (1, 5, 4, "b"), (2, 1, 1, "c")]
-SPANS = [(1, 5, 4, 6, 7), (2, 1, 1, 2, 1)]
-
-
-@query(f"""SELECT sheet::INT AS sheet, min(r0)::INT AS r0, min(c0)::INT AS c0, max(r1)::INT AS r1, max(c1)::INT AS c1 FROM (SELECT sheet, r AS r0, c AS c0, r AS r1, c AS c1 FROM {as_sql("sheet, r, c, v", GRID)} UNION ALL SELECT * FROM {as_sql("sheet, r0, c0, r1, c1", SPANS)}) GROUP BY sheet""")
+@query("""WITH a AS (SELECT l_orderkey AS sheet, l_linenumber AS r0, l_quantity::INT AS c0, l_linenumber AS r1, l_quantity::INT AS c1 FROM lineitem UNION ALL SELECT o_orderkey, 2, 3, (2 + o_orderkey % 3)::INT, (3 + o_custkey % 60)::INT FROM orders)
+SELECT sheet, min(r0) AS r0, min(c0) AS c0, max(r1) AS r1, max(c1) AS c1 FROM a GROUP BY sheet""")
 def used_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """XL-1."""
-    return L.used_range(rows(spark, "sheet int, r int, c int, v string", GRID), rows(spark, "sheet int, r0 int, c0 int, r1 int, c1 int", SPANS))
+    """XL-1: an order is a sheet, with cells where its lines' numbers and quantities lead, and a merge."""
+    cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("r"), F.col("l_quantity").cast("int").alias("c"))
+    o = table(spark, sf_dir, "orders")
+    merges = o.select(F.col("o_orderkey").alias("sheet"), F.lit(2).alias("r0"), F.lit(3).alias("c0"), (2 + F.col("o_orderkey") % 3).cast("int").alias("r1"), (3 + F.col("o_custkey") % 60).cast("int").alias("c1"))
+    return L.used_range(cells, merges)
 
 
-@query(f"SELECT sheet::INT AS sheet, dense_rank() OVER (PARTITION BY sheet ORDER BY r)::INT AS r, c::INT AS c, v.v AS v FROM {as_sql('sheet, r, c, v', GRID)} WHERE v.v <> ''")
+@query("""WITH l AS (SELECT l_orderkey AS sheet, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS r, CASE WHEN l_quantity < 25 THEN ' ' ELSE l_partkey::VARCHAR END AS v FROM lineitem)
+SELECT sheet, dense_rank() OVER (PARTITION BY sheet ORDER BY r)::INT AS r, v FROM l WHERE v <> ' '""")
 def dense_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LAY-4: empty rows closed up."""
-    return L.without_empty_rows(rows(spark, "sheet int, r int, c int, v string", GRID))
-
-
-FITS = [(1, 100.0, 50.0, "width"), (2, 100.0, 200.0, "page"), (3, 20.0, 20.0, "width"), (4, 10.0, 10.0, "5"), (5, 10.0, 10.0, "80")]
+    """LAY-4: empty rows closed up; lines of small orders are blank."""
+    w = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity)"
+    v = F.when(F.col("l_quantity") < 25, " ").otherwise(F.col("l_partkey").cast("string"))
+    cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.expr(w).alias("r"), F.lit(1).alias("c"), v.alias("v"))
+    return L.without_empty_rows(cells).select("sheet", "r", "v")
 
 
-@query("SELECT * FROM (VALUES (1, 0.5::DOUBLE, 'ocr'), (2, 0.25, 'text'), (3, 1.0, 'ocr'), (4, 0.1, 'ocr'), (5, 0.8, 'ocr')) AS v(id, scale, source)")
+@query("""WITH o AS (SELECT o_orderkey AS id, (10 + o_custkey % 100)::DOUBLE AS w, (10 + o_orderkey % 200)::DOUBLE AS h FROM orders)
+SELECT id, round(CASE id % 4 WHEN 0 THEN least(1, 50 / w) WHEN 1 THEN least(1, 50 / w, 50 / h) WHEN 2 THEN 0.1 ELSE 0.8 END, 6) AS scale, CASE WHEN id % 10 = 0 OR h < 25 THEN 'ocr' ELSE 'text' END AS source FROM o""")
 def page_setup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-26, LAY-10: scale on a page, and where a page's text comes from."""
-    f = rows(spark, "id int, w double, h double, mode string", FITS)
-    return f.select("id", F.round(L.fit_scale(F.col("w"), F.col("h"), F.lit(50.0), F.lit(50.0), F.col("mode")), 6).alias("scale"), L.page_source(F.col("h"), F.col("id") == 1).alias("source"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (10.0 + F.col("o_custkey") % 100).alias("w"), (10.0 + F.col("o_orderkey") % 200).alias("h"))
+    mode = F.element_at(F.array(*[F.lit(x) for x in ("width", "page", "5", "80")]), (F.col("id") % 4 + 1).cast("int"))
+    return o.select("id", F.round(L.fit_scale(F.col("w"), F.col("h"), F.lit(50.0), F.lit(50.0), mode), 6).alias("scale"), L.page_source(F.col("h"), F.col("id") % 10 == 0).alias("source"))

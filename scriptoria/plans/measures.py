@@ -64,30 +64,28 @@ def sweep_gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.gutters(l.select(F.col("l_orderkey").alias("page"), x0.alias("x0"), (x0 + 3 + F.floor(F.col("l_quantity") + 0.5) % 9).alias("x1")), "page", "x0", "x1")
 
 
-PIXELS = "SELECT img, i // 48 AS y, i % 48 AS x, CASE WHEN (i % 48 - 24) * (i % 48 - 24) + (i // 48 - 18) * (i // 48 - 18) < 150 + 20 * img THEN 180 + (i * 7 + img) % 60 ELSE 20 + (i * 13 + img * 5) % 70 END AS v FROM (SELECT unnest(range(8)) AS img), (SELECT unnest(range(48 * 36)) AS i)"
+PIXELS = """SELECT img, (k - 1) // 48 AS y, (k - 1) % 48 AS x, ascii(c) % 256 AS v FROM (SELECT doc_id AS img, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS k FROM documents)"""
 
 
-def pixels(spark: SparkSession) -> DataFrame:
-    """Eight small images with a bright disc on a dark ground."""
-    p = spark.range(8 * 48 * 36).select(F.floor(F.col("id") / 1728).alias("img"), (F.col("id") % 1728).alias("i"))
-    i, img = F.col("i"), F.col("img")
-    dx, dy = i % 48 - 24, F.floor(i / 48) - 18
-    return p.select("img", F.floor(i / 48).alias("y"), (i % 48).alias("x"), F.when(dx * dx + dy * dy < 150 + 20 * img, 180 + (i * 7 + img) % 60).otherwise(20 + (i * 13 + img * 5) % 70).alias("v"))
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as images: each character's code is a pixel, 48 to a line."""
+    each = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("img"), F.posexplode(F.split("text", "")).alias("k", "c"))
+    return each.select("img", F.floor(F.col("k") / 48).alias("y"), (F.col("k") % 48).alias("x"), (F.ascii("c") % 256).alias("v"))
 
 
 @query(f"""WITH h AS (SELECT img, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY img ORDER BY v) AS upto, sum(count(*)) OVER (PARTITION BY img) AS total, sum(v * count(*)) OVER (PARTITION BY img ORDER BY v) AS s, sum(v * count(*)) OVER (PARTITION BY img) AS al FROM ({PIXELS}) GROUP BY img, v),
 t AS (SELECT *, (al - s)::DOUBLE / (total - upto) - s::DOUBLE / upto AS apart FROM h WHERE total > upto)
 SELECT img::BIGINT AS img, v::BIGINT AS threshold, round(apart, 6) AS apart FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY upto::DOUBLE * (total - upto)::DOUBLE * apart * apart DESC, v) AS r FROM t) WHERE r = 1""")
 def otsu_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-5 on made-up images."""
-    return A.otsu(pixels(spark), "img", "v").select("img", F.col("threshold").cast("long").alias("threshold"), F.round("apart", 6).alias("apart"))
+    """AGG-5 on documents as images."""
+    return A.otsu(pixels(spark, sf_dir), "img", "v").select("img", F.col("threshold").cast("long").alias("threshold"), F.round("apart", 6).alias("apart"))
 
 
 @query(f"""WITH h AS (SELECT img, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY img ORDER BY v) AS upto, sum(count(*)) OVER (PARTITION BY img) AS total FROM ({PIXELS}) GROUP BY img, v)
 SELECT img::BIGINT AS img, round(sum(v * n) / sum(n)::DOUBLE, 6) AS mean, coalesce(max(v) FILTER (upto < total * 0.05), 0)::BIGINT AS p_low, coalesce(max(v) FILTER (upto < total * 0.95), 255)::BIGINT AS p_high FROM h GROUP BY img""")
 def histogram_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-4, 6 and 9: mean and levels from a histogram."""
-    return A.levels(pixels(spark), "img", "v").select("img", F.round("mean", 6).alias("mean"), F.col("p_low").cast("long").alias("p_low"), F.col("p_high").cast("long").alias("p_high"))
+    return A.levels(pixels(spark, sf_dir), "img", "v").select("img", F.round("mean", 6).alias("mean"), F.col("p_low").cast("long").alias("p_low"), F.col("p_high").cast("long").alias("p_high"))
 
 
 @query(f"""WITH c AS (SELECT img, x, avg(v) AS mean FROM ({PIXELS}) GROUP BY img, x),
@@ -95,14 +93,14 @@ def histogram_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT img::BIGINT AS img, x::BIGINT AS spine, round(mean, 6) AS mean FROM o WHERE off <= 0.4::DOUBLE * width QUALIFY row_number() OVER (PARTITION BY img ORDER BY mean, off, x) = 1""")
 def book_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IMG-13: the darkest column near the centre."""
-    return A.darkest_column(pixels(spark), "img").select("img", F.col("spine").cast("long").alias("spine"), F.round("mean", 6).alias("mean"))
+    return A.darkest_column(pixels(spark, sf_dir), "img").select("img", F.col("spine").cast("long").alias("spine"), F.round("mean", 6).alias("mean"))
 
 
 @query(f"""WITH p AS ({PIXELS}), l AS (SELECT img, v, lag(v) OVER a + lead(v) OVER a + lag(v) OVER d + lead(v) OVER d - 4 * v AS lap FROM p WINDOW a AS (PARTITION BY img, y ORDER BY x), d AS (PARTITION BY img, x ORDER BY y))
 SELECT img::BIGINT AS img, round(avg(lap * lap) - avg(lap) * avg(lap), 4) AS blur, round(stddev_pop(v), 6) AS std FROM l GROUP BY img""")
 def laplacian_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-7: sharpness."""
-    return A.laplacian_variance(pixels(spark), "img").select("img", F.round("blur", 4).alias("blur"), F.round("std", 6).alias("std"))
+    return A.laplacian_variance(pixels(spark, sf_dir), "img").select("img", F.round("blur", 4).alias("blur"), F.round("std", 6).alias("std"))
 
 
 @query("""WITH RECURSIVE s AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_quantity AS h, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity) AS k FROM lineitem),
@@ -122,30 +120,35 @@ def column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", A.column_width(F.col("text")).alias("width"), F.regexp_count("text", F.lit(r"[^\s]+")).cast("long").alias("words"))
 
 
-QUADS = [(k, 10.0 + k, 5.0, 100.0, 8.0 + 3 * k, 95.0 - 5 * k, 80.0, 4.0, 70.0 + k) for k in range(12)] + [(20, 0.0, 0.0, 1.0, 1.0, 2.0, 2.0, 3.0, 3.0), (21, 0.0, 0.0, 10.0, 10.0, 10.0, 0.0, 0.0, 10.0)]
+CORNERS = ("10 + o_orderkey % 7", "5 + o_orderkey % 3", "100 + o_custkey % 11", "8 + o_orderkey % 13", "95 - o_custkey % 17", "80 - o_orderkey % 5", "4 + o_orderkey % 2", "70 + o_custkey % 9")
+NAMES = [f"{c}{k}" for k in range(1, 5) for c in "xy"]
+#: Of fifty quads one lies on a line.
+QUADS = "SELECT o_orderkey AS id, " + ", ".join(f"CAST(CASE WHEN o_orderkey % 50 = 0 THEN {k // 2} ELSE {e} END AS DOUBLE) AS {n}" for k, (n, e) in enumerate(zip(NAMES, CORNERS, strict=True))) + " FROM orders"
+SOUND = "SELECT o_orderkey AS id, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in zip(NAMES, CORNERS, strict=True)) + " FROM orders"
 
 
-def quads(spark: SparkSession) -> DataFrame:
-    q = rows(spark, "id int, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double, x4 double, y4 double", QUADS)
-    return q.select("*", G.polygon(*[F.col(f"{c}{k}") for k in range(1, 5) for c in "xy"]).alias("q"))
+def quads(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Four corners out of the numbers of each order."""
+    q = spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    return q.select("id", G.polygon(*[F.col(n) for n in NAMES]).alias("q"))
 
 
-@query(f"""WITH q AS (SELECT * FROM {as_sql("id, x1, y1, x2, y2, x3, y3, x4, y4", QUADS)}),
+@query(f"""WITH q AS ({QUADS}),
 t AS (SELECT *, (x2-x1)*(y3-y2)-(y2-y1)*(x3-x2) AS a, (x3-x2)*(y4-y3)-(y3-y2)*(x4-x3) AS b, (x4-x3)*(y1-y4)-(y4-y3)*(x1-x4) AS c, (x1-x4)*(y2-y1)-(y1-y4)*(x2-x1) AS d FROM q)
-SELECT id::INT AS id, round(abs(x1*y2-x2*y1+x2*y3-x3*y2+x3*y4-x4*y3+x4*y1-x1*y4)/2, 6) AS area, round(sqrt((x2-x1)^2+(y2-y1)^2)+sqrt((x3-x2)^2+(y3-y2)^2)+sqrt((x4-x3)^2+(y4-y3)^2)+sqrt((x1-x4)^2+(y1-y4)^2), 6) AS perimeter,
+SELECT id, round(abs(x1*y2-x2*y1+x2*y3-x3*y2+x3*y4-x4*y3+x4*y1-x1*y4)/2, 6) AS area, round(sqrt((x2-x1)^2+(y2-y1)^2)+sqrt((x3-x2)^2+(y3-y2)^2)+sqrt((x4-x3)^2+(y4-y3)^2)+sqrt((x1-x4)^2+(y1-y4)^2), 6) AS perimeter,
 (a>0 AND b>0 AND c>0 AND d>0) OR (a<0 AND b<0 AND c<0 AND d<0) AS convex FROM t""")
 def polygon_area_convex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GEO-3 and 4."""
     q = F.col("q")
-    return quads(spark).select("id", F.round(G.area(q), 6).alias("area"), F.round(G.perimeter(q), 6).alias("perimeter"), G.is_convex(q).alias("convex"))
+    return quads(spark, sf_dir, QUADS).select("id", F.round(G.area(q), 6).alias("area"), F.round(G.perimeter(q), 6).alias("perimeter"), G.is_convex(q).alias("convex"))
 
 
-@query(f"""WITH q AS (SELECT id, [{{'x': x3, 'y': y3}}, {{'x': x1, 'y': y1}}, {{'x': x4, 'y': y4}}, {{'x': x2, 'y': y2}}] AS p, (x1+x2+x3+x4)/4 AS cx, (y1+y2+y3+y4)/4 AS cy FROM {as_sql("id, x1, y1, x2, y2, x3, y3, x4, y4", QUADS)} WHERE id < 20),
+@query(f"""WITH q AS (SELECT id, [{{'x': x3, 'y': y3}}, {{'x': x1, 'y': y1}}, {{'x': x4, 'y': y4}}, {{'x': x2, 'y': y2}}] AS p, (x1+x2+x3+x4)/4 AS cx, (y1+y2+y3+y4)/4 AS cy FROM ({SOUND})),
 u AS (SELECT id, unnest(p) AS p, cx, cy FROM q), s AS (SELECT id, p.x AS x, p.y AS y, row_number() OVER (PARTITION BY id ORDER BY atan2(p.y - cy, p.x - cx)) - 1 AS k, row_number() OVER (PARTITION BY id ORDER BY p.x + p.y) AS r FROM u)
-SELECT s.id::INT AS id, ((s.k - f.k + 4) % 4 + 1)::INT AS corner, s.x AS x, s.y AS y FROM s JOIN s f ON f.id = s.id AND f.r = 1""")
+SELECT s.id AS id, ((s.k - f.k + 4) % 4 + 1)::INT AS corner, s.x AS x, s.y AS y FROM s JOIN s f ON f.id = s.id AND f.r = 1""")
 def order_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GEO-1: corners from the top left on, whatever order they come in."""
-    q = quads(spark).where("id < 20").select("id", G.ordered_corners(F.array(F.col("q")[2], F.col("q")[0], F.col("q")[3], F.col("q")[1])).alias("o"))
+    q = quads(spark, sf_dir, SOUND).select("id", G.ordered_corners(F.array(F.col("q")[2], F.col("q")[0], F.col("q")[3], F.col("q")[1])).alias("o"))
     return q.select("id", F.posexplode("o").alias("k", "p")).select("id", (F.col("k") + 1).alias("corner"), "p.x", "p.y")
 
 

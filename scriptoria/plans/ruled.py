@@ -74,15 +74,15 @@ def sheet_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", V.sheet_colour(F.col("argb"), F.col("theme"), F.col("tint"), F.col("indexed"), F.lit("none")).alias("colour"))
 
 
-BORDERS = [(1, 1, 1, None, None), (1, 2, 3, "thin", "thick"), (1, 5, 5, "thin", None), (2, 1, 1, None, "hair")]
-MERGES = [(1, 1, 1, 2, 3), (2, 1, 1, 4, 4)]
-
-
-@query(f"""WITH c AS (SELECT * FROM {as_sql("sheet, r, c, rgt, bottom", BORDERS)}), m AS (SELECT * FROM {as_sql("sheet, r1, c1, r2, c2", MERGES)})
-SELECT m.sheet::INT AS sheet, r1::INT AS r1, c1::INT AS c1, rgt AS "right", bottom FROM m LEFT JOIN c ON c.sheet = m.sheet AND c.r = r2 AND c.c = c2""")
+@query("""WITH c AS (SELECT l_orderkey AS sheet, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS r, l_returnflag, l_linestatus FROM lineitem)
+SELECT o_orderkey AS sheet, 1 AS r1, 1 AS c1, l_returnflag AS "right", l_linestatus AS bottom FROM orders LEFT JOIN c ON sheet = o_orderkey AND r = 1 + o_orderkey % 4""")
 def merge_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """XL-2: right and bottom border of a merged cell are those of its last cell."""
-    return L.merge_borders(rows(spark, "sheet int, r int, c int, right string, bottom string", BORDERS), rows(spark, "sheet int, r1 int, c1 int, r2 int, c2 int", MERGES))
+    """XL-2: right and bottom border of a merged cell are those of its last cell, if there is one; an order is a sheet."""
+    w = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity)"
+    cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.expr(w).alias("r"), F.lit(1).alias("c"), F.col("l_returnflag").alias("right"), F.col("l_linestatus").alias("bottom"))
+    one = F.lit(1)
+    merges = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sheet"), one.alias("r1"), one.alias("c1"), (1 + F.col("o_orderkey") % 4).cast("int").alias("r2"), one.alias("c2"))
+    return L.merge_borders(cells, merges)
 
 
 @query("""WITH p AS (SELECT l_orderkey AS sheet, l_linenumber AS r, (l_linenumber - 1) // 3 AS page FROM lineitem), i AS (SELECT DISTINCT o_orderkey AS sheet, (o_orderkey % 5 + 0.4::DOUBLE) AS place FROM orders)

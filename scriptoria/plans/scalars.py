@@ -47,19 +47,16 @@ def locale_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", V.locale_number(F.col("o_totalprice")).alias("written"), V.serial_day(F.col("o_orderdate").cast("date")).alias("serial"))
 
 
-RANGES = [(1, "A1:C10"), (2, "$B$2"), (3, "Sheet1!D4:A1"), (4, "AA10:AB3"), (5, "bad"), (6, "ZZ1")]
-
-
-@query(rf"""
-WITH r AS (SELECT id, regexp_extract(upper(replace(regexp_replace(t, '^.*!', ''), '$', '')), '^([A-Z]{{1,3}})(\d+)(:([A-Z]{{1,3}})(\d+))?$', ['a', 'p', 'x', 'b', 'q']) AS m FROM {as_sql("id, t", RANGES)}),
-n AS (SELECT id, m.p::INT AS p, coalesce(nullif(m.q, ''), m.p)::INT AS q,
-  list_reduce(list_prepend(0, list_transform(string_split(m.a, ''), lambda x: ascii(x) - 64)), lambda x, y: x * 26 + y) AS a,
-  list_reduce(list_prepend(0, list_transform(string_split(coalesce(nullif(m.b, ''), m.a), ''), lambda x: ascii(x) - 64)), lambda x, y: x * 26 + y) AS b FROM r WHERE m.a <> '')
-SELECT id::INT AS id, least(p, q)::INT AS r1, least(a, b)::INT AS c1, greatest(p, q)::INT AS r2, greatest(a, b)::INT AS c2 FROM n
-""")
+@query("""WITH o AS (SELECT o_orderkey AS id, (1 + o_orderkey % 26)::INT AS a, (27 + o_custkey % 26)::INT AS b, (1 + o_custkey)::INT AS p, (1 + o_orderkey % 90)::INT AS q FROM orders)
+SELECT id, CASE id % 4 WHEN 1 THEN p ELSE least(p, q) END AS r1, a AS c1, CASE id % 4 WHEN 1 THEN p ELSE greatest(p, q) END AS r2, CASE id % 4 WHEN 1 THEN a ELSE b END AS c2 FROM o WHERE id % 4 <> 2""")
 def a1_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VAL-3: cell ranges with corners in order."""
-    return rows(spark, "id int, t string", RANGES).select("id", V.cell_range(F.col("t")).alias("r")).where("r IS NOT NULL").select("id", "r.*")
+    """VAL-3: cell ranges with corners in order, out of the numbers of orders; of four one is a cell, one no range, one has the far corner first."""
+    o = table(spark, sf_dir, "orders")
+    kind, letter = F.col("o_orderkey") % 4, lambda c: F.char(65 + F.col(c) % 26)
+    near = F.concat(letter("o_orderkey"), (1 + F.col("o_custkey")).cast("string"))
+    far = F.concat(F.lit("A"), letter("o_custkey"), (1 + F.col("o_orderkey") % 90).cast("string"))
+    text = F.when(kind == 0, F.concat(F.lit("Sheet1!"), near, F.lit(":"), far)).when(kind == 1, F.concat(F.lit("$"), near)).when(kind == 2, F.lit("all")).otherwise(F.lower(F.concat(far, F.lit(":"), near)))
+    return o.select(F.col("o_orderkey").alias("id"), V.cell_range(text).alias("r")).where("r IS NOT NULL").select("id", "r.*")
 
 
 @query("""SELECT c_custkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(c_name, ''), lambda x: ascii(x)::BIGINT)), lambda h, x: (h * 31 + x) % 4294967296)::BIGINT AS h,
@@ -77,15 +74,16 @@ def initials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", V.initials(F.translate("c_name", "#", "-"), F.lit(None).cast("string")).alias("initials"))
 
 
-TAX = [(1, "20-30123456-3"), (2, "20-12345678-9"), (3, "27301234561"), (4, "123"), (5, "20.30123456.3"), (6, None)]
+TAX = "SELECT c_custkey AS id, CASE WHEN c_custkey % 17 = 0 THEN '123' WHEN c_custkey % 3 = 0 THEN concat('20.', lpad(CAST(c_custkey * 7919 % 100000000 AS VARCHAR(20)), 8, '0'), '.', c_custkey % 10) ELSE concat('27-', lpad(CAST(c_custkey * 104729 % 100000000 AS VARCHAR(20)), 8, '0'), '-', c_custkey % 11 % 10) END AS t FROM customer"
 
 
-@query(f"""WITH d AS (SELECT id, replace(replace(replace(t, '-', ''), '.', ''), ' ', '') AS s FROM {as_sql("id, t", TAX)}),
+@query(f"""WITH d AS (SELECT id, replace(replace(replace(t, '-', ''), '.', ''), ' ', '') AS s FROM ({TAX})),
 w AS (SELECT id, s, length(s) = 11 AS ok, list_sum([try_cast(s[i] AS INT) * ([5,4,3,2,7,6,5,4,3,2])[i] for i in range(1, 11)]) AS total FROM d)
-SELECT id::INT AS id, coalesce(ok AND (11 - total % 11) % 11 = try_cast(s[11] AS INT), false) AS valid FROM w""")
+SELECT id, coalesce(ok AND (11 - total % 11) % 11 = try_cast(s[11] AS INT), false) AS valid FROM w""")
 def cuil_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VAL-12: check digits of tax ids."""
-    return rows(spark, "id int, t string", TAX).select("id", V.tax_id_valid(F.col("t")).alias("valid"))
+    """VAL-12: check digits of tax ids, made of customers' numbers."""
+    t = spark.sql(TAX.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf_dir, "customer"))
+    return t.select("id", V.tax_id_valid(F.col("t")).alias("valid"))
 
 
 NOISE = [(1, "DNI 3O.l23.45S firmado"), (2, "SOS OSO"), (3, "Expte N* 12Z/2O24"), (4, "B8 y 8B"), (5, "sin cambio")]
@@ -122,14 +120,15 @@ def normalised_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("id", V.normal_date(F.col("t")).alias("day"), V.identity_number(F.col("n")).alias("dni"), V.paper_format(F.col("w"), F.col("h")).alias("paper"))
 
 
-STYLES = [(1, "#abc", "10mm"), (2, "#A1b2C3", "12pt"), (3, "rgb(255, 0, 16)", "2in"), (4, "rgba(1,2,3,0)", "5px"), (5, "none", "1cm")]
-
-
-@query("""SELECT * FROM (VALUES (1, 'AABBCC', 37.795276), (2, 'A1B2C3', 16.0), (3, 'FF0010', 192.0), (4, NULL, 5.0), (5, NULL, 37.795276)) AS v(id, colour, px)""".replace("37.795276", "37.795276::DOUBLE").replace("16.0", "16.0::DOUBLE"))
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN upper(lpad(to_hex(l_partkey), 6, '0')) WHEN 1 THEN upper(lpad(to_hex((l_partkey % 256)::BIGINT), 2, '0') || lpad(to_hex((l_suppkey % 256)::BIGINT), 2, '0') || '0A') END AS colour,
+round(l_quantity::INT * (CASE l_linenumber % 4 WHEN 0 THEN 96 / 25.4::DOUBLE WHEN 1 THEN 96 / 72::DOUBLE WHEN 2 THEN 96 ELSE 1 END), 6) AS px FROM lineitem""")
 def style_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VAL-5 and 6: colours and lengths of style sheets."""
-    s = rows(spark, "id int, c string, l string", STYLES)
-    return s.select("id", V.css_colour(F.col("c")).alias("colour"), F.round(V.css_length_px(F.col("l")), 6).alias("px"))
+    """VAL-5 and 6: colours and lengths of style sheets, out of the numbers of order lines."""
+    l, n = table(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    rgb = F.concat_ws(", ", F.col("l_partkey") % 256, F.col("l_suppkey") % 256, F.lit(10))
+    colour = F.when(n % 3 == 0, F.concat(F.lit("#"), F.lower(F.lpad(F.hex("l_partkey"), 6, "0")))).when(n % 3 == 1, F.concat(F.lit("rgb("), rgb, F.lit(")"))).otherwise(F.concat(F.lit("rgba("), rgb, F.lit(", 0)")))
+    length = F.concat(F.col("l_quantity").cast("int").cast("string"), F.when(n % 4 == 0, "mm").when(n % 4 == 1, "pt").when(n % 4 == 2, "in").otherwise("px"))
+    return l.select("l_orderkey", "l_linenumber", V.css_colour(colour).alias("colour"), F.round(V.css_length_px(length), 6).alias("px"))
 
 
 @query(r"""SELECT doc_id, regexp_matches(w, '^[^@\s]+@[^@\s]+\.[^@\s]+$') AS email, replace(replace(replace(replace(w, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, regexp_replace(w[1:31], '[\\/?*\[\]:]', ' ', 'g') AS sheet, base64(encode(w)) AS b64

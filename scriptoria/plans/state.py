@@ -50,13 +50,11 @@ def arm_and_fire(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "id int, v array<double>", MOTION).select("id", S.armed_shots(F.col("v")).alias("shots"))
 
 
-GATE = [(1, False, 5.0, 99.0), (2, True, 5.0, 1.0), (3, True, 20.0, 60.0), (4, True, 20.0, 59.0)]
-
-
-@query(f"SELECT id::INT AS id, CASE WHEN NOT q THEN false WHEN s < 10 THEN true ELSE b >= 60 END AS allowed FROM {as_sql('id, q, s, b', GATE)}")
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN false WHEN value < 10 THEN true ELSE event_id % 120 >= 60 END AS allowed FROM events")
 def capture_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST-5."""
-    return rows(spark, "id int, q boolean, s double, b double", GATE).select("id", S.capture_allowed(F.col("q"), F.col("s"), F.col("b")).alias("allowed"))
+    """ST-5: whether a frame may be taken; an event is a frame, its value the contrast, its number the sharpness."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", S.capture_allowed(F.col("event_type") != "error", F.col("value"), F.col("event_id") % 120).alias("allowed"))
 
 
 @query("""WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) / 1e6::DOUBLE AS moment, coalesce(last_value(CASE WHEN value < 20 THEN true WHEN value >= 60 THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS state FROM events),
