@@ -64,14 +64,17 @@ def word_files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.parsed(writers.word_files(b), files.word_tables, "t int, r int, c int, text string, span int, vmerge string, bold boolean").drop("key", "t")
 
 
-COLOURS = [(1, "FF1A2B3C", None, None, None), (2, None, 4, 0.4, None), (3, None, 1, 0.5, None), (4, None, 0, -0.25, None), (5, None, None, None, 10), (6, None, None, None, None), (7, "abcdef", 4, 0.4, 2)]
-
-
-@query("SELECT * FROM (VALUES (1, '1A2B3C'), (2, '8FAADC'), (3, '808080'), (4, 'BFBFBF'), (5, 'FF0000'), (6, 'none'), (7, 'ABCDEF')) AS v(id, colour)")
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN [l_partkey % 256, l_suppkey % 256, 16] WHEN 1 THEN [68, 114, 196] WHEN 2 THEN [255, 255, 255] END AS rgb,
+  CASE l_linenumber % 4 WHEN 1 THEN (l_quantity::INT - 25) / 50.0::DOUBLE WHEN 2 THEN -(l_quantity::INT) / 100.0::DOUBLE ELSE 0 END AS tint FROM lineitem),
+t AS (SELECT *, list_transform(rgb, lambda v: floor(CASE WHEN tint < 0 THEN v * (1 + tint) ELSE v + (255 - v) * tint END + 0.5)::BIGINT) AS out FROM l)
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 3 THEN 'FF0000' ELSE upper(lpad(to_hex(out[1]), 2, '0') || lpad(to_hex(out[2]), 2, '0') || lpad(to_hex(out[3]), 2, '0')) END AS colour FROM t""")
 def sheet_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VAL-4: colours given as such, by theme and tint, or by number."""
-    c = rows(spark, "id int, argb string, theme int, tint double, indexed int", COLOURS)
-    return c.select("id", V.sheet_colour(F.col("argb"), F.col("theme"), F.col("tint"), F.col("indexed"), F.lit("none")).alias("colour"))
+    """VAL-4: colours given as such, by theme and tint, or by number, out of the numbers of order lines."""
+    l, kind, q = table(spark, sf_dir, "lineitem"), F.col("l_linenumber") % 4, F.col("l_quantity").cast("int")
+    two = lambda c: F.lpad(F.hex(F.col(c) % 256), 2, "0")
+    argb = F.when(kind == 0, F.concat(F.lit("FF"), two("l_partkey"), F.lower(two("l_suppkey")), F.lit("10")))
+    theme, tint = F.when(kind == 1, 4).when(kind == 2, 0), F.when(kind == 1, (q - 25) / 50.0).when(kind == 2, -q / 100.0)
+    return l.select("l_orderkey", "l_linenumber", V.sheet_colour(argb, theme, tint, F.when(kind == 3, 10), F.lit("none")).alias("colour"))
 
 
 @query("""WITH c AS (SELECT l_orderkey AS sheet, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS r, l_returnflag, l_linestatus FROM lineitem)
