@@ -98,6 +98,23 @@ def armed_shots(values: Column, move: float = 10, still: float = 2, quiet: int =
     return F.aggregate(values, first, step, lambda a: a["shots"])
 
 
+def shots(df: DataFrame, key: str, order: list[str], value: str, move: float = 10, still: float = 2, quiet: int = 4) -> DataFrame:
+    """Rows (key, *order) at which a picture is taken, by the rule of armed_shots: a key's rows pass by in order, none is held. Nulls are no movement and not still."""
+
+    def fold(rows: Iterator[dict]) -> Iterator[dict]:
+        armed, calm = True, 0
+        for r in rows:
+            v = r[value]
+            armed, calm = armed or (v is not None and v >= move), calm + 1 if v is not None and v < still else 0
+            if armed and calm >= quiet:
+                armed = False
+                yield r
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (key, *order))
+    return in_order(df.select(key, *order, value), key, order, fold, schema)
+
+
 def capture_allowed(has_quad: Column, std: Column, blur: Column) -> Column:
     """Without an outline no; on plain paper yes; else if sharp."""
     return F.when(~has_quad, False).when(std < 10, True).otherwise(blur >= 60)

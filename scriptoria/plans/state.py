@@ -41,13 +41,13 @@ def stable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.stable_runs(e, "user_id", "s", "event_type", 3600).select("user_id", "event_type", "first", "last", "n")
 
 
-MOTION = [(1, [25.0] + [1.0] * 8 + [30.0] + [1.0] * 4), (2, [1.0] * 3), (3, [1.0] * 9), (4, [5.0, 1.0, 1.0, 5.0, 1.0, 1.0, 1.0, 1.0])]
-
-
-@query("SELECT * FROM (VALUES (1, [4, 13]), (2, []::INT[]), (3, [3]), (4, [7])) AS v(id, shots)")
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, true AS armed, 0 AS calm, false AS fire FROM e
+  UNION ALL SELECT user_id, k, event_id, armed AND NOT (armed AND calm >= 2), calm, armed AND calm >= 2 FROM (SELECT e.user_id, e.k, e.event_id, r.armed OR v >= 60 AS armed, CASE WHEN v < 20 THEN r.calm + 1 ELSE 0 END AS calm FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+SELECT user_id, event_id FROM r WHERE fire""")
 def arm_and_fire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST-4."""
-    return rows(spark, "id int, v array<double>", MOTION).select("id", S.armed_shots(F.col("v")).alias("shots"))
+    """ST-4: an event's value is movement: from 60 on it arms, two below 20 in a row take the picture."""
+    return S.shots(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 60, 20, 2).select("user_id", "event_id")
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'error' THEN false WHEN value < 10 THEN true ELSE event_id % 120 >= 60 END AS allowed FROM events")
