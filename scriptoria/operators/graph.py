@@ -68,7 +68,11 @@ def _moved(seen: DataFrame, total: float, up: bool) -> DataFrame:
     allowed = own | (F.col("to") > F.col("mine") if up else F.col("to") < F.col("mine"))
     most = Window.partitionBy("u").orderBy(F.desc("gain"), F.desc("same"), "to")
     ranked = seen.where(allowed).select("u", "k", "to", gain.alias("gain"), own.alias("same")).withColumn("r", F.row_number().over(most))
-    return kept(ranked.where("r = 1").select(F.col("u").alias("node"), F.col("to").alias("community"), "k"))
+    return ranked.where("r = 1").select(F.col("u").alias("node"), F.col("to").alias("community"), "k")
+
+
+def _labels(seen: DataFrame) -> DataFrame:
+    return seen.where(F.col("to") == F.col("mine")).select(F.col("u").alias("node"), F.col("mine").alias("community"), "k")
 
 
 def _modularity(seen: DataFrame, loops: float, total: float) -> float:
@@ -80,12 +84,13 @@ def _modularity(seen: DataFrame, loops: float, total: float) -> float:
     return (got["inside"] + loops) / total - got["squares"] / total**2
 
 
-def communities(pairs: DataFrame, a: str, b: str, weight: Column | None = None, rounds: int = 12, levels: int = 12) -> DataFrame:
+def communities(pairs: DataFrame, a: str, b: str, weight: Column | None = None, rounds: int = 8, levels: int = 8, least: float = 1e-4) -> DataFrame:
     """(node, community) of each node of a pair; community is its smallest node (AGG-21).
 
     Modularity moves: nodes join neighbouring communities while that raises modularity; communities become the nodes of the
     next level, with the weights between and within them added up, until a level raises it no more. Repeated pairs add their
-    weights, pairs with a null count nowhere. A round that would lower modularity, as simultaneous moves may, isn't taken.
+    weights, pairs with a null count nowhere. A round that would lower modularity, as simultaneous moves may, isn't taken; a
+    level ends when rounds in both directions gain less than least. Each round is one job and one number.
     """
     w = F.lit(1.0) if weight is None else weight.cast("double")
     flat = pairs.select(F.col(a).alias("u"), F.col(b).alias("v"), w.alias("w")).where("u IS NOT NULL AND v IS NOT NULL AND w > 0")
@@ -95,23 +100,22 @@ def communities(pairs: DataFrame, a: str, b: str, weight: Column | None = None,
     if not total:
         return whole
     for _ in range(levels):
-        labels = kept(edges.groupBy("u").agg(F.sum("w").alias("k")).select(F.col("u").alias("node"), F.col("u").alias("community"), "k"))
+        labels = edges.groupBy("u").agg(F.sum("w").alias("k")).select(F.col("u").alias("node"), F.col("u").alias("community"), "k")
         loops = edges.where("u = v").agg(F.sum("w")).first()[0] or 0.0
         seen = _seen(edges, labels)
         start = at = _modularity(seen, loops, total)
         idle = 0
         for turn in range(rounds):
-            tried = _moved(seen, total, up=bool(turn % 2))
-            now = _seen(edges, tried)
-            gained = _modularity(now, loops, total)
-            if gained > at + 1e-12:
-                labels, seen, at, idle = tried, now, gained, 0
-            else:
-                idle += 1
+            now = _seen(edges, _moved(seen, total, up=bool(turn % 2)))
+            gained = _modularity(now, loops, total) - at
+            idle = 0 if gained >= least else idle + 1
+            if gained > 0:
+                seen, at = now, at + gained
             if idle == 2:
                 break
-        if at <= start + 1e-12:
+        if at < start + least:
             break
+        labels = _labels(seen)
         names = labels.groupBy("community").agg(F.min("node").alias("name"))
         labels = kept(labels.join(names, "community").select("node", F.col("name").alias("community")))
         whole = kept(whole.withColumnRenamed("community", "old").join(labels.withColumnRenamed("node", "old"), "old").select("node", "community"))
