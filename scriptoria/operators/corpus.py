@@ -49,6 +49,22 @@ def in_sequence(numbers: Column) -> Column:
     return F.aggregate(numbers, first, step, lambda a: a["ok"])
 
 
+def sequence_flags(df: DataFrame, key: str, order: list[str], number: str) -> DataFrame:
+    """(key, *order, ok): the same verdicts on numbers that are rows; a key's rows pass by in order, none is held. A null number never counts."""
+
+    def fold(rows):
+        last = 0
+        for r in rows:
+            n = r[number]
+            ok = n is not None and (n == last or last < n <= last + 25)
+            last = n if ok else last
+            yield {**{c: r[c] for c in (key, *order)}, "ok": ok}
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (key, *order))
+    return in_order(df.select(*dict.fromkeys((key, *order, number))), key, order, fold, f"{schema}, ok boolean")
+
+
 def marks(text: Column) -> Column:
     """array<struct(label, n, head, body)> of a text's article heads, in order, with what follows each."""
     cut = F.split(F.regexp_replace(text, ARTICLE, START + "$1" + END + "$0" + END), START)

@@ -79,8 +79,8 @@ SELECT conv_id, max_by(ok, k) AS marks FROM r GROUP BY conv_id""")
 def sequence_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-2: every number gets a verdict on whether it continues the sequence."""
     c = table(spark, sf_dir, "conversations").withColumn("n", ((F.col("turn") * 7 + F.col("conv_id")) % 40).cast("int"))
-    s = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "n"))), lambda x: x["n"]).alias("l"))
-    return s.select("conv_id", C.in_sequence(F.col("l")).alias("marks"))
+    flags = C.sequence_flags(c, "conv_id", ["turn", "n"], "n")
+    return flags.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "n", "ok"))), lambda x: x["ok"]).alias("marks"))
 
 
 LINKS = r"""SELECT DISTINCT regexp_extract(url, '//([^/]+)', 1) AS site, regexp_extract(url, '//[^/]+/([^?#]*)', 1) AS src, unnest(regexp_extract_all(html, 'href="/([^"]+)"', 1)) AS dst FROM pages"""
