@@ -84,7 +84,7 @@ def _modularity(seen: DataFrame, loops: float, total: float) -> float:
     return (got["inside"] + loops) / total - got["squares"] / total**2
 
 
-def communities(pairs: DataFrame, a: str, b: str, weight: Column | None = None, rounds: int = 8, levels: int = 8, least: float = 1e-4) -> DataFrame:
+def communities(pairs: DataFrame, a: str, b: str, weight: Column | None = None, rounds: int = 6, levels: int = 5, least: float = 1e-4) -> DataFrame:
     """(node, community) of each node of a pair; community is its smallest node (AGG-21).
 
     Modularity moves: nodes join neighbouring communities while that raises modularity; communities become the nodes of the
