@@ -172,7 +172,7 @@ def section_titles(arts: DataFrame, before: DataFrame, key: str) -> DataFrame:
                 chapter, section = after_title(chapter, section, title.strip(), opening)
 
     kinds = dict(arts.dtypes)
-    return in_order(rows, key, ["pos"], fold, f"{key} {kinds[key]}, pos long, n string, u string, t string")
+    return in_order(rows, key, ["pos"], fold, f"{key} {kinds[key]}, pos long, n string, u string, t string", mixed=True)
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.functions.values import cell_range, typed
+from scriptoria.operators.state import dealt
 
 WORD = "page long, t string, x0 double, y0 double, x1 double, y1 double, b boolean, conf double"
 
@@ -289,8 +290,8 @@ def _by_page(words: DataFrame, one, schema: str, more: DataFrame | None = None)
 
     made = to_arrow_schema(_parse_datatype_string(f"page long, {schema}"))
     rows = usable_words(words)
-    rows = (rows.unionByName(more.select(*rows.columns)) if more is not None else rows).repartition("page").sortWithinPartitions("page", "y0", "x0")
-    return rows.mapInArrow(run, f"page long, {schema}")
+    rows = dealt(rows.unionByName(more.select(*rows.columns)), "page", mixed=True) if more is not None else dealt(rows, "page")
+    return rows.sortWithinPartitions("page", "y0", "x0").mapInArrow(run, f"page long, {schema}")
 
 
 def page_blocks(words: DataFrame, rules: DataFrame | None = None) -> DataFrame:

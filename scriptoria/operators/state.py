@@ -12,8 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def in_order(df: DataFrame, key: str, order: list[str], fold: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
-    """fold gets the rows of each key one by one, in order, and yields rows of the schema: a stream, however many there are."""
+def dealt(df: DataFrame, key: str, mixed: bool = False) -> DataFrame:
+    """df with the rows of each key in one partition. mixed: df is a union of frames that may be dealt by the key already.
+
+    Spark 4.1 then leaves out a shuffle by the same key, and joins small partitions of each frame on its own afterwards, so
+    that a key's rows would lie in two places; a shuffle by a hash of the key stays.
+    """
+    return df.repartition(F.xxhash64(key) if mixed else F.col(key))
+
+
+def in_order(df: DataFrame, key: str, order: list[str], fold: Callable[[Iterator[dict]], Iterator[dict]], schema: str, mixed: bool = False) -> DataFrame:
+    """fold gets the rows of each key one by one, in order, and yields rows of the schema: a stream, however many there are. mixed: as in dealt."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -26,7 +35,7 @@ def in_order(df: DataFrame, key: str, order: list[str], fold: Callable[[Iterator
         while part := list(islice(out, 5000)):
             yield pa.RecordBatch.from_pylist(part, schema=made)
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return dealt(df, key, mixed).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def _until_now(key: str, *order: str):

@@ -4,6 +4,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scriptoria import streaming
@@ -258,3 +259,19 @@ def test_timers_fire_after_silence(spark, tmp_path):
         got = sorted(map(tuple, spark.read.schema("k string, first timestamp, fired timestamp").parquet(out).collect()))
         assert got == sorted(map(tuple, state.fires(df, "k", "at", value, 300, 100).collect())) and len(got) >= 4
         assert any(k == "c" for k, *_ in got)
+
+
+def test_titles_stand_before_articles_however_parts_are_joined(spark):
+    """Articles and what stands before them are dealt by law already, and large parts are joined apart from small ones."""
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "40kb", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1kb", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        laws = spark.range(4000).select((F.col("id") % 500).alias("law"), F.sha2(F.col("id").cast("string"), 256).alias("t"), "id")
+        arts = laws.withColumn("pos", F.row_number().over(Window.partitionBy("law").orderBy("id"))).select("law", "pos", F.col("pos").cast("string").alias("n"), "t")
+        before = laws.select("law").distinct().select("law", F.lit("§§CAPITULO I\nx").alias("text"))
+        got = corpus.section_titles(arts, before, "law").collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert len(got) == 4000 and {r["u"] for r in got} == {"CAPITULO I"}
