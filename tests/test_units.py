@@ -287,3 +287,27 @@ def test_sharpness_agrees_with_pixels_and_shuffles_none(spark):
     plain = lambda df: sorted((r["img"], None if r["blur"] is None else round(r["blur"], 4), round(r["std"], 6)) for r in df.collect())
     assert plain(got) == plain(want)
     assert "Exchange" not in got._jdf.queryExecution().toString()
+
+
+def test_repeated_pages_by_first_shingles(spark, monkeypatch):
+    """Against all pairs, with frequent lines, copies of copies, short pages and copies of a page; sets of pages that meet nothing are not shuffled."""
+    monkeypatch.setattr(algebra, "SAMPLE", 2)
+    r = np.random.default_rng(4)
+    words = lambda n: [f"w{x}" for x in r.integers(0, 500, n)]
+    line = words(12)
+    texts = [words(40) + line + words(r.integers(0, 20)) for _ in range(60)]
+    for k in range(40):
+        t = list(texts[k])
+        t[int(r.integers(0, len(t)))] = "x"
+        texts.append(t)
+    texts = [" ".join(t) for t in texts] + ["", " ", "a b", "a  B", "c"] + [" ".join(texts[0])] * 2
+    pages = [("d", k, t) for k, t in enumerate(texts)] + [("e", 0, texts[0]), (None, 7, "a b"), ("d", 900, None)]
+    got = {(x["k"], x["p"], x["earlier"]) for x in algebra.repeated_pages(spark.createDataFrame(pages, "k string, p long, t string"), "k", "p", "t").collect()}
+
+    def grams(t):
+        w = " ".join(t.lower().split()).split(" ")
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    sets = [grams(t) for t in texts]
+    want = {("d", i, min(js)) for i, a in enumerate(sets) if (js := [j for j in range(i) if len(a & sets[j]) >= 0.8 * len(a | sets[j])])}
+    assert len(want) > 25 and got == want
