@@ -41,15 +41,26 @@ def is_convex(points: Column) -> Column:
     return F.forall(t, lambda x: x > 0) | F.forall(t, lambda x: x < 0)
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it: an array of one binds it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def ordered_corners(points: Column) -> Column:
     """Corners by angle about their centre, beginning with the least x + y; null unless there are four."""
-    cx = F.aggregate(points, F.lit(0.0), lambda s, p: s + p["x"]) / F.size(points)
-    cy = F.aggregate(points, F.lit(0.0), lambda s, p: s + p["y"]) / F.size(points)
-    by_angle = F.array_sort(F.transform(points, lambda p: F.struct(F.atan2(p["y"] - cy, p["x"] - cx).alias("t"), p["x"].alias("x"), p["y"].alias("y"))))
-    clean = F.transform(by_angle, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    sums = F.transform(clean, lambda p: p["x"] + p["y"])
-    first = F.array_position(sums, F.array_min(sums)).cast("int")
-    return F.when(F.size(points) == 4, F.concat(F.slice(clean, first, F.lit(4)), F.slice(clean, F.lit(1), first - 1)))
+    mean = lambda ps, k: F.aggregate(ps, F.lit(0.0), lambda s, p: s + p[k]) / F.size(ps)
+
+    def by_angle(ps: Column, c: Column) -> Column:
+        turned_to = F.array_sort(F.transform(ps, lambda p: F.struct(F.atan2(p["y"] - c["y"], p["x"] - c["x"]).alias("t"), p["x"].alias("x"), p["y"].alias("y"))))
+        return F.transform(turned_to, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+
+    def begun(clean: Column) -> Column:
+        first = bound(F.transform(clean, lambda p: p["x"] + p["y"]), lambda sums: F.array_position(sums, F.array_min(sums)).cast("int"))
+        return bound(first, lambda k: F.concat(F.slice(clean, k, F.lit(4)), F.slice(clean, F.lit(1), k - 1)))
+
+    centre = lambda ps: F.struct(mean(ps, "x").alias("x"), mean(ps, "y").alias("y"))
+    ordered = bound(points, lambda ps: bound(centre(ps), lambda c: bound(by_angle(ps, c), begun)))
+    return F.when(F.size(points) == 4, ordered)
 
 
 def angles(points: Column) -> Column:

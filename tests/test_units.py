@@ -311,3 +311,13 @@ def test_repeated_pages_by_first_shingles(spark, monkeypatch):
     sets = [grams(t) for t in texts]
     want = {("d", i, min(js)) for i, a in enumerate(sets) if (js := [j for j in range(i) if len(a & sets[j]) >= 0.8 * len(a | sets[j])])}
     assert len(want) > 25 and got == want
+
+
+def test_corners_are_sorted_once_a_quad(spark):
+    df = spark.createDataFrame([(1, [5.0, 5.0, 0.0, 0.0, 0.0, 4.0, 6.0, 1.0])], "id int, v array<double>")
+    q = geometry.polygon(*[F.col("v")[k] for k in range(8)])
+    got = df.select(geometry.ordered_corners(q).alias("o"), geometry.ordered_corners(F.slice(q, 1, 3)).alias("none"))
+    row = got.first()
+    assert [tuple(p) for p in row["o"]] == [(0.0, 0.0), (6.0, 1.0), (5.0, 5.0), (0.0, 4.0)] and row["none"] is None
+    plan = df.select(geometry.ordered_corners(q).alias("o"))._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("atan2(") == 1
