@@ -14,10 +14,12 @@ from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.functions.values import cell_range, typed
+from scriptoria.operators import flat_layout
 from scriptoria.operators.state import dealt
 
 WORD = "page long, t string, x0 double, y0 double, x1 double, y1 double, b boolean, conf double"
@@ -270,8 +272,8 @@ def blocks(words: list[dict], rules: list[dict]) -> Iterator[tuple[int, str, int
             number += 1
 
 
-def _by_page(words: DataFrame, one, schema: str, more: DataFrame | None = None) -> DataFrame:
-    """(page, …): one() of each page's words, and rows of more like them, which are not checked. Pages come one after the other in a sorted partition, each held alone."""
+def _by_page(words: DataFrame, one, schema: str) -> DataFrame:
+    """(page, …): one() of each page's words. Pages come one after the other in a sorted partition, each held alone."""
     names = ["page", *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,25 +291,120 @@ def _by_page(words: DataFrame, one, schema: str, more: DataFrame | None = None)
     from pyspark.sql.types import _parse_datatype_string
 
     made = to_arrow_schema(_parse_datatype_string(f"page long, {schema}"))
-    rows = usable_words(words)
-    rows = dealt(rows.unionByName(more.select(*rows.columns)), "page", mixed=True) if more is not None else dealt(rows, "page")
-    return rows.sortWithinPartitions("page", "y0", "x0").mapInArrow(run, f"page long, {schema}")
+    return dealt(usable_words(words), "page").sortWithinPartitions("page", "y0", "x0").mapInArrow(run, f"page long, {schema}")
 
 
-def page_blocks(words: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """(page, block, kind, row, col, text, b): cells of each page's borderless tables (kind rows) and its lines of text.
+#: What a piece of a page holds beside its words' texts, six numbers a word, and of rules, three numbers each: few vectors, since Spark measures each after every row.
+PLACE, RULE = ("x0", "y0", "x1", "y1", "b", "conf"), ("y", "x0", "x1")
+#: A word that is a rule read as text, as rlike has it: a line end may follow.
+DRAWN = r"^[|_\-–—=~]+(?:\r\n|[\n\r\x{85}\x{2028}\x{2029}])?$"
+#: Pages wider than so many pixels are laid out one by one.
+WIDEST = 100_000
+
 
-    rules: horizontal rules (page, y, x0, x1), if there are any.
+def _by_whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The same rows, in tables that end where a page ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        page = batch.column("page")
+        last = pc.equal(page, page[-1]).fill_null(False) if page[-1].is_valid else pc.is_null(page)
+        others = np.flatnonzero(~last.to_numpy(zero_copy_only=False))
+        cut = int(others[-1]) + 1 if len(others) else 0
+        if held and (cut or held[-1].column("page")[-1] != page[-1]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _rows_of_pages(pieces: pa.Table) -> Iterator[list[pa.Array]]:
+    """page, block, kind, row, cells, bold of whole pages (page, ts, places, rules)."""
+    pieces = pieces.combine_chunks()
+    column = lambda name: pieces.column(name).chunk(0)
+    key = column("page")
+    number = lambda v, null=np.nan: v.fill_null(null).to_numpy(zero_copy_only=False)
+    of_piece = np.cumsum(flat_layout.changes(number(key, 0)) | flat_layout.changes(number(key.is_null(), False))) - 1
+    lists, rules = column("ts"), column("rules")
+    owner = np.repeat(of_piece, number(pc.list_value_length(lists), 0))
+    rule_owner = np.repeat(of_piece, number(pc.list_value_length(rules), 0) // len(RULE))
+    t, across = lists.flatten(), list(number(rules.flatten()).reshape(-1, len(RULE)).T)
+    places = number(column("places").flatten()).reshape(-1, len(PLACE))
+    usable = pc.and_(pc.not_equal(pc.utf8_trim(t, " "), ""), pc.invert(pc.match_substring_regex(t, DRAWN))).fill_null(False)
+    usable = number(usable, False) & ~(places[:, 5] < 15)
+    t, owner = t.filter(pa.array(usable)), owner[usable]
+    if not len(t):
+        return
+    x0, y0, x1, y1, b, conf = places[usable].T
+    b = b == 1
+    odd = ~((x1 >= x0) & (y1 >= y0))
+    page = np.cumsum(flat_layout.changes(owner)) - 1
+    begin = np.flatnonzero(flat_layout.changes(owner))
+    odd[begin] |= ~(np.maximum.reduceat(x1, begin) - np.minimum.reduceat(x0, begin) <= WIDEST)
+    alone = np.logical_or.reduceat(odd, begin)
+    name = key.take(pa.array(np.searchsorted(of_piece, owner[begin])))
+    most = ~alone[page]
+    if most.any():
+        kept = np.cumsum(~alone) - 1
+        place = np.full(len(key) + 1, -1)
+        place[owner[begin[~alone]]] = kept[~alone]
+        own = place[rule_owner] >= 0
+        some = t if most.all() else t.filter(pa.array(most))
+        p, number_, table, row, cells, bold = flat_layout.rows_of(
+            kept[page[most]], some, x0[most], y0[most], x1[most], y1[most], b[most], (place[rule_owner[own]], *(v[own] for v in across)), _dealt
+        )
+        yield [name.filter(pa.array(~alone)).take(pa.array(p)), pa.array(number_, pa.int32()), pa.array(np.where(table, "rows", "text")), pa.array(row, pa.int32()), cells, bold]
+    for k in np.flatnonzero(alone):
+        at = page == k
+        held = [dict(zip(("t", *PLACE), w, strict=True)) for w in zip(t.filter(pa.array(at)).to_pylist(), *(v[at].tolist() for v in (x0, y0, x1, y1, b, conf)), strict=True)]
+        held.sort(key=lambda w: (w["y0"], w["x0"]))
+        drawn = [dict(zip(("y", "x0", "x1"), v, strict=True)) for v in zip(*(v[rule_owner == owner[begin[k]]].tolist() for v in across), strict=True)]
+        for (block, kind, row), found in groupby(blocks(held, drawn), key=lambda x: x[:3]):
+            own = {c: (text, bold) for *_, c, text, bold in found}
+            filled = [own.get(c, (None, None)) for c in range(max(own) + 1)]
+            yield [name[int(k) : int(k) + 1], *(pa.array([v]) for v in (block, kind, row, [x for x, _ in filled], [x for _, x in filled]))]
+
+
+def page_rows(words: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """(page, block, kind, row, cells, bold): rows of each page's borderless tables (kind rows), cells and whether they are bold by column, null where empty; a line of text is one cell.
+
+    words: one a row, or pieces of pages (page, ts, places, rules), any number a page: texts, six numbers for each (see PLACE;
+    b is 1 if bold), three numbers for each rule (see RULE); pieces that lie by page already are not dealt anew. rules:
+    horizontal rules (page, y, x0, x1), if there are any.
     """
-    drawn = None
-    if rules is not None:
-        drawn = rules.select("page", F.lit(None).cast("string").alias("t"), "x0", F.col("y").alias("y0"), "x1", F.col("y").alias("y1"), F.lit(False).alias("b"), F.lit(None).cast("double").alias("conf"))
+    pieces, numbers = words, lambda names: F.array(*[F.col(c).cast("double") for c in names])
+    empty = lambda of: F.array().cast(f"array<{of}>")
+    if "ts" not in words.columns:
+        pieces = words.select("page", F.array("t").alias("ts"), numbers(PLACE).alias("places"), empty("double").alias("rules"))
+    # The window deals and sorts by page, each only where that is not so yet.
+    if rules is None:
+        pieces = pieces.select("page", "ts", "places", "rules", F.row_number().over(Window.partitionBy("page").orderBy("page")).alias("_k"))
+    else:
+        drawn = rules.select("page", empty("string").alias("ts"), empty("double").alias("places"), numbers(RULE).alias("rules"))
+        pieces = dealt(pieces.unionByName(drawn), "page", mixed=True).sortWithinPartitions("page")
+    schema = "page long, block int, kind string, row int, cells array<string>, bold array<boolean>"
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    made = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_whole_pages(batches):
+            for columns in _rows_of_pages(table):
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, made, strict=True)], schema=made)
+
+    return pieces.mapInArrow(run, schema)
 
-    def one(held: list[dict]) -> list[tuple]:
-        lines = [{"y": r["y0"], "x0": r["x0"], "x1": r["x1"]} for r in held if r["t"] is None]
-        return list(blocks([w for w in held if w["t"] is not None], lines))
 
-    return _by_page(words, one, "block int, kind string, row int, col int, text string, b boolean", drawn)
+def page_blocks(words: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """(page, block, kind, row, col, text, b): filled cells of page_rows, one a row."""
+    cells = page_rows(words, rules).select("page", "block", "kind", "row", F.posexplode(F.arrays_zip("cells", "bold")).alias("col", "z"))
+    return cells.where("z.cells IS NOT NULL").select("page", "block", "kind", "row", "col", F.col("z.cells").alias("text"), F.col("z.bold").alias("b"))
 
 
 def page_tables(words: DataFrame, rules: DataFrame | None = None) -> DataFrame:
