@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions.values import cell_range, typed
 from scriptoria.operators import flat_layout
+from scriptoria.operators.geometry import bound
 from scriptoria.operators.state import dealt
 
 WORD = "page long, t string, x0 double, y0 double, x1 double, y1 double, b boolean, conf double"
@@ -431,11 +432,18 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     return marked.groupBy("page", "para").agg(F.regexp_replace(F.regexp_replace(joined, r"(\p{L})-\n(\p{L})", "$1$2"), "\n", " ").alias("text"))
 
 
-def _upper_median(value: Column, page: str, name: str, df: DataFrame) -> DataFrame:
-    """df with the upper median of the value in each page, nulls apart: the value whose rank is half their number, rounded down, from 0."""
-    w = Window.partitionBy(page)
-    ranked = df.withColumn("_v", value).withColumn("_n", F.count("_v").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.asc_nulls_last("_v"))))
-    return ranked.withColumn(name, F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col("_v"))).over(w)).drop("_v", "_n", "_r")
+def _upper_median(values: Column) -> Column:
+    """Of an array, nulls apart: the value whose rank is half their number, rounded down, from 0."""
+    return bound(F.sort_array(F.filter(values, lambda v: v.isNotNull())), lambda vs: F.get(vs, F.floor(F.size(vs) / 2).cast("int")))
+
+
+def _record(**fields: Column) -> Column:
+    """A struct by names; inside nested lambdas F.struct loses those of aliases."""
+    return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+
+
+#: What styled paragraphs need of a line; page and line tell its place.
+STYLED = ("line", "text", "x0", "x1", "y0", "h", "b", "width")
 
 
 def styled_paragraphs(lines: DataFrame) -> DataFrame:
@@ -447,32 +455,56 @@ def styled_paragraphs(lines: DataFrame) -> DataFrame:
     reach the margin is justified. Hyphens at ends go. interline: of the page, from pitch and height, 1 to 2.4. Lines without
     text or place are left out.
     """
-    own = lines.where("text IS NOT NULL AND x0 IS NOT NULL AND x1 IS NOT NULL AND y0 IS NOT NULL")
-    w, order = Window.partitionBy("page"), Window.partitionBy("page").orderBy("line")
-    own = own.withColumn("_l", F.min("x0").over(w)).withColumn("_r0", F.max("x1").over(w)).withColumn("_gap", F.col("y0") - F.lag("y0").over(order))
-    own = _upper_median(F.when(F.col("h") > 0, F.col("h")), "page", "_h", own).withColumn("_h", F.coalesce("_h", F.lit(12.0)))
-    own = _upper_median(F.col("_gap"), "page", "_pitch", own)
-    own = own.withColumn("_pitch", F.when(F.col("_pitch") != 0, F.col("_pitch")).otherwise(F.col("_h") * 1.5))
-    cover, wide = F.greatest(F.col("_r0") - F.col("_l"), F.lit(1.0)), F.col("x1") - F.col("x0")
-    centred = (wide < cover * 0.85) & (F.abs((F.col("x0") + F.col("x1") - F.col("_l") - F.col("_r0")) / 2) < F.col("width") * 0.035) & (F.col("x0") > F.col("_l") + F.col("width") * 0.04)
-    right = (F.col("x0") > F.col("_l") + cover * 0.35) & (F.col("_r0") - F.col("x1") < F.col("width") * 0.03)
-    high = F.coalesce(F.when(F.col("h") > 0, F.col("h")), F.col("_h")) / F.col("_h")
-    own = own.withColumn("_align", F.when(centred, "center").when(right, "right").otherwise("left")).withColumn("_head", F.when(high >= 1.3, high).otherwise(F.lit(0.0)))
-    own = own.withColumn("_short", F.col("_r0") - F.col("x1")).withColumn("_cover", cover)
-    before = lambda c: F.lag(c).over(order)
-    # Inside a paragraph all lines are left, no headings and as bold, so the line before tells of the paragraph.
-    alike = (F.col("_align") == "left") & (before("_align") == "left") & (F.col("_head") == 0) & (before("_head") == 0) & F.col("b").eqNullSafe(before("b"))
-    goes_on = alike & (F.col("_gap") <= F.col("_pitch") * 1.35) & (before("_short") < F.col("_cover") * 0.12) & ~F.rtrim(before("text")).endswith(":")
-    marked = own.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("para", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    marked = marked.withColumn("_end", F.col("line") == F.max("line").over(Window.partitionBy("page", "para")))
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: F.trim(F.regexp_replace(x["text"], r"\s{2,}", " "))), "\n")
+    return styled_pages(lines.groupBy("page").agg(F.collect_list(F.struct(*STYLED)).alias("lines")))
+
+
+def styled_pages(pages: DataFrame) -> DataFrame:
+    """styled_paragraphs of whole pages (page, lines: array of structs as STYLED has them): each row by itself, nothing is shuffled or sorted."""
+    given = F.filter("lines", lambda x: x["text"].isNotNull() & x["x0"].isNotNull() & x["x1"].isNotNull() & x["y0"].isNotNull())
+    own = F.sort_array(F.transform(given, lambda x: _record(**{c: x[c] for c in STYLED})))
+    each = lambda ls, c: F.transform(ls, lambda x: x[c])
+
+    def page(ls: Column) -> Column:
+        gaps = F.transform(ls, lambda x, i: x["y0"] - F.get(ls, i - 1)["y0"])
+        high = F.coalesce(_upper_median(F.filter(each(ls, "h"), lambda h: h > 0)), F.lit(12.0))
+        return bound(_record(gaps=gaps, h=high, l=F.array_min(each(ls, "x0")), r=F.array_max(each(ls, "x1"))), lambda z: bound(_record(pitch=_upper_median(z["gaps"]), cover=F.greatest(z["r"] - z["l"], F.lit(1.0))), lambda y: marked(ls, z, y)))
+
+    def marked(ls: Column, z: Column, y: Column) -> Column:
+        pitch, cover = F.when(y["pitch"] != 0, y["pitch"]).otherwise(z["h"] * 1.5), y["cover"]
+
+        def line(x: Column, i: Column) -> Column:
+            centred = (x["x1"] - x["x0"] < cover * 0.85) & (F.abs((x["x0"] + x["x1"] - z["l"] - z["r"]) / 2) < x["width"] * 0.035) & (x["x0"] > z["l"] + x["width"] * 0.04)
+            right = (x["x0"] > z["l"] + cover * 0.35) & (z["r"] - x["x1"] < x["width"] * 0.03)
+            high = F.coalesce(F.when(x["h"] > 0, x["h"]), z["h"]) / z["h"]
+            align = F.when(centred, "center").when(right, "right").otherwise("left")
+            return _record(line=x["line"], text=x["text"], b=x["b"], align=align, head=F.when(high >= 1.3, high).otherwise(F.lit(0.0)), short=z["r"] - x["x1"], gap=F.get(z["gaps"], i))
+
+        return bound(F.transform(ls, line), lambda a: bound(starts(a, pitch, cover), lambda at: _record(pitch=pitch, cover=cover, h=z["h"], paras=parts(a, at))))
+
+    def starts(a: Column, pitch: Column, cover: Column) -> Column:
+        def new(i: Column) -> Column:
+            x, before = F.get(a, i), F.get(a, i - 1)
+            # Inside a paragraph all lines are left, no headings and as bold, so the line before tells of the paragraph.
+            alike = (x["align"] == "left") & (before["align"] == "left") & (x["head"] == 0) & (before["head"] == 0) & x["b"].eqNullSafe(before["b"])
+            goes_on = alike & (x["gap"] <= pitch * 1.35) & (before["short"] < cover * 0.12) & ~F.rtrim(before["text"]).endswith(":")
+            return (i == 0) | ~F.coalesce(goes_on, F.lit(False))
+
+        return F.filter(F.sequence(F.lit(0), F.size(a) - 1), new)
+
+    def parts(a: Column, at: Column) -> Column:
+        return F.transform(at, lambda s, k: F.slice(a, s + 1, F.coalesce(F.get(at, k + 1), F.size(a)) - s))
+
+    laid = pages.select("page", own.alias("own")).where(F.size("own") > 0).select("page", bound(F.col("own"), page).alias("z"))
+    paras = laid.select("page", F.col("z.pitch").alias("pitch"), F.col("z.cover").alias("cover"), F.col("z.h").alias("h"), F.posexplode("z.paras").alias("para", "p"))
+    said = F.array_join(F.transform("p", lambda x: F.trim(F.regexp_replace(x["text"], r"\s{2,}", " "))), "\n")
     said = F.regexp_replace(F.regexp_replace(said, r"(?<=[A-Za-zÁÉÍÓÚÑáéíóúñ])-\n", ""), "\n", " ")
-    full = (F.count("*") > 1) & F.bool_and(F.col("_end") | (F.col("_short") < F.col("_cover") * 0.06))
-    head, align = F.max("_head"), F.first("_align")
-    interline = F.greatest(F.lit(1.0), F.least(F.lit(2.4), F.floor(F.first("_pitch") / (F.first("_h") / 1.02) * 100 + 0.5) / 100))
-    return marked.groupBy("page", "para").agg(
-        F.when(head > 1.75, "h1").when(head > 1.4, "h2").when(head > 0, "h3").otherwise("p").alias("tag"), F.when(full & (align == "left"), "justify").otherwise(align).alias("align"),
-        F.coalesce(F.first("b"), F.lit(False)).alias("bold"), interline.alias("interline"), said.alias("text"),
+    last = F.element_at("p", -1)["line"]
+    full = (F.size("p") > 1) & F.forall("p", lambda x: (x["line"] == last) | (x["short"] < F.col("cover") * 0.06))
+    head, first = F.array_max(each(F.col("p"), "head")), F.element_at("p", 1)
+    interline = F.greatest(F.lit(1.0), F.least(F.lit(2.4), F.floor(F.col("pitch") / (F.col("h") / 1.02) * 100 + 0.5) / 100))
+    return paras.select(
+        "page", F.col("para").cast("long").alias("para"), F.when(head > 1.75, "h1").when(head > 1.4, "h2").when(head > 0, "h3").otherwise("p").alias("tag"),
+        F.when(full & (first["align"] == "left"), "justify").otherwise(first["align"]).alias("align"), F.coalesce(first["b"], F.lit(False)).alias("bold"), interline.alias("interline"), said.alias("text"),
     )
 
 

@@ -321,3 +321,17 @@ def test_corners_are_sorted_once_a_quad(spark):
     assert [tuple(p) for p in row["o"]] == [(0.0, 0.0), (6.0, 1.0), (5.0, 5.0), (0.0, 4.0)] and row["none"] is None
     plan = df.select(geometry.ordered_corners(q).alias("o"))._jdf.queryExecution().analyzed().toString().lower()
     assert plan.count("atan2(") == 1
+
+
+def test_styled_pages_are_not_shuffled_and_equal_their_lines(spark):
+    lines = [(p, k, f"text {k}-" if k % 3 else "  head:  ", 50.0 + 100 * (k % 4 == 3), 550.0 - 200 * (k % 5 == 4), k * (12.0 + p % 2), 10.0 + 8 * (k == 0), p == 3, 600.0) for p in range(6) for k in range(p * 2)]
+    lines += [(6, 0, None, 1.0, 2.0, 3.0, 4.0, None, 5.0), (7, 0, "alone", 1.0, 2.0, 3.0, None, None, None)]
+    df = spark.createDataFrame(lines, "page long, line int, text string, x0 double, x1 double, y0 double, h double, b boolean, width double").repartition(3)
+    whole = spark.createDataFrame([(p, [x[1:] for x in lines if x[0] == p][::-1]) for p in range(9)], "page long, lines array<struct<line int, text string, x0 double, x1 double, y0 double, h double, b boolean, width double>>")
+    got = layout.styled_pages(whole)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, layout.styled_paragraphs(df).collect()))
+    assert {r.page for r in got.collect()} == {1, 2, 3, 4, 5, 7}
+    from scriptoria.plans import catalogue
+
+    plan = catalogue.QUERIES["paged_paragraphs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 1 and "Sort" not in plan and "Window" not in plan
