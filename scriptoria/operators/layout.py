@@ -553,7 +553,12 @@ def pitch(lines: DataFrame, key: str, y: str) -> DataFrame:
 
 
 def visible_cells(cells: DataFrame, hidden_rows: DataFrame, hidden_cols: DataFrame) -> DataFrame:
-    return cells.join(hidden_rows, ["sheet", "r"], "left_anti").join(hidden_cols, ["sheet", "c"], "left_anti")
+    """Cells that no hidden row (sheet, r) or column (sheet, c) has. What a sheet hides is sent to its cells as two sets, so cells that lie by sheet stay where they are."""
+    found = cells
+    for hidden, c in ((hidden_rows, "r"), (hidden_cols, "c")):
+        sets = hidden.groupBy(F.col("sheet").alias("_of")).agg(F.collect_set(c).alias("_set"))
+        found = found.join(sets, F.col("sheet") == F.col("_of"), "left").where(~F.coalesce(F.array_contains("_set", F.col(c)), F.lit(False))).drop("_of", "_set")
+    return found
 
 
 def shown_cells(cells: DataFrame, sheets: DataFrame, hidden_rows: DataFrame, hidden_cols: DataFrame) -> DataFrame:
@@ -562,11 +567,12 @@ def shown_cells(cells: DataFrame, sheets: DataFrame, hidden_rows: DataFrame, hid
     sheets: (sheet, asked, printed), ranges as A1 texts. A range that is asked for beats the print area, and that the used
     range; a text that is no range counts as none. A sheet that sheets lacks shows its used range.
     """
-    used = cells.groupBy("sheet").agg(F.struct(F.min("r").alias("r1"), F.min("c").alias("c1"), F.max("r").alias("r2"), F.max("c").alias("c2")).alias("used"))
-    named = sheets.select(F.col("sheet").alias("of"), cell_range(F.col("asked")).alias("asked"), cell_range(F.col("printed")).alias("printed"))
-    area = used.join(named, F.col("sheet") == F.col("of"), "left").select("sheet", F.coalesce("asked", "printed", "used").alias("area"))
-    inside = F.col("r").between(F.col("area.r1"), F.col("area.r2")) & F.col("c").between(F.col("area.c1"), F.col("area.c2"))
-    return visible_cells(cells.join(area, "sheet").where(inside).drop("area"), hidden_rows, hidden_cols)
+    w = Window.partitionBy("sheet")
+    used = F.struct(*[f(c).over(w).alias(n) for f, c, n in ((F.min, "r", "r1"), (F.min, "c", "c1"), (F.max, "r", "r2"), (F.max, "c", "c2"))])
+    named = sheets.select(F.col("sheet").alias("_sheet"), F.coalesce(cell_range(F.col("asked")), cell_range(F.col("printed"))).alias("_named"))
+    each = cells.where("sheet IS NOT NULL").withColumn("_used", used).join(named, F.col("sheet") == F.col("_sheet"), "left").withColumn("_area", F.coalesce("_named", "_used"))
+    inside = F.col("r").between(F.col("_area.r1"), F.col("_area.r2")) & F.col("c").between(F.col("_area.c1"), F.col("_area.c2"))
+    return visible_cells(each.where(inside).drop("_used", "_sheet", "_named", "_area"), hidden_rows, hidden_cols)
 
 
 def fit_scale(width: Column, height: Column, room_w: Column, room_h: Column, mode: Column) -> Column:

@@ -335,3 +335,24 @@ def test_styled_pages_are_not_shuffled_and_equal_their_lines(spark):
 
     plan = catalogue.QUERIES["paged_paragraphs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hash") == 1 and "Sort" not in plan and "Window" not in plan
+
+
+def test_shown_cells_stay_with_their_sheet(spark):
+    """The cells are dealt once, by sheet: no row or column of one deals them anew."""
+    cells = spark.createDataFrame([(s, r, c, f"{s}{r}{c}") for s in (1, 2, 3) for r in range(1, 5) for c in range(1, 4)] + [(None, 1, 1, "none"), (4, None, 1, "no row")], "sheet long, r int, c int, v string")
+    sheets = spark.createDataFrame([(1, "S!$A$1:$B$2", "C3"), (2, "none", "B4:A2")], "sheet long, asked string, printed string")
+    rows, cols = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (9, 1)], "sheet long, r int"), spark.createDataFrame([(3, 2), (3, 2), (2, None)], "sheet long, c int")
+    got = layout.shown_cells(cells, sheets, rows, cols)
+    assert sorted(r.v for r in got.collect()) == ["111", "112", "221", "222", "241", "242", "321", "323", "331", "333"]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = layout.shown_cells(cells, sheets, rows, cols)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    from scriptoria.plans import catalogue
+
+    assert "hashpartitioning(sheet#" in plan and not any(", r#" in x or ", c#" in x for x in plan.split("\n") if "hashpartitioning" in x)
+    plan = catalogue.QUERIES["shown_areas"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(sheet#" in plan and not any("hashpartitioning(sheet" in x for x in plan.split("Generate")[0].split("SortMergeJoin")[0].split("\n"))
+    assert plan.count("Exchange hashpartitioning") <= 4
