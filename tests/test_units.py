@@ -356,3 +356,18 @@ def test_shown_cells_stay_with_their_sheet(spark):
     plan = catalogue.QUERIES["shown_areas"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(sheet#" in plan and not any("hashpartitioning(sheet" in x for x in plan.split("Generate")[0].split("SortMergeJoin")[0].split("\n"))
     assert plan.count("Exchange hashpartitioning") <= 4
+
+
+def test_crossings_are_dealt_by_cells(spark):
+    """One hot page is many cells, which no task holds together; rows are those of all pairs."""
+    from scriptoria.plans import catalogue
+
+    plan = catalogue.QUERIES["segment_crossings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    r = np.random.default_rng(4)
+    h = [(1, k, *map(int, r.integers(-90, 90, 3))) for k in range(60)]
+    v = [(1, k, *map(int, r.integers(-90, 90, 3))) for k in range(60)]
+    want = [(a[1], b[1]) for a in h for b in v if min(a[3:]) == a[3] and min(b[3:]) == b[3] and a[3] - 6 <= b[2] <= a[4] + 6 and b[3] - 6 <= a[2] <= b[4] + 6]
+    hs, vs = spark.createDataFrame(h, "page int, h int, y int, x0 int, x1 int").where("x0 <= x1"), spark.createDataFrame(v, "page int, v int, x int, y0 int, y1 int").where("y0 <= y1")
+    for cell in (4, 8, 64):
+        assert sorted(map(tuple, algebra.crossings(hs, vs, "page", cell=cell).select("h", "v").collect())) == sorted(want)
