@@ -46,17 +46,25 @@ def rolled_date(day: Column, month: Column, year: Column) -> Column:
 
 def typed(c: Column) -> Column:
     """struct(kind, str, num, date, fmt): the first rule that fits decides; blanks give kind null."""
-    s = trimmed(c)
+    # The text without blanks, its date and its rule are found once each and bound; what follows looks at one pattern only.
+    return _once(trimmed(c), lambda s: _once(F.when(s.rlike(DATE), _date(s)), lambda date: _once(F.named_struct(F.lit("s"), s, F.lit("rule"), _rule(s, date), F.lit("date"), date), _typed_by_rule)))
+
+
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it: an array of one binds it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _date(s: Column) -> Column:
+    part = lambda k: F.regexp_extract(s, DATE, k).cast("int")
+    return _once(part(3), lambda y: rolled_date(part(1), part(2), F.when(y < 100, y + 2000).otherwise(y)))
+
+
+def _rule(s: Column, date: Column) -> Column:
     text = F.lit(False)
     for p in KEEP_TEXT:
         text = text | s.rlike(p)
-    part = lambda k: F.regexp_extract(s, DATE, k).cast("int")
-    year = F.when(part(3) < 100, part(3) + 2000).otherwise(part(3))
-    date = F.when(s.rlike(DATE), rolled_date(part(1), part(2), year))
-    rule = F.when(s.isNull() | (s == ""), None).when(text, 0).when(date.isNotNull(), 1).when(s.rlike(DECIMAL), 2).when(s.rlike(CURRENCY), 3).when(s.rlike(INTEGER), 4).when(s.rlike(PERCENT), 5).otherwise(0)
-    # Each cell's rule is found once and bound; what follows looks at one pattern only.
-    known = F.array(F.struct(s.alias("s"), rule.alias("rule"), date.alias("date")))
-    return F.element_at(F.transform(known, _typed_by_rule), 1)
+    return F.when(s.isNull() | (s == ""), None).when(text, 0).when(date.isNotNull(), 1).when(s.rlike(DECIMAL), 2).when(s.rlike(CURRENCY), 3).when(s.rlike(INTEGER), 4).when(s.rlike(PERCENT), 5).otherwise(0)
 
 
 def _typed_by_rule(x: Column) -> Column:
@@ -69,7 +77,8 @@ def _typed_by_rule(x: Column) -> Column:
     )
     fmt = F.when(rule == 1, F.lit("dd/mm/yyyy")).when(rule == 2, F.concat(F.lit("#,##0."), F.repeat(F.lit("0"), F.length(decimals)))).when(rule == 3, F.lit('"$" #,##0')).when(rule == 5, F.lit("0.##%"))
     kind = F.when(rule == 0, F.lit("text")).when(rule == 1, F.lit("date")).otherwise(F.lit("number"))
-    return F.when(rule.isNotNull(), F.struct(kind.alias("kind"), F.when(rule == 0, s).alias("str"), number.alias("num"), F.when(rule == 1, date).alias("date"), fmt.alias("fmt")))
+    fields = {"kind": kind, "str": F.when(rule == 0, s), "num": number, "date": F.when(rule == 1, date), "fmt": fmt}
+    return F.when(rule.isNotNull(), F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)]))
 
 
 def locale_number(c: Column, decimals: int = 2) -> Column:

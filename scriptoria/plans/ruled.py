@@ -45,10 +45,11 @@ def ruled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 LATERAL (SELECT 1 AS c, 'order ' || l_orderkey AS text UNION ALL SELECT 2, CASE WHEN day(l_shipdate) < 10 THEN strftime(l_shipdate, '%d/%m/%Y') ELSE (l_shipdate::DATE - DATE '1899-12-30')::INT || '.0' END UNION ALL SELECT 3, l_quantity::INT || '.5')""")
 def workbooks_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-3 and SRC-8: the lines of each order written as a workbook with typed cells, and read again. Dates that begin with 0 stay text."""
-    l = table(spark, sf_dir, "lineitem")
-    r = F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_quantity)")
-    texts = F.array(F.concat(F.lit("order "), F.col("l_orderkey").cast("string")), F.date_format("l_shipdate", "dd/MM/yyyy"), F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(",5")))
-    cells = l.withColumn("r", r).select(F.col("l_orderkey").alias("book"), F.lit("Orders/of:it").alias("sheet"), "r", F.posexplode(texts).alias("c", "text"))
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book"), "l_linenumber", "l_shipdate", "l_quantity")
+    # Named before they are numbered, so that lines are known to lie by book.
+    l = l.withColumn("r", F.expr("row_number() OVER (PARTITION BY book ORDER BY l_linenumber, l_shipdate, l_quantity)"))
+    texts = F.array(F.concat(F.lit("order "), F.col("book").cast("string")), F.date_format("l_shipdate", "dd/MM/yyyy"), F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(",5")))
+    cells = l.select("book", F.lit("Orders/of:it").alias("sheet"), "r", F.posexplode(texts).alias("c", "text"))
     cells = cells.select("book", "sheet", "r", (F.col("c") + 1).alias("c"), "text", F.lit(False).alias("bold"), F.lit(None).cast("int").alias("r2"), F.lit(None).cast("int").alias("c2"))
     return writers.parsed(writers.workbooks(cells), files.sheet_cells, "sheet string, r int, c int, text string")
 

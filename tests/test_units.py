@@ -371,3 +371,25 @@ def test_crossings_are_dealt_by_cells(spark):
     hs, vs = spark.createDataFrame(h, "page int, h int, y int, x0 int, x1 int").where("x0 <= x1"), spark.createDataFrame(v, "page int, v int, x int, y0 int, y1 int").where("y0 <= y1")
     for cell in (4, 8, 64):
         assert sorted(map(tuple, algebra.crossings(hs, vs, "page", cell=cell).select("h", "v").collect())) == sorted(want)
+
+
+def test_workbooks_of_one_book_a_row(spark):
+    """Cells in any order, two sheets, a merge, other formats and no book: files as zip has them, one row a book for Python."""
+    import io
+
+    from scriptoria.sources import writers
+
+    cells = [(2, "b", 1, 1, "x", False, None, None), (1, "b/c", 2, 28, "$ 7", True, None, None), (1, "a", 3, 1, "12/03/2024", False, 4, 2), (1, "a", 1, 2, "1,5", False, None, None), (1, "a", 1, 1, "é & <", False, None, None), (None, "n", 1, 1, "05/11/2023", False, None, None)]
+    df = spark.createDataFrame(cells, "book long, sheet string, r int, c int, text string, bold boolean, r2 int, c2 int").repartition(4)
+    made = writers.workbooks(df)
+    books = {r.book: bytes(r.content) for r in made.collect()}
+    assert sorted(map(str, books)) == ["1", "2", "None"]
+    for content in books.values():
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            assert z.testzip() is None and z.namelist()[0] == "[Content_Types].xml" and z.infolist()[0].date_time == (2000, 1, 1, 0, 0, 0)
+    assert files.sheet_cells(books[1]) == [("a", 1, 1, "é & <"), ("a", 1, 2, "1.5"), ("a", 3, 1, "45363.0"), ("b c", 2, 28, "7.0")]
+    assert files.sheet_cells(books[None]) == [("n", 1, 1, "05/11/2023")]
+    with zipfile.ZipFile(io.BytesIO(books[1])) as z:
+        assert b'<mergeCell ref="A3:B4"/>' in z.read("xl/worksheets/s1.xml")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" in plan.split("MapInArrow")[1].split("\n")[1]
