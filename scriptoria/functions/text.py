@@ -142,3 +142,22 @@ def stem(word: Column) -> Column:
 
 def stems(c: Column) -> Column:
     return F.transform(words(c), stem)
+
+
+def lower_words(c: Column) -> Column:
+    """Letters and digits in lower case, with accents: what words has, before it is folded. Accents are letters, so the same runs."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+UNACCENTED, LOST = str.maketrans(*ACCENTS), frozenset(ENDINGS.split("|"))
+LONGEST_ENDING = max(map(len, LOST))
+
+
+def stem_of(word: str) -> str:
+    """The stem of one of lower_words: what stem says of it, folded."""
+    if not word.isascii():
+        word = word.translate(UNACCENTED)
+    for at in range(max(3, len(word) - LONGEST_ENDING), len(word)):
+        if word[at:] in LOST:
+            return word[:at]
+    return word

@@ -11,17 +11,22 @@ count. Questions and texts are folded, cut to stems, and synonyms stand in for e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.functions.text import stems
-from scriptoria.operators.relational import renewed
+from scriptoria.functions.text import lower_words, stem_of, stems
 from scriptoria.operators.retrieval import K1, LEAST, B
 
 #: The term of which each document has one entry, and its folder.
 WHOLE, APART = "", -1
+#: Words whose terms are counted together, about; words whose stems a task keeps; keys that are sent to all tasks, at most.
+PART, KNOWN, SENT = 1_000_000, 200_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -36,10 +41,47 @@ class Index:
         return spark.read.parquet(f"{self.path}/{name}")
 
 
-def entries(docs: DataFrame, key: str, version: str, text: Column) -> DataFrame:
-    own = docs.select(key, version, stems(text).alias("_w")).select(key, version, F.coalesce(F.size("_w"), F.lit(0)).alias("dl"), F.coalesce("_w", F.array().cast("array<string>")).alias("_w"))
-    each = own.select(key, version, "dl", F.explode(F.concat(F.array(F.lit(WHOLE)), "_w")).alias("term"))
-    return each.groupBy(key, version, "dl", "term").agg(F.count("*").alias("tf"))
+def _counted(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Entries of each row (key, version, words), by term in parts of PART words: a word is cut to its stem once a part, not once a place."""
+    stem = lru_cache(KNOWN)(stem_of)
+    for batch in batches:
+        ends = batch.column(2).offsets.to_numpy()
+        part = (ends[1:] - ends[0]) // PART
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            dl, n = np.diff(ends[a : b + 1]), b - a
+            own = batch.column(2).values.slice(ends[a], ends[b] - ends[a]).dictionary_encode()
+            term = pa.array([WHOLE, *map(stem, own.dictionary.to_pylist())], pa.string()).dictionary_encode()
+            code = term.indices.to_numpy()[1:].astype(np.int64)[own.indices.to_numpy()]
+            pairs = np.concatenate([np.arange(n), code * n + np.repeat(np.arange(n), dl)])  # WHOLE is term 0
+            pairs, tf = np.unique(pairs, return_counts=True)
+            at, doc = np.divmod(pairs, n)
+            key, version = (batch.column(k).slice(a, n).take(pa.array(doc)) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([key, version, pa.array(dl[doc].astype(np.int32)), term.dictionary.take(pa.array(at)), pa.array(tf.astype(np.int64))], names)
+
+
+def repeated(docs: DataFrame, key: str, version: str) -> DataFrame | None:
+    """Keys and versions of several rows, if there are any."""
+    found = docs.groupBy(key, version).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias("_k"), F.col(version).alias("_v"))
+    n = found.count()
+    return None if n == 0 else F.broadcast(found) if n <= SENT else found
+
+
+def entries(docs: DataFrame, key: str, version: str, text: Column, of: DataFrame | None = None) -> DataFrame:
+    """Only rows that share key and version with another one are shuffled, to be added up. of: rows of which docs are some, if docs are dear to read."""
+    names, kinds = [key, version, "dl", "term", "tf"], dict(docs.dtypes)
+    schema = f"`{key}` {kinds[key]}, `{version}` {kinds[version]}, dl int, term string, tf long"
+
+    def made(some: DataFrame) -> DataFrame:
+        own = some.select(key, version, F.coalesce(lower_words(text), F.array().cast("array<string>")).alias("_w"))
+        return own.mapInArrow(lambda batches: _counted(batches, names), schema)
+
+    several = repeated(docs if of is None else of, key, version)
+    if several is None:
+        return made(docs)
+    same = F.col(key).eqNullSafe(F.col("_k")) & F.col(version).eqNullSafe(F.col("_v"))
+    added = made(docs.join(several, same, "left_semi")).groupBy(key, version, "dl", "term").agg(F.sum("tf").alias("tf"))
+    return made(docs.join(several, same, "left_anti")).unionByName(added)
 
 
 def _folder(term: Column, folders: int) -> Column:
@@ -65,15 +107,21 @@ def store(made: DataFrame, index: Index) -> Index:
     whole = F.broadcast(index.part(spark, "whole"))  # one row
     terms = stored.where(F.col("folder") != APART).crossJoin(whole)
     terms = terms.groupBy("folder", "term").agg(F.count("*").alias("df"), F.max(gain(F.col("tf"), F.col("dl"), F.col("mean"))).alias("most"))
-    terms.sortWithinPartitions("term").write.partitionBy("folder").parquet(f"{index.path}/terms")
+    terms.hint("rebalance", F.col("folder")).sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{index.path}/terms")
     return index
 
 
 def renew(old: Index, docs: DataFrame, version: str, text: Column, path: str) -> Index:
     """A new generation at path: entries of documents whose version is the same are taken over, others are made anew, those of documents that are gone leave."""
     spark, key = docs.sparkSession, old.key
-    had = old.part(spark, "entries").drop("folder")
-    return store(renewed(had, docs, key, version, lambda new: entries(new, key, version, text)), Index(path, key, old.folders))
+    had = old.part(spark, "entries")
+    # Each document has one entry of the empty term: the others are read once, to be taken over.
+    known = had.where(F.col("folder") == APART).select(key, version).distinct()
+    same = known.join(docs.select(key, version), [key, version], "left_semi")
+    same = F.broadcast(same) if known.count() <= SENT else same
+    kept = had.drop("folder").join(same, [key, version], "left_semi")
+    new = docs.join(same, [key, version], "left_anti")
+    return store(kept.unionByName(entries(new, key, version, text, docs)), Index(path, key, old.folders))
 
 
 def asked_terms(questions: DataFrame, synonyms: DataFrame, folders: int) -> DataFrame:

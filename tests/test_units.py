@@ -200,6 +200,50 @@ def test_stored_index_equals_a_scan_and_reads_asked_folders(spark, tmp_path):
     assert rows(again) == rows(fresh)
 
 
+def test_entries_are_counted_where_the_text_lies(spark):
+    import re
+    from collections import Counter
+
+    from scriptoria.functions import text as T
+    from scriptoria.operators import index as I
+
+    kind = "id long, ver int, text string"
+    plain = [(1, 1, "Cats, cats & a CAT's Ñandú_ñandues"), (2, 1, None), (3, 1, "..."), (4, 1, "İstanbul ΣΑΣ ½x² Überfälle" * 3), (1, 2, "other version"), (None, 1, "no key")]
+    few = spark.createDataFrame(plain, kind)
+    made = I.entries(few, "id", "ver", F.col("text"))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+    def want(rows):
+        count = Counter()
+        for r in rows:
+            terms = [w for (w,) in spark.createDataFrame([(r[2],)], "t string").select(F.explode(T.stems(F.col("t")))).collect()]
+            count.update((r[0], r[1], len(terms), t) for t in ["", *terms])
+        return count
+
+    got = lambda df: {(r.id, r.ver, r.dl, r.term): r.tf for r in df.collect()}
+    assert got(made) == want(plain) and made.count() == len(want(plain))
+    # Rows of one key and version are added up, whatever batches they are in; null keys are one.
+    more = plain + [(1, 1, "Cats, cats & a CAT's Ñandú_ñandues"), (None, 1, "no key"), (3, 1, "longer than before")]
+    both = I.entries(spark.createDataFrame(more, kind).repartition(5), "id", "ver", F.col("text"))
+    assert got(both) == want(more) and both.count() == len(want(more))
+    words = sorted({w for r in more for w in re.findall(r"\w+", (r[2] or "").lower())} | {"operationes", "ed", "abcs", "amientos", "xamientos", "xyzamientos", "ción", "aciones"})
+    by_spark = spark.createDataFrame([(w,) for w in words], "w string").select("w", T.stem(T.folded(F.col("w"))).alias("s")).collect()
+    assert [(r.w, r.s) for r in by_spark if T.stem_of(r.w) != r.s] == []
+
+
+def test_renewal_takes_entries_over_in_any_number(spark, tmp_path, monkeypatch):
+    from scriptoria.operators import index as I
+
+    old = spark.createDataFrame([(k, 1, f"word{k % 7} and more {k}") for k in range(40)] + [(5, 1, "twice here")], "id long, ver int, text string")
+    new = old.where("id % 5 <> 1").withColumn("ver", F.when(F.col("id") % 3 == 0, 2).otherwise(1)).withColumn("text", F.when(F.col("ver") == 2, F.concat("text", F.lit(" renewed"))).otherwise(F.col("text")))
+    rows = lambda i: sorted(map(tuple, i.part(spark, "entries").select("id", "ver", "dl", "term", "tf").collect()))
+    fresh = rows(I.store(I.entries(new, "id", "ver", F.col("text")), I.Index(str(tmp_path / "fresh"), "id", 4)))
+    for sent in (I.SENT, 0):  # keys sent to all, keys joined by shuffling
+        monkeypatch.setattr(I, "SENT", sent)
+        index = I.store(I.entries(old, "id", "ver", F.col("text")), I.Index(str(tmp_path / f"old{sent}"), "id", 4))
+        assert rows(I.renew(index, new, "ver", F.col("text"), str(tmp_path / f"new{sent}"))) == fresh
+
+
 def test_reach_and_communities(spark):
     from itertools import product
 
