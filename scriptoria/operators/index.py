@@ -17,6 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +43,11 @@ class Index:
         return spark.read.parquet(f"{self.path}/{name}")
 
 
-def _counted(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Entries of each row (key, version, words), by term in parts of PART words: a word is cut to its stem once a part, not once a place."""
+def _counted(batches: Iterator[pa.RecordBatch], names: list[str], folders: int) -> Iterator[pa.RecordBatch]:
+    """Entries of each row (key, version, words), in parts of PART words: a word is cut to its stem once a part, not once a place.
+
+    A part's terms come in the order in which they are stored, so what is sorted later is a few runs.
+    """
     stem = lru_cache(KNOWN)(stem_of)
     for batch in batches:
         ends = batch.column(2).offsets.to_numpy()
@@ -52,12 +57,18 @@ def _counted(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa
             dl, n = np.diff(ends[a : b + 1]), b - a
             own = batch.column(2).values.slice(ends[a], ends[b] - ends[a]).dictionary_encode()
             term = pa.array([WHOLE, *map(stem, own.dictionary.to_pylist())], pa.string()).dictionary_encode()
-            code = term.indices.to_numpy()[1:].astype(np.int64)[own.indices.to_numpy()]
-            pairs = np.concatenate([np.arange(n), code * n + np.repeat(np.arange(n), dl)])  # WHOLE is term 0
+            named = term.dictionary.to_pylist()
+            folder = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in named), np.uint64, len(named)).view(np.int64) % folders
+            folder[0] = APART
+            order = pc.sort_indices(pa.table([folder, term.dictionary], ["folder", "term"]), [("folder", "ascending"), ("term", "ascending")]).to_numpy()
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            code = place[term.indices.to_numpy()[1:]][own.indices.to_numpy()]
+            pairs = np.concatenate([np.arange(n), code * n + np.repeat(np.arange(n), dl)])  # WHOLE comes first
             pairs, tf = np.unique(pairs, return_counts=True)
             at, doc = np.divmod(pairs, n)
             key, version = (batch.column(k).slice(a, n).take(pa.array(doc)) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([key, version, pa.array(dl[doc].astype(np.int32)), term.dictionary.take(pa.array(at)), pa.array(tf.astype(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([key, version, pa.array(dl[doc].astype(np.int32)), term.dictionary.take(pa.array(order[at])), pa.array(tf.astype(np.int64))], names)
 
 
 def repeated(docs: DataFrame, key: str, version: str) -> DataFrame | None:
@@ -67,14 +78,17 @@ def repeated(docs: DataFrame, key: str, version: str) -> DataFrame | None:
     return None if n == 0 else F.broadcast(found) if n <= SENT else found
 
 
-def entries(docs: DataFrame, key: str, version: str, text: Column, of: DataFrame | None = None) -> DataFrame:
-    """Only rows that share key and version with another one are shuffled, to be added up. of: rows of which docs are some, if docs are dear to read."""
+def entries(docs: DataFrame, key: str, version: str, text: Column, of: DataFrame | None = None, folders: int = Index.folders) -> DataFrame:
+    """Only rows that share key and version with another one are shuffled, to be added up.
+
+    of: rows of which docs are some, if docs are dear to read. folders: of the index, for the order of entries only.
+    """
     names, kinds = [key, version, "dl", "term", "tf"], dict(docs.dtypes)
     schema = f"`{key}` {kinds[key]}, `{version}` {kinds[version]}, dl int, term string, tf long"
 
     def made(some: DataFrame) -> DataFrame:
         own = some.select(key, version, F.coalesce(lower_words(text), F.array().cast("array<string>")).alias("_w"))
-        return own.mapInArrow(lambda batches: _counted(batches, names), schema)
+        return own.mapInArrow(lambda batches: _counted(batches, names, folders), schema)
 
     several = repeated(docs if of is None else of, key, version)
     if several is None:
@@ -118,10 +132,10 @@ def renew(old: Index, docs: DataFrame, version: str, text: Column, path: str) ->
     # Each document has one entry of the empty term: the others are read once, to be taken over.
     known = had.where(F.col("folder") == APART).select(key, version).distinct()
     same = known.join(docs.select(key, version), [key, version], "left_semi")
-    same = F.broadcast(same) if known.count() <= SENT else same
+    same = F.broadcast(same) if known.count() <= SENT else same.hint("shuffle_hash")
     kept = had.drop("folder").join(same, [key, version], "left_semi")
     new = docs.join(same, [key, version], "left_anti")
-    return store(kept.unionByName(entries(new, key, version, text, docs)), Index(path, key, old.folders))
+    return store(kept.unionByName(entries(new, key, version, text, docs, old.folders)), Index(path, key, old.folders))
 
 
 def asked_terms(questions: DataFrame, synonyms: DataFrame, folders: int) -> DataFrame:
