@@ -27,13 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import checkpoint, crc32_of, table, words_of
+from scriptoria.llm.common import checkpoint, crc32_of, table
 
 
 @dataclass(frozen=True)
@@ -92,6 +93,14 @@ def _new(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _by(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The order of pairs of numbers from 0 on; equal ones stand in any order. One number is sorted faster than two, where both fit into it."""
+    bits = int(two.max(initial=0)).bit_length()
+    if int(one.max(initial=0)).bit_length() + bits < 64:
+        return np.argsort((one << bits) | two)
+    return np.lexsort((two, one))
+
+
 def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
     """Where rows of equal keys begin and end."""
     cuts = [*np.flatnonzero(_new(*keys)).tolist(), len(keys[0])]
@@ -160,23 +169,45 @@ def _bounds(slots: int) -> np.ndarray:
     return np.arange(1, slots, dtype=np.uint64) * np.uint64(2**64 // slots)
 
 
+def _words(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All words of some texts, how many each has, and their bytes with a blank each. Arrow's ASCII functions change A-Z only and split at exactly the contract's white space."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, "")))
+    of, flat = pc.list_parent_indices(words).to_numpy(), words.flatten()
+    size = pc.binary_length(flat).to_numpy()
+    some = size > 0  # white space at either end leaves an empty one
+    of = of[some]
+    return flat.filter(pa.array(some)), np.bincount(of, minlength=len(text)), np.bincount(of, size[some] + 1.0, len(text)).astype(np.int64)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], rules: KatzRules):
     """(ids, train, lengths, codes, words): codes are numbers into words, 0 is the end, which closes each document."""
-    ids, train, lengths, number, codes, size = [], [], [], {b"": 0}, [], 0
-    for batch in batches:
-        for i, text, t in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            words = words_of(text.as_py(), lower=True)
-            codes += [number.setdefault(w, len(number)) for w in words]
-            codes.append(0)
-            ids.append(i)
-            train.append(t)
-            lengths.append(len(words) + 1)
-            size += sum(map(len, words)) + len(words)
-            if len(ids) >= rules.chunk_docs or size >= rules.chunk_bytes:
-                yield ids, train, lengths, np.array(codes, np.int64), number
-                ids, train, lengths, number, codes, size = [], [], [], {b"": 0}, [], 0
-    if ids:
-        yield ids, train, lengths, np.array(codes, np.int64), number
+    parts, n, size = [], 0, 0
+
+    def made():
+        ids, train, counts, flat = zip(*parts, strict=True)
+        flat, lengths = pa.concat_arrays(flat).dictionary_encode(), np.concatenate(counts) + 1
+        codes = np.zeros(lengths.sum(), np.int64)
+        word = np.ones(len(codes), bool)
+        word[np.cumsum(lengths) - 1] = False
+        codes[word] = flat.indices.to_numpy() + 1
+        return sum(ids, []), sum(train, []), lengths, codes, [b"", *flat.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)]
+
+    for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+        flat, counts, sizes = _words(batch.column(1))
+        ids, train, ends, upto = batch.column(0).to_pylist(), batch.column(2).to_pylist(), np.cumsum(counts), np.cumsum(sizes)
+        a = 0
+        while a < len(ids):
+            before, begin = (int(x[a - 1]) if a else 0 for x in (upto, ends))
+            full = min(int(np.searchsorted(upto, before + rules.chunk_bytes - size)), a + rules.chunk_docs - n - 1)  # the document that fills the chunk
+            b = min(full + 1, len(ids))
+            parts.append((ids[a:b], train[a:b], counts[a:b], flat.slice(begin, int(ends[b - 1]) - begin)))
+            n, size = n + b - a, size + int(upto[b - 1]) - before
+            if full < len(ids):
+                yield made()
+                parts, n, size = [], 0, 0
+            a = b
+    if parts:
+        yield made()
 
 
 CHUNK = "chunk long, ids array<{}>, train binary, lengths binary, codes binary, counts binary, others binary, mark long"
@@ -275,7 +306,7 @@ def word_ids(asked: DataFrame, sizes: DataFrame, words: Words, parts: int) -> Da
             return _told([])
         m, slot = shared.value, t.column("slot")[0].as_py()
         w, n, places = _totals(t)
-        order = np.lexsort((w, -n))
+        order = np.argsort(-n, kind="stable")  # words are sorted
         n = n[order]
         begin = begin.sort_by([("count", "descending")])
         count, before = (np.append(begin.column(x).to_numpy(), 0) for x in ("count", "before"))
@@ -334,7 +365,7 @@ class Chunk:
         self.wide = pieces > 1
         middle = self.one[context]
         slot = words.slot(self.ids[middle], self.ids[word] % pieces[middle])
-        order = np.argsort(slot, kind="stable")
+        order = np.argsort(slot.astype(np.uint16) if words.slots <= 2**16 else slot, kind="stable")
         self.context, self.word, self.slot = context[order], word[order], slot[order]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -396,7 +427,10 @@ def answered(t: pa.Table, words: Words, rules: KatzRules) -> pa.Table:
     del rows, parts
     head = np.repeat(np.arange(len(size)), size)
     one, two = head_one[head], head_two[head]
-    order = np.lexsort((w, two, one))
+    by = _by(head_one, head_two)
+    context = np.empty(len(by), np.int64)
+    context[by] = np.cumsum(_new(head_one[by], head_two[by])) - 1
+    order = _by(context[head], w)
     one, two, w = (x[order] for x in (one, two, w))
     new = _new(one, two, w)
     of_record = np.empty(len(order), np.int32)
@@ -404,9 +438,9 @@ def answered(t: pa.Table, words: Words, rules: KatzRules) -> pa.Table:
     first = np.flatnonzero(new)
     c3 = _sums(seen[order], first)
     one, two, w = (x[first] for x in (one, two, w))
-    del order, head, head_two, size, seen, new, first
+    del order, context, by, head, head_two, size, seen, new, first
     # Bigrams of the middle word and the last.
-    by = np.lexsort((w, one))
+    by = _by(one, w)
     new = _new(one[by], w[by])
     starts = np.flatnonzero(new)
     pair_one, pair_w, pair_c = one[by][starts], w[by][starts], _sums(c3[by], starts)
@@ -467,7 +501,7 @@ def context_answers(rows: DataFrame, parts: int) -> DataFrame:
         slot = t.column("slot")[0].as_py()
         one = np.concatenate([p[0] for _, p in rows])
         two = np.concatenate([p[1] for _, p in rows])
-        order = np.lexsort((two, one))
+        order = _by(one, two)
         new = _new(one[order], two[order])
         at = np.empty(len(order), np.int64)
         at[order] = np.cumsum(new) - 1

@@ -461,6 +461,35 @@ def test_katz(spark, docs, empty, spread):
     assert katz.score(empty).count() == 0
 
 
+@pytest.mark.parametrize("docs_, bytes_, batch", [(7, 10**6, 13), (10**6, 50, 400), (1, 10**6, 400), (1500, 6000, 1)])
+def test_katz_chunks_are_split_as_the_contract_says(monkeypatch, docs_, bytes_, batch):
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    texts = [None if rng.random() < 0.1 else "".join(rng.choices(["a", "B", "é", "İ", " ", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\n", "\0", "x"], k=rng.randint(0, 12))) for _ in range(400)]
+    rows = pa.table({"id": range(400), "text": pa.array(texts, pa.string()), "train": [k % 3 > 0 for k in range(400)]})
+    made = list(katz._chunks(iter(rows.to_batches(max_chunksize=batch)), katz.KatzRules(chunk_docs=docs_, chunk_bytes=bytes_)))
+    got, sizes = [], []
+    for ids, train, lengths, codes, words in made:
+        assert len(ids) == len(train) == len(lengths) and train == [k % 3 > 0 for k in ids] and words[0] == b"" and len(set(words)) == len(words)
+        each = [[words[c] for c in x] for x in np.split(codes, np.cumsum(lengths)[:-1])]
+        got += zip(ids, each, strict=True)
+        sizes.append([sum(map(len, x)) + len(x) - 1 for x in each])
+    assert got == [(k, [*(t or "").encode().lower().split(), b""]) for k, t in enumerate(texts)]
+    for x in sizes:  # a chunk ends with the document that fills it
+        assert len(x) <= docs_ and sum(x[:-1]) < bytes_
+    assert all(len(x) == docs_ or sum(x) >= bytes_ for x in sizes[:-1])
+
+
+def test_katz_pairs_in_order_with_and_without_room():
+    rng = np.random.default_rng(3)
+    for top in (5, 2**20, 2**40):
+        one, two = rng.integers(0, top, 2000), rng.integers(0, top, 2000)
+        one[::3] = one[0]
+        by = katz._by(one, two)
+        assert np.array_equal(np.sort(by), np.arange(2000)) and list(zip(one[by], two[by], strict=True)) == sorted(zip(one, two, strict=True))
+
+
 def test_katz_of_repeated_and_null_ids(spark):
     """Each row is a text of its own; a null id is training."""
     rows = [(None, "a b c a b d"), (None, "a b c a b d"), (3, None), (3, "a b e"), (5, "x " * 400)]
