@@ -49,15 +49,15 @@ def _counted(batches: Iterator[pa.RecordBatch], names: list[str], folders: int)
     A part's terms come in the order in which they are stored, so what is sorted later is a few runs.
     """
     stem = lru_cache(KNOWN)(stem_of)
-    for batch in batches:
+    for batch in (b for b in batches if b.num_rows):
         ends = batch.column(2).offsets.to_numpy()
         part = (ends[1:] - ends[0]) // PART
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             dl, n = np.diff(ends[a : b + 1]), b - a
             own = batch.column(2).values.slice(ends[a], ends[b] - ends[a]).dictionary_encode()
-            term = pa.array([WHOLE, *map(stem, own.dictionary.to_pylist())], pa.string()).dictionary_encode()
-            named = term.dictionary.to_pylist()
+            term = pa.array([WHOLE, *map(stem, own.dictionary.to_numpy(zero_copy_only=False))], pa.string()).dictionary_encode()
+            named = term.dictionary.to_numpy(zero_copy_only=False)
             folder = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in named), np.uint64, len(named)).view(np.int64) % folders
             folder[0] = APART
             order = pc.sort_indices(pa.table([folder, term.dictionary], ["folder", "term"]), [("folder", "ascending"), ("term", "ascending")]).to_numpy()
