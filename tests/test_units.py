@@ -357,6 +357,60 @@ def test_repeated_pages_by_first_shingles(spark, monkeypatch):
     assert len(want) > 25 and got == want
 
 
+def shuffled_bytes(spark):
+    """Bytes that the session has shuffled so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+@pytest.mark.parametrize("pairs", [20_000, 5])
+def test_repeated_pages_send_a_set_to_few_tasks(spark, monkeypatch, pairs):
+    """Near copies of one page are many pairs; their sets are not sent once a pair, nor are texts, and parted or joined by shuffling they give the same rows."""
+    monkeypatch.setattr(algebra, "PAIRS", pairs)
+    monkeypatch.setattr(algebra, "ASKED", 1_000_000 if pairs > 5 else 0)
+    r = np.random.default_rng(7)
+    page = [f"w{x}" for x in r.integers(0, 10**6, 600)]
+    texts = []
+    for k in range(60):
+        t = list(page)
+        for j in r.integers(0, 600, 1 + k % 12):
+            t[j] = f"x{k}"
+        texts.append(" ".join(t))
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    want = {(k, min(js)) for k, a in enumerate(grams) if (js := [j for j in range(k) if len(a & grams[j]) >= 0.8 * len(a | grams[j])])}
+    pages = spark.createDataFrame([("d", k, t) for k, t in enumerate(texts)], "k string, p long, t string")
+    before = shuffled_bytes(spark)
+    assert {(x["p"], x["earlier"]) for x in algebra.repeated_pages(pages, "k", "p", "t").collect()} == want and len(want) > 50
+    sets = sum(8 * len(g) for g in grams)
+    assert pairs == 5 or shuffled_bytes(spark) - before < 6 * sets
+
+
+def test_meetings_are_all_pairs_of_different_labels():
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    n = r.integers(5, 9, 40)
+    label = np.where(np.arange(40) < 20, 0, np.arange(40) // 2)
+    rows = sorted({(int(s), int(x)) for s, x in zip(r.integers(0, 25, 400), r.integers(0, 40, 400), strict=True)} | {(99, x) for x in range(40)} | {(100, x) for x in range(20)})
+    rows += [rows[-1]] * 2
+    want = {}
+    for s, a in set(rows):
+        for t, b in set(rows):
+            if s == t and a < b and label[a] != label[b] and min(n[a], n[b]) >= 0.8 * max(n[a], n[b]):
+                want[a, b] = want.get((a, b), 0) + 1
+    flat = [np.array([x[0] for x in rows]), np.array([x[1] for x in rows]), np.array([n[x[1]] for x in rows]), np.array([label[x[1]] for x in rows])]
+    for step in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + step]) for c in flat], names=["s", "ref", "n", "label"]) for k in range(0, len(rows), step)]
+        got = {}
+        for batch in algebra.meetings(0.8)(iter(batches)):
+            for a, b, least, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                assert least == min(n[a], n[b])
+                got[a, b] = got.get((a, b), 0) + times
+        assert got == want
+    assert [b.num_rows for b in algebra.meetings(0.8)(iter([]))] == [0]
+
+
 def test_corners_are_sorted_once_a_quad(spark):
     df = spark.createDataFrame([(1, [5.0, 5.0, 0.0, 0.0, 0.0, 4.0, 6.0, 1.0])], "id int, v array<double>")
     q = geometry.polygon(*[F.col("v")[k] for k in range(8)])
