@@ -491,3 +491,37 @@ def test_workbooks_of_one_book_a_row(spark):
         assert b'<mergeCell ref="A3:B4"/>' in z.read("xl/worksheets/s1.xml")
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Aggregate" in plan.split("MapInArrow")[1].split("\n")[1]
+
+
+def test_plain_workbooks_are_read_without_zipfile(monkeypatch):
+    """Those of our own and of zipfile, packed or not; any other file is left to zipfile, and broken ones fail as there."""
+    import io
+
+    from scriptoria.sources import writers
+
+    cells = [("a", 1, 1, "é & <", "text", None, None, False, None, None), ("a", 1, 2, "x", "text", None, None, True, None, None), ("a", 2, 28, "7", "number", 7.0, None, False, None, None), ("b", 1, 1, "y\nlonger", "text", None, None, False, None, None)]
+    want = [("a", 1, 1, "é & <"), ("a", 1, 2, "x"), ("a", 2, 28, "7.0"), ("b", 1, 1, "y\nlonger")]
+    own = writers.workbook(cells)
+    with zipfile.ZipFile(io.BytesIO(own)) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    assert b'<col min="1" max="1" width="7" customWidth="1"/><col min="2" max="2" width="6" customWidth="1"/>' in parts["xl/worksheets/s1.xml"]
+
+    def zipped(method, comment=b"", before=b"", target=None):
+        out = target or io.BytesIO()
+        with zipfile.ZipFile(out, "w", method) as z:
+            z.comment = comment
+            for n, data in parts.items():
+                z.writestr(n, data)
+        return before + out.getvalue()
+
+    plain = [own, zipped(zipfile.ZIP_DEFLATED), zipped(zipfile.ZIP_STORED)]
+    others = [zipped(zipfile.ZIP_DEFLATED, b"note"), zipped(zipfile.ZIP_DEFLATED, before=b"#!x"), zipped(zipfile.ZIP_BZIP2)]
+    assert all(files._entries(x) is None for x in others)
+    assert all(files.sheet_cells(x) == want for x in others)
+    broken = bytearray(zipped(zipfile.ZIP_STORED))
+    broken[broken.index(b"longer")] ^= 1
+    for bad in (b"", b"PK", own[:-1], bytes(broken)):
+        with pytest.raises(zipfile.BadZipFile):
+            files.sheet_cells(bytes(bad))
+    monkeypatch.setattr(files.zipfile, "ZipFile", None)
+    assert all(files.sheet_cells(x) == want for x in plain)
